@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup
+from . import exact_dedup, mixing, near_dedup, substring_dedup
 from .common import ship_package
 
 _OPERATORS = [
+    (substring_dedup.op1_substring_dedup, substring_dedup.OP1_SQL),
     (exact_dedup.op7_exact_dedup, exact_dedup.OP7_SQL),
     (mixing.op8_mix_sources, mixing.OP8_SQL),
     (near_dedup.op9_near_dedup, near_dedup.OP9_SQL),
