@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, substring_dedup
+from . import bpe, exact_dedup, fingerprint, mixing, near_dedup, substring_dedup
 from .common import ship_package
 
 _OPERATORS = [
     (substring_dedup.op1_substring_dedup, substring_dedup.OP1_SQL),
+    (fingerprint.op4_lz_fingerprints, None),
+    (bpe.op6_bpe, None),
     (exact_dedup.op7_exact_dedup, exact_dedup.OP7_SQL),
     (mixing.op8_mix_sources, mixing.OP8_SQL),
     (near_dedup.op9_near_dedup, near_dedup.OP9_SQL),
