@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprint, mixing, near_dedup, substring_dedup
+from . import bpe, exact_dedup, fingerprint, html, mixing, near_dedup, quality, substring_dedup, toxicity
 from .common import ship_package
 
 _OPERATORS = [
     (substring_dedup.op1_substring_dedup, substring_dedup.OP1_SQL),
+    (quality.op2_quality, None),
+    (html.op3_html_text, None),
     (fingerprint.op4_lz_fingerprints, None),
+    (toxicity.op5_toxicity, None),
     (bpe.op6_bpe, None),
     (exact_dedup.op7_exact_dedup, exact_dedup.OP7_SQL),
     (mixing.op8_mix_sources, mixing.OP8_SQL),
