@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprint, html, mixing, near_dedup, quality, substring_dedup, toxicity
+from . import bpe, exact_dedup, fingerprint, html, mixing, near_dedup, pii, quality, substring_dedup, toxicity
 from .common import ship_package
 
 _OPERATORS = [
@@ -15,6 +15,7 @@ _OPERATORS = [
     (exact_dedup.op7_exact_dedup, exact_dedup.OP7_SQL),
     (mixing.op8_mix_sources, mixing.OP8_SQL),
     (near_dedup.op9_near_dedup, near_dedup.OP9_SQL),
+    (pii.op10_pii_surrogates, None),
 ]
 
 
