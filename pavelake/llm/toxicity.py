@@ -247,6 +247,21 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
     return chosen.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, spans array<struct<begin:int,end:int,p:double>>, uid long")
 
 
+def clean_documents(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that are not scored as toxic, with all their columns; no text is shuffled."""
+    spread = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = spread.value
+        for batch in batches:
+            at = batch.schema.names.index("text")
+            scores = [sigmoid(doc_signals(token_marginals(token_features(s), s.ptr, m), s.row_of_word(), s.rows) @ m["line"]) for s in tokens.slices(batch.column(at))]
+            if scores:
+                yield batch.filter(pa.array(np.concatenate(scores) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def row_begins(texts, s: tokens.Slice) -> list[int]:
     lengths = [len(x.as_buffer()) if x.is_valid else 0 for x in texts.slice(s.first, s.rows)]
     return [0, *np.cumsum(lengths).tolist()]
