@@ -169,19 +169,19 @@ def assign(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFra
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text, n_entities: the texts with surrogates."""
     source = docs.select("doc_id", "text")
-    parted = source.withColumn("parts", found(F.col("text")))
-    has = parted.filter(F.size("parts") > 1).withColumn("uid", F.xxhash64("doc_id", "text"))
+    any_ = F.col("text").rlike(PATTERN)  # ends at the first entity, so most texts are read once and no more
+    has = source.filter(any_).withColumn("parts", found(F.col("text"))).withColumn("uid", F.xxhash64("doc_id", "text"))
     mentions = has.select("uid", F.explode(F.array_distinct(F.transform(F.filter("parts", lambda p: p["kind"] > 0), lambda p: F.struct(p["kind"].alias("kind"), canonical(p["kind"], p["value"]).alias("canon"))))).alias("m")).select("uid", "m.kind", "m.canon")
     made = assign(mentions.select("kind", "canon").distinct(), key)
     own = mentions.join(made, ["kind", "canon"]).groupBy("uid").agg(F.collect_set(F.struct(F.concat_ws("|", "kind", "canon").alias("k"), F.col("made").alias("v"))).alias("pairs"))
-    named = has.join(own.select("uid", F.map_from_entries("pairs").alias("names")), "uid")
+    named = has.join(own.select("uid", F.map_from_entries("pairs").alias("names")), "uid", "left")
 
     def part(p):
         made = F.element_at(F.col("names"), F.concat_ws("|", p["kind"], canonical(p["kind"], p["value"])))
         return F.when(p["kind"] == 0, p["value"]).otherwise(written(p["value"], made))
 
     changed = named.select("doc_id", F.array_join(F.transform("parts", part), "").alias("text"), F.floor(F.size("parts") / 2).cast("long").alias("n_entities"))
-    plain = parted.filter(F.col("text").isNull() | (F.size("parts") <= 1)).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"))
+    plain = source.filter(F.col("text").isNull() | ~any_).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"))
     return changed.unionByName(plain)
 
 
