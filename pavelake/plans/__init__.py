@@ -1,0 +1,4 @@
+"""Named queries over the driver's tables, each with SQL that says the same where SQL can."""
+
+from . import events, sensor  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
