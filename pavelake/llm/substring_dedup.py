@@ -161,11 +161,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     kinds = open_.groupBy("node", "span").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("one"))
     ends = open_.join(kinds, ["node", "span"]).select("uid", "at", "n", "span", (F.col("c") > 1).alias("sure"), ((F.col("c") == 1) | (F.col("uid") == F.col("one"))).alias("probe"))
     spans = paths.unionByName(ends).groupBy("uid").agg(F.collect_set(F.struct("at", "n", "span", "sure", "probe")).alias("spans"))
-    probed = source.join(spans.filter(F.exists("spans", lambda x: x["probe"])), "uid").select("uid", "doc_id", "text", "spans")
-    windows = cut(probed.mapInArrow(probe_windows(window), "w long, span long, uid long, word int, sure boolean"))
+    # texts are shuffled once: both joins name the same columns, so the plan reuses their exchange; the spans
+    # are the side that is hashed, so texts are not sorted
+    probed = source.join(spans.filter(F.exists("spans", lambda x: x["probe"])).hint("shuffle_hash"), "uid").select("uid", "doc_id", "text", "spans")
+    windows = probed.mapInArrow(probe_windows(window), "w long, span long, uid long, word int, sure boolean")
     twice = windows.groupBy("w").agg(F.min("span").alias("s0"), F.max("span").alias("s1")).filter("s0 <> s1").select("w")
     verified = windows.filter("not sure").join(twice, "w").groupBy("uid").agg(F.collect_set("word").alias("words"))
-    marked = source.join(spans, "uid", "left").join(verified, "uid", "left").select("uid", "doc_id", "text", "spans", "words")
+    marked = source.join(spans.hint("shuffle_hash"), "uid", "left").join(verified.hint("shuffle_hash"), "uid", "left").select("uid", "doc_id", "text", "spans", "words")
     return marked.mapInArrow(keep_words(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
