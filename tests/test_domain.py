@@ -1,0 +1,276 @@
+"""Golden cases of the domain operators."""
+
+import io
+import json
+import math
+import zipfile
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pavelake import vocab as v
+from pavelake.functions import scalar
+from pavelake.operators import detector, evaluate, fusion, image, joins, judge, labels, quality, spatial, spectral
+from pavelake.operators import timeseries as ts
+from pavelake.sources import files, sinks
+
+
+def value(spark, column, **inputs):
+    kinds = {str: "string", float: "double", int: "bigint", bool: "boolean"}
+    schema = ", ".join(f"{k} {kinds.get(type(x), 'string')}" for k, x in inputs.items()) or "one int"
+    return spark.createDataFrame([tuple(inputs.values()) or (1,)], schema).select(column).first()[0]
+
+
+@pytest.mark.parametrize("imu,vision,conf,final,score,rule", [
+    (None, v.LONGITUDINAL, 0.7, v.LONGITUDINAL, 0.76, "R1"), (None, v.FLAT, 0.8, v.FLAT, 0.82, "R4"), (None, v.POTHOLE, 0.7, v.SHALLOW, 0.40, "R3"), (v.POTHOLE, v.POTHOLE, 0.7, v.POTHOLE, 0.95, "R7"),
+    (v.POTHOLE, v.FLAT, 0.8, v.BUMP_OR_MANHOLE, 0.70, "R5"), (v.BUMP, v.FLAT, 0.8, v.BUMP, 0.65, "R6"), (v.POTHOLE, v.CRACK, 0.6, "龟裂(含局部沉降)", 0.65, "R9"), (v.ROUGH, v.ROUGH, 0.7, v.ROUGH, 0.85, "R11"),
+])
+def test_decision_table(spark, imu, vision, conf, final, score, rule):
+    got = value(spark, fusion.decide(F.col("imu"), F.col("vision"), F.col("conf"), F.lit(None).cast("string")), imu=imu, vision=vision, conf=conf)
+    assert (got.final, round(got.conf, 2), got.rule) == (final, score, rule)
+
+
+def test_fusion_merge(spark):
+    imu = [(0, v.POTHOLE, 31.23, 121.47), (1, v.MANHOLE, 31.231, 121.471), (2, v.BUMP, 31.232, 121.472), (3, v.FALSE_ALARM, 31.233, 121.473), (4, v.ROUGH, 31.234, 121.474), (5, v.POTHOLE, 31.235, 121.475)]
+    seen = [(0, v.POTHOLE, 0.72, "", None, None), (1, v.FLAT, 0.8, "", None, None), (2, v.FLAT, 0.75, "", None, None), (3, v.FLAT, 0.8, "", None, None), (4, v.ROUGH, 0.66, "", None, None), (5, v.FLAT, 0.7, "", None, None), (-1, v.CRACK, 0.61, "纵向", 31.24, 121.48), (-2, v.POTHOLE, 0.58, "", 31.23, 121.47)]
+    fused = fusion.merge(spark.createDataFrame(imu, "id long, label string, lat double, lon double"), spark.createDataFrame(seen, "id long, vision_label string, vision_conf double, vision_why string, lat double, lon double"))
+    rules = {r.id: (r.rule, r.final, r.conf) for r in fused.collect()}
+    assert {i: r[0] for i, r in rules.items()} == {-2: "R15", -1: "R1", 0: "R7", 1: "R5", 2: "R6", 3: "R0", 4: "R11", 5: "R5"}
+    assert rules[-1][1:] == (v.LONGITUDINAL, 0.733)
+    s = fusion.summary(fused).first()
+    assert (s.vision_only, s.deduped, s.dual, s.mapped) == (1, 1, 1, 6)
+
+
+@pytest.mark.parametrize("duration,skew,kind", [(0.62, 0.0, v.BUMP), (0.621, 0.0, v.ROUGH), (0.28, 2.0, v.BUMP), (0.279, 1.01, v.MANHOLE), (0.279, 1.0, v.POTHOLE)])
+def test_classifier_boundaries(spark, duration, skew, kind):
+    assert value(spark, scalar.rule_class(F.col("d"), F.col("s")), d=duration, s=skew) == kind
+
+
+@pytest.mark.parametrize("speed,version,ms", [(0.5, 0.8, 800.0), (4.8, 0.8, 250.0), (1.0, 0.8, 1200.0), (0.6, 0.8, 1500.0), (4.8, 0.6, 1500.0)])
+def test_refractory(spark, speed, version, ms):
+    assert abs(value(spark, scalar.refractory_ms(F.col("s"), F.col("w")), s=speed, w=version) - ms) < 1e-9
+
+
+def test_version(spark):
+    assert tuple(value(spark, scalar.version_number(F.col("x")), x="0.8.1")) == (0, 8)
+    assert tuple(value(spark, scalar.version_number(F.col("x")), x="bad")) == (0, 0)
+
+
+def ride(impulses, n=3600, speed=5.0, seed=1, noise=0.15):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, noise, n)
+    for s in impulses:
+        i = int(s * 60)
+        x[i : i + 3] += 6
+    return [(1, i, int(i * 1000 / 60), float(x[i]), speed) for i in range(n)]
+
+
+SAMPLE = "pack_id long, event_id long, t_ms long, hp double, speed double"
+
+
+def test_detector_counts_impulses(spark):
+    five = spark.createDataFrame(ride([5, 15, 25, 35, 45]), SAMPLE)
+    assert detector.events(detector.replay(five)).count() == 5
+    assert detector.events(detector.replay(spark.createDataFrame(ride([]), SAMPLE))).count() == 0
+
+
+def test_old_detector_gates_speed(spark):
+    still = detector.replay(spark.createDataFrame(ride([5, 15], speed=0.0), SAMPLE), 0.6).first()
+    assert not still.events and still.missed and {m.why for m in still.missed} == {"speed_gate"}
+    assert detector.replay(spark.createDataFrame(ride([5, 15], speed=0.0), SAMPLE), 0.6, "test").first().events
+
+
+def test_batch_equals_plain_detector(spark):
+    rows = ride([3, 9, 9.5, 30], seed=4)
+    s, t, speed = (np.array([r[i] for r in rows], float) for i in (3, 2, 4))
+    assert detector.events(detector.replay(spark.createDataFrame(rows, SAMPLE))).count() == quality.count_events(s, t, speed)
+
+
+def test_empty_packs(spark):
+    none = spark.createDataFrame([], SAMPLE)
+    assert detector.events(detector.replay(none)).count() == 0 and ts.ema(none).count() == 0 and ts.source_rate(none).count() == 0
+
+
+def test_health_index(spark):
+    d = spark.createDataFrame([(v.POTHOLE, 1)], "k string, c int")
+    assert abs(d.agg(spatial.health_index(F.col("k"), F.col("c"), F.lit(1.0))).first()[0] - 100 * math.exp(-0.2)) < 1e-9
+    assert d.limit(0).agg(spatial.health_index(F.col("k"), F.col("c"), F.lit(1.0))).first()[0] == 100.0
+
+
+def test_distance(spark):
+    d = spark.createDataFrame([(1, i, i * 1000, 4.0) for i in range(4)], "pack_id long, event_id long, t_ms long, speed double")
+    assert spatial.distance_m(d).first().metres == 12.0
+
+
+def test_clusters_are_components(spark):
+    points = [(0, 31.23, 121.47, v.POTHOLE, 1.0, 0.1), (1, 31.23005, 121.47, v.POTHOLE, 3.0, 0.1), (2, 31.2301, 121.47, v.BUMP, 2.0, 0.3), (3, 31.3, 121.47, v.BUMP, 2.0, 0.3), (4, None, None, v.BUMP, 2.0, 0.3)]
+    d = spark.createDataFrame(points, "id long, lat double, lon double, final_type string, peak double, duration double")
+    found = spatial.cluster(d, 15.0)
+    assert {r.id: r.cluster for r in found.collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: None}
+    top = {r.cluster: r for r in spatial.rollup(found).collect()}
+    assert (top[0].confirmations, top[0].peak, top[0].final_type) == (3, 3.0, v.POTHOLE)
+    doc = json.loads(spatial.feature_collection(d, ["peak"]).first()[0])
+    assert doc["type"] == "FeatureCollection" and len(doc["features"]) == 4
+
+
+def test_keyframes(spark):
+    frames = spark.createDataFrame([(1, 5000, 5000 + o) for o in (-1200, -1000, -800, -600, -400, -200, 0)], "event_id long, t0_ms long, t_ms long")
+    got = {r.role: (r.offset_ms, r.gap_ms) for r in judge.keyframes(frames).collect()}
+    assert got == {"pre": (-400, 0), "impact": (0, 0), "post_proxy": (-200, None)}
+    one = {r.role: r.offset_ms for r in judge.keyframes(frames.limit(1)).collect()}
+    assert one == {"pre": -1200, "post_proxy": -1200}
+
+
+@pytest.mark.parametrize("label,conf,crest,usable,done,actions", [
+    (v.POTHOLE, "high", 9.0, 0, [], ["r2_more_frames"]), (v.POTHOLE, "high", 9.0, 0, ["r2_more_frames"], ["r2_escalate"]), (v.LONGITUDINAL, "high", 1.5, 3, [], ["r3_two_frames"]), (v.FLAT, "low", 1.5, 3, [], ["r4_escalate"]), (v.POTHOLE, "high", 9.0, 3, [], []),
+])
+def test_self_check(spark, label, conf, crest, usable, done, actions):
+    d = spark.createDataFrame([(label, conf, crest, usable, done)], "l string, c string, x double, u int, d array<string>")
+    fires = d.select(judge.self_check(F.col("l"), F.col("c"), F.col("x"), F.col("u"), F.col("d")).alias("f")).first().f
+    assert [f.action for f in fires] == actions
+
+
+def test_confidence(spark):
+    none = F.array().cast("array<string>")
+    assert value(spark, judge.confidence(F.lit(v.POTHOLE), F.lit(9.0), F.lit(3), none, F.lit(False))) == "high"
+    assert value(spark, judge.confidence(F.lit(v.POTHOLE), F.lit(9.0), F.lit(3), none, F.lit(True))) == "low"
+    assert value(spark, judge.confidence(F.lit(v.FLAT), F.lit(9.0), F.lit(1), none, F.lit(False))) == "mid"
+
+
+def test_worst_of(spark):
+    d = spark.createDataFrame([(1, v.FLAT, 0.7), (1, v.FLAT, 0.8), (1, v.POTHOLE, 0.6), (2, v.FLAT, 0.9), (2, v.FLAT, 0.9), (3, v.ROUGH, 0.7), (3, v.CRACK, 0.6), (3, v.FLAT, 0.8)], "event_id long, label string, conf double")
+    assert {r.event_id: (r.label, r.conf) for r in judge.worst_of(d).collect()} == {1: (v.POTHOLE, 0.6), 2: (v.FLAT, 0.9), 3: (v.CRACK, 0.6)}
+
+
+def test_kappa(spark):
+    table = [("a", "a")] * 20 + [("a", "b")] * 5 + [("b", "a")] * 10 + [("b", "b")] * 15
+    k = labels.kappa(spark.createDataFrame(table, "a string, b string")).first()
+    assert (k.n, round(k.po, 2), round(k.pe, 2), round(k.kappa, 2)) == (50, 0.7, 0.5, 0.4)
+    assert labels.kappa(spark.createDataFrame([("a", "a")], "a string, b string")).first().kappa == 0.0
+    assert labels.kappa(spark.createDataFrame([], "a string, b string")).first().kappa is None
+
+
+def test_label_issues(spark):
+    rows = [(1, v.POTHOLE, "high", 0), (1, v.POTHOLE, "high", 0), (2, "", "high", 0), (3, "??", "sure", 2), (4, v.FLAT, "low", 1)]
+    got = sorted((r.event_id, r.issue) for r in labels.issues(spark.createDataFrame(rows, "event_id long, truth_label string, confidence string, is_false_positive int")).collect())
+    assert got == [(1, "duplicate_id")] * 2 + [(2, "empty_truth"), (3, "bad_confidence"), (3, "bad_flag"), (3, "truth_out_of_domain")]
+    d = spark.createDataFrame([(7, v.POTHOLE, "x"), (7, v.FLAT, "y"), (8, v.FLAT, "x")], "event_id long, truth_label string, source_file string")
+    assert [r.event_id for r in labels.conflicts(d).collect()] == [7]
+
+
+def test_metrics_without_reviews(spark):
+    gold = spark.createDataFrame([(1, v.POTHOLE, v.UNDECIDED)], "event_id long, truth_label string, imu_label string")
+    m = evaluate.metrics(gold, spark.createDataFrame([], "event_id long, source string, visual_label string")).first()
+    assert (m.n_gold, m.n_judged, m.agreement, m.defect_recall, m.json_compliance) == (1, 0, None, None, 100.0)
+
+
+def test_auc(spark):
+    d = spark.createDataFrame([("f", 0.1, False), ("f", 0.4, False), ("f", 0.35, True), ("f", 0.8, True)], "k string, s double, p boolean")
+    assert evaluate.rank_auc(d, ["k"], "s", "p").first().auc == 0.75
+
+
+def test_greedy_alignment(spark):
+    imu = spark.createDataFrame([(1, 10, 1000), (1, 11, 1900), (1, 12, 9000)], "pack_id long, id long, t_ms long")
+    seen = spark.createDataFrame([(1, 0, 1500), (1, 1, 1400), (1, 2, 5000)], "pack_id long, id long, t_ms long")
+    assert sorted((r.vision_id, r.imu_id) for r in joins.align_greedy(imu, seen, 1200).collect()) == [(0, 11), (1, 10)]
+
+
+def test_tolerant_merge(spark):
+    a = spark.createDataFrame([(1, t) for t in (100, 200, 300)], "pack_id long, t_ms long")
+    b = spark.createDataFrame([(1, t) for t in (102, 250, 303)], "pack_id long, t_ms long")
+    assert tuple(joins.tolerant_merge(a, b).first()) == (1, 2, 1)
+
+
+def test_filters():
+    fs, t = 100.0, np.arange(1000) / 100.0
+    low = spectral.butterworth(4, 5.0, fs, "low")
+    assert np.allclose(spectral.zero_phase(low, np.ones(200)), 1.0)
+    for f, gain in ((0.5, 1.0), (5.0, 0.5), (20.0, 0.0)):
+        y = spectral.zero_phase(low, np.sin(2 * np.pi * f * t))[200:800]
+        assert abs(np.abs(y).max() - gain) < 0.02
+    assert abs(spectral.band_pass(np.ones(500), fs)).max() < 1e-6
+    assert sum(spectral.band_ratios(np.sin(2 * np.pi * 5 * t), fs)) > 0.9
+
+
+def test_peaks():
+    x = np.array([0, 1, 0, 3, 0, 2, 0, 0.2, 0.0])
+    assert spectral.find_peaks(x, np.full(9, 0.5), np.full(9, 0.5), 1).tolist() == [1, 3, 5]
+    assert spectral.find_peaks(x, np.full(9, 0.5), np.full(9, 0.5), 3).tolist() == [3]
+
+
+def test_image_features():
+    flat = np.full((32, 32), 120.0)
+    hole = flat.copy()
+    hole[10:18, 10:18] = 20
+    assert image.features(hole)["std"] > image.features(flat)["std"]
+    assert image.largest_blob(hole < 60)[0] == 64
+    assert image.crop_road(np.zeros((100, 100))).shape == (65, 84)
+
+
+def test_surrogates_are_quiet(spark):
+    d = spark.createDataFrame(ride([5, 15, 25, 35, 45]), SAMPLE)
+    noise = quality.surrogates(d, 3)
+    assert noise.count() == 6
+    real = detector.replay(d).select("pack_id", F.size("events").alias("n_events"))
+    found = quality.informative(real, noise).first()
+    assert found.n_events > found.stationary and found.informative == (found.n_events > max(found.stationary, found.envelope))
+
+
+def pack(path, extra=(), compress=zipfile.ZIP_STORED):
+    with zipfile.ZipFile(path, "w", compress) as z:
+        for name, data in [("samples.csv", "t_ms"), ("events.csv", "id"), ("meta.json", "{}"), ("frames/ev1_t20.jpg", "b"), ("frames/ev1_t10.jpg", "a"), ("frames/sweep_t5.jpg", "c"), *extra]:
+            z.writestr(name, data)
+
+
+def test_packs(spark, tmp_path):
+    pack(tmp_path / "ride.zip")
+    members = files.read_packs(spark, str(tmp_path))
+    found = {r.event_id: [f.t_ms for f in r.frames] for r in files.frames(members).collect()}
+    assert members.count() == 6 and found == {1: [10, 20], None: [5]} and members.first().pack_id == "ride"
+
+
+@pytest.mark.parametrize("extra,compress", [([("../x", "")], zipfile.ZIP_STORED), ([], zipfile.ZIP_DEFLATED)])
+def test_bad_packs(extra, compress):
+    buffer = io.BytesIO()
+    pack(buffer, extra, compress)
+    with pytest.raises(ValueError):
+        files.unpack(buffer.getvalue())
+
+
+def test_csv(spark, tmp_path):
+    body = "﻿Timestamp,AccX,AccY,Latitude\r\n" + "".join(f"{i * 10},{i},x,31.2\r\n" for i in range(20)) + "bad,1,1,1\r\n"
+    (tmp_path / "s.csv").write_text(body, encoding="utf-8")
+    got = files.read_samples(spark, str(tmp_path / "s.csv")).collect()
+    assert len(got) == 20 and got[3].ax == 3.0 and got[3].ay == 0.0 and got[0].lat == 31.2
+    (tmp_path / "few.csv").write_text("t,ax\n1,2\n")
+    with pytest.raises(ValueError):
+        files.read_samples(spark, str(tmp_path / "few.csv"))
+
+
+def test_event_rows(spark):
+    d = spark.createDataFrame([("5", "", "坑洼", "30"), (None, " 井盖 ", "坑洼", None)], "id string, final_label string, auto_label string, duration string")
+    assert [(r.id, r.label, r.duration_ms) for r in files.load_events(d).collect()] == [(5, v.POTHOLE, 30.0), (1, v.MANHOLE, None)]
+
+
+def test_json_lines_and_sinks(spark, tmp_path):
+    (tmp_path / "r.jsonl").write_text('{"event_id": 1, "visual_label": "坑洼"}\n\n{bad\n{"event_id": 1, "visual_label": "平路"}\n', encoding="utf-8")
+    r = files.read_json_lines(spark, str(tmp_path / "r.jsonl"), "event_id long, visual_label string")
+    assert [x.visual_label for x in evaluate.latest(r.filter("event_id is not null")).collect()] == [v.FLAT]
+    assert r.filter("bad_line is not null").count() == 1
+    sinks.write_report_csv(spark.createDataFrame([(1, "坑洼")], "id int, label string"), str(tmp_path / "out.csv"))
+    assert (tmp_path / "out.csv").read_bytes().startswith(b"\xef\xbb\xbfid,label")
+    assert sinks.write_if_absent("x", str(tmp_path / "a" / "b.md")) and not sinks.write_if_absent("y", str(tmp_path / "a" / "b.md"))
+    assert sinks.done_so_far(spark, str(tmp_path / "none"), "event_id long").count() == 0
+    assert sinks.markdown_table(spark.range(1)) == "| id |\n|-|\n| 0 |"
+
+
+def test_review_contract(spark):
+    got = value(spark, judge.review_contract(F.lit(" 坑洼 "), F.lit("HIGH"), F.lit("x" * 400)))
+    assert (got.visual_label, got.confidence, len(got.why), got.source) == (v.POTHOLE, "high", 300, "llm")
+    assert value(spark, judge.review_contract(F.lit("?"), F.lit("high"), F.lit(""))).source == "parse_failed"
+
+
+def test_publish_guard(spark):
+    assert value(spark, labels.forbidden_path(F.lit("data/x.zip"))) and value(spark, labels.forbidden_path(F.lit("examples/x.zip"))) is None
+    assert labels.kind_by_header(["frame_id"]) == "frame" and labels.kind_by_header(["event_id"]) == "event"
