@@ -19,7 +19,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,7 +136,7 @@ def edges(batches):
             last = batch.slice(batch.num_rows - 1, 1).to_pylist()[0]
     if first is not None:
         yield pa.RecordBatch.from_arrays(
-            [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([first["text"]], pa.string()), pa.array([last["doc_id"]], pa.int64()), pa.array([last["text"]], pa.string())],
+            [pa.array([first["part"]], pa.int64()), pa.array([first["text"]], pa.string()), pa.array([last["doc_id"]], pa.int64()), pa.array([last["text"]], pa.string())],
             ["part", "first_text", "last_id", "last_text"],
         )
 
@@ -160,7 +159,8 @@ def pairs(bins: int):
 def with_next(docs: DataFrame, bins: int = BINS) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
     ranged = docs.select("doc_id", "text").repartitionByRange(partitions_for(docs), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    ends = ranged.mapInArrow(edges, "part long, first_text string, last_id long, last_text string")
+    # the range's own number, not the task's: within a union tasks are numbered on
+    ends = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(edges, "part long, first_text string, last_id long, last_text string")
     # one row per task of the range exchange
     order = Window.orderBy("part")
     follow = ends.select("part").withColumn("following", F.coalesce(F.lead("part").over(order), F.min("part").over(Window.partitionBy())))
