@@ -22,7 +22,10 @@ def pick(index, values):
 
 def samples(spark: SparkSession, sf_dir: str, divisor: int = 155000) -> DataFrame:
     """pack_id, event_id, t_ms, hp, vz, speed, lat, lon, label_raw."""
-    e = table(spark, sf_dir, "events")
+    return samples_of(table(spark, sf_dir, "events"), divisor)
+
+
+def samples_of(e: DataFrame, divisor: int = 155000) -> DataFrame:
     ms = F.unix_millis(F.col("ts").cast("timestamp")) - EPOCH_MS
     return e.select(
         F.floor(F.col("user_id") / USERS_PER_PACK).alias("pack_id"), "event_id", F.floor(ms / divisor).cast("bigint").alias("t_ms"),
