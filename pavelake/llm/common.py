@@ -50,3 +50,22 @@ def lower_ascii(text: Column) -> Column:
 def partitions_for(df: DataFrame, least: int = 8) -> int:
     """Partitions for an explicit repartition: the session's shuffle setting."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+HEAVY = 2000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], count: str, spread: Column, how: str = "inner") -> DataFrame:
+    """Join rows with a table of distinct keys that carries each key's number of rows, hot keys split.
+
+    Keys with more than 1/HEAVY of all rows are fewer than HEAVY, so they can be broadcast to the rows;
+    there each such key is split into parts of about that share, and its row in `counted` is repeated for each
+    part. `counted` should be cheap to read again; its column `count` is dropped.
+    """
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    limit = max(total // HEAVY, 1000)
+    parts = F.when(F.col(count) > limit, F.ceil(F.col(count) / limit)).otherwise(1).cast("int")
+    heavy = counted.filter(F.col(count) > limit).select(*keys, parts.alias("__parts"))
+    dealt = rows.join(F.broadcast(heavy), keys, "left").withColumn("__part", F.coalesce(F.pmod(spread, F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    other = counted.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(count)
+    return dealt.join(other, [*keys, "__part"], how).drop("__part")

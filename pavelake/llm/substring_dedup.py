@@ -8,7 +8,7 @@ of its windows is repeated, with no need to look at them one by one. Only where
 differ (the graph branches: a repeat begins or ends) single windows are compared, in joins on
 their hashes. Source coordinates (document, word) carry the spans back to the texts.
 
-Hot passages are summed map-side; joins on them are left to skew splitting; each document's spans
+Hot passages are summed map-side and split in the joins that lead back to the texts; each document's spans
 are a set of its own words at most. Windows are compared as 64-bit hashes of all their words.
 
 Defined results: null, blank and short texts lose nothing; every occurrence of a repeated window goes,
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, table
+from .common import cut, join_counted, table
 
 WINDOW = 35
 GRAM = 12
@@ -154,12 +154,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     """doc_id, n_words, n_removed, kept_sha256, kept_text for every row."""
     source = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text")
     found = source.select("uid", "text").mapInArrow(super_windows(window, gram), "node long, span long, uid long, at int, n int")
-    nodes = found.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("span").alias("s0"), F.max("span").alias("s1")).filter("c > 1").select("node", (F.col("s0") != F.col("s1")).alias("branching"))
-    repeated = cut(found.join(nodes, "node"))
+    nodes = cut(found.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("span").alias("s0"), F.max("span").alias("s1")).filter("c > 1").select("node", "c", (F.col("s0") != F.col("s1")).alias("branching")))
+    repeated = cut(join_counted(found, nodes, ["node"], "c", F.xxhash64("uid", "at")))
     paths = repeated.filter("not branching").select("uid", "at", "n", "span", F.lit(True).alias("sure"), F.lit(False).alias("probe"))
     open_ = repeated.filter("branching")
-    kinds = open_.groupBy("node", "span").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("one"))
-    ends = open_.join(kinds, ["node", "span"]).select("uid", "at", "n", "span", (F.col("c") > 1).alias("sure"), ((F.col("c") == 1) | (F.col("uid") == F.col("one"))).alias("probe"))
+    kinds = cut(open_.groupBy("node", "span").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("one")).withColumn("sure", F.col("c") > 1))
+    ends = join_counted(open_, kinds, ["node", "span"], "c", F.xxhash64("uid", "at")).select("uid", "at", "n", "span", "sure", (~F.col("sure") | (F.col("uid") == F.col("one"))).alias("probe"))
     spans = paths.unionByName(ends).groupBy("uid").agg(F.collect_set(F.struct("at", "n", "span", "sure", "probe")).alias("spans"))
     # texts are shuffled once: both joins name the same columns, so the plan reuses their exchange; the spans
     # are the side that is hashed, so texts are not sorted
