@@ -27,7 +27,7 @@ from .common import table
 from .learn import held_out, labelled, logistic, sigmoid
 
 BUCKETS = 1 << 20
-MOST_ROWS = 8000
+MOST_ROWS = 4000
 THRESHOLD = 0.3
 RUN = 64
 BEGINNINGS = (4, 5, 6, 7)
