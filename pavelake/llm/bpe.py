@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import table
 
-CHUNK_WORDS = 64
+CHUNK_WORDS = 128
 MOST_PIECES = 150_000
-MOST_CHUNKS = 20_000
+MOST_CHUNKS = 4_000
 _DOUBLE = re.compile(r"\s\s")
 _LINES = re.compile(r"(\n)")
 
@@ -84,7 +84,7 @@ def row_edges(texts, s: tokens.Slice) -> list[int]:
 
 
 class Coder:
-    """A tokenizer with bounded caches of pieces and chunks."""
+    """A tokenizer with bounded caches of pieces and chunks; ids are kept as text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -92,22 +92,41 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}  # the generation before
-        self.chunks: dict[str, tuple[int, str, str]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.pieces: dict[str, str] = {}
+        self.older: dict[str, str] = {}  # the generation before
+        self.odd: dict[str, str] = {}  # decoded text of pieces that it differs from
+        self.chunks: dict[str, tuple[int, str, str, str, str]] = {}  # count, ids, decoded, first and last piece
         self.agreed: set[str] = set()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[str]:
+        out = []
+        for at in range(0, len(texts), 4096):
+            out += [",".join(map(str, x.ids)) for x in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
+        return out
 
-    def coded(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Count, ids as text and decoded text of each."""
-        ids = self.encode(texts)
-        back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        return [(len(i), ",".join(map(str, i)), t if t == b else b) for t, i, b in zip(texts, ids, back)]
+    def coded(self, texts: list[str]) -> list[str]:
+        """Ids of each; where they decode to something else, that is noted."""
+        out = []
+        for at in range(0, len(texts), 4096):
+            part = texts[at : at + 4096]
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+            self.odd.update((t, b) for t, b in zip(part, back) if t != b)
+            out += [",".join(map(str, x)) for x in ids]
+        return out
+
+    def chunk(self, text: str, pieces: list[str], held: dict[str, str]) -> tuple[int, str, str, str, str]:
+        ids = ",".join([held[p] for p in pieces])
+        decoded = "".join([self.odd.get(p, p) for p in pieces]) if self.odd else text
+        return (ids.count(",") + 1 if ids else 0, ids, decoded, pieces[0], pieces[-1])
 
     def learn(self, rows: list[list[str]]) -> None:
-        """Have every chunk of the rows in the cache, and every join checked."""
+        """Have every chunk of the rows in the cache."""
+        if len(self.odd) > MOST_PIECES:
+            self.forget()
         if len(self.pieces) > MOST_PIECES:
             self.older, self.pieces = self.pieces, {}
         if len(self.chunks) > MOST_CHUNKS:
@@ -121,22 +140,25 @@ class Coder:
         held.update((p, self.older[p]) for p in missing if p in self.older)
         missing = [p for p in missing if p not in held]
         held.update(zip(missing, self.coded(missing)))
-        for c, ps in split.items():
-            got = [held[p] for p in ps]
-            self.chunks[c] = (sum([x[0] for x in got]), ",".join([x[1] for x in got]), "".join([x[2] for x in got]))
+        self.chunks.update((c, self.chunk(c, ps, held)) for c, ps in split.items())
+
+    def ids_of(self, pieces: list[str]) -> list[str]:
+        """Ids of pieces, from the cache where they are still there."""
+        missing = list(dict.fromkeys(p for p in pieces if p not in self.pieces))
+        known = dict(zip(missing, self.coded(missing)))
+        return [self.pieces[p] if p in self.pieces else known[p] for p in pieces]
 
     def repair(self, rows: list[list[str]]) -> list[list[str]]:
-        """Merge chunks whose joins don't agree with encoding both sides together."""
-        side = {}
+        """Merge chunks whose joins don't agree with encoding the pieces on both sides together."""
+        held, side = self.chunks, {}
         for row in rows:
             for a, b in zip(row, row[1:]):
-                left, right = a.rpartition(" ")[2], b.partition(" ")[2].partition(" ")[0]
-                key = f"{left} {right}"
-                if key not in self.agreed:
-                    side[key] = (left, " " + right)
+                left, right = held[a][4], held[b][3]
+                if left + right not in self.agreed:
+                    side[left + right] = (left, right)
         whole = self.encode(list(side))
-        left, right = self.encode([a for a, _ in side.values()]), self.encode([b for _, b in side.values()])
-        bad = {k for k, w, a, b in zip(side, whole, left, right) if w != a + b}
+        left, right = self.ids_of([a for a, _ in side.values()]), self.ids_of([b for _, b in side.values()])
+        bad = {k for k, w, a, b in zip(side, whole, left, right) if w != f"{a},{b}"}
         self.agreed.update(k for k in side if k not in bad)
         if not bad:
             return rows
@@ -144,9 +166,11 @@ class Coder:
         for row in rows:
             merged = row[:1]
             for b in row[1:]:
-                if f"{merged[-1].rpartition(' ')[2]} {b.partition(' ')[2].partition(' ')[0]}" in bad:
-                    merged[-1] += b
-                    self.chunks.setdefault(merged[-1], self.coded([merged[-1]])[0])
+                if held[merged[-1]][4] + held[b][3] in bad:
+                    both = merged.pop() + b
+                    if both not in held:
+                        held[both] = self.chunk(both, [both], dict(zip([both], self.coded([both]))))
+                    merged.append(both)
                 else:
                     merged.append(b)
             out.append(merged)
@@ -168,8 +192,8 @@ def code(path: str, every: int, whole: bool):
     def run(batches):
         held = coder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 rows = list(chunks_of(part.column(1), every))
                 held.learn(rows)
                 rows = held.repair(rows)
