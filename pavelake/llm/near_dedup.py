@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, partitions_for, table
+from .common import cut, join_counted, partitions_for, table
 from .graph import components
 
 SHINGLE = 5
@@ -188,7 +188,7 @@ def near_groups(docs: DataFrame, threshold: int = 85, tables: int = TABLES, bloc
     """doc_id, uid, n_shingles, component_id, kept for every row."""
     source = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
     rows = cut(source.mapInArrow(sketch(tables), "doc_id long, uid long, n_shingles long, class long, keys array<long>"))
-    classes = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.min("uid").alias("uid"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    classes = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.min("uid").alias("uid"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("c"))
     keyed = classes.select("class", "keys").mapInArrow(pair_keys(tables), "key long, a long, b long")
     # chains through each bucket: its classes in order, each linked with the one before
     chained = F.coalesce("b", F.lag("a").over(Window.partitionBy("key").orderBy("a")))
@@ -208,9 +208,12 @@ def near_groups(docs: DataFrame, threshold: int = 85, tables: int = TABLES, bloc
     joined = components(links)
     roots = joined.join(classes.select(F.col("class").alias("node"), "least_id"), "node")
     named = roots.join(roots.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select(F.col("node").alias("class"), "component_id")
-    own = classes.join(named, "class", "left").select("class", F.coalesce("component_id", "least_id").alias("component_id"))
-    out = rows.join(own, "class", "left").withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "uid", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    own = cut(classes.join(named, "class", "left").select("class", "c", F.coalesce("component_id", "least_id").alias("component_id")))
+    narrow = rows.select("doc_id", "uid", "n_shingles", "class")
+    shared = join_counted(narrow.filter("class is not null"), own, ["class"], "c", F.col("uid"))
+    blank = narrow.filter("class is null").withColumn("component_id", F.col("doc_id"))
+    out = shared.select("doc_id", "uid", "n_shingles", "component_id").unionByName(blank.drop("class"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
