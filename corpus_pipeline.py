@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pavelake.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from pavelake.llm.common import ship_package, table
 
+#: Near copies share so many hundredths of their word shingles; 85 is the contract of op9_near_dedup alone.
+NEAR = 80
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go. Labels are learnt from this stage's own documents."""
@@ -26,9 +29,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies (similarity 0.8 or more) stays."""
     ship_package(spark)
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, NEAR)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

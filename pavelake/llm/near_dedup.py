@@ -2,8 +2,8 @@
 
 Two collections of `tables` keys each are made from three minhashes per key; a table of the index is
 a pair (one key of either collection). So tables**2 tables of six minhashes need 6*tables minhashes
-instead of 6*tables**2. At the threshold of 0.85 a pair fails to meet in any table with a chance of
-about 1.5e-4, at 0.9 of about 4e-6.
+instead of 6*tables**2. The number of tables follows from the threshold, so that a pair at it fails to
+meet in any table with a chance of at most 1.5e-4: 10 for 0.85 (4e-6 at 0.9), 14 for 0.8.
 
 Steps: equal shingle sets become one class; classes that meet in a table are joined by chains (a
 chain has one link fewer than the bucket has classes, so no pairs are listed); the components
@@ -31,8 +31,8 @@ from .common import cut, join_counted, partitions_for, table
 from .graph import components
 
 SHINGLE = 5
-TABLES = 10
 PER_KEY = 3
+MISS = 1.5e-4
 BLOCK_SHINGLES = 3_000_000
 
 
@@ -56,6 +56,16 @@ def seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     return base[:n] | np.uint64(1), base[n:]
 
 
+def tables_for(threshold: int) -> int:
+    """Keys of a collection, so that a pair at the threshold (in hundredths) is missed with a chance of MISS at most."""
+    if not 0 < threshold <= 100:
+        raise ValueError(f"threshold {threshold} is not in 1 to 100")
+    apart, tables = 1 - (threshold / 100) ** PER_KEY, 1
+    while 1 - (1 - apart**tables) ** 2 > MISS:
+        tables += 1
+    return tables
+
+
 def sketch(tables: int):
     """mapInArrow: one narrow row per document with its class and the keys of both collections."""
 
@@ -184,8 +194,9 @@ def confirm(threshold: int):
     return run
 
 
-def near_groups(docs: DataFrame, threshold: int = 85, tables: int = TABLES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def near_groups(docs: DataFrame, threshold: int = 85, tables: int | None = None, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, uid, n_shingles, component_id, kept for every row."""
+    tables = tables or tables_for(threshold)
     source = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
     rows = cut(source.mapInArrow(sketch(tables), "doc_id long, uid long, n_shingles long, class long, keys array<long>"))
     classes = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.min("uid").alias("uid"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("c"))
@@ -216,9 +227,9 @@ def near_groups(docs: DataFrame, threshold: int = 85, tables: int = TABLES, bloc
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: int = 85) -> DataFrame:
     """The documents that stay, with all their columns: one of each group of near copies."""
-    gone = near_groups(docs).filter("not kept").select(F.col("uid").alias("__uid")).distinct()
+    gone = near_groups(docs, threshold).filter("not kept").select(F.col("uid").alias("__uid")).distinct()
     return docs.withColumn("__uid", F.xxhash64("doc_id", "text")).join(gone, "__uid", "left_anti").select(*docs.columns)
 
 
