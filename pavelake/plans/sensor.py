@@ -261,7 +261,7 @@ def corr_time(spark, d):
 @query()
 def surrogate_events(spark, d):
     s = a.samples(spark, d)
-    noise = quality.surrogates(s, 5)
+    noise = quality.surrogates(s)
     real = detector.replay(s).select("pack_id", F.size("events").cast("bigint").alias("n_events"))
     return quality.informative(real, noise)
 
