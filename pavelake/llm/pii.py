@@ -4,13 +4,15 @@ One regular expression with a group for each type finds e-mail addresses, secret
 token=, IP addresses, IBANs, card numbers, national numbers, telephone numbers and names after an
 honorific. Mentions are reduced to a canonical value (case and separators aside), so mentions of one entity
 share a surrogate in the whole corpus. A surrogate is made from a keyed hash of the canonical value, character by
-character: digits give digits, vowels vowels, consonants consonants of the same script; what tells the type stays
+character: digits give digits, vowels vowels, consonants consonants of the same script, letters with marks such letters; what tells the type stays
 (top-level domain, country code, first card digit, a name's last letter, which carries its gender).
 Card numbers keep a valid check digit, octets stay octets, hex strings stay hex. It is then
 written in the mention's own format and case.
 
 Collision checks: no surrogate may equal another entity's surrogate or any entity found in the corpus;
-losers get a new surrogate in the next round, until none is left. So different entities stay different.
+losers get a new surrogate in the next round. What a small shape class has not told apart after ROUNDS rounds takes
+the free values of its class by rank, in an order that hangs on the key, and where a class is full, those of
+a shape with one more sign (a longer octet, a longer name). So different entities stay different.
 
 Texts without entities are never shuffled. Entities are distinct values: a hot entity sends one row per task.
 
@@ -21,13 +23,16 @@ empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import unicodedata
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
 
 KEY = "surrogate-key"
 ROUNDS = 16
+WIDEST = 32
 TYPES = ("email", "secret", "ip", "iban", "card", "national", "phone", "name")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _OCTET_REST = r"(?:(?<=2)5[0-5]|(?<=2)[0-4]\d|(?<=1)\d\d|(?<=[1-9])\d|)(?!\d)"
@@ -45,7 +50,23 @@ PATTERNS = (
 )
 PATTERN = "|".join(f"({p})" for p in PATTERNS)
 #: letters that stand for letters of their own kind
-LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxz", "аеиоуыэюя", "бвгджзклмнпрстфхцчш", "αειουηω", "βγδζθκλμνξπρστφχψ")
+LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзклмнпрстфхцчш", "αειουηω", "βγδζθκλμνξπρστφχψ")
+DIGITS = "0123456789"
+
+
+def _marked() -> list[str]:
+    """Lower-case letters beyond LETTERS whose case can be turned, by script; Latin vowels apart."""
+    found: dict[tuple, str] = {}
+    for c in map(chr, range(0xDF, 0x587)):
+        if unicodedata.category(c) == "Ll" and len(c.upper()) == 1 and c.upper().lower() == c != c.upper() and not any(c in x for x in LETTERS):
+            vowel = unicodedata.normalize("NFD", c)[0] in "aeiouæøœ"
+            script = unicodedata.name(c).split(" ")[0]
+            if script in ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN"):
+                found[script, vowel] = found.get((script, vowel), "") + c
+    return list(found.values())
+
+
+MARKED = _marked()
 _MARK, _OTHER = ("﷐", "﷑"), ("﷒", "﷓")
 
 
@@ -87,14 +108,22 @@ def _noise(seed: Column, i: Column, most: int) -> Column:
     return F.pmod(F.conv(F.substr(block, (i % 15) * 4 + 1, F.lit(4)), 16, 10).cast("int"), F.lit(most))
 
 
-def _letter(c: Column, seed: Column, i: Column) -> Column:
-    low = F.lower(c)
-    out = F.when(c.rlike("^[0-9]$"), _noise(seed, i, 10).cast("string"))
+def _alphabet(low: Column) -> Column:
+    """The signs that may stand for a sign in lower case; the sign itself if it stays."""
+    out = F.when(low.rlike("^[0-9]$"), DIGITS)
     for letters in LETTERS:
-        out = out.when(F.instr(F.lit(letters), low) > 0, F.substr(F.lit(letters), _noise(seed, i, len(letters)) + 1, F.lit(1)))
+        out = out.when(F.instr(F.lit(letters), low) > 0, letters)
+    out = out.when(F.octet_length(low) == 1, low)
+    for letters in MARKED:
+        out = out.when(F.instr(F.lit(letters), low) > 0, letters)
     return out.otherwise(low)
 
 
+def _letter(c: Column, seed: Column, i: Column) -> Column:
+    draw = lambda x: F.when(F.length(x) <= 1, x).otherwise(F.substr(x, _noise(seed, i, F.length(x)) + 1, F.lit(1)))
+    return F.transform(F.array(_alphabet(F.lower(c))), draw)[0]
+
+
 def _luhn(digits: Column) -> Column:
     """Check sum of a digit string; the last digit is not doubled."""
 
@@ -107,13 +136,18 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(pairs, F.lit(0), lambda acc, x: add(acc, x["d"], x["i"]))
 
 
+def _stays(kind: Column, canon: Column):
+    """Whether the sign at place i tells the type."""
+    tail = F.length(canon) - F.length(F.substring_index(canon, ".", -1)) - 1  # the top-level domain begins after it
+    return lambda i: ((kind == 1) & (i >= tail)) | ((kind == 4) & (i < 2)) | ((kind == 5) & (i == 0)) | ((kind == 7) & F.startswith(canon, F.lit("+")) & (i < 2))
+
+
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """A candidate of the same type and shape as the canonical value."""
     seed = F.concat_ws("|", F.lit(key), kind.cast("string"), canon, attempt.cast("string"))
     n = F.length(canon)
-    tail = n - F.length(F.substring_index(canon, ".", -1)) - 1  # the top-level domain begins after it
     chars = F.filter(F.split(canon, ""), lambda x: x != "")
-    stays = lambda i: ((kind == 1) & (i >= tail)) | ((kind == 4) & (i < 2)) | ((kind == 5) & (i == 0)) | ((kind == 7) & F.startswith(canon, F.lit("+")) & (i < 2))
+    stays = _stays(kind, canon)
     usual = F.array_join(F.transform(chars, lambda c, i: F.when(stays(i), c).when(c.rlike("^[A-Z]$"), F.upper(_letter(c, seed, i))).otherwise(_letter(c, seed, i))), "")
     hexes = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), _noise(seed, i, 10).cast("string")).when(c.rlike("[a-f]"), F.substr(F.lit("abcdef"), _noise(seed, i, 6) + 1, F.lit(1))).otherwise(F.substr(F.lit("ABCDEF"), _noise(seed, i, 6) + 1, F.lit(1)))), "")
     octet = lambda o, i: F.when(F.length(o) == 1, _noise(seed, i, 10)).when(F.length(o) == 2, 10 + _noise(seed, i, 90)).otherwise(100 + _noise(seed, i, 155)).cast("string")
@@ -127,19 +161,95 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     return F.when((kind == 2) & canon.rlike("^[0-9a-fA-F]+$"), hexes).when(kind == 3, address).when(kind == 5, card).when(kind == 8, name).otherwise(usual)
 
 
-def written(value: Column, made: Column) -> Column:
-    """The surrogate in the format and case of the mention."""
+def shape(kind: Column, canon: Column, more: Column) -> Column:
+    """Alphabets of all places, with `more` places added after the first sign; of an address the lengths of its octets."""
+    chars = F.filter(F.split(canon, ""), lambda x: x != "")
+    stays, hexes, n = _stays(kind, canon), (kind == 2) & canon.rlike("^[0-9a-fA-F]+$"), F.length(canon)
+    sums = (kind == 5) & (F.pmod(_luhn(canon), F.lit(10)) == 0)
+    ends = lambda i: (kind == 8) & F.substr(canon, i + 2, F.lit(1)).isin("", " ")
+
+    def places(c, i):
+        hexed = F.when(c.rlike("[0-9]"), DIGITS).when(c.rlike("[a-f]"), "abcdef").otherwise("ABCDEF")
+        usual = F.when(c.rlike("^[A-Z]$"), F.upper(_alphabet(F.lower(c)))).otherwise(_alphabet(F.lower(c)))
+        return F.when(stays(i) | ends(i), c).when(sums & (i == n - 1), "0").when(hexes, hexed).otherwise(usual)
+
+    first = F.when(kind == 4, 4).otherwise(F.length(F.regexp_extract(canon, r"^[^\p{L}\p{N}]*[\p{L}\p{N}]?", 0)))
+    vowels = F.when(canon.rlike(r"^\p{IsCyrillic}"), LETTERS[2]).when(canon.rlike(r"^\p{IsGreek}"), LETTERS[4]).otherwise(LETTERS[0])
+    added = F.array_repeat(F.when(kind == 8, vowels).otherwise(DIGITS), more)
+    usual = F.transform(chars, places)
+    usual = F.concat(F.slice(usual, F.lit(1), first), added, F.slice(usual, first + 1, F.greatest(n - first, F.lit(0))))
+    lengths = F.transform(F.split(canon, "\\."), F.length)
+    before = lambda i: 3 * i - F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda t, x: t + x)
+    octets = F.transform(lengths, lambda x, i: (x + F.least(3 - x, F.greatest(more - before(i), F.lit(0)))).cast("string"))
+    return F.struct(F.when(kind == 3, octets).otherwise(usual).alias("places"), sums.alias("sums"))
+
+
+def _sizes(kind: Column, places: Column) -> Column:
+    return F.transform(places, lambda a: F.when(kind != 3, F.length(a)).when(a == "1", 10).when(a == "2", 90).otherwise(155).cast("long"))
+
+
+def capacity(kind: Column, places: Column) -> Column:
+    """The number of values of a shape; above 10**12 a divisor of it."""
+    return F.aggregate(_sizes(kind, places), F.lit(1).cast("long"), lambda n, x: F.when(n > 10**12, n).otherwise(n * x))
+
+
+def numbered(kind: Column, shaped: Column, index: Column) -> Column:
+    """The value of a shape with this number."""
+    start = F.struct(index.cast("long").alias("rest"), F.array().cast("array<long>").alias("out"))
+    step = lambda acc, x: F.struct(((acc["rest"] - acc["rest"] % x) / x).cast("long").alias("rest"), F.concat(acc["out"], F.array(acc["rest"] % x)).alias("out"))
+    at = F.aggregate(_sizes(kind, shaped["places"]), start, step, lambda acc: acc["out"])
+    both = F.arrays_zip(shaped["places"].alias("a"), at.alias("d"))
+    octet = lambda x: (x["d"] + F.when(x["a"] == "1", 0).when(x["a"] == "2", 10).otherwise(100)).cast("string")
+    usual = F.array_join(F.transform(both, lambda x: F.substr(x["a"], x["d"].cast("int") + 1, F.lit(1))), "")
+    body = F.substr(usual, F.lit(1), F.length(usual) - 1)
+    fixed = F.concat(body, F.pmod(10 - F.pmod(_luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string"))
+    return F.when(kind == 3, F.array_join(F.transform(both, octet), ".")).when(shaped["sums"], fixed).otherwise(usual)
+
+
+def by_rank(left: DataFrame, entities: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """kind, canon, made of all entities: those left get the free values of their shape class by rank."""
+    most = 2 * entities.count()  # so many values of a class can be taken
+    left = left.select("kind", "canon", F.lit(0).alias("more"))
+    keyed = lambda *c: F.sha2(F.concat_ws("|", F.lit(key), *c), 256)
+    for _ in range(WIDEST):
+        kind = F.col("kind")
+        mine = left.withColumn("shape", shape(kind, F.col("canon"), F.col("more"))).withColumn("class", F.sha2(F.to_json("shape"), 256))
+        mine = cut(mine.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "class").orderBy(keyed("canon"), "canon"))))
+        classes = mine.groupBy("kind", "class").agg(F.first("shape").alias("shape"), F.count(F.lit(1)).alias("wanted")).withColumn("n", capacity(kind, F.col("shape.places")))
+        offset = F.conv(F.substr(keyed("class"), F.lit(1), F.lit(9)), 16, 10).cast("long")
+        tried = classes.withColumn("offset", offset).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", F.lit(most)) - 1)))
+        # the factor is a prime above all sizes of alphabets, so every number comes once
+        tried = tried.withColumn("made", numbered(kind, F.col("shape"), F.pmod(F.col("j") * 1_000_003 + F.col("offset"), F.col("n"))))
+        taken = entities.select("kind", F.col("canon").alias("made")).unionByName(done.select("kind", "made"))
+        free = tried.join(taken, ["kind", "made"], "left_anti").withColumn("rank", F.row_number().over(Window.partitionBy("kind", "class").orderBy("j")))
+        got = cut(mine.join(free.select("kind", "class", "rank", "made"), ["kind", "class", "rank"], "left"))
+        # values that two classes have in common go to one of them
+        one = got.filter("made is not null").groupBy("kind", "made").agg(F.min("canon").alias("canon"), F.lit(True).alias("first"))
+        got = got.join(one, ["kind", "made", "canon"], "left")
+        done = cut(done.unionByName(got.filter("first").select("kind", "canon", "made")))
+        left = cut(got.filter("first is null").select("kind", "canon", (F.col("more") + F.col("made").isNull().cast("int")).alias("more")))
+        if left.isEmpty():
+            return done
+    raise ValueError(f"more entities of a shape than surrogates: {left.first()}")
+
+
+def written(kind: Column, value: Column, made: Column) -> Column:
+    """The surrogate in the format and case of the mention; what it has more of follows the first sign."""
     signs = F.filter(F.split(F.regexp_replace(made, r"[^\p{L}\p{N}]", ""), ""), lambda x: x != "")
     chars = F.filter(F.split(value, ""), lambda x: x != "")
+    over = F.size(signs) - F.length(F.regexp_replace(value, r"[^\p{L}\p{N}]", ""))
+    anchor = F.when(kind == 4, 4).otherwise(1)
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
 
     def step(acc, c):
         new = F.coalesce(F.try_element_at(signs, acc["k"]), c)
         new = F.when((c == F.upper(c)) & (c != F.lower(c)), F.upper(new)).otherwise(new)
         sign = c.rlike(r"^[\p{L}\p{N}]$")
-        return F.struct(F.concat(acc["out"], F.when(sign, new).otherwise(c)).alias("out"), (acc["k"] + sign.cast("int")).alias("k"))
+        here = sign & (acc["k"] == anchor) & (over > 0)
+        extra = F.when(here, F.array_join(F.slice(signs, anchor + 1, F.greatest(over, F.lit(0))), "")).otherwise("")
+        return F.struct(F.concat(acc["out"], F.when(sign, new).otherwise(c), extra).alias("out"), (acc["k"] + sign.cast("int") + F.when(here, over).otherwise(0)).alias("k"))
 
-    return F.aggregate(chars, start, step, lambda acc: acc["out"])
+    return F.when(kind.isin(2, 3), made).otherwise(F.aggregate(chars, start, step, lambda acc: acc["out"]))
 
 
 def assign(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
@@ -161,9 +271,7 @@ def assign(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFra
         open_ = tried.filter("not good").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
         if open_.isEmpty():
             return done
-    # a class with fewer values than entities: what is left is told apart by its hash
-    rest = open_.select("kind", "canon", F.sha2(F.concat_ws("|", F.lit(key), F.col("kind"), F.col("canon")), 256).alias("made"))
-    return done.unionByName(rest)
+    return by_rank(open_, entities, done, key)
 
 
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -178,7 +286,7 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     def part(p):
         made = F.element_at(F.col("names"), F.concat_ws("|", p["kind"], canonical(p["kind"], p["value"])))
-        return F.when(p["kind"] == 0, p["value"]).otherwise(written(p["value"], made))
+        return F.when(p["kind"] == 0, p["value"]).otherwise(written(p["kind"], p["value"], made))
 
     changed = named.select("doc_id", F.array_join(F.transform("parts", part), "").alias("text"), F.floor(F.size("parts") / 2).cast("long").alias("n_entities"))
     plain = source.filter(F.col("text").isNull() | ~any_).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"))
