@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab as v
 from ..functions.scalar import haversine_m, plane_m, rnd, severity
+from .graph import components
 
 
 def cells(df: DataFrame, metres: float, max_latitude: float = 60.0) -> DataFrame:
@@ -36,27 +36,6 @@ def neighbours(points: DataFrame, metres: float) -> DataFrame:
     return left.join(right, ["cx", "cy"]).filter((F.col("a") < F.col("b")) & near).select("a", "b")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """id, root: the smallest id reachable, by alternating star steps; lineage is cut each round."""
-    sc = edges.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pavelake-checkpoint-"))
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w")).filter("u <> w").distinct().checkpoint()
-    seen = None
-    for _ in range(most_rounds):
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)"))).first())
-        if now == seen or not now[0]:
-            break
-        seen = now
-        both = e.union(e.select("w", "u")).toDF("u", "w")
-        low = both.groupBy("u").agg(F.least(F.min("w"), F.first("u")).alias("m"))
-        large = both.filter("w > u").join(low, "u").select(F.col("w").alias("u"), F.col("m").alias("w")).filter("u <> w").distinct()
-        least = large.groupBy("u").agg(F.min("w").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("w") == F.col("m"), F.col("u")).otherwise(F.col("w")).alias("u"), F.col("m").alias("w"))
-        e = small.filter("u <> w").distinct().checkpoint()
-    return e.select(F.col("u").alias("id"), F.col("w").alias("root")).union(e.select("w", "w").distinct())
-
-
 def cluster(points: DataFrame, metres: float = v.CLUSTER_M) -> DataFrame:
     """points with cluster (its smallest id) and confirmations; points without position have neither.
 
@@ -64,7 +43,7 @@ def cluster(points: DataFrame, metres: float = v.CLUSTER_M) -> DataFrame:
     """
     spots = points.filter("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.min("id").alias("id"))
     found = components(neighbours(spots, metres))
-    named = spots.join(found, "id", "left").select("lat", "lon", F.coalesce("root", "id").alias("cluster"))
+    named = spots.join(found.withColumnRenamed("node", "id"), "id", "left").select("lat", "lon", F.coalesce("root", "id").alias("cluster"))
     placed = points.join(named, ["lat", "lon"], "left")
     sizes = placed.filter("cluster is not null").groupBy("cluster").agg(F.count(F.lit(1)).alias("confirmations"))
     return placed.join(sizes, "cluster", "left")
