@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import cut  # noqa: F401
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,18 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster names.
-
-    spark.checkpoint.dir is shared by all executors, so a lost executor loses nothing. A folder
-    of our own is set only where neither the setting nor a folder exists (tests, one machine).
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pavelake-checkpoint-"))
-    return df.checkpoint(eager=True)
+def packed(df: DataFrame) -> DataFrame:
+    """All columns in one struct d, so that no name of theirs meets one of ours; select("d.*") gives them back."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("d"))
 
 
 def ship_package(spark: SparkSession) -> None:

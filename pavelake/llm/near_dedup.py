@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .common import cut, join_counted, partitions_for, table
-from .graph import components
+from ..operators.graph import components
 
 SHINGLE = 5
 PER_KEY = 3

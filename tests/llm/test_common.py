@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pavelake.llm import tokens
 from pavelake.llm.common import join_counted
-from pavelake.llm.graph import components
+from pavelake.operators.graph import components
 from pavelake.llm.substring_dedup import leftmost_minima
 
 TEXTS = ["a b  c", None, "", "x", "  lead trail \n", "é ü\tq", "Abc abc", "\x0b\x0c", "z" * 3000]
