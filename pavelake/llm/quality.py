@@ -6,11 +6,13 @@ indicator is scaled by the log-count ratio of its bucket between the classes; a
 fitted on these by dual coordinate descent, and its margin is turned into a probability on labelled
 rows kept aside from the fit.
 
-Fitted on at most `MOST_ROWS` labelled rows (a documented bound of the sample); every text is scored
-in whole. Labels, language, source and id are never inputs of a score.
+Fitted on at most `most_rows` labelled rows of at most `most_bytes` bytes of text (documented bounds of the sample, which alone
+passes through the driver); every text is scored in whole. Labels, language, source and id are never inputs of a score.
 
-Defined results: null and blank texts have no n-grams and score what an unknown document scores; without
-labels of both classes every score is the share of label 1 (0.5 without any label).
+Defined results: null and blank texts have no n-grams and score what an unknown document scores; repeated rows get equal
+scores and are learnt from once; a very long text counts as any other, and is passed over in the fit where it exceeds what is left
+of the bound; of several labels of an id the largest counts; without labels of both classes every score is the share of
+label 1 (0.5 without any label); an empty table gives an empty result; columns other than doc_id and text are left alone.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from .learn import held_out, labelled, logistic, sigmoid
 
 BUCKETS = 1 << 18
 MOST_ROWS = 8000
+MOST_BYTES = 16 << 20
 THRESHOLD = 0.7
 COST = 1.0
 EPOCHS = 12
@@ -118,9 +121,9 @@ def scaled(x: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     return v / norm if norm else v
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", most_rows: int = MOST_ROWS) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> dict:
     """The model: bucket weights and the calibration of margins."""
-    rows = labelled(docs, labels, column, most_rows).mapInArrow(features, "label int, key long, buckets binary").collect()
+    rows = labelled(docs, labels, column, most_rows, most_bytes)[0].mapInArrow(features, "label int, key long, buckets binary").collect()
     rows.sort(key=lambda r: (r["key"], bytes(r["buckets"])))
     y = np.array([r["label"] for r in rows], dtype=np.int64)
     share = float(y.mean()) if len(y) else 0.5

@@ -6,13 +6,16 @@ is trained on are derived from them: a feature counts as toxic if it occurs in t
 often than chance explains, and a token of a toxic document is labelled toxic if it has such a feature; all
 tokens of other documents are clean. The two-state field is fitted by gradient ascent on the likelihood of
 those sequences. Forward-backward marginals of all tokens of a text give its toxic spans
-and, through their sum and their maximum, its score. A sequence is a run of 64 tokens of a document.
+and, through their sum and their maximum, its score. A sequence is a whole document.
 
-Fitted on at most `MOST_ROWS` labelled rows (a documented bound of the sample); every text is scored
-in whole. Labels, language, source and id are never inputs of a score.
+Fitted on at most `most_rows` labelled rows of at most `most_bytes` bytes of text, label 1 first up to half of either (documented
+bounds of the sample, which alone passes through the driver); every text is scored in whole. Labels, language, source and id
+are never inputs of a score.
 
-Defined results: null and blank texts have no tokens and score like a text whose tokens are all clean; without
-labels of both classes every score is the share of label 1 (0.05 without any label).
+Defined results: null and blank texts have no tokens and score like a text whose tokens are all clean; repeated rows get equal
+scores and are learnt from once; a very long text is one chain, and passed over in the fit where it exceeds what is left of the
+bound; of several labels of an id the largest counts; without labels of both classes every score is the share of label 1 (0.05 without
+any label); an empty table gives an empty result; columns other than doc_id and text are left alone.
 """
 
 from __future__ import annotations
@@ -28,10 +31,12 @@ from .learn import held_out, labelled, logistic, sigmoid
 
 BUCKETS = 1 << 20
 MOST_ROWS = 4000
+MOST_BYTES = 4 << 20
+FOLDS = 4
 THRESHOLD = 0.3
 RUN = 64
 BEGINNINGS = (4, 5, 6, 7)
-EPOCHS = 40
+EPOCHS = 30
 SPAN_AT = 0.5
 EVIDENCE = 1.0
 KINDS = 1 + len(BEGINNINGS)
@@ -68,73 +73,133 @@ def features(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["label", "key", "buckets"])
 
 
-def in_runs(ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First token and token count of each run, row after row."""
-    n = np.diff(ptr)
-    per = -(-n // RUN)
-    k = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    first = np.repeat(ptr[:-1], per) + k * RUN
-    return first, np.minimum(RUN, np.repeat(ptr[1:], per) - first)
+class Chains:
+    """Tokens of documents side by side: document r has tokens ptr[r]..ptr[r+1], one chain from first to last.
 
+    Chains are laid out in runs of RUN tokens only to be worked on side by side. What passes over a run is a 2x2 matrix; these
+    matrices carry the forward and backward scores across the runs of a document, so marginals are those of the whole chain.
+    """
 
-def marginals(e: np.ndarray, there: np.ndarray, t: np.ndarray):
-    """Posterior of state 1 for log-odds e (runs x RUN), by forward and backward odds; t: 2x2 log scores.
-
-    Also gives the forward odds and the backward odds with the emission folded in.
+    def __init__(self, ptr: np.ndarray):
+        n = np.diff(ptr)
+        per = -(-n // RUN)
+        self.k = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+        first = np.repeat(ptr[:-1], per) + self.k * RUN
+        size = np.minimum(RUN, np.repeat(ptr[1:], per) - first)
+        # a column for each run, so that what is worked on together lies together
+        self.there = np.arange(RUN)[:, None] < size[None, :]
+        self.at = np.where(self.there, first[None, :] + np.arange(RUN)[:, None], 0)
+        self.size = size
+        self.place = np.arange(RUN)[None, :] < size[:, None]
+        by_k = np.argsort(self.k, kind="stable")
+        ends = np.cumsum(np.bincount(self.k)) if len(self.k) else np.zeros(0, int)
+        self.steps = [by_k[a:z] for a, z in zip(ends[:-1], ends[1:])]  # the second runs of documents, the third, ...
+        self.follows = np.ones(int(ptr[-1] - ptr[0]), bool)
+        self.follows[ptr[:-1][n > 0] - ptr[0]] = False
+
+    def marginals(self, e: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For log-odds e of the tokens: posterior of state 1, forward odds, and backward odds with the token's own."""
+        m = np.exp(moves)
+        x = np.exp(np.clip(e, -30, 30))[self.at]
+        starts, long = self.k == 0, np.flatnonzero(self.k[1:] > 0) if len(self.k) else []
+        before, after = np.ones(x.shape[1]), np.ones(x.shape[1])  # odds that enter a run from either side
+        if len(long):
+            p = self._passed(x, m, starts)
+            for r in self.steps:
+                o = before[r - 1]
+                before[r] = (p[0, 1, r - 1] + o * p[1, 1, r - 1]) / (p[0, 0, r - 1] + o * p[1, 0, r - 1])
+            for r in reversed(self.steps):
+                o = after[r]
+                after[r - 1] = (p[1, 0, r] + o * p[1, 1, r]) / (p[0, 0, r] + o * p[0, 1, r])
+        ahead, behind = np.empty_like(x), np.empty_like(x)
+        ahead[0] = x[0] * np.where(starts, 1.0, (m[0, 1] + before * m[1, 1]) / (m[0, 0] + before * m[1, 0]))
+        for i in range(1, RUN):
+            o = ahead[i - 1]
+            ahead[i] = x[i] * (m[0, 1] + o * m[1, 1]) / (m[0, 0] + o * m[1, 0])
+        behind[-1] = after
+        for i in range(RUN - 2, -1, -1):
+            o = x[i + 1] * behind[i + 1]
+            behind[i] = np.where(self.size == i + 1, after, (m[1, 0] + o * m[1, 1]) / (m[0, 0] + o * m[0, 1]))
+        ahead, behind, x = (v.T[self.place] for v in (ahead, behind, x))
+        o = ahead * behind
+        return o / (1.0 + o), ahead, x * behind
+
+    def _passed(self, x: np.ndarray, m: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """What passes over each run: scores of its last token's states from either state before the run."""
+        p = np.empty((2, 2, x.shape[1]))
+        for i in (0, 1):
+            p[i, 0] = np.where(starts, i == 0, m[i, 0])
+            p[i, 1] = np.where(starts, i == 1, m[i, 1]) * x[0]
+        for i in range(1, RUN):
+            on = self.there[i]
+            new = np.empty_like(p)
+            new[:, 0] = p[:, 0] * m[0, 0] + p[:, 1] * m[1, 0]
+            new[:, 1] = (p[:, 0] * m[0, 1] + p[:, 1] * m[1, 1]) * x[i]
+            new /= new.sum(axis=(0, 1))
+            p = np.where(on, new, p)
+        return p
+
+
+class Sample:
+    """The documents of a fit: their tokens as numbers of kinds (equal tokens have equal features), and how many different
+    words of each document have a feature."""
+
+    def __init__(self, docs: list[np.ndarray]):
+        self.size = np.array([len(d) for d in docs])
+        f = np.concatenate(docs)
+        mark = tokens.mix(f.astype(np.uint64) * tokens.mix(np.arange(1, KINDS + 1, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+        _, one, self.kind = np.unique(mark, return_index=True, return_inverse=True)
+        self.kinds = f[one]
+        doc = np.repeat(np.arange(len(docs)), self.size)
+        words = np.unique(doc * len(one) + self.kind)
+        pairs, self.many = np.unique(np.repeat(words // len(one), KINDS) * BUCKETS + self.kinds[words % len(one)].ravel(), return_counts=True)
+        self.doc, self.feature = pairs // BUCKETS, pairs % BUCKETS
+        self.ptr = np.concatenate([[0], np.cumsum(self.size)])
+
+    def tokens_of(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Kinds of the tokens of some documents, and where these begin."""
+        return np.concatenate([self.kind[self.ptr[i] : self.ptr[i + 1]] for i in use]), np.concatenate([[0], np.cumsum(self.size[use])])
+
+
+def toxic_features(sample: Sample, use: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Buckets that mark toxic ones among these documents beyond chance, strong ones first, then those that explain the rest.
+
+    What is counted are the different words of a document that have a feature, so a stem that several words of a few
+    toxic documents share is found where each of these words is too rare by itself.
     """
-    m = np.exp(t)
-    x = np.exp(np.clip(e, -30, 30))
-    n = e.shape[1]
-    ahead, behind = np.empty_like(x), np.ones_like(x)
-    ahead[:, 0] = x[:, 0]
-    for i in range(1, n):
-        o = ahead[:, i - 1]
-        ahead[:, i] = x[:, i] * (m[0, 1] + o * m[1, 1]) / (m[0, 0] + o * m[1, 0])
-    for i in range(n - 2, -1, -1):
-        o = x[:, i + 1] * behind[:, i + 1]
-        behind[:, i] = np.where(there[:, i + 1], (m[1, 0] + o * m[1, 1]) / (m[0, 0] + o * m[0, 1]), 1.0)
-    o = ahead * behind
-    return o / (1.0 + o), ahead, x * behind
-
-
-def toxic_features(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Buckets that mark toxic documents beyond chance, strong ones first, then those that explain the rest."""
-    sets = [np.unique(d) for d in docs]
+    kind = np.full(len(y), -1)
+    kind[use] = y[use]
     marked = np.zeros(BUCKETS, bool)
-    left = y == 1
-    clean = np.zeros(BUCKETS, np.int32)
-    for s in (s for s, label in zip(sets, y) if not label):
-        clean[s] += 1
+    left = kind == 1
+
+    def counted(which):
+        on = which[sample.doc]
+        at, many = sample.feature[on], sample.many[on]
+        return np.bincount(at, minlength=BUCKETS), np.bincount(at, weights=many, minlength=BUCKETS)
+
+    clean_df, clean = counted(kind == 0)
     for _ in range(2):
-        df = np.zeros(BUCKETS, np.int32)
-        for s in (s for s, use in zip(sets, left) if use):
-            df[s] += 1
         if not left.any():
             break
-        base = left.sum() / (left.sum() + (y == 0).sum())
-        total = np.maximum(df + clean, 1)
-        rate = np.clip(df / total, 1e-9, 1 - 1e-9)
-        # evidence of a binomial tail, in nats, against the number of features looked at
+        df, toxic = counted(left)
+        base = np.clip(toxic.sum() / (toxic.sum() + clean.sum()), 1e-9, 1 - 1e-9)
+        total = np.maximum(toxic + clean, 1)
+        rate = np.clip(toxic / total, 1e-9, 1 - 1e-9)
+        # evidence of a binomial tail, in nats. Of features looked at, so many are taken that few of those taken are chance
         nats = total * (rate * np.log(rate / base) + (1 - rate) * np.log((1 - rate) / (1 - base)))
-        new = (rate >= 0.4) & (df >= 3) & (nats > np.log(max((total >= 3).sum(), 2)) + EVIDENCE)
-        marked |= new
-        left &= np.array([not marked[s].any() for s in sets])
+        ok = (df >= 0.4 * (df + clean_df)) & (df >= 3) & (rate >= 0.4)
+        ranked = np.sort(nats[ok])[::-1]
+        enough = ranked > np.log(max((total >= 3).sum(), 2) / (np.arange(len(ranked)) + 1.0)) + EVIDENCE
+        marked |= ok & (nats >= (ranked[np.flatnonzero(enough)[-1]] if enough.any() else np.inf))
+        left = left & (np.bincount(sample.doc, weights=marked[sample.feature], minlength=len(y)) == 0)
     return marked
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", most_rows: int = MOST_ROWS) -> dict:
-    rows = labelled(docs, labels, column, most_rows).mapInArrow(features, "label int, key long, buckets binary").collect()
-    rows.sort(key=lambda r: (r["key"], bytes(r["buckets"])))
-    found = [np.frombuffer(bytes(r["buckets"]), dtype=np.int32).reshape(-1, KINDS) for r in rows]
-    y = np.array([r["label"] for r in rows], dtype=np.int64)
-    del rows
-    share = float(y.mean()) if len(y) else 0.05
-    model = {"weights": np.zeros(BUCKETS, np.float32), "bias": -8.0, "moves": np.zeros((2, 2)), "line": np.array([np.log(max(share, 1e-3) / max(1 - share, 1e-3)), 0.0, 0.0, 0.0])}
-    if len(set(y.tolist())) < 2:
-        return model
-    # near copies would make a document's every word look typical: keep one of those that share a minimum hash
+def without_near_copies(found: list[np.ndarray]) -> np.ndarray:
+    """Which documents to learn from: near copies would make a document's every word look typical, so one of those
+    that share a minimum hash of three words is kept."""
     seen: set = set()
-    single = np.ones(len(y), bool)
+    single = np.ones(len(found), bool)
     for i, d in enumerate(found):
         if len(d):
             h = tokens.mix(d[:, 0].astype(np.uint64) + np.uint64(1))
@@ -142,59 +207,77 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", most_rows: in
             keys = {(0, int(h.min())), (1, int(tokens.mix(h).min()))}
             single[i] = not keys & seen
             seen |= keys
-    use = np.flatnonzero(single)
-    turn = np.zeros(len(y), np.int64)
-    for label in (0, 1):
-        own = use[y[use] == label]
-        turn[own] = np.arange(len(own))
-    few = min((y[use] == 0).sum(), (y[use] == 1).sum()) < 200  # too few rows to set any aside
-    train = use if few else use[turn[use] % 4 != 3]
-    marked = toxic_features([found[i] for i in train], y[train])
-    parts, truth = [], []
-    for i in train:
-        d = found[i]
-        if not len(d):
-            continue
-        t = marked[d].any(axis=1) & (y[i] == 1)
-        for at in range(0, len(d), RUN):
-            hit = marked[d[at : at + RUN]].any()
-            # clean runs are thinned: they only have to show what clean words look like
-            if hit or (at // RUN + i) % 8 == 0:
-                parts.append(d[at : at + RUN])
-                truth.append(t[at : at + RUN])
-    size = np.array([len(p) for p in parts])
-    there = np.arange(RUN)[None, :] < size[:, None]
-    f = np.zeros((len(parts), RUN, KINDS), np.int32)
-    z = np.zeros((len(parts), RUN))
-    f[there], z[there] = np.concatenate(parts), np.concatenate(truth)
-    flat, inverse = np.unique(f, return_inverse=True)
-    inverse = inverse.reshape(f.shape)
+    return np.flatnonzero(single)
+
+
+def train(sample: Sample, use: np.ndarray, y: np.ndarray) -> dict:
+    """The field fitted to these documents: weights of features, bias and moves, by gradient ascent."""
+    marked = toxic_features(sample, use, y)
+    kind, ptr = sample.tokens_of(use)
+    chains = Chains(ptr)
+    there, kind = np.unique(kind, return_inverse=True)
+    kinds = sample.kinds[there]
+    flat, inverse = np.unique(kinds, return_inverse=True)
+    inverse = inverse.reshape(kinds.shape)
+    z = (marked[kinds].any(axis=1)[kind] & (np.repeat(y[use], np.diff(ptr)) == 1)).astype(float)
     w, bias, moves = np.zeros(len(flat)), -4.0, np.zeros((2, 2))
     power, power_b, power_m = np.full(len(flat), 1e-2), 1e-2, np.full((2, 2), 1e-2)
-    pairs_there = there[:, 1:]
-    a0, b0 = z[:, :-1].astype(int), z[:, 1:].astype(int)
+    follows = np.flatnonzero(chains.follows)
+    seen = np.bincount(2 * z[follows - 1].astype(int) + z[follows].astype(int), minlength=4).reshape(2, 2)
     for _ in range(EPOCHS):
-        e = w[inverse].sum(axis=2) + bias
-        p, ahead, behind = marginals(e, there, moves)
-        miss = np.where(there, z - p, 0.0)
-        g = np.bincount(inverse.ravel(), weights=np.repeat(miss.ravel(), KINDS), minlength=len(flat)) - 1e-2 * w
-        m = np.exp(moves)
-        joint = np.stack([np.stack([np.full_like(ahead[:, 1:], m[0, 0]), m[0, 1] * behind[:, 1:]], -1), np.stack([m[1, 0] * ahead[:, :-1], m[1, 1] * ahead[:, :-1] * behind[:, 1:]], -1)], -2)
-        joint /= joint.sum(axis=(-1, -2), keepdims=True)
-        gm = np.array([[((a0 == i) & (b0 == j) & pairs_there).sum() - joint[..., i, j][pairs_there].sum() for j in (0, 1)] for i in (0, 1)]) - 1e-2 * moves
+        p, ahead, behind = chains.marginals((w[inverse].sum(axis=1) + bias)[kind], moves)
+        miss = np.bincount(kind, weights=z - p, minlength=len(kinds))
+        g = np.bincount(inverse.ravel(), weights=np.repeat(miss, KINDS), minlength=len(flat)) - 1e-2 * w
+        m, a, b = np.exp(moves), ahead[follows - 1], behind[follows]
+        joint = np.stack([np.full_like(a, m[0, 0]), m[0, 1] * b, m[1, 0] * a, m[1, 1] * a * b])
+        gm = seen - (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2) - 1e-2 * moves
         power += g * g
         w += 0.7 * g / np.sqrt(power)
         power_b += miss.sum() ** 2
         bias += 0.3 * miss.sum() / np.sqrt(power_b)
         power_m += gm * gm
-        moves += 0.2 * gm / np.sqrt(power_m)
-    model["weights"][flat] = w
-    model["bias"], model["moves"] = float(bias), moves
-    on = use if few else use[turn[use] % 4 == 3]
-    ptr = np.concatenate([[0], np.cumsum([len(found[i]) for i in on])]).astype(np.int64)
-    p = token_marginals(np.concatenate([found[i] for i in on]), ptr, model)
-    model["line"] = logistic(doc_signals(p, np.repeat(np.arange(len(on)), np.diff(ptr)), len(on)), y[on], ridge=0.05)
-    return model
+        moves = moves + 0.2 * gm / np.sqrt(power_m)
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[flat] = w
+    return {"weights": weights, "bias": float(bias), "moves": moves}
+
+
+def signals_of(sample: Sample, use: np.ndarray, model: dict) -> np.ndarray:
+    kind, ptr = sample.tokens_of(use)
+    p = token_marginals(sample.kinds[kind], ptr, model)
+    return doc_signals(p, np.repeat(np.arange(len(use)), np.diff(ptr)), len(use))
+
+
+def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES, folds: int = FOLDS) -> dict:
+    """The field and the line that turns its signals into scores.
+
+    The line is fitted to signals of documents by fields that have not seen them (`folds` parts, at every size), with
+    rows weighed by how many labelled rows they stand for.
+    """
+    chosen, stands_for = labelled(docs, labels, column, most_rows, most_bytes, rare_first=True)
+    rows = chosen.mapInArrow(features, "label int, key long, buckets binary").collect()
+    rows.sort(key=lambda r: (r["key"], bytes(r["buckets"])))
+    found = [np.frombuffer(bytes(r["buckets"]), dtype=np.int32).reshape(-1, KINDS) for r in rows]
+    y = np.array([r["label"] for r in rows], dtype=np.int64)
+    del rows
+    counts = {k: n * stands_for[k] for k, n in enumerate(np.bincount(y, minlength=2)) if n}
+    share = counts.get(1, 0.0) / sum(counts.values()) if counts else 0.05
+    none = {"weights": np.zeros(BUCKETS, np.float32), "bias": -8.0, "moves": np.zeros((2, 2)), "line": np.array([np.log(max(share, 1e-3) / max(1 - share, 1e-3)), 0.0, 0.0, 0.0])}
+    use = without_near_copies(found)
+    found, y = [found[i] for i in use], y[use]
+    if len(set(y.tolist())) < 2 or not sum(map(len, found)):
+        return none
+    part = np.zeros(len(y), np.int64)
+    for label in (0, 1):
+        own = np.flatnonzero(y == label)
+        part[own] = np.arange(len(own)) % folds
+    sample, signals = Sample(found), np.zeros((len(y), 4))
+    for k in range(folds):
+        seen, new = np.flatnonzero(part != k), np.flatnonzero(part == k)
+        if len(new):
+            signals[new] = signals_of(sample, new, train(sample, seen, y) if sample.size[seen].sum() else none)
+    line = logistic(signals, y, ridge=0.05, weight=np.array([stands_for[int(t)] for t in y]))
+    return train(sample, np.arange(len(y)), y) | {"line": line}
 
 
 def doc_signals(p: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -209,13 +292,9 @@ def doc_signals(p: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
 
 
 def token_marginals(f: np.ndarray, ptr: np.ndarray, model: dict) -> np.ndarray:
-    first, size = in_runs(ptr)
-    if not len(first):
+    if not len(f):
         return np.zeros(0)
-    there = np.arange(RUN)[None, :] < size[:, None]
-    e = np.full(there.shape, -30.0)
-    e[there] = model["weights"][f].sum(axis=1) + model["bias"]
-    return marginals(e, there, model["moves"])[0][there]
+    return Chains(ptr).marginals(model["weights"][f].sum(axis=1) + model["bias"], model["moves"])[0]
 
 
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:

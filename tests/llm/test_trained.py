@@ -54,13 +54,55 @@ def test_clean_documents_keep_columns(docs, spark, folder):
 
 def test_marginals_are_exact():
     rng = np.random.default_rng(1)
-    e, t = rng.normal(size=(1, 6)), rng.normal(size=(2, 2))
-    p = toxicity.marginals(e, np.ones((1, 6), bool), t)[0][0]
-    weights = {y: np.exp(sum(e[0, i] * y[i] for i in range(6)) + sum(t[y[i], y[i + 1]] for i in range(5))) for y in itertools.product((0, 1), repeat=6)}
+    e, t = rng.normal(size=6), rng.normal(size=(2, 2))
+    p = toxicity.Chains(np.array([0, 6])).marginals(e, t)[0]
+    weights = {y: np.exp(sum(e[i] * y[i] for i in range(6)) + sum(t[y[i], y[i + 1]] for i in range(5))) for y in itertools.product((0, 1), repeat=6)}
     total = sum(weights.values())
     assert np.allclose(p, [sum(w for y, w in weights.items() if y[i]) / total for i in range(6)])
 
 
+def plain_marginals(e, t):
+    """Forward and backward, one token after the other."""
+    m, n = np.exp(t), len(e)
+    a, b = np.ones((n, 2)), np.ones((n, 2))
+    a[0] = 1, np.exp(e[0])
+    for i in range(1, n):
+        a[i] = a[i - 1] @ m * [1, np.exp(e[i])]
+        a[i] /= a[i].sum()
+    for i in range(n - 2, -1, -1):
+        b[i] = m @ (b[i + 1] * [1, np.exp(e[i + 1])])
+        b[i] /= b[i].sum()
+    p = a * b
+    return p[:, 1] / p.sum(axis=1)
+
+
+def test_chains_are_whole_documents():
+    """Neighbours on either side of a run's end see one another; empty, short and long documents side by side."""
+    rng = np.random.default_rng(2)
+    sizes = [0, 1, 64, 65, 300, 0, 129, 63, 5000, 0]
+    ptr = np.concatenate([[0], np.cumsum(sizes)])
+    e, t = rng.normal(size=ptr[-1]) * 3, np.array([[0.5, -1.0], [-2.0, 3.0]])
+    p, ahead, behind = toxicity.Chains(ptr).marginals(e, t)
+    for x, y in zip(ptr, ptr[1:]):
+        if y > x:
+            assert np.allclose(p[x:y], plain_marginals(e[x:y], t))
+    flat, t = np.zeros(300), np.array([[0.5, -1.0], [-1.0, 0.5]])
+    plain = toxicity.Chains(np.array([0, 300])).marginals(flat, t)[0]
+    flat[63] = 20
+    assert abs(toxicity.Chains(np.array([0, 300])).marginals(flat, t)[0][64] - plain[64]) > 1e-2
+
+
+def test_the_sample_is_bounded(spark):
+    from pavelake.llm.learn import labelled
+
+    d = spark.createDataFrame([(i % 50, "w " * (5000 if i % 50 == 3 else 20)) for i in range(500)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(50)] + [(20, 0)], "doc_id long, toxic int")
+    rows, stands = labelled(d, labels, "toxic", 20, 600, rare_first=True)
+    got = rows.collect()
+    assert sum(len(r.text) for r in got) <= 600 and len(got) == len({r.key for r in got}) and sum(r.label for r in got) >= 3
+    assert all(len(r.text) == 40 for r in got) and stands[0] > stands[1] >= 1
+
+
 def test_dual_coordinate_descent_parts_classes():
     docs = [np.array([i % 2, 2 + i % 3]) for i in range(60)]
     values = [np.ones(2) / np.sqrt(2)] * 60
