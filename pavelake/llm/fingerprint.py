@@ -5,12 +5,14 @@ phrases is hashed and kept as a minimum hash in each of `bins` parts of the hash
 bins that agree, among those that are not empty in both, estimates the Jaccard likeness of two phrase sets.
 
 Documents are dealt by ranges of doc_id and sorted within, so that a document meets the next one
-in its own task; each task's last document is paired with the next task's first in a small join. The
+in its own task; each range's last document is paired with the next range's first in a small join. Which range a document
+is in is computed from its own id and text by bounds drawn once from a sample, so both ways see the same ranges. The
 edited text shares the parse of what it shares with the text.
 
 Defined results: null counts as empty; two empty texts have likeness 1, an empty one and another 0;
-null doc_ids come first in order, rows of equal doc_id are ordered by text; a single document is
-its own next one; an empty table gives an empty result.
+null doc_ids come first in order, rows of equal doc_id are ordered by a hash of the text, then the text, so a hot id or no id
+is dealt to many ranges; repeated rows follow one another; a very long text is parsed in whole; a single document is
+its own next one; an empty table gives an empty result; columns other than doc_id and text are left alone.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import partitions_for, table
+from .common import cut, partitions_for, table
 
 BINS = 128
+SAMPLE = 10_000
 _EMPTY = np.iinfo(np.uint64).max
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -100,15 +103,23 @@ def row_of(doc_id, text: str, own, other, edited: str, following) -> tuple:
 
 
 def neighbours(bins: int):
-    """mapInArrow over sorted documents: every document but the last with its next one."""
+    """mapInArrow over sorted documents with their part: all of a part but the last with the next one, fingerprinted.
+
+    A task may hold several parts, one after the other; no part is in two tasks.
+    """
 
     def run(batches):
-        before = None  # doc_id and text that wait for the next document
+        part = before = None  # the document that waits for the next one
         waiting = None  # a row that waits for the next document's sketch
         out = []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for at, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 text = text or ""
+                if at != part and before is not None:
+                    if waiting is not None:
+                        out.append(row_of(*waiting, fingerprints(before[1], "", bins)[0]))
+                    before = waiting = None
+                part = at
                 if before is not None:
                     made = fingerprints(before[1], text, bins)
                     if waiting is not None:
@@ -126,21 +137,6 @@ def neighbours(bins: int):
     return run
 
 
-def edges(batches):
-    """mapInArrow: each task's first and last document."""
-    first = last = None
-    for batch in batches:
-        if batch.num_rows:
-            if first is None:
-                first = batch.slice(0, 1).to_pylist()[0]
-            last = batch.slice(batch.num_rows - 1, 1).to_pylist()[0]
-    if first is not None:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([first["part"]], pa.int64()), pa.array([first["text"]], pa.string()), pa.array([last["doc_id"]], pa.int64()), pa.array([last["text"]], pa.string())],
-            ["part", "first_text", "last_id", "last_text"],
-        )
-
-
 def pairs(bins: int):
     """mapInArrow over doc_id, text, next text."""
 
@@ -156,16 +152,43 @@ def pairs(bins: int):
     return run
 
 
+def part_of(at: Column, bounds: list[tuple[int, int]]) -> Column:
+    """How many of the sorted bounds lie at or below a place; looked up in rows of bounds, then in one row."""
+    if not bounds:
+        return F.lit(0)
+    width = max(1, int(len(bounds) ** 0.5))
+    values = ",".join(f"named_struct('id',{i}L,'mark',{m}L)" for i, m in bounds)
+    rows = F.expr(f"transform(sequence(0, {(len(bounds) - 1) // width}), r -> slice(array({values}), r * {width} + 1, {width}))")
+    row = F.greatest(F.size(F.filter(rows, lambda r: r[0] <= at)) - 1, F.lit(0))
+    return row * width + F.size(F.filter(rows[row], lambda b: b <= at))
+
+
 def with_next(docs: DataFrame, bins: int = BINS) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
-    ranged = docs.select("doc_id", "text").repartitionByRange(partitions_for(docs), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    # the range's own number, not the task's: within a union tasks are numbered on
-    ends = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(edges, "part long, first_text string, last_id long, last_text string")
-    # one row per task of the range exchange
-    order = Window.orderBy("part")
-    follow = ends.select("part").withColumn("following", F.coalesce(F.lead("part").over(order), F.min("part").over(Window.partitionBy())))
-    last = ends.join(follow, "part").select("last_id", "last_text", "following").join(ends.select(F.col("part").alias("following"), "first_text"), "following")
-    return ranged.mapInArrow(neighbours(bins), SCHEMA).unionByName(last.select("last_id", "last_text", "first_text").mapInArrow(pairs(bins), SCHEMA))
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    at = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"), mark.alias("mark"))
+    # the order's bounds, once: a sample of at most SAMPLE places. They only say where parts end, not what results are
+    parts = partitions_for(docs)
+    places = sorted(tuple(r["at"]) for r in docs.select(at.alias("at")).orderBy(F.rand(7)).limit(SAMPLE).collect())
+    bounds = sorted({places[len(places) * k // parts] for k in range(1, parts)}) if places else []
+    order = ["part", F.col("doc_id").asc_nulls_first(), "mark", F.col("text").asc_nulls_first()]
+    placed = docs.select("doc_id", "text", at.alias("at")).select(part_of(F.col("at"), bounds).alias("part"), "doc_id", "text", F.col("at.mark").alias("mark"))
+    sorted_ = placed.repartitionByRange(parts, "part").sortWithinPartitions(*order)
+    within = sorted_.select("part", "doc_id", "text").mapInArrow(neighbours(bins), SCHEMA)
+    # the first and the last document of each part: found on ids and marks, then their texts looked up; no text is dealt out
+    narrow = F.struct(F.col("doc_id").isNotNull().alias("there"), F.coalesce("doc_id", F.lit(0)).alias("id"), "mark")
+    keyed = placed.withColumn("key", narrow)
+    keys = keyed.groupBy("part").agg(F.min("key").alias("a"), F.max("key").alias("z"))
+    keys = keys.select("part", F.explode(F.array(F.struct(F.lit(True).alias("begins"), F.col("a").alias("key")), F.struct(F.lit(False).alias("begins"), F.col("z").alias("key")))).alias("e")).select("part", "e.*")
+    full = F.struct("key.*", F.col("text").isNotNull().alias("has"), F.coalesce("text", F.lit("")).alias("text"))
+    found = keyed.join(F.broadcast(keys), ["part", "key"]).withColumn("full", full).groupBy("part").agg(F.min(F.when(F.col("begins"), F.col("full"))).alias("first"), F.max(F.when(~F.col("begins"), F.col("full"))).alias("last"))
+    ends = cut(found)
+    # one row for each part
+    by = Window.orderBy("part")
+    follow = ends.select("part").withColumn("following", F.coalesce(F.lead("part").over(by), F.min("part").over(Window.partitionBy())))
+    last = ends.select("part", "last").join(follow, "part").join(ends.select(F.col("part").alias("following"), "first"), "following")
+    last = last.select(F.when(F.col("last.there"), F.col("last.id")).alias("doc_id"), F.col("last.text").alias("text"), F.col("first.text").alias("next"))
+    return within.unionByName(last.mapInArrow(pairs(bins), SCHEMA))
 
 
 def op4_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

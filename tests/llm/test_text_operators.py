@@ -105,8 +105,31 @@ def test_phrases():
     assert set(known) == lz("abababababcabc")
 
 
-def test_fingerprints(docs, rows):
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+def in_order(spark, rows):
+    """No id first, then by id, by hash of the text, by text."""
+    hashed = spark.createDataFrame([(i, r[1] or "") for i, r in enumerate(rows)], "i int, t string").selectExpr("i", "xxhash64(t) h").collect()
+    mark = {r.i: r.h for r in hashed}
+    return [r for i, r in sorted(enumerate(rows), key=lambda x: (x[1][0] is not None, x[1][0] or 0, mark[x[0]], x[1][1] is not None, x[1][1] or ""))]
+
+
+@pytest.mark.parametrize("reuse,parts", [("true", "4"), ("false", "4"), ("true", "40")])
+def test_fingerprints(spark, docs, rows, reuse, parts):
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        check_fingerprints(spark, docs, rows)
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_no_ids_and_repeated_rows(spark):
+    rows = [(None, f"text {i} of none") for i in range(200)] + [(5, f"text {i % 3} of five") for i in range(100)] + [(None, None)] * 3
+    check_fingerprints(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows)
+
+
+def check_fingerprints(spark, docs, rows):
+    ordered = in_order(spark, rows)
     got = fingerprint.with_next(docs).collect()
     assert len(got) == len(rows)
     expected = []
@@ -125,7 +148,7 @@ def test_fingerprints(docs, rows):
     texts = {r[0]: r[1] or "" for r in rows if r[0] is not None}
     prints = {}
     for g in got:
-        if g.doc_id is not None:
+        if g.doc_id is not None and len({r[1] for r in rows if r[0] == g.doc_id}) == 1:
             assert prints.setdefault(texts[g.doc_id], g.fingerprint) == g.fingerprint
     assert all(0 <= g.near_edited <= 1 and 0 <= g.near_next <= 1 for g in got)
 
