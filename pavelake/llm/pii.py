@@ -1,52 +1,55 @@
 """Surrogates for personal data, in DataFrame operations only.
 
 One regular expression with a group for each type finds e-mail addresses, secrets after password= or
-token=, IP addresses, IBANs, card numbers, national numbers, telephone numbers and names after an
-honorific. Mentions are reduced to a canonical value (case and separators aside), so mentions of one entity
+token=, IP addresses of both versions, IBANs, card numbers, national and passport numbers, telephone numbers and names after an
+honorific or "name is". Mentions are reduced to a canonical value (case and separators aside), so mentions of one entity
 share a surrogate in the whole corpus. A surrogate is made from a keyed hash of the canonical value, character by
 character: digits give digits, vowels vowels, consonants consonants of the same script, letters with marks such letters; what tells the type stays
 (top-level domain, country code, first card digit, a name's last letter, which carries its gender).
 Card numbers keep a valid check digit, octets stay octets, hex strings stay hex. It is then
-written in the mention's own format and case.
+written in the mention's own format and case. The key is the caller's; without it surrogates can't be foretold.
 
 Collision checks: no surrogate may equal another entity's surrogate or any entity found in the corpus;
 losers get a new surrogate in the next round. What a small shape class has not told apart after ROUNDS rounds takes
 the free values of its class by rank, in an order that hangs on the key, and where a class is full, those of
 a shape with one more sign (a longer octet, a longer name). So different entities stay different.
 
-Texts without entities are never shuffled. Entities are distinct values: a hot entity sends one row per task.
+Every text is searched once and kept in parts in a checkpoint; only texts with entities are shuffled. Entities are distinct values,
+each with the number of its mentions, by which the join back to the texts splits hot ones.
 
-Defined results: null text stays null; texts without entities stay as they are; rows equal in doc_id and text get
-equal results; texts that hold all four noncharacters U+FDD0 to U+FDD3 are left alone; an empty table gives an
-empty result.
+Defined results: null text stays null; empty texts and those without entities stay as they are; very long texts are searched
+in whole; rows equal in doc_id and text get equal results; texts that hold all four noncharacters U+FDD0 to U+FDD3 are left alone; columns other
+than doc_id and text are left alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import secrets
 import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, join_counted, table
 
-KEY = "surrogate-key"
 ROUNDS = 16
 WIDEST = 32
-TYPES = ("email", "secret", "ip", "iban", "card", "national", "phone", "name")
+TYPES = ("email", "secret", "ip", "iban", "card", "national", "phone", "name", "ip6")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _OCTET_REST = r"(?:(?<=2)5[0-5]|(?<=2)[0-4]\d|(?<=1)\d\d|(?<=[1-9])\d|)(?!\d)"
-_TITLES = r"Mr|Mrs|Ms|Miss|Herr|Frau|Mme|Monsieur|Madame|Mademoiselle|Sra|Señor|Señora|Доктор|Господин|Госпожа|Κύριος|Κυρία"
+_TITLES = r"Mr|Mrs|Ms|Miss|Dr|Doctor|Prof|Professor|Herr|Frau|Mme|Monsieur|Madame|Mademoiselle|Sr|Sra|Señor|Señora|Доктор|Господин|Госпожа|Κύριος|Κυρία|name is|Name ist|m'appelle|me llamo|Me llamo|зовут"
+_HEX = "[0-9A-Fa-f]{1,4}"
 # each begins with a cheap test of one or two characters, so that most places of a text fail at once
 PATTERNS = (
     r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,6}\.\p{L}{2,24}",
-    r"(?<=[=:\"'] {0,3})[A-Za-z0-9+/_-](?<=(?i:password|passwd|pwd|token|secret|api_key|apikey|api-key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?.)[A-Za-z0-9+/_-]{7,}",
+    r"(?<=[=:\"'] {0,3})[A-Za-z0-9+/_-](?<=(?i:password|passwd|pwd|token|secret|api_key|apikey|api-key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?.)[A-Za-z0-9+/_-]{7,}(?:\.[A-Za-z0-9+/_-]{4,}){0,4}",
     rf"\d(?<![\d.].){_OCTET_REST}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     r"[A-Z](?<![\p{L}\p{N}].)[A-Z]\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     r"\d(?<![\p{L}\p{N}].)(?:\d{12,18}|\d{3}(?: \d{4}){3}|\d{3}(?:-\d{4}){3})(?![\p{L}\p{N}])",
-    r"\d(?<![\p{L}\p{N}-].)\d{2}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
-    r"[+(\d](?<![\p{L}\p{N}+].)(?:(?<=\+)\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|(?<=\d)\d{0,2}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|(?<=\()\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|(?<=\+)\d{1,3}(?:[ .-]\d{2,4}){2,5}|(?<=\d)\d{2}[.-]\d{3}[.-]\d{4})(?!\d)",
+    r"[A-Z\d](?<![\p{L}\p{N}-].)(?:(?<=\d)\d{2}-\d{2}-\d{4}|(?<=(?i:ssn|social security number)[:#]? {0,2}.)\d{8}|(?<=(?i:passport|passport no\.?|passport number)[:#]? {1,2}.)[A-Z0-9]{5,8})(?![\p{L}\p{N}-])",
+    r"[+(\d](?<![\p{L}\p{N}+].)(?:(?<=\+)\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|(?<=\d)\d{0,2}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|(?<=\()\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|(?<=\+)\d{1,3}(?:[ .-]\d{2,4}){2,5}|(?<=\+)(?=(?:\d[ .-]?){8,15}(?!\d))\d{1,3}(?:[ .-]?\d{1,8}){1,5}|(?<=\d)\d{2}(?:[.-]\d{3}[.-]| \d{3} )\d{4})(?!\d)",
     rf"\p{{Lu}}(?<= .)(?<=(?<!\p{{L}})(?:{_TITLES})\.? .)\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}",
+    rf"[0-9A-Fa-f](?<![\p{{L}}\p{{N}}:.].)(?:[0-9A-Fa-f]{{0,3}}(?::{_HEX}){{7}}|(?:(?<=\d)[0-9A-Fa-f]{{3}}|[0-9A-Fa-f]{{0,2}}\d[0-9A-Fa-f]{{0,2}}(?<=[0-9A-Fa-f]{{4}}))(?::{_HEX}){{0,6}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![\p{{L}}\p{{N}}:])",
 )
 PATTERN = "|".join(f"({p})" for p in PATTERNS)
 #: letters that stand for letters of their own kind
@@ -96,7 +99,7 @@ def canonical(kind: Column, value: Column) -> Column:
     bare = F.regexp_replace(value, r"[^\p{L}\p{N}+]", "")
     return (
         F.when(kind == 2, value)
-        .when(kind.isin(1, 3), F.lower(value))
+        .when(kind.isin(1, 3, 9), F.lower(value))
         .when(kind == 8, F.lower(F.regexp_replace(value, r"[^\p{L}]+", " ")))
         .otherwise(bare)
     )
@@ -142,6 +145,10 @@ def _stays(kind: Column, canon: Column):
     return lambda i: ((kind == 1) & (i >= tail)) | ((kind == 4) & (i < 2)) | ((kind == 5) & (i == 0)) | ((kind == 7) & F.startswith(canon, F.lit("+")) & (i < 2))
 
 
+def _in_hex(kind: Column, canon: Column) -> Column:
+    return (kind == 9) | ((kind == 2) & canon.rlike("^[0-9a-fA-F]+$"))
+
+
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """A candidate of the same type and shape as the canonical value."""
     seed = F.concat_ws("|", F.lit(key), kind.cast("string"), canon, attempt.cast("string"))
@@ -149,7 +156,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     chars = F.filter(F.split(canon, ""), lambda x: x != "")
     stays = _stays(kind, canon)
     usual = F.array_join(F.transform(chars, lambda c, i: F.when(stays(i), c).when(c.rlike("^[A-Z]$"), F.upper(_letter(c, seed, i))).otherwise(_letter(c, seed, i))), "")
-    hexes = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), _noise(seed, i, 10).cast("string")).when(c.rlike("[a-f]"), F.substr(F.lit("abcdef"), _noise(seed, i, 6) + 1, F.lit(1))).otherwise(F.substr(F.lit("ABCDEF"), _noise(seed, i, 6) + 1, F.lit(1)))), "")
+    hexes = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), _noise(seed, i, 10).cast("string")).when(c.rlike("[a-f]"), F.substr(F.lit("abcdef"), _noise(seed, i, 6) + 1, F.lit(1))).when(c.rlike("[A-F]"), F.substr(F.lit("ABCDEF"), _noise(seed, i, 6) + 1, F.lit(1))).otherwise(c)), "")
     octet = lambda o, i: F.when(F.length(o) == 1, _noise(seed, i, 10)).when(F.length(o) == 2, 10 + _noise(seed, i, 90)).otherwise(100 + _noise(seed, i, 155)).cast("string")
     address = F.array_join(F.transform(F.split(canon, "\\."), octet), ".")
     # each word of a name has a surrogate of its own, so a family name keeps it beside any given name
@@ -158,18 +165,18 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     body = F.substr(usual, F.lit(1), n - 1)
     fixed = F.concat(body, F.pmod(10 - F.pmod(_luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string"))
     card = F.when(F.pmod(_luhn(canon), F.lit(10)) == 0, fixed).otherwise(usual)
-    return F.when((kind == 2) & canon.rlike("^[0-9a-fA-F]+$"), hexes).when(kind == 3, address).when(kind == 5, card).when(kind == 8, name).otherwise(usual)
+    return F.when(_in_hex(kind, canon), hexes).when(kind == 3, address).when(kind == 5, card).when(kind == 8, name).otherwise(usual)
 
 
 def shape(kind: Column, canon: Column, more: Column) -> Column:
     """Alphabets of all places, with `more` places added after the first sign; of an address the lengths of its octets."""
     chars = F.filter(F.split(canon, ""), lambda x: x != "")
-    stays, hexes, n = _stays(kind, canon), (kind == 2) & canon.rlike("^[0-9a-fA-F]+$"), F.length(canon)
+    stays, hexes, n = _stays(kind, canon), _in_hex(kind, canon), F.length(canon)
     sums = (kind == 5) & (F.pmod(_luhn(canon), F.lit(10)) == 0)
     ends = lambda i: (kind == 8) & F.substr(canon, i + 2, F.lit(1)).isin("", " ")
 
     def places(c, i):
-        hexed = F.when(c.rlike("[0-9]"), DIGITS).when(c.rlike("[a-f]"), "abcdef").otherwise("ABCDEF")
+        hexed = F.when(c.rlike("[0-9]"), DIGITS).when(c.rlike("[a-f]"), "abcdef").when(c.rlike("[A-F]"), "ABCDEF").otherwise(c)
         usual = F.when(c.rlike("^[A-Z]$"), F.upper(_alphabet(F.lower(c)))).otherwise(_alphabet(F.lower(c)))
         return F.when(stays(i) | ends(i), c).when(sums & (i == n - 1), "0").when(hexes, hexed).otherwise(usual)
 
@@ -249,10 +256,10 @@ def written(kind: Column, value: Column, made: Column) -> Column:
         extra = F.when(here, F.array_join(F.slice(signs, anchor + 1, F.greatest(over, F.lit(0))), "")).otherwise("")
         return F.struct(F.concat(acc["out"], F.when(sign, new).otherwise(c), extra).alias("out"), (acc["k"] + sign.cast("int") + F.when(here, over).otherwise(0)).alias("k"))
 
-    return F.when(kind.isin(2, 3), made).otherwise(F.aggregate(chars, start, step, lambda acc: acc["out"]))
+    return F.when(kind.isin(2, 3), made).when(kind == 9, F.when(value == F.upper(value), F.upper(made)).otherwise(made)).otherwise(F.aggregate(chars, start, step, lambda acc: acc["out"]))
 
 
-def assign(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
+def assign(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
     """kind, canon, made: surrogates of distinct entities, all different, none of them an entity."""
     entities = cut(entities)
     done = None
@@ -274,24 +281,36 @@ def assign(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFra
     return by_rank(open_, entities, done, key)
 
 
-def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """doc_id, text, n_entities: the texts with surrogates."""
-    source = docs.select("doc_id", "text")
-    any_ = F.col("text").rlike(PATTERN)  # ends at the first entity, so most texts are read once and no more
-    has = source.filter(any_).withColumn("parts", found(F.col("text"))).withColumn("uid", F.xxhash64("doc_id", "text"))
-    mentions = has.select("uid", F.explode(F.array_distinct(F.transform(F.filter("parts", lambda p: p["kind"] > 0), lambda p: F.struct(p["kind"].alias("kind"), canonical(p["kind"], p["value"]).alias("canon"))))).alias("m")).select("uid", "m.kind", "m.canon")
-    made = assign(mentions.select("kind", "canon").distinct(), key)
-    own = mentions.join(made, ["kind", "canon"]).groupBy("uid").agg(F.collect_set(F.struct(F.concat_ws("|", "kind", "canon").alias("k"), F.col("made").alias("v"))).alias("pairs"))
-    named = has.join(own.select("uid", F.map_from_entries("pairs").alias("names")), "uid", "left")
+def replace(docs: DataFrame, key: str) -> DataFrame:
+    """doc_id, text, n_entities: the texts with surrogates made with this key.
+
+    Texts are parted once, and kept with their parts; mentions, names and texts without entities are all read from there.
+    """
+    uid = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("b"))
+    parsed = cut(docs.select("doc_id", F.when(F.col("text").isNotNull(), found(F.col("text"))).alias("parts"), uid.alias("uid")))
+    has = parsed.filter(F.size("parts") > 1)
+    entity = lambda p: F.struct(p["kind"].alias("kind"), canonical(p["kind"], p["value"]).alias("canon"))
+    mentions = has.select("uid", F.explode(F.array_distinct(F.transform(F.filter("parts", lambda p: p["kind"] > 0), entity))).alias("m")).select("uid", "m.kind", "m.canon")
+    counted = cut(mentions.groupBy("kind", "canon").agg(F.count(F.lit(1)).alias("c")))
+    made = cut(assign(counted.select("kind", "canon"), key).join(counted, ["kind", "canon"]))
+    # an entity that a third of all texts hold is split over many tasks
+    named = join_counted(mentions, made, ["kind", "canon"], "c", F.col("uid.a"))
+    own = named.groupBy("uid").agg(F.collect_set(F.struct(F.concat_ws("|", "kind", "canon").alias("k"), F.col("made").alias("v"))).alias("pairs"))
+    changed = has.join(own.select("uid", F.map_from_entries("pairs").alias("names")), "uid", "left")
 
     def part(p):
         made = F.element_at(F.col("names"), F.concat_ws("|", p["kind"], canonical(p["kind"], p["value"])))
         return F.when(p["kind"] == 0, p["value"]).otherwise(written(p["kind"], p["value"], made))
 
-    changed = named.select("doc_id", F.array_join(F.transform("parts", part), "").alias("text"), F.floor(F.size("parts") / 2).cast("long").alias("n_entities"))
-    plain = source.filter(F.col("text").isNull() | ~any_).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"))
+    changed = changed.select("doc_id", F.array_join(F.transform("parts", part), "").alias("text"), F.floor(F.size("parts") / 2).cast("long").alias("n_entities"))
+    plain = parsed.filter(F.coalesce(F.size("parts"), F.lit(-1)) <= 1).select("doc_id", F.col("parts")[0]["value"].alias("text"), F.lit(0).cast("long").alias("n_entities"))
     return changed.unionByName(plain)
 
 
+def run_key(spark: SparkSession) -> str:
+    """The key that the session names in spark.pavelake.surrogateKey; a new one for each run where it names none."""
+    return spark.conf.get("spark.pavelake.surrogateKey", None) or secrets.token_hex(16)
+
+
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace(table(spark, sf_dir, "documents"))
+    return replace(table(spark, sf_dir, "documents"), run_key(spark))

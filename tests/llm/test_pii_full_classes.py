@@ -11,11 +11,11 @@ from pavelake.llm import pii
 @pytest.fixture(autouse=True)
 def few_rounds(monkeypatch):
     """Two rounds of hashes, so that the rank decides after few jobs."""
-    monkeypatch.setattr(pii.assign, "__defaults__", (pii.KEY, 2))
+    monkeypatch.setattr(pii.assign, "__defaults__", (2,))
 
 
 def replaced(spark, texts):
-    got = pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
     return [r.text for r in sorted(got, key=lambda r: r.doc_id)]
 
 

@@ -200,7 +200,7 @@ PERSONAL = [
 @pytest.fixture(scope="module")
 def replaced(spark):
     d = spark.createDataFrame([(i, t, 1, "n") for i, t in PERSONAL], "doc_id long, text string, kind int, names string")
-    return [(r.doc_id, r.text, r.n_entities) for r in pii.replace(d).collect()]
+    return [(r.doc_id, r.text, r.n_entities) for r in pii.replace(d, "k").collect()]
 
 
 def test_surrogates(replaced):
@@ -227,9 +227,9 @@ def test_clean_texts_stay(replaced):
 
 def test_surrogates_stay_distinct(spark):
     d = spark.createDataFrame([(i, f"ip {i % 10}.{i // 10 % 10}.{i // 100}.1") for i in range(1000)], "doc_id long, text string")
-    got = [r.text for r in pii.replace(d).collect()]
+    got = [r.text for r in pii.replace(d, "k").collect()]
     assert len(set(got)) == 1000
 
 
 def test_no_documents(empty):
-    assert pii.replace(empty).count() == 0
+    assert pii.replace(empty, "k").count() == 0
