@@ -32,6 +32,12 @@ def ship_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+def row_mark(prefix: str = "") -> Column:
+    """128 bits of doc_id and text, by which a row is found again."""
+    i, t = F.col(f"{prefix}doc_id"), F.col(f"{prefix}text")
+    return F.struct(F.xxhash64(i, t).alias("a"), F.xxhash64(F.lit(1), t, i).alias("b"))
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only. lower() does just that where every byte is ASCII, and is faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -8,15 +8,14 @@ meet in any table with a chance of at most 1.5e-4: 10 for 0.85 (4e-6 at 0.9), 14
 Steps: equal shingle sets become one class; classes that meet in a table are joined by chains (a
 chain has one link fewer than the bucket has classes, so no pairs are listed); the components
 of those chains are candidate clusters; inside a cluster, links are confirmed on the full shingle
-sets by a breadth-first search that asks each class once for its unvisited neighbours. A cluster whose
-sets exceed `block_shingles` is split: every pair of its blocks is searched in a task of
-its own, and a second pass of components joins what the tasks found. So no task holds
-an unbounded cluster, and nothing is capped.
+sets by a breadth-first search that asks each class once for its unvisited neighbours. A cluster above `block` (shingles, and
+ROW_WEIGHT for each class) is first compared with a few pivots, and only what does not hang together through these is searched, in
+blocks; a second pass of components joins what the tasks found. So no task holds an unbounded cluster, and nothing is capped.
 
 Defined results: null or blank texts have an empty set, link with nothing and are their own
-component; rows with equal doc_id share a component if their texts link; a null doc_id takes part and its
-component is the smallest doc_id that is not null, or null; an empty table gives an empty result.
-Shingles and classes are compared as 64-bit hashes.
+component; rows with equal doc_id share a component if their texts link; repeated rows share theirs; a null doc_id takes part and its
+component is the smallest doc_id that is not null, or null; a very long text is shingled in whole; an empty table gives an empty result; columns
+other than doc_id and text are left alone. Shingles are compared as 64-bit hashes, sets and rows as 128 bits.
 """
 
 from __future__ import annotations
@@ -27,13 +26,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, join_counted, partitions_for, table
+from .common import cut, join_counted, packed, partitions_for, row_mark, table
 from ..operators.graph import components
 
 SHINGLE = 5
 PER_KEY = 3
 MISS = 1.5e-4
-BLOCK_SHINGLES = 3_000_000
+BLOCK = 30_000
+ROW_WEIGHT = 100
+PIVOTS = 8
+_OTHER = np.uint64(0xA5A5A5A55A5A5A5A)
 
 
 def shingle_sets(texts, k: int = SHINGLE):
@@ -79,7 +81,8 @@ def sketch(tables: int):
                     classes.append(None)
                     keys.append(None)
                     continue
-                classes.append(int(tokens.signed(tokens.mix(np.add.reduce(tokens.mix(x), keepdims=True) + np.uint64(len(x))))[0]))
+                sums = np.array([np.add.reduce(tokens.mix(x)) + np.uint64(len(x)), np.add.reduce(tokens.mix(x ^ _OTHER))])
+                classes.append(dict(zip("ab", tokens.signed(tokens.mix(sums)).tolist())))
                 low = np.full(len(mul), np.iinfo(np.uint64).max, dtype=np.uint64)
                 for at in range(0, len(x), 4096):
                     part = x[at : at + 4096]
@@ -92,8 +95,8 @@ def sketch(tables: int):
             filled = [k for k in keys if k is not None]
             flat = np.concatenate(filled) if filled else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))],
-                ["doc_id", "uid", "n_shingles", "class", "keys"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))],
+                ["doc_id", "uid", "n_shingles", "equal", "keys"],
             )
 
     return run
@@ -129,17 +132,21 @@ def pair_keys(tables: int):
 
 
 def full_sets(batches):
-    """mapInArrow: task columns and class unchanged, text replaced by the bytes of its shingle set."""
+    """mapInArrow: columns unchanged but for the last, text, replaced by the bytes of its shingle set."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            sets = [x.tobytes() for x in shingle_sets(part.column(2))]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], ["cluster", "class", "grams"])
+            sets = [x.tobytes() for x in shingle_sets(part.column(part.num_columns - 1))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sets, pa.binary())], [*part.schema.names[:-1], "grams"])
 
 
-def search(ids: list[int], sets: list[np.ndarray], threshold: int):
-    """Spanning links of the graph: 100*intersection >= threshold*union."""
+def search(ids: list[int], sets: list[np.ndarray], threshold: int, settled: np.ndarray | None = None):
+    """Spanning links of the graph: 100*intersection >= threshold*union.
+
+    Those of `settled` are known to be of one component: links among them are not looked for.
+    """
     n = len(ids)
+    settled = np.zeros(n, bool) if settled is None else settled
     size = np.array([len(x) for x in sets])
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
     doc = np.repeat(np.arange(n), size)
@@ -147,12 +154,12 @@ def search(ids: list[int], sets: list[np.ndarray], threshold: int):
     count = np.bincount(token)
     begin = np.concatenate([[0], np.cumsum(count)])
     at = np.concatenate([[0], np.cumsum(size)])
-    new = np.ones(n, bool)
-    for root in range(n):
+    new = ~settled
+    for root in np.flatnonzero(~settled).tolist():
         if not new[root]:
             continue
         new[root] = False
-        queue = [root]
+        queue, met = [root], False
         while queue:
             x = queue.pop()
             mine = token[at[x] : at[x + 1]]
@@ -163,7 +170,11 @@ def search(ids: list[int], sets: list[np.ndarray], threshold: int):
                 c = count[t]
                 idx = np.arange(c.sum()) + np.repeat(begin[t] - np.concatenate([[0], np.cumsum(c)[:-1]]), c)
                 shared += np.bincount(posting[idx], minlength=n)
-            near = np.flatnonzero(new & (shared * (100 + threshold) >= threshold * (size[x] + size)))
+            close = shared * (100 + threshold) >= threshold * (size[x] + size)
+            if not met and (known := np.flatnonzero(settled & close)).size:
+                met = True
+                yield ids[known[0]], ids[root]
+            near = np.flatnonzero(new & close)
             new[near] = False
             for y in near.tolist():
                 yield ids[y], ids[root]
@@ -171,70 +182,146 @@ def search(ids: list[int], sets: list[np.ndarray], threshold: int):
 
 
 def confirm(threshold: int):
-    """mapInArrow over rows sorted by task: the spanning links that each task finds."""
+    """mapInArrow over rows sorted by task and class: the spanning links that each task finds."""
 
     def run(batches):
-        task, ids, sets = None, [], []
+        task, ids, sets, settled = None, [], [], []
 
         def done():
-            links = list(search(ids, sets, threshold)) if len(ids) > 1 else []
+            links = list(search(ids, sets, threshold, np.array(settled))) if len(ids) > 1 else []
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for t, i, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for t, i, known, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 if t != task:
                     yield from done()
-                    task, ids, sets = t, [], []
+                    task, ids, sets, settled = t, [], [], []
                 if not ids or ids[-1] != i:
                     ids.append(i)
                     sets.append(np.frombuffer(g.as_buffer(), dtype=np.uint64))
+                    settled.append(known)
         yield from done()
 
     return run
 
 
-def near_groups(docs: DataFrame, threshold: int = 85, tables: int | None = None, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def compare(threshold: int):
+    """mapInArrow over rows sorted by cluster and part, pivots first: which pivots each class is linked with, as bits and by name."""
+
+    def run(batches):
+        group, pivots = None, []
+        for batch in batches:
+            out = []
+            columns = (batch.column(i).to_pylist() for i in range(4))
+            for cluster, part, pivot, name, grams in zip(*columns, batch.column(4)):
+                if (cluster, part) != group:
+                    group, pivots = (cluster, part), []
+                x = np.frombuffer(grams.as_buffer(), dtype=np.uint64)
+                if pivot:
+                    pivots.append((name, x))
+                    continue
+                shared = [len(np.intersect1d(x, y, assume_unique=True)) for _, y in pivots]
+                near = [k for k, (n, (_, y)) in enumerate(zip(shared, pivots)) if n * (100 + threshold) >= threshold * (len(x) + len(y))]
+                out.append((cluster, name, sum(1 << k for k in near), [pivots[k][0] for k in near]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())))], ["cluster", "class", "mask", "near"])
+
+    return run
+
+
+def main_star(batches):
+    """mapInArrow over cluster, masks with their counts (2**PIVOTS at most): the bits of the pivots of its largest component."""
+    for batch in batches:
+        bits = []
+        for masks in batch.column(1).to_pylist():
+            groups: list[int] = []
+            for x in (m["mask"] for m in masks if m["mask"]):
+                apart = [g for g in groups if not g & x]
+                for g in groups:
+                    x |= g if g & x else 0
+                groups = [*apart, x]
+            size = lambda g: sum(m["count"] for m in masks if m["mask"] & g)
+            bits.append(max(groups, key=lambda g: (size(g), g), default=0))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int32()), batch.column(2)], ["cluster", "main", "c"])
+
+
+def links_of(sets: DataFrame, threshold: int, block: int, parts: int) -> DataFrame:
+    """a, b: confirmed links that span each cluster's components. sets: cluster, total, class, weight, grams.
+
+    Clusters up to `block` are searched in a task each. In a larger one all classes are first compared with PIVOTS of them; those
+    found to hang together are settled, and what is left open is compared with blocks of all the cluster's classes. Classes of a
+    large group of near copies are nearly all settled, so rows are copied in proportion to the few that are not.
+    """
+    own = F.xxhash64("class")
+    small = sets.filter(F.col("total") <= block).select(F.xxhash64("cluster").alias("task"), "class", F.lit(False).alias("settled"), "grams")
+    large = sets.filter(F.col("total") > block)
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy(own, "class"))
+    chosen = large.select("cluster", "class").withColumn("place", place).filter(F.col("place") <= PIVOTS).select("class")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    blocked = large.withColumn("blocks", F.ceil(F.col("total") / block).cast("int"))
+    block_of = F.pmod(own, F.col("blocks")).cast("int")
+    pivots = blocked.join(chosen, "class").select("cluster", F.explode(upto("blocks")).alias("block"), F.lit(True).alias("pivot"), "class", "grams")
+    both = pivots.unionByName(blocked.select("cluster", block_of.alias("block"), F.lit(False).alias("pivot"), "class", "grams"))
+    beside = both.repartition(parts, "cluster", "block").sortWithinPartitions("cluster", "block", F.desc("pivot"), "class").select("cluster", "block", "pivot", "class", "grams")
+    masks = cut(beside.mapInArrow(compare(threshold), "cluster long, class long, mask int, near array<long>"))
+    to_pivots = masks.select(F.col("class").alias("a"), F.explode("near").alias("b")).filter("a <> b")
+    counts = masks.groupBy("cluster", "mask").count().groupBy("cluster").agg(F.collect_list(F.struct("mask", "count")).alias("masks"), F.sum("count").alias("c"))
+    stars = cut(counts.mapInArrow(main_star, "cluster long, main int, c long"))
+    known = join_counted(masks.drop("near"), stars, ["cluster"], "c", own).select("class", F.expr("(mask & main) > 0").alias("settled"))
+    state = blocked.join(known, "class")
+    sums = state.groupBy("cluster").agg(F.sum(F.when(~F.col("settled"), F.col("weight"))).alias("open"), F.count(F.lit(1)).alias("c")).filter("open is not null")
+    sums = cut(sums.select("cluster", F.ceil(F.col("open") / block).cast("int").alias("rounds"), "c"))
+    state = join_counted(state, sums, ["cluster"], "c", own)
+    round_of = F.pmod(F.xxhash64("class", F.lit(1)), F.col("rounds")).cast("int")
+    as_member = state.select("cluster", block_of.alias("block"), F.explode(upto("rounds")).alias("round"), "class", "settled", "grams")
+    as_guest = state.filter("not settled").select("cluster", F.explode(upto("blocks")).alias("block"), round_of.alias("round"), "class", "settled", "grams")
+    split = as_member.unionByName(as_guest).select(F.xxhash64("cluster", "block", "round").alias("task"), "class", "settled", "grams")
+    tasks = small.unionByName(split).repartition(parts, "task").sortWithinPartitions("task", "class")
+    return tasks.mapInArrow(confirm(threshold), "a long, b long").unionByName(to_pivots)
+
+
+def near_groups(docs: DataFrame, threshold: int = 80, tables: int | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, uid, n_shingles, component_id, kept for every row."""
     tables = tables or tables_for(threshold)
-    source = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
-    rows = cut(source.mapInArrow(sketch(tables), "doc_id long, uid long, n_shingles long, class long, keys array<long>"))
-    classes = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.min("uid").alias("uid"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("c"))
+    source = docs.select("doc_id", row_mark().alias("uid"), "text")
+    mark = "struct<a:long,b:long>"
+    rows = cut(source.mapInArrow(sketch(tables), f"doc_id long, uid {mark}, n_shingles long, equal {mark}, keys array<long>"))
+    # sets are compared by 128 bits; a class of equal ones gets a number that no other has
+    classes = rows.filter("equal is not null").groupBy("equal").agg(F.min("doc_id").alias("least_id"), F.min("uid").alias("uid"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("c"))
+    classes = cut(classes.withColumn("class", F.monotonically_increasing_id()))
     keyed = classes.select("class", "keys").mapInArrow(pair_keys(tables), "key long, a long, b long")
     # chains through each bucket: its classes in order, each linked with the one before
     chained = F.coalesce("b", F.lag("a").over(Window.partitionBy("key").orderBy("a")))
     met = keyed.select("a", chained.alias("b")).filter("b is not null")
     members = components(met).withColumnsRenamed({"node": "class", "root": "cluster"})
-    found = cut(members.join(classes.select("class", "uid", "n"), "class"))
-    # a cluster above the bound is searched in pairs of blocks
-    large = found.groupBy("cluster").agg(F.sum("n").alias("total"))
-    blocks = F.ceil(F.col("total") / block_shingles).cast("int")
-    found = found.join(large, "cluster").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    tasks = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, F.col("block")) * F.col("blocks") + F.greatest(j, F.col("block"))))
-    wanted = found.select("uid", "class", "cluster", tasks.alias("tasks"))
-    texts = source.select("uid", "text").join(wanted, "uid").select(F.struct("cluster", "tasks").alias("cluster"), "class", "text")
-    grams = texts.mapInArrow(full_sets, "cluster struct<cluster:long,tasks:array<int>>, class long, grams binary")
-    dealt = grams.select(F.col("cluster.cluster").alias("c"), F.explode("cluster.tasks").alias("t"), "class", "grams").select(F.xxhash64("c", "t").alias("task"), "class", "grams")
-    links = dealt.repartition(partitions_for(docs), "task").sortWithinPartitions("task", "class").mapInArrow(confirm(threshold), "a long, b long")
-    joined = components(links)
-    roots = joined.join(classes.select(F.col("class").alias("node"), "least_id"), "node")
-    named = roots.join(roots.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select(F.col("node").alias("class"), "component_id")
-    own = cut(classes.join(named, "class", "left").select("class", "c", F.coalesce("component_id", "least_id").alias("component_id")))
-    narrow = rows.select("doc_id", "uid", "n_shingles", "class")
-    shared = join_counted(narrow.filter("class is not null"), own, ["class"], "c", F.col("uid"))
-    blank = narrow.filter("class is null").withColumn("component_id", F.col("doc_id"))
-    out = shared.select("doc_id", "uid", "n_shingles", "component_id").unionByName(blank.drop("class"))
+    weight = F.col("n") + ROW_WEIGHT
+    found = cut(members.join(classes.select("class", "uid", weight.alias("weight")), "class"))
+    totals = cut(found.groupBy("cluster").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("c")))
+    wanted = join_counted(found, totals, ["cluster"], "c", F.xxhash64("class")).select("uid", F.struct("cluster", "total", "class", "weight").alias("of"))
+    texts = source.select("uid", "text").join(wanted, "uid").select("of.*", "text")
+    sets = cut(texts.mapInArrow(full_sets, "cluster long, total long, class long, weight long, grams binary").dropDuplicates(["class"]))
+    joined = components(links_of(sets, threshold, block, partitions_for(docs)))
+    roots = cut(joined.join(classes.select(F.col("class").alias("node"), "least_id"), "node"))
+    least = cut(roots.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("c")))
+    named = join_counted(roots, least, ["root"], "c", F.xxhash64("node")).select(F.col("node").alias("class"), "component_id")
+    own = cut(classes.join(named, "class", "left").select("equal", "c", F.coalesce("component_id", "least_id").alias("component_id")))
+    narrow = rows.select("doc_id", "uid", "n_shingles", "equal")
+    shared = join_counted(narrow.filter("equal is not null"), own, ["equal"], "c", F.col("uid.a"))
+    blank = narrow.filter("equal is null").withColumn("component_id", F.col("doc_id"))
+    out = shared.select("doc_id", "uid", "n_shingles", "component_id").unionByName(blank.drop("equal"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame, threshold: int = 85) -> DataFrame:
-    """The documents that stay, with all their columns: one of each group of near copies."""
-    gone = near_groups(docs, threshold).filter("not kept").select(F.col("uid").alias("__uid")).distinct()
-    return docs.withColumn("__uid", F.xxhash64("doc_id", "text")).join(gone, "__uid", "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, threshold: int = 80) -> DataFrame:
+    """The documents that stay, with all their columns: one of each group of near copies. Rows equal in doc_id and text stay or go together."""
+    gone = near_groups(docs, threshold).filter("not kept").select("uid").distinct()
+    marked = packed(docs).withColumn("uid", row_mark("d."))
+    return marked.join(gone, "uid", "left_anti").select("d.*")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents")).drop("uid")
+    return near_groups(table(spark, sf_dir, "documents"), 85).drop("uid")
 
 
 OP9_SQL = r"""

@@ -30,7 +30,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_counted, table
+from .common import cut, join_counted, row_mark, table
 
 ROUNDS = 16
 WIDEST = 32
@@ -286,8 +286,7 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
 
     Texts are parted once, and kept with their parts; mentions, names and texts without entities are all read from there.
     """
-    uid = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("b"))
-    parsed = cut(docs.select("doc_id", F.when(F.col("text").isNotNull(), found(F.col("text"))).alias("parts"), uid.alias("uid")))
+    parsed = cut(docs.select("doc_id", F.when(F.col("text").isNotNull(), found(F.col("text"))).alias("parts"), row_mark().alias("uid")))
     has = parsed.filter(F.size("parts") > 1)
     entity = lambda p: F.struct(p["kind"].alias("kind"), canonical(p["kind"], p["value"]).alias("canon"))
     mentions = has.select("uid", F.explode(F.array_distinct(F.transform(F.filter("parts", lambda p: p["kind"] > 0), entity))).alias("m")).select("uid", "m.kind", "m.canon")

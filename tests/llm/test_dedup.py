@@ -1,11 +1,14 @@
 """Exact, near and substring deduplication against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pandas as pd
+import pytest
 
 from pavelake.llm import exact_dedup, near_dedup, substring_dedup
 
@@ -66,7 +69,7 @@ def test_empty_tables(empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
-def near_truth(rows):
+def near_truth(rows, threshold=85):
     sets = []
     for r in rows:
         w = split((r[1] or "").translate(LOWER))
@@ -80,7 +83,7 @@ def near_truth(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
     least = defaultdict(list)
     for i, r in enumerate(rows):
@@ -89,19 +92,52 @@ def near_truth(rows):
     return Counter((r[0], len(sets[i]), min(least[find(i)], default=None) if sets[i] else r[0]) for i, r in enumerate(rows))
 
 
-def test_near_groups(docs, rows):
-    got = near_dedup.near_groups(docs).collect()
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 900, 150])
+def test_near_groups(docs, rows, block):
+    got = near_dedup.near_groups(docs, 85, block=block).collect()
     assert Counter((g.doc_id, g.n_shingles, g.component_id) for g in got) == near_truth(rows)
     assert all(g.kept == (g.doc_id == g.component_id) for g in got)
 
 
-def test_near_groups_in_blocks(docs, rows):
-    got = near_dedup.near_groups(docs, block_shingles=40).collect()
-    assert Counter((g.doc_id, g.n_shingles, g.component_id) for g in got) == near_truth(rows)
+def chained(n, width, step, first=0):
+    """Texts of which each shares 0.8 or more with the next ones only."""
+    return [(first + i, " ".join(f"v{first}_{k}" for k in range(i * step, i * step + width))) for i in range(n)]
+
+
+@pytest.mark.parametrize("block", [400, 3000])
+def test_large_clusters(spark, block):
+    """Long chains, stars and strangers in one cluster of candidates: nothing is lost where classes are settled or split."""
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(100)]
+    star = [(1000 + i, " ".join(f"x{i}" if k in (i % 100, (i * 7) % 100) else w for k, w in enumerate(base))) for i in range(60)]
+    far = [(2000 + i, " ".join(f"y{i}_{k}" if rng.random() < 0.04 else w for k, w in enumerate(base))) for i in range(40)]
+    rows = chained(40, 100, 3) + star + far + chained(30, 60, 4, 5000) + star[:5] + [(3, None), (None, star[0][1])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    # more tables than usual, so that no candidate is missed and the truth is exact
+    got = near_dedup.near_groups(d, 80, tables=25, block=block).collect()
+    assert Counter((g.doc_id, g.n_shingles, g.component_id) for g in got) == near_truth(rows, 80)
+
+
+def test_search_knows_what_is_settled():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 60, 40)).astype(np.uint64) for _ in range(30)]
+    settled = np.arange(30) < 12
+    close = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 60 * len(np.union1d(sets[i], sets[j]))
+    links = list(near_dedup.search(list(range(30)), sets, 60, settled))
+    assert all(not (settled[a] and settled[b]) for a, b in links)
+
+    def groups(pairs):
+        root = list(range(30))
+        for a, b in [*((0, i) for i in range(12)), *pairs]:
+            x, y = root[a], root[b]
+            root = [x if r == y else r for r in root]
+        return [root.index(r) for r in root]
+
+    assert groups(links) == groups([(i, j) for i in range(30) for j in range(i) if close(i, j)])
 
 
 def test_near_keeps_one_of_each(docs, rows):
-    kept = near_dedup.keep_one(docs)
+    kept = near_dedup.keep_one(docs, 85)
     assert kept.columns == docs.columns
     expected = {c for _, n, c in near_truth(rows) if n}
     ids = {r.doc_id for r in kept.collect() if split(r.text)}

@@ -134,7 +134,7 @@ def test_pipeline(spark, folder):
                 best[k] = max(best.get(k, -1), r["doc_id"])
             assert sorted(ids) == sorted(best.values())
         elif name == "near dedup":
-            truth = near_truth([(r["doc_id"], r["text"]) for r in a])
+            truth = near_truth([(r["doc_id"], r["text"]) for r in a], 80)
             assert sorted(ids) == sorted(i for i, n, c in truth if i == c)
         else:
             words = lambda rs: sum(len(split(r["text"])) for r in rs)
