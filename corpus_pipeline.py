@@ -1,8 +1,13 @@
-"""The corpus pipeline: five stages over documents, each on what its predecessor kept."""
+"""The corpus pipeline: five stages over documents, each on what its predecessor kept.
+
+Defined results: documents without text or words are kept by the toxicity stage, are one group for exact dedup (null counts as empty),
+stay in near dedup, and are not taken by the mixture; of repeated rows one stays; a null doc_id or source is handled as a value of
+its own; further columns, whatever their names, pass through all stages but the last; very long texts are handled in whole;
+an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pavelake.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from pavelake.llm.common import ship_package, table
+from pavelake.operators.graph import shared_folder
 
 #: Near copies share so many hundredths of their word shingles; 85 is the contract of op9_near_dedup alone.
 NEAR = 80
@@ -59,9 +65,8 @@ ORACLE_SQL = None
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder in the one that the cluster shares, or a temporary one where none is named."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="pavelake-pipeline-")
+    """A new folder in the one that the cluster shares; a temporary one only on a local master that names none."""
+    return f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
