@@ -7,7 +7,8 @@ verified winners, at most `counters` rows whatever the input, are broadcast: hot
 resolved map-side. Only the remaining digests, each of a bounded share of the rows, are shuffled.
 
 Defined results: null text counts as empty; an empty table gives an empty result; of rows that
-also share the doc_id one stays; a null doc_id is the smallest. Other columns are left alone.
+also share the doc_id one stays; a null doc_id is the smallest; a very long text is hashed in whole. Other columns, whatever their
+names, are left alone.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, table
+from .common import cut, lower_ascii, packed, table
 
 COUNTERS = 1024
 
@@ -78,17 +79,29 @@ def groups(docs: DataFrame, counters: int = COUNTERS, id_col: str = "doc_id", te
 
 
 def drop_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """The documents that stay, with all their columns.
+    """The documents that stay, with all their columns; of rows equal in text and doc_id one.
 
-    Rows are told apart by a hash of all they hold; of identical rows one stays.
+    What stays of a group is decided on narrow rows. Losers of heavy groups go map-side; the remaining groups of
+    more than one are joined back on their digest, which moves texts only where those groups are too many to be broadcast.
     """
-    heavy = cut(winners(cut(digests(docs)), counters)).select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), F.lit(True).alias("__hot"))
-    norm = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
-    tagged = docs.withColumn("__digest", F.sha2(norm, 256)).join(F.broadcast(heavy), "__digest", "left")
-    parts = (tagged.filter("__hot and doc_id <=> __keep"), tagged.filter("__hot is null"))
-    one = Window.partitionBy("__digest").orderBy(F.col("doc_id").desc_nulls_last())
-    hot, cold = (df.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*docs.columns) for df in parts)
-    return hot.unionByName(cold)
+    rows = cut(digests(docs))
+    heavy = cut(winners(rows, counters).select("digest"))
+
+    def stays(some: DataFrame) -> DataFrame:
+        by_id = some.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+        agg = by_id.groupBy("digest").agg(F.max(F.struct("doc_id", "c")).alias("m"), F.sum("c").alias("n")).filter("n > 1")
+        return cut(agg.select("digest", F.struct(F.col("m.doc_id").alias("id"), F.col("m.c").alias("c")).alias("keep")))
+
+    d = packed(docs).withColumn("digest", F.sha2(lower_ascii(F.coalesce("d.text", F.lit(""))), 256))
+    hot, cold = stays(rows.join(F.broadcast(heavy), "digest")), stays(rows.join(F.broadcast(heavy), "digest", "left_anti"))
+    lives = F.col("keep").isNull() | F.col("d.doc_id").eqNullSafe(F.col("keep.id"))
+    d = d.join(F.broadcast(hot), "digest", "left").filter(lives).withColumnRenamed("keep", "first")
+    d = d.join(cold, "digest", "left").filter(lives).select("d", "digest", F.coalesce("first.c", "keep.c", F.lit(1)).alias("c"))
+    if hot.unionByName(cold).filter("keep.c > 1").isEmpty():
+        return d.select("d.*")
+    one = F.row_number().over(Window.partitionBy("digest").orderBy(F.lit(1)))
+    ties = d.filter("c > 1").withColumn("n", one).filter("n = 1")
+    return d.filter("c = 1").select("d.*").union(ties.select("d.*"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

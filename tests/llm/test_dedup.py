@@ -63,6 +63,16 @@ def test_exact_keeps_columns(docs, rows):
     assert kept.count() == len({(r[1] or "").translate(LOWER) for r in rows})
 
 
+def test_copies_of_one_id(spark):
+    """A hot group of rows equal in id and text, ties below the heavy ones, names that clash."""
+    rows = [(9, "Hot")] * 300 + [(1, "hot")] * 50 + [(2, "b")] * 3 + [(3, "B"), (None, "c"), (None, "c"), (4, None), (5, "")]
+    d = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, d int, digest int, keep int, c int").repartition(6)
+    for counters in (1, 1024):
+        kept = exact_dedup.drop_copies(d, counters)
+        assert kept.columns == d.columns
+        assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(9, "Hot"), (3, "B"), (None, "c"), (5, "")])
+
+
 def test_empty_tables(empty):
     assert exact_dedup.groups(empty).count() == 0 and exact_dedup.drop_copies(empty).count() == 0
     assert near_dedup.near_groups(empty).count() == 0 and near_dedup.keep_one(empty).count() == 0
