@@ -29,6 +29,7 @@ from .common import cut, partitions_for, table
 
 BINS = 128
 SAMPLE = 10_000
+PARTS_PER_TASK = 4
 _EMPTY = np.iinfo(np.uint64).max
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -167,13 +168,16 @@ def with_next(docs: DataFrame, bins: int = BINS) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
     at = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"), mark.alias("mark"))
-    # the order's bounds, once: a sample of at most SAMPLE places. They only say where parts end, not what results are
-    parts = partitions_for(docs)
-    places = sorted(tuple(r["at"]) for r in docs.select(at.alias("at")).orderBy(F.rand(7)).limit(SAMPLE).collect())
+    # the order's bounds, once: about SAMPLE places. They only say where parts end, not what results are. There are more parts than
+    # tasks, so that a task's share can be evened out by whole parts
+    tasks = partitions_for(docs)
+    share = SAMPLE / max(docs.count(), 1)
+    places = sorted(tuple(r["at"]) for r in docs.select(at.alias("at")).filter(F.rand(7) < share).collect())
+    parts = PARTS_PER_TASK * tasks
     bounds = sorted({places[len(places) * k // parts] for k in range(1, parts)}) if places else []
     order = ["part", F.col("doc_id").asc_nulls_first(), "mark", F.col("text").asc_nulls_first()]
     placed = docs.select("doc_id", "text", at.alias("at")).select(part_of(F.col("at"), bounds).alias("part"), "doc_id", "text", F.col("at.mark").alias("mark"))
-    sorted_ = placed.repartitionByRange(parts, "part").sortWithinPartitions(*order)
+    sorted_ = placed.repartitionByRange(tasks, "part").sortWithinPartitions(*order)
     within = sorted_.select("part", "doc_id", "text").mapInArrow(neighbours(bins), SCHEMA)
     # the first and the last document of each part: found on ids and marks, then their texts looked up; no text is dealt out
     narrow = F.struct(F.col("doc_id").isNotNull().alias("there"), F.coalesce("doc_id", F.lit(0)).alias("id"), "mark")
