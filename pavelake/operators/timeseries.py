@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as v
 from ..functions.scalar import threshold
+from .folds import CenteredQuantile, Ema, TrailingQuantile, appended
 
 PACK = ["pack_id"]
 
@@ -37,23 +38,25 @@ def rolling_rms(x: str = "hp", ms: int = v.RMS_MS) -> Column:
     return F.sqrt(F.avg(F.col(x) * F.col(x)).over(in_range(ms)))
 
 
-def rolling_quantile(x: str = "hp", ms: int = v.QUANTILE_MS, q: float = v.NOISE_QUANTILE) -> Column:
-    return F.percentile(F.abs(F.col(x)), F.lit(q)).over(in_range(ms))
+def rolling_quantile(samples: DataFrame, name: str, x: str = "hp", ms: int = v.QUANTILE_MS, q: float = v.NOISE_QUANTILE) -> DataFrame:
+    """Adds the quantile of |x| over the last `ms`: an ordered window slides along each pack, in linear time."""
+    return appended(samples, name, x, lambda: TrailingQuantile(ms, q))
 
 
 def noise_threshold(samples: DataFrame, version: float) -> DataFrame:
     """Adds thr by the formula of the recording's version."""
-    noise = rolling_rms() if version >= 0.8 else rolling_quantile()
-    return samples.withColumn("thr", threshold(noise))
+    if version >= 0.8:
+        return samples.withColumn("thr", threshold(rolling_rms()))
+    return rolling_quantile(samples, "noise").withColumn("thr", threshold(F.col("noise"))).drop("noise")
 
 
-def centered_quantile_floor(samples: DataFrame, width: int, q: float = v.NOISE_QUANTILE, floor: float = v.NOISE_FLOOR) -> DataFrame:
+def centered_quantile_floor(samples: DataFrame, width: int, q: float = v.NOISE_QUANTILE, floor: float = v.NOISE_FLOOR, x: str = "hp") -> DataFrame:
     """Quantile of |x| in a frame of `width` rows around each, then filled backward and forward."""
-    frame = in_time().rowsBetween(-(width // 2), width - width // 2 - 1)
-    raw = F.when(F.count(F.lit(1)).over(frame) >= max(4, width // 4), F.percentile(F.abs(F.col("hp")), F.lit(q)).over(frame))
-    out = samples.withColumn("raw", raw)
-    back = F.first("raw", ignorenulls=True).over(in_time().rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    ahead = F.last("raw", ignorenulls=True).over(in_time().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = appended(samples, "raw", x, lambda: CenteredQuantile(width, q, max(4, width // 4)))
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    # a frame up to the current row is linear; one that reaches ahead to the end is not
+    back = F.last("raw", ignorenulls=True).over(in_time([F.desc("t_ms"), F.desc("event_id")]).rowsBetween(*upto))
+    ahead = F.last("raw", ignorenulls=True).over(in_time().rowsBetween(*upto))
     return out.withColumn("floor", F.greatest(F.coalesce("raw", back, ahead), F.lit(floor))).drop("raw")
 
 
@@ -75,24 +78,9 @@ def longest(segments: DataFrame, k: int = 3) -> DataFrame:
     return segments.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
-def fold(samples: DataFrame, fields: list[str], start: Column, step, finish) -> DataFrame:
-    """One state per pack, folded over its samples in time order; a pack is one recording."""
-    rows = F.array_sort(F.collect_list(F.struct("t_ms", "event_id", *fields)))
-    return samples.groupBy(*PACK).agg(rows.alias("rows")).select(*PACK, F.aggregate("rows", start, step, finish).alias("state"))
-
-
-def ema(samples: DataFrame) -> DataFrame:
-    """Time-aware exponential smoothing of hp: pack_id, t_ms, event_id, ema."""
-    row = "struct<t_ms:bigint,event_id:bigint,ema:double>"
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("bigint").alias("t"), F.array().cast(f"array<{row}>").alias("out"))
-
-    def step(acc, x):
-        dt = F.coalesce((x["t_ms"] - acc["t"]) / 1000.0, F.lit(v.EMA_FIRST_S))
-        a = F.exp(-F.least(dt, F.lit(v.EMA_CAP_S)) / v.EMA_TAU_S)
-        s = a * acc["s"] + (1 - a) * x["hp"]
-        return F.struct(s.alias("s"), x["t_ms"].alias("t"), F.concat(acc["out"], F.array(F.struct(x["t_ms"].alias("t_ms"), x["event_id"].alias("event_id"), s.alias("ema")))).alias("out"))
-
-    return fold(samples, ["hp"], start, step, lambda acc: acc["out"]).select(*PACK, F.explode("state").alias("r")).select(*PACK, "r.*")
+def ema(samples: DataFrame, x: str = "hp") -> DataFrame:
+    """Time-aware exponential smoothing of a signal: pack_id, t_ms, event_id, ema."""
+    return appended(samples.select(*PACK, "t_ms", "event_id", x), "ema", x, Ema).drop(x)
 
 
 def resample(samples: DataFrame, step_ms: int, columns: list[str]) -> DataFrame:
@@ -102,9 +90,9 @@ def resample(samples: DataFrame, step_ms: int, columns: list[str]) -> DataFrame:
     once = samples.groupBy(*PACK, "t_ms").agg(*[F.avg(c).alias(c) for c in columns])
     both = once.withColumn("sampled", F.lit(True)).unionByName(grid.withColumn("sampled", F.lit(False)), allowMissingColumns=True)
     before = Window.partitionBy(*PACK).orderBy("t_ms", F.desc("sampled")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(*PACK).orderBy("t_ms", "sampled").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    after = Window.partitionBy(*PACK).orderBy(F.desc("t_ms"), F.desc("sampled")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = F.when(F.col("sampled"), F.struct("t_ms", *columns))
-    filled = both.withColumn("p", F.last(own, True).over(before)).withColumn("q", F.first(own, True).over(after)).filter(~F.col("sampled"))
+    filled = both.withColumn("p", F.last(own, True).over(before)).withColumn("q", F.last(own, True).over(after)).filter(~F.col("sampled"))
     w = F.when(F.col("q.t_ms") == F.col("p.t_ms"), 0.0).otherwise((F.col("t_ms") - F.col("p.t_ms")) / (F.col("q.t_ms") - F.col("p.t_ms")))
     return filled.select(*PACK, "t_ms", *[(F.col(f"p.{c}") + (F.col(f"q.{c}") - F.col(f"p.{c}")) * w).alias(c) for c in columns])
 

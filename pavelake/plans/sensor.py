@@ -262,7 +262,7 @@ def corr_time(spark, d):
 def surrogate_events(spark, d):
     s = a.samples(spark, d)
     noise = quality.surrogates(s)
-    real = detector.replay(s).select("pack_id", F.size("events").cast("bigint").alias("n_events"))
+    real = detector.counts(detector.replay(s), s)
     return quality.informative(real, noise)
 
 

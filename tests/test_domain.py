@@ -3,6 +3,7 @@
 import io
 import json
 import math
+import time
 import zipfile
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pavelake import vocab as v
 from pavelake.functions import scalar
-from pavelake.operators import detector, evaluate, fusion, image, joins, judge, labels, quality, spatial, spectral
+from pavelake.operators import detector, evaluate, folds, fusion, image, joins, judge, labels, quality, spatial, spectral
 from pavelake.operators import timeseries as ts
 from pavelake.sources import files, sinks
 
@@ -76,15 +77,66 @@ def test_detector_counts_impulses(spark):
 
 
 def test_old_detector_gates_speed(spark):
-    still = detector.replay(spark.createDataFrame(ride([5, 15], speed=0.0), SAMPLE), 0.6).first()
-    assert not still.events and still.missed and {m.why for m in still.missed} == {"speed_gate"}
-    assert detector.replay(spark.createDataFrame(ride([5, 15], speed=0.0), SAMPLE), 0.6, "test").first().events
+    still = detector.replay(spark.createDataFrame(ride([5, 15], speed=0.0), SAMPLE), 0.6).collect()
+    assert still and {m.what for m in still} == {"speed_gate"}
+    assert detector.events(detector.replay(spark.createDataFrame(ride([5, 15], speed=0.0), SAMPLE), 0.6, "test")).count()
 
 
 def test_batch_equals_plain_detector(spark):
-    rows = ride([3, 9, 9.5, 30], seed=4)
-    s, t, speed = (np.array([r[i] for r in rows], float) for i in (3, 2, 4))
-    assert detector.events(detector.replay(spark.createDataFrame(rows, SAMPLE))).count() == quality.count_events(s, t, speed)
+    for speed, version, mode in ((5.0, 0.8, "ride"), (5.0, 0.7, "ride"), (5.0, 0.6, "ride"), (1.0, 0.6, "ride"), (1.0, 0.6, "test"), (0.0, 0.8, "ride")):
+        rows = ride([3, 9, 9.5, 30], seed=4, speed=speed, noise=0.5)
+        s, t, v_ = (np.array([r[i] for r in rows], float) for i in (3, 2, 4))
+        found = detector.events(detector.replay(spark.createDataFrame(rows, SAMPLE), version, mode)).count()
+        assert found == quality.count_events(s, t, v_, version, mode), (speed, version, mode)
+
+
+def by_hand(rows, name):
+    """EMA, trailing and centred quantile of one pack by their definitions."""
+    t, x = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    if name == "ema":
+        s, out = 0.0, []
+        for i in range(len(t)):
+            a = math.exp(-min((t[i] - t[i - 1]) / 1000 if i else 1 / 60, 0.2) / 0.01)
+            s = a * s + (1 - a) * x[i]
+            out.append(s)
+        return out
+    if name == "trailing":
+        return [float(np.quantile(np.abs(x[(t >= t[i] - 3000) & (t <= t[i])]), 0.2)) for i in range(len(t))]
+    return [float(np.quantile(np.abs(x[max(0, i - 10) : i + 10]), 0.2)) if len(x[max(0, i - 10) : i + 10]) >= 5 else None for i in range(len(t))]
+
+
+@pytest.mark.parametrize("name", ["ema", "trailing", "centred"])
+def test_folds(spark, name):
+    """Against the definitions, with repeated times and packs that end anywhere in a batch."""
+    rng = np.random.default_rng(5)
+    packs = [[(p, i, int(t), float(rng.normal()), 1.0) for i, t in enumerate(np.sort(rng.integers(0, 40 * n + 1, n)))] for p, n in ((1, 700), (2, 1), (3, 7), (4, 300))]
+    make = {"ema": folds.Ema, "trailing": lambda: folds.TrailingQuantile(3000, 0.2), "centred": lambda: folds.CenteredQuantile(20, 0.2, 5)}[name]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        d = spark.createDataFrame([r for p in packs for r in p], SAMPLE).repartition(3)
+        got = {(r.pack_id, r.event_id): r.y for r in folds.appended(d, "y", "hp", make).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for p in packs:
+        for r, want in zip(p, by_hand(p, name)):
+            assert got[r[0], r[1]] == (None if want is None else pytest.approx(want, abs=1e-9))
+
+
+def test_one_long_recording(spark):
+    """100 000 samples of one pack: smoothing, both quantiles, replay and the null test in seconds, not minutes."""
+    rng = np.random.default_rng(6)
+    d = spark.range(100_000).selectExpr("1L as pack_id", "id as event_id", "cast(id * 1000 / 60 as bigint) as t_ms", "randn(3) * 0.3 + if(id % 2000 < 4, 8, 0) as hp", "5.0D as speed").cache()
+    d.count()
+    work = {
+        "ema": lambda: ts.ema(d).count(), "trailing": lambda: ts.noise_threshold(d, 0.6).agg(F.sum("thr")).first(), "centred": lambda: ts.centered_quantile_floor(d, 300).agg(F.sum("floor")).first(),
+        "replay": lambda: detector.events(detector.replay(d)).count(), "resample": lambda: ts.resample(d, 10, ["hp"]).agg(F.sum("hp")).first(), "null": lambda: quality.surrogates(d).count(),
+    }
+    for name, run in work.items():
+        began = time.time()
+        run()
+        took = time.time() - began
+        print(name, round(took, 1))
+        assert took < 20, name
 
 
 def test_empty_packs(spark):
@@ -212,7 +264,7 @@ def test_surrogates_are_quiet(spark):
     d = spark.createDataFrame(ride([5, 15, 25, 35, 45]), SAMPLE)
     noise = quality.surrogates(d, 3)
     assert noise.count() == 6
-    real = detector.replay(d).select("pack_id", F.size("events").alias("n_events"))
+    real = detector.counts(detector.replay(d), d)
     found = quality.informative(real, noise).first()
     assert found.n_events > found.stationary and found.informative == (found.n_events > max(found.stationary, found.envelope))
 
