@@ -109,7 +109,7 @@ def feature_text(f: dict[str, Column]) -> Column:
     return F.concat_ws("\n", *lines)
 
 
-def gsd_mm(x_mm: Column, height_mm: float = 1000.0, hfov_deg: float = 68.0, width_px: int = 480) -> Column:
+def gsd_mm(x_mm: Column, height_mm: float = 1000.0, hfov_deg: float = 68.0, width_px: Column | int = 480) -> Column:
     """Ground sampling distance at a distance, for a camera at a height."""
     focal = width_px / (2 * F.tan(F.radians(F.lit(hfov_deg)) / 2))
     return (height_mm * height_mm + x_mm * x_mm) / (height_mm * focal)

@@ -226,32 +226,6 @@ def crest(spark, d):
     return c.select("pack_id", rnd(F.col("crest_median")).alias("crest_median"), rnd(F.col("crest_ge4")).alias("crest_ge4"))
 
 
-QC = [("sampling", "backward", "backward", "backward = 0", "fail"), ("sampling", "long_gaps", "long_gaps", "long_gaps = 0", "warn"), ("sampling", "rate", "fs", "fs >= 5", "warn"), ("signal", "over_ratio", "over_ratio", "over_ratio <= 0.2", "warn")]
-QC_SQL = S + f""", g AS (SELECT pack_id, t_ms - lag(t_ms) OVER (PARTITION BY pack_id ORDER BY event_id) AS dt FROM samples), a1 AS (SELECT pack_id, count(*) FILTER (WHERE dt < 0) AS backward, count(*) FILTER (WHERE dt > 800) AS long_gaps, coalesce(1000 / median(dt) FILTER (WHERE dt > 0), 100) AS fs FROM g GROUP BY pack_id),
-a2 AS (SELECT pack_id, avg(CASE WHEN abs(hp) > thr THEN 1.0 ELSE 0 END) AS over_ratio FROM (SELECT *, {THR} AS thr FROM samples) GROUP BY pack_id), f AS (SELECT * FROM a1 JOIN a2 USING (pack_id)),
-c AS (SELECT pack_id, 'sampling' AS grp, 'backward' AS item, CAST(backward AS DOUBLE) AS value, CASE WHEN backward = 0 THEN 'pass' ELSE 'fail' END AS status FROM f
-UNION ALL SELECT pack_id, 'sampling', 'long_gaps', long_gaps, CASE WHEN long_gaps = 0 THEN 'pass' ELSE 'warn' END FROM f
-UNION ALL SELECT pack_id, 'sampling', 'rate', fs, CASE WHEN fs >= 5 THEN 'pass' ELSE 'warn' END FROM f
-UNION ALL SELECT pack_id, 'signal', 'over_ratio', over_ratio, CASE WHEN over_ratio <= 0.2 THEN 'pass' ELSE 'warn' END FROM f)"""
-
-
-def _checks(spark, d):
-    s = a.samples(spark, d)
-    facts = ts.gaps(s).join(ts.source_rate(s), "pack_id").join(quality.over_threshold(ts.noise_threshold(s, 0.8)), "pack_id")
-    return quality.checks(facts, QC)
-
-
-@query(QC_SQL + " SELECT pack_id, grp, item, round(value, 6) AS value, status FROM c")
-def qc_checks(spark, d):
-    return _checks(spark, d).withColumn("value", rnd(F.col("value")))
-
-
-@query(QC_SQL + """ SELECT pack_id, count(*) FILTER (WHERE status = 'pass') AS pass, count(*) FILTER (WHERE status = 'warn') AS warn, count(*) FILTER (WHERE status = 'fail') AS fail, count(*) FILTER (WHERE status = 'info') AS info,
-CASE WHEN count(*) FILTER (WHERE status = 'fail') > 0 THEN 'fail' WHEN count(*) FILTER (WHERE status = 'warn') > 0 THEN 'warn' ELSE 'pass' END AS verdict FROM c GROUP BY pack_id""")
-def qc_verdict(spark, d):
-    return quality.verdict(_checks(spark, d))
-
-
 @query(S + " SELECT pack_id, round(corr(t_ms, hp), 6) AS r, round(median(hp), 6) AS median_hp FROM samples GROUP BY pack_id HAVING count(*) > 2")
 def corr_time(spark, d):
     m = a.samples(spark, d).groupBy("pack_id").agg(F.count(F.lit(1)).alias("n"), F.corr("t_ms", "hp").alias("r"), F.median("hp").alias("m")).filter("n > 2")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EPOCH_MS = 1704067200000
@@ -47,6 +47,40 @@ def vision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.filter(has).select(F.col("event_id").alias("id"), "pack_id", "t_ms", pick(F.col("event_id"), VISION_LABELS).alias("vision_label"), ((F.col("event_id") % 50) / 100 + 0.45).alias("vision_conf"), pick(F.col("event_id"), WHYS).alias("vision_why"), F.when(F.col("event_id") % 11 > 0, F.col("lat")).alias("lat"), F.when(F.col("event_id") % 11 > 0, F.col("lon")).alias("lon"))
 
 
+def recording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All samples as one recording, at about 60 samples a second for 100 000 of them."""
+    return samples(spark, sf_dir, 1600).withColumn("pack_id", F.lit(0).cast("bigint"))
+
+
+def pack_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the packs' metadata says of them: right for most, wrong or missing for some, by the pack's number."""
+    p = F.col("pack_id")
+    counted = samples(spark, sf_dir).groupBy("pack_id").agg(F.count(F.lit(1)).alias("n"), (F.max("t_ms") - F.min("t_ms")).alias("ms"))
+    one_in = lambda k, x, other=None: F.when(p % k == 0, other).otherwise(x)
+    return counted.select(
+        "pack_id", pick(p, (8, 8, 7, 6)).alias("version"), one_in(7, (47 + p % 15).cast("double")).alias("sample_rate_hz"), one_in(5, F.col("n"), F.col("n") + 1).alias("sample_count"),
+        one_in(11, F.col("ms") / 1000.0, F.col("ms") / 900.0).alias("duration_s"), (p % 6).cast("int").alias("event_count"), F.when(p % 4 == 1, 2).alias("gate_blocked_segments"), one_in(9, F.lit(True), F.lit(False)).alias("speed_usable"),
+        one_in(3, (p % 10) / 10.0).cast("double").alias("suspect_ratio"), one_in(4, p % 2 == 0).alias("gaps_usable"), one_in(2, F.lit(0.25)).alias("floor_active_ratio"),
+        (p % 3).cast("int").alias("mode_changes"), (p % 5 > 1).alias("mode_consistent"), pick(p, ("2026-09-24T08:05:00Z", "2026-09-24T09:40:00Z", "yesterday", None)).alias("exported_at"), one_in(2, F.lit(640), None).cast("int").alias("frame_width"),
+    )
+
+
+def sweep_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack_id, t_ms, brightness, lap_var of sweep frames; a few can't be decoded, and one pack in 13 has none that can."""
+    s = samples(spark, sf_dir).filter("label_raw = 'view'")
+    there = (F.col("event_id") % 17 > 0) & (F.col("pack_id") % 13 > 0)
+    return s.select("pack_id", "t_ms", F.when(there, F.col("event_id") % 200 - F.col("t_ms") / 400).alias("brightness"), F.when(there, (F.col("event_id") % 300).cast("double")).alias("lap_var"))
+
+
+def recorded_events(events: DataFrame) -> DataFrame:
+    """Replayed events as a collector may have stored them: starts off by a millisecond, and in some packs the first or the second missing."""
+    place = F.row_number().over(Window.partitionBy("pack_id").orderBy("t0_ms"))
+    e = events.withColumn("place", place)
+    extra = e.filter((F.col("place") == 1) & (F.col("pack_id") % 4 == 1)).withColumn("t0_ms", F.col("t0_ms") - 900).withColumn("peak", F.lit(3.0))
+    kept = e.filter(~((F.col("pack_id") % 7 == 3) & (F.col("place") == 2)))
+    return kept.unionByName(extra).select("pack_id", (F.col("t0_ms") + F.col("t0_ms") % 3 - 1).alias("t0_ms"), (F.col("peak") * (1 + (F.col("t0_ms") % 5) / 100)).alias("peak"))
+
+
 #: the same views for DuckDB
 SAMPLES_SQL = """samples AS (
   SELECT user_id // 10 AS pack_id, event_id, CAST(floor((epoch_ms(ts) - 1704067200000) / 155000) AS BIGINT) AS t_ms,
