@@ -256,8 +256,10 @@ def links_of(sets: DataFrame, threshold: int, block: int, parts: int) -> DataFra
     own = F.xxhash64("class")
     small = sets.filter(F.col("total") <= block).select(F.xxhash64("cluster").alias("task"), "class", F.lit(False).alias("settled"), "grams")
     large = sets.filter(F.col("total") > block)
-    place = F.row_number().over(Window.partitionBy("cluster").orderBy(own, "class"))
-    chosen = large.select("cluster", "class").withColumn("place", place).filter(F.col("place") <= PIVOTS).select("class")
+    # the least of a cluster's classes in PIVOTS orders: a class number with some bits turned orders anew and can be turned back
+    turns = tokens.signed(tokens.mix(np.arange(1, PIVOTS + 1, dtype=np.uint64)) >> np.uint64(2)).tolist()
+    firsts = large.groupBy("cluster").agg(*[F.min(F.col("class").bitwiseXOR(F.lit(t))).alias(f"p{k}") for k, t in enumerate(turns)])
+    chosen = firsts.select(F.explode(F.array_distinct(F.array(*[F.col(f"p{k}").bitwiseXOR(F.lit(t)) for k, t in enumerate(turns)]))).alias("class"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     blocked = large.withColumn("blocks", F.ceil(F.col("total") / block).cast("int"))
     block_of = F.pmod(own, F.col("blocks")).cast("int")
