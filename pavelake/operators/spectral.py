@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import vocab as v
+from . import timeseries as ts
 
 
 def butterworth(order: int, cutoff: float, fs: float, kind: str) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -19,19 +23,39 @@ def butterworth(order: int, cutoff: float, fs: float, kind: str) -> list[tuple[n
     return out
 
 
+def butterworth_band(order: int, low: float, high: float, fs: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Second-order sections of a band-pass of twice the order: the low-pass prototype's poles moved to the band, then the bilinear transform."""
+    warped = 2 * fs * np.tan(np.pi * np.array([low, high]) / fs)
+    width, centre = warped[1] - warped[0], np.sqrt(warped[0] * warped[1])
+    half = np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order)) * width / 2
+    root = np.sqrt(half * half - centre * centre)
+    poles = np.concatenate([half + root, half - root])
+    z = (2 * fs + poles) / (2 * fs - poles)
+    z = z[z.imag > 0]
+    out = [(np.array([1.0, 0.0, -1.0]), np.array([1.0, -2 * q.real, abs(q) ** 2])) for q in z]
+    # unit gain at the centre, shared out over the sections
+    at = np.exp(-1j * 2 * np.arctan(centre / (2 * fs)))
+    powers = np.array([1, at, at * at])
+    return [(b / abs((b @ powers) / (a @ powers)), a) for b, a in out]
+
+
 def run_sections(sections, x: np.ndarray) -> np.ndarray:
     """Filter from the steady state of the first value."""
+    values = x.tolist()
     for b, a in sections:
-        gain = b.sum() / a.sum()
-        z2 = (b[2] - a[2] * gain) * x[0]
-        z1 = (b[1] - a[1] * gain) * x[0] + z2
-        y = np.empty_like(x)
-        for i, value in enumerate(x):
-            y[i] = b[0] * value + z1
-            z1 = b[1] * value - a[1] * y[i] + z2
-            z2 = b[2] * value - a[2] * y[i]
-        x = y
-    return x
+        b0, b1, b2 = b.tolist()
+        _, a1, a2 = a.tolist()
+        gain = (b0 + b1 + b2) / (1.0 + a1 + a2)
+        z2 = (b2 - a2 * gain) * values[0]
+        z1 = (b1 - a1 * gain) * values[0] + z2
+        out = []
+        for value in values:
+            y = b0 * value + z1
+            z1 = b1 * value - a1 * y + z2
+            z2 = b2 * value - a2 * y
+            out.append(y)
+        values = out
+    return np.array(values)
 
 
 def zero_phase(sections, x: np.ndarray) -> np.ndarray:
@@ -44,62 +68,108 @@ def zero_phase(sections, x: np.ndarray) -> np.ndarray:
 
 
 def band_pass(x: np.ndarray, fs: float, low: float = 1.0, high: float = 20.0, order: int = 4) -> np.ndarray:
-    y = zero_phase(butterworth(order, low, fs, "high"), x)
-    return zero_phase(butterworth(order, min(high, 0.45 * fs), fs, "low"), y)
+    return zero_phase(butterworth_band(order, low, min(high, 0.45 * fs), fs), x)
 
 
-def welch(x: np.ndarray, fs: float, size: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Power spectrum: mean of Hann-windowed half-overlapping segments."""
-    size = min(size, len(x))
-    w = np.hanning(size)
-    starts = range(0, len(x) - size + 1, max(1, size // 2))
-    power = np.mean([np.abs(np.fft.rfft((x[s : s + size] - x[s : s + size].mean()) * w)) ** 2 for s in starts], axis=0)
-    return np.fft.rfftfreq(size, 1 / fs), power / (fs * (w * w).sum())
+def motion(acc: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
+    """Magnitude of the acceleration without gravity (its slow part), and its component along gravity. acc: samples x 3."""
+    slow = butterworth(4, 0.5, fs, "low")
+    g = np.stack([zero_phase(slow, acc[:, k]) for k in range(3)], axis=1)
+    free = acc - g
+    along = (free * g).sum(axis=1) / np.maximum(np.linalg.norm(g, axis=1), 1e-6)
+    return np.linalg.norm(free, axis=1), along
 
 
-def band_ratios(x: np.ndarray, fs: float, bands=((0.5, 3), (3, 8), (8, 20))) -> list[float]:
-    f, p = welch(x, fs)
-    total = p.sum()
-    return [float(p[(f >= a) & (f < b)].sum() / total) if total > 0 else 0.0 for a, b in bands]
+def prepare(resampled: DataFrame, fs: float = 100.0) -> DataFrame:
+    """pack_id, t_ms, event_id (the row's number), lin_mag, vz, bp_mag, bp_vz. resampled: pack_id, t_ms, ax, ay, az on a grid.
+
+    The filters run forward and backward over a whole recording, so a task holds one at a time.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t_ms")
+        mag, vz = motion(pdf[["ax", "ay", "az"]].fillna(0.0).to_numpy(float), fs)
+        return pd.DataFrame({"pack_id": key[0], "t_ms": pdf["t_ms"], "event_id": np.arange(len(pdf)), "lin_mag": mag, "vz": vz, "bp_mag": band_pass(mag, fs), "bp_vz": band_pass(vz, fs)})
+
+    return resampled.select("pack_id", "t_ms", "ax", "ay", "az").groupBy("pack_id").applyInPandas(run, "pack_id long, t_ms long, event_id long, lin_mag double, vz double, bp_mag double, bp_vz double")
+
+
+def band_energy(fs: float, low: tuple[float, float] = (1.0, 8.0), high: tuple[float, float] = (8.0, 20.0)):
+    """Pandas UDF over windows of at most 128 values: shares of spectral power in two bands (the upper end of the second included)."""
+
+    @F.pandas_udf("struct<energy_low:double,energy_high:double>")
+    def run(windows: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in windows:
+            x = np.asarray(x, float)
+            n = len(x)
+            power = np.abs(np.fft.rfft((x - x.mean()) * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)))) ** 2
+            power[1 : (n + 1) // 2] *= 2  # both sides, but for the mean and the highest of an even number
+            f = np.fft.rfftfreq(n, 1 / fs)
+            total = power.sum() or 1e-9
+            out.append((power[(f >= low[0]) & (f < low[1])].sum() / total, power[(f >= high[0]) & (f <= high[1])].sum() / total))
+        return pd.DataFrame(out, columns=["energy_low", "energy_high"])
+
+    return run
+
+
+def lowest_since_higher(x: list[float]) -> list[float]:
+    """For each value the lowest one since the last that was higher, in one pass with a stack."""
+    out, stack = [], []
+    for value in x:
+        low = value
+        while stack and stack[-1][0] <= value:
+            low = min(low, stack.pop()[1])
+        stack.append((value, low))
+        out.append(low)
+    return out
 
 
 def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
     """Height over the higher of the two lowest points on the way to higher ground."""
-    out = np.empty(len(peaks))
-    for i, p in enumerate(peaks):
-        left = np.flatnonzero(x[:p] > x[p])
-        right = np.flatnonzero(x[p + 1 :] > x[p])
-        a = left[-1] + 1 if len(left) else 0
-        z = p + 1 + right[0] if len(right) else len(x)
-        out[i] = x[p] - max(x[a : p + 1].min(), x[p:z].min())
-    return out
+    left, right = lowest_since_higher(x.tolist()), lowest_since_higher(x[::-1].tolist())[::-1]
+    return x[peaks] - np.maximum(np.array(left)[peaks], np.array(right)[peaks])
+
+
+def local_maxima(x: np.ndarray) -> np.ndarray:
+    """Middles of the flat tops that are higher than what is on either side."""
+    ends = np.flatnonzero(np.diff(x, append=np.nan) != 0)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    inner = (starts > 0) & (ends < len(x) - 1)
+    starts, ends = starts[inner], ends[inner]
+    top = (x[starts - 1] < x[starts]) & (x[ends + 1] < x[ends])
+    return (starts[top] + ends[top]) // 2
 
 
 def find_peaks(x: np.ndarray, height: np.ndarray, prominence: np.ndarray, distance: int) -> np.ndarray:
     """Local maxima by height, then distance (higher ones first), then prominence."""
-    p = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] >= x[2:])) + 1
+    p = local_maxima(x)
     p = p[x[p] >= height[p]]
     keep = np.ones(len(p), bool)
-    for i in np.argsort(x[p], kind="stable")[::-1]:
+    for i in np.argsort(x[p], kind="stable")[::-1].tolist():
         if keep[i]:
-            near = np.abs(p - p[i]) < distance
-            near[i] = False
-            keep &= ~near
+            for step in (-1, 1):
+                j = i + step
+                while 0 <= j < len(p) and abs(p[j] - p[i]) < distance:
+                    keep[j] = False
+                    j += step
     p = p[keep]
     return p[prominences(x, p) >= prominence[p]]
 
 
-def detect(resampled: DataFrame, fs: float = 100.0) -> DataFrame:
-    """pack_id, t_ms, height of peaks in the band-passed signal. resampled: pack_id, t_ms, hp on a grid."""
+def peaks(ready: DataFrame, fs: float = 100.0, k: float = v.NOISE_FACTOR, least: float = v.MIN_THRESHOLD, x: str = "bp_mag") -> DataFrame:
+    """pack_id, t_ms, event_id, and x at peaks well above the floor. ready: pack_id, t_ms, event_id, x, floor, in packs of one recording."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t_ms")
-        x = np.abs(band_pass(pdf["hp"].to_numpy(float), fs)) if len(pdf) > 16 else np.zeros(len(pdf))
-        w = max(8, int(3 * fs))
-        floor = pd.Series(np.abs(x)).rolling(w, center=True, min_periods=max(4, w // 4)).quantile(0.2).bfill().ffill().fillna(0.0).clip(lower=0.02).to_numpy()
-        p = find_peaks(x, np.maximum(1.2, 4 * floor), np.maximum(0.6, 2 * floor), max(1, int(0.04 * fs))) if len(x) > 2 else np.zeros(0, int)
-        t = pdf["t_ms"].to_numpy()[p]
-        first = np.diff(np.concatenate([[-np.inf], t.astype(float)])) >= 300
-        return pd.DataFrame({"pack_id": key[0], "t_ms": t[first], "height": x[p][first]})
-
-    return resampled.select("pack_id", "t_ms", "hp").groupBy("pack_id").applyInPandas(run, "pack_id long, t_ms long, height double")
+        pdf = pdf.sort_values(["t_ms", "event_id"])
+        y, floor = pdf[x].to_numpy(float), pdf["floor"].to_numpy(float)
+        p = find_peaks(y, np.maximum(least, k * floor), np.maximum(least / 2, k / 2 * floor), max(1, int(0.04 * fs))) if len(y) >= int(2 * fs) + 8 else np.zeros(0, int)
+        return pdf.iloc[p][["pack_id", "t_ms", "event_id", x]]
+
+    return ready.select("pack_id", "t_ms", "event_id", x, "floor").groupBy("pack_id").applyInPandas(run, f"pack_id long, t_ms long, event_id long, {x} double")
+
+
+def detect(resampled: DataFrame, fs: float = 100.0) -> DataFrame:
+    """pack_id, t_ms, height of events in the motion signal. resampled: pack_id, t_ms, ax, ay, az on a grid."""
+    ready = ts.centered_quantile_floor(prepare(resampled, fs), max(8, int(3 * fs)), x="bp_mag")
+    return ts.merge_peaks(peaks(ready, fs)).select("pack_id", "t_ms", F.col("bp_mag").alias("height"))

@@ -148,6 +148,7 @@ def window_features(rows: DataFrame, keys: list[str], x: str, fs: float) -> Data
         F.avg(F.pow("w", F.lit(3))).alias("m3"),
         F.avg(F.pow("w", F.lit(2))).alias("m2"),
         F.count_if(F.abs("w") > 0.3 * F.col("peak")).alias("over"),
+        F.sum(F.when(F.abs("w") > 0.3 * F.col("peak"), F.abs("w")).otherwise(0.0)).alias("active"),
         F.count_if("turn").alias("zero_crossings"),
         F.sum(F.when(F.col("w") > 0, F.col("w")).otherwise(0.0)).alias("up"),
         F.sum(F.when(F.col("w") < 0, -F.col("w")).otherwise(0.0)).alias("down"),
@@ -155,7 +156,7 @@ def window_features(rows: DataFrame, keys: list[str], x: str, fs: float) -> Data
     ok = (F.col("n") >= 8) & (F.col("peak") >= 1e-9)
     values = {
         "peak": F.col("peak"), "rms": F.col("rms"), "kurtosis": F.col("m4") / F.pow("m2", F.lit(2)), "skew": F.col("m3") / F.pow("m2", F.lit(1.5)),
-        "duration": F.col("over") / fs, "impulse": F.col("peak") / F.col("rms"), "zero_crossings": F.col("zero_crossings").cast("double"),
+        "duration": F.col("over") / fs, "impulse": F.col("active") / fs, "zero_crossings": F.col("zero_crossings").cast("double"),
         "asymmetry": F.when(F.col("down") <= 1e-6, 5.0).otherwise(F.col("up") / F.col("down")),
     }
     return agg.select(*keys, *[F.when(ok, x).alias(name) for name, x in values.items()])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as v
 from ..functions.scalar import refractory_ms, rnd, rule_class
-from ..operators import detector, ml, quality, spatial, spectral
+from ..operators import analysis, detector, ml, quality, spatial, spectral
 from ..operators import timeseries as ts
 from ..sources import adapters as a
 from .registry import query
@@ -134,20 +134,23 @@ def peak_merge(spark, d):
 FEATURES_SQL = """, i AS (SELECT *, row_number() OVER (PARTITION BY pack_id ORDER BY t_ms, event_id) - 1 AS i, count(*) OVER (PARTITION BY pack_id) AS n FROM samples),
 x AS (SELECT *, unnest(range(greatest(0, CAST(ceil((i - 15) / 8) AS BIGINT)), least(i // 8, (n - 16) // 8) + 1)) AS win FROM i WHERE n >= 16),
 w AS (SELECT *, hp - avg(hp) OVER (PARTITION BY pack_id, win) AS w FROM x), y AS (SELECT *, max(abs(w)) OVER (PARTITION BY pack_id, win) AS top, (w < 0) <> (lag(w) OVER (PARTITION BY pack_id, win ORDER BY t_ms, event_id) < 0) AS turn FROM w),
-k AS (SELECT pack_id, win AS "window", max(top) AS peak, sqrt(avg(w * w)) AS rms, avg(pow(w, 4)) / pow(avg(pow(w, 2)), 2) AS kurtosis, avg(pow(w, 3)) / pow(avg(pow(w, 2)), 1.5) AS skew, count(*) FILTER (WHERE abs(w) > 0.3 * top) / 10.0::DOUBLE AS duration,
+k AS (SELECT pack_id, win AS "window", max(top) AS peak, sqrt(avg(w * w)) AS rms, avg(pow(w, 4)) / pow(avg(pow(w, 2)), 2) AS kurtosis, avg(pow(w, 3)) / pow(avg(pow(w, 2)), 1.5) AS skew, count(*) FILTER (WHERE abs(w) > 0.3 * top) / 40.0::DOUBLE AS duration, coalesce(sum(abs(w)) FILTER (WHERE abs(w) > 0.3 * top), 0) / 40.0::DOUBLE AS impulse,
   CAST(count(*) FILTER (WHERE turn) AS DOUBLE) AS zero_crossings, sum(greatest(w, 0)) AS up, sum(greatest(-w, 0)) AS down FROM y GROUP BY pack_id, win)"""
+POWER_SQL = """, q AS (SELECT pack_id, win, j, w * (0.5 - 0.5 * cos(2 * pi() * j / 16)) AS h FROM (SELECT *, row_number() OVER (PARTITION BY pack_id, win ORDER BY t_ms, event_id) - 1 AS j FROM w)),
+z AS (SELECT pack_id, win, k, (pow(sum(h * cos(2 * pi() * k * j / 16)), 2) + pow(sum(h * sin(2 * pi() * k * j / 16)), 2)) * CASE WHEN k BETWEEN 1 AND 7 THEN 2 ELSE 1 END AS p FROM q, (SELECT unnest(range(0, 9)) AS k) GROUP BY pack_id, win, k),
+en AS (SELECT pack_id, win, sum(p) FILTER (WHERE k BETWEEN 1 AND 3) / sum(p) AS energy_low, sum(p) FILTER (WHERE k BETWEEN 4 AND 8) / sum(p) AS energy_high FROM z GROUP BY pack_id, win)"""
 
 
-@query(S + FEATURES_SQL + ' SELECT pack_id, "window", round(peak, 8) AS peak, round(rms, 8) AS rms, round(kurtosis, 8) AS kurtosis, round(skew, 8) AS skew, round(duration, 8) AS duration, round(peak / rms, 8) AS impulse, zero_crossings, round(CASE WHEN down <= 1e-6 THEN 5.0 ELSE up / down END, 8) AS asymmetry FROM k')
+@query(S + FEATURES_SQL + POWER_SQL + ' SELECT k.pack_id, "window", round(peak, 8) AS peak, round(rms, 8) AS rms, round(kurtosis, 8) AS kurtosis, round(skew, 8) AS skew, round(duration, 8) AS duration, round(impulse, 8) AS impulse, zero_crossings, round(CASE WHEN down <= 1e-6 THEN 5.0 ELSE up / down END, 8) AS asymmetry, round(energy_low, 8) AS energy_low, round(energy_high, 8) AS energy_high FROM k JOIN en ON en.pack_id = k.pack_id AND en.win = k."window"')
 def window_features(spark, d):
     w = ts.sliding_windows(a.samples(spark, d), 16, 8)
-    f = ts.window_features(w, ["pack_id", "window"], "hp", 10.0)
+    f = analysis.described(w, ["pack_id", "window"], "hp", 40.0)
     return f.select(F.col("pack_id"), F.col("window").cast("bigint").alias("window"), *[rnd(F.col(c), 8).alias(c) for c in f.columns[2:]])
 
 
 @query(S + FEATURES_SQL + """ SELECT pack_id, "window", CASE WHEN duration > 0.62 THEN '粗糙路面' WHEN duration >= 0.28 THEN '减速带' WHEN skew > 1 THEN '井盖' ELSE '坑洼' END AS kind FROM k""")
 def rule_classify(spark, d):
-    f = ts.window_features(ts.sliding_windows(a.samples(spark, d), 16, 8), ["pack_id", "window"], "hp", 10.0)
+    f = ts.window_features(ts.sliding_windows(a.samples(spark, d), 16, 8), ["pack_id", "window"], "hp", 40.0)
     return f.select("pack_id", F.col("window").cast("bigint").alias("window"), rule_class(F.col("duration"), F.col("skew")).alias("kind"))
 
 
@@ -242,19 +245,43 @@ def surrogate_events(spark, d):
 
 @query()
 def spectral_events(spark, d):
-    return spectral.detect(ts.resample(a.samples(spark, d), 10, ["hp"]))
+    return spectral.detect(ts.resample(a.raw_samples(spark, d), 10, ["ax", "ay", "az"]))
+
+
+@query()
+def analyze_events(spark, d):
+    """Raw samples to events with features, class, cluster and priority."""
+    return analysis.analyze(a.raw_samples(spark, d)).drop("event")
+
+
+@query()
+def analyze_summary(spark, d):
+    """Raw samples to the health index and the counts of every recording."""
+    found = analysis.summary(analysis.analyze(a.raw_samples(spark, d)))
+    return found.withColumns({c: F.to_json(c) for c in ("final_types", "prioritys")})
+
+
+def _windows(spark, d):
+    w = ts.sliding_windows(a.samples(spark, d), 64, 32).withColumn("window", F.col("window").cast("bigint"))
+    f = analysis.described(w, ["pack_id", "window"], "hp", 100.0).na.drop()
+    return f.join(ts.majority(w, ["pack_id", "window"], "label_raw", ["t_ms", "event_id"]), ["pack_id", "window"]), list(analysis.NAMES)
 
 
 @query()
 def rf_windows(spark, d):
-    w = ts.sliding_windows(a.samples(spark, d), 16, 8).withColumn("window", F.col("window").cast("bigint"))
-    f = ts.window_features(w, ["pack_id", "window"], "hp", 10.0).na.drop()
-    ready = f.join(ts.majority(w, ["pack_id", "window"], "label_raw", ["t_ms", "event_id"]), ["pack_id", "window"])
-    names = ["peak", "rms", "kurtosis", "skew", "duration", "impulse", "zero_crossings", "asymmetry"]
-    _, _, model = ml.train(ready, names, "label_raw", trees=10)
+    """Importances of a forest of 400 trees with balanced weights, as the reference setting has it."""
+    ready, names = _windows(spark, d)
+    _, _, model = ml.train(ready, names, "label_raw")
     return spark.createDataFrame(ml.importance(model, names), "feature string, importance double")
 
 
+@query()
+def rf_report(spark, d):
+    """Precision, recall and F1 of each label on held-out windows, and F1-macro over five folds."""
+    ready, names = _windows(spark, d)
+    return ml.report(ready, names, "label_raw", trees=50)
+
+
 @query(S + f" SELECT pack_id, round(avg(CASE WHEN abs(hp) > thr THEN 1.0 ELSE 0 END), 6) AS over_ratio FROM (SELECT *, {THR} AS thr FROM samples) GROUP BY pack_id")
 def over_threshold_ratio(spark, d):
     return quality.over_threshold(ts.noise_threshold(a.samples(spark, d), 0.8)).withColumn("over_ratio", rnd(F.col("over_ratio")))

@@ -47,6 +47,13 @@ def vision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.filter(has).select(F.col("event_id").alias("id"), "pack_id", "t_ms", pick(F.col("event_id"), VISION_LABELS).alias("vision_label"), ((F.col("event_id") % 50) / 100 + 0.45).alias("vision_conf"), pick(F.col("event_id"), WHYS).alias("vision_why"), F.when(F.col("event_id") % 11 > 0, F.col("lat")).alias("lat"), F.when(F.col("event_id") % 11 > 0, F.col("lon")).alias("lon"))
 
 
+def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accelerations as a phone gives them: gravity along the third axis, shaken by every thirtieth sample's value."""
+    s = samples(spark, sf_dir)
+    shaken = F.when(F.col("event_id") % 30 == 0, F.col("hp") * 2).otherwise(F.col("hp") / 20)
+    return s.select("pack_id", "event_id", "t_ms", (F.col("vz") / 20).alias("ax"), (F.col("vz") / -30).alias("ay"), (9.81 + shaken).alias("az"), "lat", "lon", "speed")
+
+
 def recording(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All samples as one recording, at about 60 samples a second for 100 000 of them."""
     return samples(spark, sf_dir, 1600).withColumn("pack_id", F.lit(0).cast("bigint"))
