@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], t: str, begin: Column, end: Column, bucket_ms: int, how: str = "inner") -> DataFrame:
     """Points within [begin, end] of spans with equal keys: an equality join on time buckets.
 
-    Columns of the two sides must differ but for the keys. For how="left" all spans stay.
+    Columns of the two sides must differ but for the keys. For how="left" all spans stay, those with nulls and repeated ones too.
     """
-    cut = spans.withColumn("__b", begin).withColumn("__e", end)
-    cut = cut.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("__b") / bucket_ms), F.floor(F.greatest("__b", "__e") / bucket_ms))))
+    if how == "left":
+        spans = cut(spans.withColumn("__span", F.monotonically_increasing_id()))
+    dealt = spans.withColumn("__b", begin).withColumn("__e", end)
+    dealt = dealt.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("__b") / bucket_ms), F.floor(F.greatest("__b", "__e") / bucket_ms))))
     placed = points.withColumn("__bucket", F.floor(F.col(t) / bucket_ms))
     inside = (F.col(t) >= F.col("__b")) & (F.col(t) <= F.col("__e"))
-    hits = cut.join(placed, [*keys, "__bucket"]).filter(inside).drop("__bucket", "__b", "__e")
+    hits = dealt.join(placed, [*keys, "__bucket"]).filter(inside).drop("__bucket", "__b", "__e")
     if how == "inner":
         return hits
-    own = spans.columns
-    extra = [c for c in points.columns if c not in keys]
-    return spans.join(hits.select(*own, *extra), own, "left")
+    alone = spans.join(hits.select("__span").distinct(), "__span", "left_anti")
+    return hits.unionByName(alone, allowMissingColumns=True).drop("__span")
 
 
 def align_greedy(imu: DataFrame, vision: DataFrame, tolerance_ms: int) -> DataFrame:
@@ -34,11 +39,17 @@ def align_greedy(imu: DataFrame, vision: DataFrame, tolerance_ms: int) -> DataFr
     def match(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         free = a.dropna(subset=["t_ms"]).sort_values("id")
         ids, times = free["id"].tolist(), free["t_ms"].tolist()
-        used, out = set(), []
+        # free events in order of time; those of one time in order of id
+        line = sorted(zip(times, range(len(ids))))
+        out = []
         for vid, t in b.dropna(subset=["t_ms"]).sort_values("id")[["id", "t_ms"]].itertuples(index=False):
-            best = min(((abs(x - t), i) for i, x in enumerate(times) if i not in used), default=None)
+            at = bisect_left(line, (t, -1))
+            near = [line[at]] if at < len(line) else []
+            if at:
+                near.append(line[bisect_left(line, (line[at - 1][0], -1))])
+            best = min(((abs(x - t), i, x) for x, i in near), default=None)
             if best and best[0] <= tolerance_ms:
-                used.add(best[1])
+                del line[bisect_left(line, (best[2], best[1]))]
                 out.append((key[0], vid, ids[best[1]]))
         return pd.DataFrame(out, columns=["pack_id", "vision_id", "imu_id"])
 
@@ -73,3 +84,27 @@ def tolerant_merge(real: DataFrame, replayed: DataFrame, tolerance_ms: int = 3)
         return pd.DataFrame([(key[0], matched, lost)], columns=["pack_id", "matched", "unmatched"])
 
     return real.select("pack_id", "t_ms").groupBy("pack_id").cogroup(replayed.select("pack_id", "t_ms").groupBy("pack_id")).applyInPandas(walk, "pack_id long, matched long, unmatched long")
+
+
+def sweep_findings(frames: DataFrame, sweeps: DataFrame, rank: Column, least: int = 2) -> DataFrame:
+    """Records of findings that only sweep frames show: id -1, -2, ... in file order within a pack, position and speed by time.
+
+    frames: pack_id, file, t_ms, label, conf, why; sweeps: pack_id, t_ms, lat, lon, speed_kmh, of which the last of a time counts.
+    """
+    only = frames.filter(rank >= least).withColumn("id", -F.row_number().over(Window.partitionBy("pack_id").orderBy("file")))
+    meta = sweeps.groupBy("pack_id", "t_ms").agg(F.max(F.struct("row", "lat", "lon", "speed_kmh")).alias("m")).select("pack_id", "t_ms", "m.lat", "m.lon", "m.speed_kmh")
+    made = only.join(meta, ["pack_id", "t_ms"], "left")
+    return made.select("pack_id", "id", F.lit("sweep").alias("source"), "t_ms", "lat", "lon", "speed_kmh", F.col("label").alias("vision_label"), F.round("conf", 3).alias("vision_conf"), F.col("why").alias("vision_why"), F.lit(1).alias("vision_frames"), F.col("file").alias("vision_driver_frame"), F.array("label").alias("vision_all_labels"))
+
+
+def in_segment(events: DataFrame, segments: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
+    """events with segment: by their own segment_id where that is a number, else the first segment that holds their time.
+
+    events: pack_id, id, t_ms, segment_id (text); segments: pack_id, segment_id (number), t_start_ms, t_end_ms.
+    """
+    named = F.col("segment_id").try_cast("bigint")
+    known = events.filter(named.isNotNull()).withColumn("segment", named)
+    open_ = events.filter(named.isNull())
+    spans = segments.select("pack_id", F.col("segment_id").alias("number"), F.col("t_start_ms").alias("from_ms"), F.col("t_end_ms").alias("to_ms"))
+    found = interval_join(open_.select("pack_id", "id", "t_ms"), spans, ["pack_id"], "t_ms", F.col("from_ms"), F.col("to_ms"), bucket_ms).groupBy("pack_id", "id").agg(F.min("number").alias("segment"))
+    return known.unionByName(open_.join(found, ["pack_id", "id"], "left"))

@@ -112,12 +112,15 @@ def pending(events: DataFrame, results: DataFrame) -> DataFrame:
     return events.join(done.select("event_id"), "event_id", "left_anti")
 
 
-def worst_of(findings: DataFrame, key: str = "event_id") -> DataFrame:
-    """The gravest, then surest finding of each event."""
+def severity_rank(label: Column) -> Column:
     from ..functions.scalar import lookup
 
-    rank = lookup(F.col("label"), {v.POTHOLE: 5, v.CRACK: 4, v.ROUGH: 3, v.MANHOLE: 2, v.MARKING: 1, v.FLAT: 0}, 0)
-    best = F.struct(rank.alias("s"), F.col("conf"), F.col("label"))
+    return lookup(label, {v.POTHOLE: 5, v.CRACK: 4, v.ROUGH: 3, v.MANHOLE: 2, v.MARKING: 1, v.FLAT: 0}, 0)
+
+
+def worst_of(findings: DataFrame, key: str = "event_id") -> DataFrame:
+    """The gravest, then surest finding of each event."""
+    best = F.struct(severity_rank(F.col("label")).alias("s"), F.col("conf"), F.col("label"))
     return findings.groupBy(key).agg(F.max(best).alias("m"), F.count(F.lit(1)).alias("frames")).select(key, F.col("m.label").alias("label"), F.col("m.conf").alias("conf"), "frames")
 
 

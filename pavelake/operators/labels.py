@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from .. import vocab as v
 
 CONFIDENCES = ("high", "mid", "low")
-SECRET = r"(sk-[A-Za-z0-9]{16,}|AKIA[0-9A-Z]{16}|(?i:api[_-]?key|token|secret|password)\s*[=:]\s*[\"']?[A-Za-z0-9_\-]{16,})"
+# fixed values: what looks like a secret, what may be published
+SECRET = r"(?i)(sk-[A-Za-z0-9]{16,}|AKID[A-Za-z0-9]{16,}|(?:api[_-]?key|secret|token|passwd|password)\s*[:=]\s*[\"']?[A-Za-z0-9_\-]{16,})"
+TEXT_FILES = r"(?i)\.(py|js|json|md|txt|html|yml|yaml|toml|ini|cfg|env|xml|csv)$"
+OPEN_LABELS = ("labels/schema.md", "labels/MANIFEST.csv", "labels/README.md")
+OUTPUT_FOLDERS = r"^(out|vis|fused|out_selftest|out_fused_selftest)/"
 LONGEST_LINE = 500
 
 
@@ -57,26 +61,48 @@ def overlay(base: DataFrame, extra: DataFrame) -> DataFrame:
 
 
 def leaks(files: DataFrame, path: str, text: str, pattern: str = SECRET) -> DataFrame:
-    """The first line with a secret of each file; over-long lines are not looked at."""
-    lines = files.select(path, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "body"))
-    hits = lines.filter((F.length("body") <= LONGEST_LINE) & F.col("body").rlike(pattern))
+    """The first line with a secret of each file; lines of more than LONGEST_LINE characters, their end included, are not looked at."""
+    parts = files.select(path, F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("parts"))
+    lines = parts.select(path, F.size("parts").alias("n"), F.posexplode("parts").alias("line", "body"))
+    ended = (F.col("line") < F.col("n") - 1).cast("int")
+    hits = lines.filter((F.length("body") + ended <= LONGEST_LINE) & F.col("body").rlike(pattern))
     return hits.groupBy(path).agg((F.min("line") + 1).cast("bigint").alias("line"))
 
 
+def scanned(path: Column) -> Column:
+    """Whether a file's text is looked at for secrets."""
+    return path.rlike(TEXT_FILES)
+
+
 def forbidden_path(path: Column) -> Column:
-    """Why a path may not be published, or null."""
-    return (
-        F.when(path.rlike(r"(?i)\.zip$") & ~path.startswith("examples/"), "zip outside examples")
-        .when(path.rlike(r"(^|/)golden/"), "golden labels")
-        .when(path.startswith("labels/") & ~path.rlike(r"^labels/(schema\.md|MANIFEST\.csv|README\.md)$"), "labels")
-        .when(path.rlike(r"(^|/)(out|outputs?)/"), "output folder")
-    )
+    """All reasons why a path may not be published; empty if it may."""
+    return F.array_compact(F.array(
+        F.when(path.rlike(r"(?i)\.zip$") & ~path.startswith("examples/"), "zip"),
+        F.when(path.startswith("labels/") & ~path.isin(*OPEN_LABELS), "labels"),
+        F.when(path.startswith("golden/"), "golden"),
+        F.when(path.rlike(OUTPUT_FOLDERS), "output"),
+    ))
 
 
 def kind_by_header(columns: list[str]) -> str:
-    if {"frame_id", "vision_label"} & set(columns):
-        return "frame"
-    return "event" if "event_id" in columns else "unknown"
+    """What an annotation file is of; a header of both kinds is one of events."""
+    if {"event_id", "imu_label"} & set(columns):
+        return "event"
+    return "frame" if {"frame_id", "vision_label"} & set(columns) else "unknown"
+
+
+def annotators(a: DataFrame, b: DataFrame, key: str = "event_id", truth: str = "truth_label") -> DataFrame:
+    """key, side (both, only_a, only_b), a, b: two annotators' labels beside each other; of a repeated key the last row by label counts."""
+    one = lambda df, name: df.filter(F.nullif(F.col(key).cast("string"), F.lit("")).isNotNull()).groupBy(key).agg(F.max(F.coalesce(F.trim(truth), F.lit(""))).alias(name))
+    both = one(a, "a").join(one(b, "b"), key, "full")
+    return both.select(key, F.when(F.col("b").isNull(), "only_a").when(F.col("a").isNull(), "only_b").otherwise("both").alias("side"), "a", "b")
+
+
+def register(manifest: DataFrame, packs: DataFrame) -> DataFrame:
+    """packs with registered: false where the manifest, or an earlier row of packs by order, has that pack_id already."""
+    first = F.row_number().over(Window.partitionBy("pack_id").orderBy("order")) == 1
+    known = manifest.select("pack_id").distinct().withColumn("known", F.lit(True))
+    return packs.withColumn("first", first).join(known, "pack_id", "left").withColumn("registered", F.col("first") & F.col("known").isNull()).drop("first", "known")
 
 
 def manifest(files: DataFrame) -> DataFrame:

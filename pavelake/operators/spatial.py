@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab as v
-from ..functions.scalar import haversine_m, plane_m, rnd, severity
+from ..functions.scalar import haversine_m, lookup, plane_m, priority, rnd, severity
 from .graph import components
 
 
@@ -73,20 +73,36 @@ def health_index(kind: Column, confirmations: Column, km: Column) -> Column:
     return 100 * F.exp(-density / v.HEALTH_K)
 
 
-def distance_m(samples: DataFrame, most_gap_ms: int = 5000) -> DataFrame:
-    """Trapezoid distance per pack from speed; invalid steps and long gaps count nothing."""
+def distance_m(samples: DataFrame, most_gap_ms: int = 5000, meta: DataFrame | None = None) -> DataFrame:
+    """Trapezoid distance per pack from speed; invalid steps and long gaps count nothing. Where no step counts, what `meta` (pack_id, distance_m) says."""
     w = Window.partitionBy("pack_id").orderBy("t_ms", "event_id")
     dt = F.col("t_ms") - F.lag("t_ms").over(w)
     metres = F.when((dt > 0) & (dt <= most_gap_ms), (F.col("speed") + F.lag("speed").over(w)) / 2 * dt / 1000)
-    return samples.withColumn("m", metres).groupBy("pack_id").agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("metres"))
+    known = samples.withColumn("m", metres).groupBy("pack_id").agg(F.sum("m").alias("m"))
+    if meta is None:
+        return known.select("pack_id", F.coalesce("m", F.lit(0.0)).alias("metres"))
+    return known.join(meta.select("pack_id", "distance_m"), "pack_id", "left").select("pack_id", F.coalesce("m", "distance_m", F.lit(0.0)).alias("metres"))
 
 
-def feature_collection(rows: DataFrame, properties: list[str]) -> DataFrame:
-    """One GeoJSON string: points with properties, ordered by id; for maps of bounded size."""
+def features(rows: DataFrame, properties: list[str]) -> DataFrame:
+    """id, feature: a GeoJSON Feature a row, which suits maps of any size (one feature a line)."""
     feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"), F.struct(*properties).alias("properties"))
     located = rows.filter("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col("id"), feature.alias("f")))), lambda x: x["f"])
-    return located.agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), ordered.alias("features"))).alias("geojson"))
+    return located.select("id", F.to_json(feature).alias("feature"))
+
+
+def feature_collection(rows: DataFrame, properties: list[str]) -> DataFrame:
+    """One GeoJSON string: points with properties, ordered by id; for maps of bounded size."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "feature"))), lambda x: x["feature"]), ",")
+    return features(rows, properties).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), body, F.lit("]}")).alias("geojson"))
+
+
+def cluster_features(clustered: DataFrame, digits: tuple[int, int, int] = (7, 2, 3)) -> DataFrame:
+    """Rows for a map of clusters: no single observation, only what they amount to. Digits of position, peak and duration."""
+    r = rollup(clustered, (digits[0], 12))
+    kind = F.coalesce("final_type", F.lit(v.OTHER))
+    base = lookup(kind, v.SCORE, 70)
+    return r.select(F.col("cluster").alias("id"), "lon", "lat", "cluster", kind.alias("kind"), "confirmations", F.round("peak", digits[1]).alias("max_peak"), F.round("duration", digits[2]).alias("mean_duration"), base.alias("severity_score"), priority(kind, F.col("confirmations")).alias("maintenance_priority"))
 
 
 def first_within(points: DataFrame, targets: DataFrame, metres: float) -> DataFrame:

@@ -8,6 +8,7 @@ from .. import vocab as v
 from ..functions.scalar import classical_image_rule, crack_kind, evidence_tier, feature_text, haversine_m, priority, rnd
 from ..operators import evaluate, fusion, image, joins, judge, labels, spatial
 from ..sources import adapters as a
+from ..sources import files
 from .registry import query
 
 I = "WITH " + a.IMU_SQL
@@ -140,21 +141,15 @@ def interval_slice(spark, d):
     return f.select("id", rnd(F.col("noise_floor")).alias("noise_floor"), rnd(F.col("crest")).alias("crest"), rnd(F.col("vz_pp")).alias("vz_pp"), "bump", rnd(F.col("post_ratio"), 8).alias("post_ratio"), evidence_tier(F.col("crest")).alias("tier"))
 
 
-@query(SLICE + """, o AS (SELECT *, CASE WHEN peak > 1e-9 THEN post / peak END AS ratio FROM f)
-SELECT id, md5(concat('IMU 证据（由确定性代码预计算，模型不得重新解读数值）：', chr(10), '- 证据强度：', CASE WHEN peak / noise_floor >= 8 THEN '强' WHEN peak / noise_floor >= 4 THEN '中' ELSE '弱' END, chr(10), format('- 持续时长：{} ms', duration_ms), chr(10),
-  CASE WHEN ratio IS NULL THEN '- 事件后持续位移：无有效数据' ELSE concat('- 事件后持续位移：', CASE WHEN ratio > 0.089 THEN '有' ELSE '无' END) END, chr(10), '- 算法自动标签：无')) AS digest FROM o""")
-def feature_block_digest(spark, d):
-    e, f = _features(spark, d)
-    j = e.select("id", "duration_ms").join(f, "id")
-    moved = F.when(F.col("post_ratio").isNull(), "- 事件后持续位移：无有效数据").otherwise(F.concat(F.lit("- 事件后持续位移："), F.when(F.col("post_ratio") > v.POST_RATIO, "有").otherwise("无")))
-    lines = F.concat_ws("\n", F.lit("IMU 证据（由确定性代码预计算，模型不得重新解读数值）："), F.concat(F.lit("- 证据强度："), evidence_tier(F.col("crest"))), F.format_string("- 持续时长：%d ms", "duration_ms"), moved, F.lit("- 算法自动标签：无"))
-    return j.select("id", F.md5(lines).alias("digest"))
-
-
-@query()
+@query(SLICE + """, o AS (SELECT *, CASE WHEN peak > 1e-9 THEN post / peak END AS ratio, peak / noise_floor AS crest, speed * 3.6 + 1e-7 AS kmh FROM f)
+SELECT id, concat('IMU 证据（由确定性代码预计算，模型不得重新解读数值）：', chr(10), '- 证据强度：', CASE WHEN crest >= 8 THEN '强' WHEN crest >= 4 THEN '中' ELSE '弱' END, chr(10), '- 持续时长：', duration_ms, ' ms', chr(10),
+  CASE WHEN vz_max IS NOT NULL THEN concat('- 垂直分量：', CASE WHEN abs(vz_max) > abs(vz_min) THEN '凸起' ELSE '凹陷' END, '（上下极值差 ', printf('%.1f', vz_max - vz_min + 1e-7), '）', chr(10)) ELSE '' END,
+  CASE WHEN ratio IS NULL THEN '- 事件后持续位移：无有效数据' ELSE concat('- 事件后持续位移：比值 ', printf('%.3f', ratio), CASE WHEN ratio > 0.089 THEN '（>0.089，含持续位移成分）' ELSE '' END) END, chr(10),
+  '- 记录时车速：', printf('%.1f', kmh), ' km/h；低速标记：', CASE WHEN kmh < 8 THEN '是' ELSE '否' END, chr(10), '- 算法自动标签：无（供对照，不供采信）') AS block FROM o""")
 def feature_block(spark, d):
+    """The text as it is; values that would lie halfway between two printed ones are moved by 1e-7 beforehand."""
     e, f = _features(spark, d)
-    j = e.select("id", "duration_ms", (F.col("speed") * 3.6).alias("speed_kmh")).join(f, "id")
+    j = e.select("id", "duration_ms", (F.col("speed") * 3.6 + 1e-7).alias("speed_kmh")).join(f, "id").withColumn("vz_pp", F.col("vz_pp") + 1e-7)
     fields = {k: F.col(k) for k in ("crest", "duration_ms", "bump", "vz_pp", "post_ratio", "speed_kmh")} | {"low_speed": F.col("speed_kmh") < 8, "auto_label": F.lit("")}
     return j.select("id", feature_text(fields).alias("block"))
 
@@ -281,17 +276,39 @@ def adjudication_overlay(spark, d):
     return labels.overlay(base, extra)
 
 
-@query(r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line, unnest(string_split(coalesce(text, ''), chr(10))) AS body FROM documents)
-SELECT doc_id, CAST(min(line) AS BIGINT) AS line FROM l WHERE length(body) <= 500 AND regexp_matches(body, '(sk-[A-Za-z0-9]{16,}|AKIA[0-9A-Z]{16}|(?i:api[_-]?key|token|secret|password)\s*[=:]\s*["'']?[A-Za-z0-9_\-]{16,})') GROUP BY doc_id""")
+@query(r"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents), l AS (SELECT doc_id, len(parts) AS n, generate_subscripts(parts, 1) AS line, unnest(parts) AS body FROM d)
+SELECT doc_id, CAST(min(line) AS BIGINT) AS line FROM l WHERE length(body) + CASE WHEN line < n THEN 1 ELSE 0 END <= 500
+  AND regexp_matches(body, '(sk-[a-z0-9]{16,}|akid[a-z0-9]{16,}|(api[_-]?key|secret|token|passwd|password)\\s*[:=]\\s*["'']?[a-z0-9_-]{16,})', 'i') GROUP BY doc_id""".replace("\\\\", "\\"))
 def leak_guard(spark, d):
     return labels.leaks(a.table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("WITH p AS (SELECT concat((['examples','labels','data','golden','out'])[CAST(page_id % 5 + 1 AS INT)], '/', page_id, (['.zip','.csv','.md'])[CAST(page_id % 3 + 1 AS INT)]) AS path FROM pages) SELECT path, CASE WHEN path LIKE '%.zip' AND path NOT LIKE 'examples/%' THEN 'zip outside examples' WHEN path LIKE 'golden/%' THEN 'golden labels' WHEN path LIKE 'labels/%' THEN 'labels' WHEN path LIKE 'out/%' THEN 'output folder' END AS reason FROM p")
+GUARDED = "WITH p AS (SELECT concat((['examples','labels','data','golden','out','vis','x/golden','fused','Out','labels'])[CAST(page_id % 10 + 1 AS INT)], '/', CASE WHEN page_id % 20 = 9 THEN 'schema.md' WHEN page_id % 20 = 19 THEN 'MANIFEST.csv' ELSE concat(page_id, (['.zip','.csv','.ZIP','.jpg'])[CAST(page_id % 4 + 1 AS INT)]) END) AS path FROM pages)"
+
+
+@query(GUARDED + """ SELECT path, array_to_string(list_filter([CASE WHEN lower(path) LIKE '%.zip' AND NOT starts_with(path, 'examples/') THEN 'zip' END, CASE WHEN starts_with(path, 'labels/') AND path NOT IN ('labels/schema.md', 'labels/MANIFEST.csv', 'labels/README.md') THEN 'labels' END,
+CASE WHEN starts_with(path, 'golden/') THEN 'golden' END, CASE WHEN split_part(path, '/', 1) IN ('out', 'vis', 'fused', 'out_selftest', 'out_fused_selftest') THEN 'output' END], lambda x: x IS NOT NULL), ',') AS reasons, lower(path) LIKE '%.csv' OR lower(path) LIKE '%.md' AS scanned FROM p""")
 def publish_guard(spark, d):
     i = F.col("page_id")
-    path = F.concat(a.pick(i, ("examples", "labels", "data", "golden", "out")), F.lit("/"), i.cast("string"), a.pick(i, (".zip", ".csv", ".md")))
-    return a.table(spark, d, "pages").select(path.alias("path")).withColumn("reason", labels.forbidden_path(F.col("path")))
+    name = F.when(i % 20 == 9, "schema.md").when(i % 20 == 19, "MANIFEST.csv").otherwise(F.concat(i.cast("string"), a.pick(i, (".zip", ".csv", ".ZIP", ".jpg"))))
+    path = F.concat(a.pick(i, ("examples", "labels", "data", "golden", "out", "vis", "x/golden", "fused", "Out", "labels")), F.lit("/"), name)
+    p = a.table(spark, d, "pages").select(path.alias("path"))
+    return p.select("path", F.array_join(labels.forbidden_path(F.col("path")), ",").alias("reasons"), labels.scanned(F.col("path")).alias("scanned"))
+
+
+@query(LABELLED + """, x AS (SELECT event_id, truth_label AS a FROM l WHERE event_id % 5 > 0), y AS (SELECT event_id, imu_label AS b FROM l WHERE event_id % 3 > 0)
+SELECT coalesce(x.event_id, y.event_id) AS event_id, CASE WHEN y.event_id IS NULL THEN 'only_a' WHEN x.event_id IS NULL THEN 'only_b' ELSE 'both' END AS side, a, b FROM x FULL JOIN y ON x.event_id = y.event_id""")
+def annotator_overlap(spark, d):
+    l = _labels(spark, d)
+    return labels.annotators(l.filter("event_id % 5 > 0"), l.filter("event_id % 3 > 0").select("event_id", F.col("imu_label").alias("truth_label")))
+
+
+@query(I + """, p AS (SELECT id AS "order", pack_id * 10 + id % 7 AS pack_id FROM imu), m AS (SELECT DISTINCT pack_id * 10 AS pack_id FROM imu WHERE pack_id % 2 = 0)
+SELECT p.pack_id, "order", "order" = min("order") OVER (PARTITION BY p.pack_id) AND m.pack_id IS NULL AS registered FROM p LEFT JOIN m USING (pack_id)""")
+def pack_registration(spark, d):
+    i = a.imu_events(spark, d)
+    known = i.filter("pack_id % 2 = 0").select((F.col("pack_id") * 10).alias("pack_id"))
+    return labels.register(known, i.select((F.col("pack_id") * 10 + F.col("id") % 7).alias("pack_id"), F.col("id").alias("order")))
 
 
 @query(I + ", m AS (SELECT pack_id, count(*) AS events, count(*) FILTER (WHERE label <> '') AS labelled FROM imu WHERE pack_id % 3 <> 1 OR label = '' GROUP BY pack_id) SELECT *, CASE WHEN labelled = 0 THEN 'todo' WHEN labelled < events THEN 'wip' ELSE 'done' END AS label_status FROM m")
@@ -394,7 +411,7 @@ def attention_summary(spark, d):
     return judge.attention(r)
 
 
-FRAMES = IV + """, f AS (SELECT i.id AS event_id, i.t_ms AS t0, s.t_ms FROM imu i JOIN samples s ON s.pack_id = i.pack_id AND s.t_ms BETWEEN i.t_ms - 1200 AND i.t_ms AND s.event_id % 7 = 0), u AS (SELECT DISTINCT event_id, t_ms, t_ms - t0 AS off FROM f),
+FRAMES = IV + """, f AS (SELECT i.id AS event_id, i.t_ms AS t0, s.t_ms FROM imu i JOIN samples s ON s.pack_id = i.pack_id AND s.t_ms BETWEEN i.t_ms - 1200 AND i.t_ms), u AS (SELECT DISTINCT event_id, t_ms, t_ms - t0 AS off FROM f),
 a1 AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY abs(off + 400), off) AS n FROM u), p AS (SELECT * FROM a1 WHERE n = 1), u2 AS (SELECT u.* FROM u JOIN p ON u.event_id = p.event_id AND u.t_ms <> p.t_ms),
 b1 AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY abs(off), off) AS n FROM u2), q AS (SELECT * FROM b1 WHERE n = 1), u3 AS (SELECT u2.* FROM u2 JOIN q ON u2.event_id = q.event_id AND u2.t_ms <> q.t_ms),
 c AS (SELECT p.event_id, coalesce((SELECT max(off) FROM u3 WHERE u3.event_id = p.event_id), (SELECT max(off) FROM u WHERE u.event_id = p.event_id)) AS off FROM p)"""
@@ -402,7 +419,7 @@ c AS (SELECT p.event_id, coalesce((SELECT max(off) FROM u3 WHERE u3.event_id = p
 
 def _frames(spark, d):
     e = a.imu_events(spark, d).select(F.col("id").alias("event_id"), "pack_id", F.col("t_ms").alias("t0_ms"))
-    s = a.samples(spark, d).filter("event_id % 7 = 0").select("pack_id", "t_ms")
+    s = a.samples(spark, d).select("pack_id", "t_ms")
     return joins.interval_join(s, e, ["pack_id"], "t_ms", F.col("t0_ms") - 1200, F.col("t0_ms"), 1200)
 
 
@@ -459,8 +476,54 @@ def type_counts(spark, d):
     return fusion.merge(a.imu_events(spark, d), a.vision(spark, d)).groupBy("final").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("conf"), 3).alias("conf"))
 
 
-@query(FUSED + " SELECT count(*) AS features FROM fused WHERE lat IS NOT NULL AND final NOT IN ('平路', '误报', '未知', '重复观测')")
+@query(FUSED.replace("coalesce(ilat, vlat) AS lat FROM r", "coalesce(ilat, vlat) AS lat, coalesce(ilon, vlon) AS lon FROM r").replace("v.lat AS vlat FROM imu", "v.lat AS vlat, i.lon AS ilon, v.lon AS vlon FROM imu")
+  + " SELECT id, 'Point' AS kind, round(lon, 6) AS lon, round(lat, 6) AS lat, final, conf, rule, imu FROM fused WHERE lat IS NOT NULL AND lon IS NOT NULL AND final NOT IN ('平路', '误报', '未知', '重复观测')")
 def geojson_features(spark, d):
+    """What the collection holds, read back from its text."""
     f = fusion.merge(a.imu_events(spark, d), a.vision(spark, d)).filter(~F.col("final").isin(v.FLAT, v.FALSE_ALARM, v.UNKNOWN, v.REPEATED))
-    g = spatial.feature_collection(f, ["id", "final", "conf", "rule"])
-    return g.select(F.size(F.from_json("geojson", "type string, features array<struct<type:string>>")["features"]).cast("bigint").alias("features"))
+    g = spatial.feature_collection(f, ["id", "final", "conf", "rule", "imu"])
+    shape = "type string, features array<struct<type:string,geometry:struct<type:string,coordinates:array<double>>,properties:struct<id:bigint,final:string,conf:double,rule:string,imu:string>>>"
+    e = g.select(F.explode(F.from_json("geojson", shape)["features"]).alias("f"))
+    return e.select("f.properties.id", F.col("f.geometry.type").alias("kind"), rnd(F.col("f.geometry.coordinates")[0]).alias("lon"), rnd(F.col("f.geometry.coordinates")[1]).alias("lat"), "f.properties.final", "f.properties.conf", "f.properties.rule", "f.properties.imu")
+
+
+@query(CLUSTERS + """, k AS (SELECT cluster, final_type, count(*) AS n, min(id) AS first FROM c GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, first) AS place FROM k),
+g AS (SELECT c.cluster, any_value(o.final_type) AS kind, count(*) AS confirmations, round(avg(lon), 7) AS lon, round(avg(lat), 7) AS lat, round(max(peak), 6) AS max_peak, round(avg(duration), 6) AS mean_duration FROM c JOIN o ON c.cluster = o.cluster AND place = 1 GROUP BY c.cluster)
+SELECT cluster, kind, confirmations, round(lon, 6) AS lon, round(lat, 6) AS lat, max_peak, mean_duration, CAST(CASE kind WHEN '坑洼' THEN 35 WHEN '减速带' THEN 70 WHEN '井盖' THEN 65 WHEN '粗糙路面' THEN 55 ELSE 70 END AS BIGINT) AS severity_score,
+CASE WHEN kind = '坑洼' OR (confirmations >= 3 AND kind IN ('粗糙路面', '井盖')) THEN '高' WHEN kind IN ('粗糙路面', '井盖') THEN '中' ELSE '低' END AS maintenance_priority FROM g""")
+def cluster_geojson(spark, d):
+    rows = spatial.cluster_features(spatial.cluster(a.imu_events(spark, d), NEAR_M), (7, 6, 6))
+    lines = spatial.features(rows, ["cluster", "kind", "confirmations", "max_peak", "mean_duration", "severity_score", "maintenance_priority"])
+    e = lines.select(F.from_json("feature", "geometry struct<coordinates:array<double>>, properties struct<cluster:bigint,kind:string,confirmations:bigint,max_peak:double,mean_duration:double,severity_score:bigint,maintenance_priority:string>").alias("f"))
+    return e.select("f.properties.*", rnd(F.col("f.geometry.coordinates")[0]).alias("lon"), rnd(F.col("f.geometry.coordinates")[1]).alias("lat"))
+
+
+@query(IV + """, f AS (SELECT id, pack_id, t_ms, concat('sweep_t', t_ms, '_', id) AS file, vision_label AS label, vision_conf AS conf, CASE vision_label WHEN '坑洼' THEN 5 WHEN '裂缝' THEN 4 WHEN '粗糙路面' THEN 3 WHEN '井盖' THEN 2 WHEN '标线' THEN 1 ELSE 0 END AS rank FROM vision),
+s AS (SELECT pack_id, t_ms, event_id AS row, lat, lon, speed * 3.6 AS speed_kmh FROM samples WHERE event_id % 2 = 0), m AS (SELECT pack_id, t_ms, arg_max(lat, row) AS lat, arg_max(lon, row) AS lon, arg_max(speed_kmh, row) AS speed_kmh FROM s GROUP BY ALL)
+SELECT f.pack_id, -row_number() OVER (PARTITION BY f.pack_id ORDER BY file) AS id, f.t_ms, round(lat, 6) AS lat, round(lon, 6) AS lon, round(speed_kmh, 6) AS speed_kmh, label AS vision_label, round(conf, 3) AS vision_conf, file AS vision_driver_frame FROM f LEFT JOIN m ON m.pack_id = f.pack_id AND m.t_ms = f.t_ms WHERE rank >= 2""")
+def sweep_findings(spark, d):
+    f = a.vision(spark, d).select("pack_id", "t_ms", F.concat(F.lit("sweep_t"), F.col("t_ms").cast("string"), F.lit("_"), F.col("id").cast("string")).alias("file"), F.col("vision_label").alias("label"), F.col("vision_conf").alias("conf"), F.col("vision_why").alias("why"))
+    s = a.samples(spark, d).filter("event_id % 2 = 0").select("pack_id", "t_ms", F.col("event_id").alias("row"), "lat", "lon", (F.col("speed") * 3.6).alias("speed_kmh"))
+    found = joins.sweep_findings(f, s, judge.severity_rank(F.col("label")))
+    return found.select("pack_id", F.col("id").cast("bigint").alias("id"), "t_ms", rnd(F.col("lat")).alias("lat"), rnd(F.col("lon")).alias("lon"), rnd(F.col("speed_kmh")).alias("speed_kmh"), "vision_label", "vision_conf", "vision_driver_frame")
+
+
+@query(I + """, e AS (SELECT pack_id, id, t_ms, CASE WHEN id % 3 = 0 THEN CAST(id % 5 AS VARCHAR) WHEN id % 3 = 1 THEN 'none' END AS segment_id FROM imu), s AS (SELECT pack_id, x AS segment_id, x * 3000 AS t0, x * 3000 + 2500 AS t1 FROM (SELECT DISTINCT pack_id FROM imu), (SELECT unnest(range(0, 6)) AS x))
+SELECT id, coalesce(TRY_CAST(e.segment_id AS BIGINT), (SELECT min(s.segment_id) FROM s WHERE s.pack_id = e.pack_id AND e.t_ms BETWEEN t0 AND t1)) AS segment FROM e""")
+def segment_by_id(spark, d):
+    e = a.imu_events(spark, d).select("pack_id", "id", "t_ms", F.when(F.col("id") % 3 == 0, (F.col("id") % 5).cast("string")).when(F.col("id") % 3 == 1, "none").alias("segment_id"))
+    x = e.select("pack_id").distinct().withColumn("segment_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint"))))
+    s = x.select("pack_id", "segment_id", (F.col("segment_id") * 3000).alias("t_start_ms"), (F.col("segment_id") * 3000 + 2500).alias("t_end_ms"))
+    return joins.in_segment(e, s, 3000).select("id", "segment")
+
+
+@query(IV + """, r AS (SELECT pack_id, CASE WHEN id % 10 = 0 THEN concat('x', id) WHEN id % 10 <> 1 THEN CAST(id AS VARCHAR) END AS id, nullif(vision_label, '') AS label, CASE WHEN id % 4 > 0 THEN vision_conf END AS conf, vision_why AS why, CASE WHEN id % 3 > 0 THEN id % 7 END AS frames, CASE WHEN id % 2 = 0 THEN 'sweep' END AS source, lat, t_ms FROM vision)
+SELECT pack_id, TRY_CAST(id AS BIGINT) AS id, label, round(conf, 6) AS conf, why, CAST(coalesce(frames, 0) AS BIGINT) AS frames, coalesce(source, 'event') AS source, round(lat, 6) AS lat, CAST(t_ms AS DOUBLE) AS t_ms FROM r WHERE TRY_CAST(id AS BIGINT) IS NOT NULL""")
+def vision_json(spark, d):
+    w, i = a.vision(spark, d), F.col("id")
+    e = F.struct(
+        F.when(i % 10 == 0, F.concat(F.lit("x"), i.cast("string"))).when(i % 10 != 1, i.cast("string")).alias("id"), F.nullif("vision_label", F.lit("")).alias("vision_label"), F.when(i % 4 > 0, F.col("vision_conf")).alias("vision_conf"), "vision_why",
+        F.when(i % 3 > 0, i % 7).alias("vision_frames"), F.when(i % 2 == 0, "sweep").alias("source"), "lat", "lon", "t_ms")
+    docs = w.groupBy("pack_id").agg(F.to_json(F.struct(F.collect_list(e).alias("events"))).alias("body"))
+    r = files.load_vision(docs)
+    return r.select("pack_id", "id", "label", rnd(F.col("conf")).alias("conf"), "why", F.col("frames").cast("bigint").alias("frames"), "source", rnd(F.col("lat")).alias("lat"), "t_ms")

@@ -189,19 +189,41 @@ def trapezoid_distance(spark, d):
     return spatial.distance_m(a.samples(spark, d)).select("pack_id", rnd(F.col("metres")).alias("metres"))
 
 
+@query(S + """, g AS (SELECT pack_id, t_ms - lag(t_ms) OVER w AS dt, (speed + lag(speed) OVER w) / 2 AS v FROM samples WHERE pack_id % 3 > 0 WINDOW w AS (PARTITION BY pack_id ORDER BY t_ms, event_id)), m AS (SELECT DISTINCT pack_id, pack_id * 10.0 AS d FROM samples WHERE pack_id % 4 > 0)
+SELECT g.pack_id, round(coalesce(sum(CASE WHEN dt > 0 AND dt <= 20 THEN v * dt / 1000 END), any_value(m.d), 0), 6) AS metres FROM g LEFT JOIN m ON m.pack_id = g.pack_id GROUP BY g.pack_id""")
+def distance_fallback(spark, d):
+    """Steps above 20 ms count nothing here, so that some recordings fall back to their metadata."""
+    s = a.samples(spark, d)
+    meta = s.filter("pack_id % 4 > 0").select("pack_id").distinct().withColumn("distance_m", F.col("pack_id") * 10.0)
+    return spatial.distance_m(s.filter("pack_id % 3 > 0"), 20, meta).select("pack_id", rnd(F.col("metres")).alias("metres"))
+
+
+@query(S + """, g AS (SELECT pack_id, t_ms, label_raw, t_ms - lag(t_ms) OVER (PARTITION BY pack_id ORDER BY t_ms, event_id) AS dt FROM samples), l AS (SELECT pack_id, list_sort(list(dt) FILTER (WHERE dt > 0)) AS steps FROM g GROUP BY pack_id)
+SELECT g.pack_id, count(*) AS samples, round((max(t_ms) - min(t_ms)) / 1000, 6) AS duration_s, round(any_value(1000 / steps[len(steps) // 2 + 1]), 6) AS fs_hz, count(*) FILTER (WHERE label_raw = 'error') AS event_count, count(*) FILTER (WHERE label_raw = 'view') AS sweep_count FROM g JOIN l ON l.pack_id = g.pack_id GROUP BY g.pack_id""")
+def pack_probe(spark, d):
+    """What a registry may know of a recording; positions are never read."""
+    s = a.samples(spark, d).select("pack_id", "event_id", "t_ms", "label_raw")
+    counts = s.groupBy("pack_id").agg(F.count(F.lit(1)).alias("samples"), rnd((F.max("t_ms") - F.min("t_ms")) / 1000).alias("duration_s"), F.count_if(F.col("label_raw") == "error").alias("event_count"), F.count_if(F.col("label_raw") == "view").alias("sweep_count"))
+    return counts.join(ts.source_rate(s).select("pack_id", rnd(F.col("fs_upper")).alias("fs_hz")), "pack_id")
+
+
 @query(S + """, r AS (SELECT *, count(*) OVER (PARTITION BY pack_id) AS n, row_number() OVER (PARTITION BY pack_id ORDER BY t_ms, event_id) - 1 AS i FROM samples)
 SELECT pack_id, event_id, i FROM r WHERE i % greatest(1, CAST(ceil(n / 48) AS BIGINT)) = 0""")
 def waveform_stride(spark, d):
     return ts.stride(a.samples(spark, d)).select("pack_id", "event_id", F.col("i").cast("bigint").alias("i"))
 
 
-@query(S + """ SELECT pack_id, count(*) AS n, round(min(hp), 6) AS lo, round(max(hp), 6) AS hi, round(avg(hp), 6) AS mean, round(stddev_pop(hp), 6) AS sd, round(avg(CASE WHEN speed >= 8 / 3.6 THEN 1.0 ELSE 0 END), 6) AS moving,
-round((max(lat) - min(lat)) * 110540, 6) AS north_m, round((max(lon) - min(lon)) * 111320 * cos(radians(avg(lat))), 6) AS east_m FROM samples GROUP BY pack_id""")
+CHANNELS = ("hp", "vz", "speed")
+
+
+@query(S + """, g AS (SELECT *, t_ms - lag(t_ms) OVER (PARTITION BY pack_id ORDER BY event_id) AS dt FROM samples) SELECT pack_id, count(*) AS n, """ + ", ".join(f"round(min({c}), 6) AS {c}_min, round(max({c}), 6) AS {c}_max, round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_std" for c in CHANNELS) + """,
+round(median(dt), 6) AS dt_median, max(dt) AS dt_max, coalesce(min(dt), 1) > 0 AS monotonic, round(avg(CASE WHEN speed >= 8 / 3.6 THEN 1.0 ELSE 0 END), 6) AS moving, round((max(lat) - min(lat)) * 110540, 6) AS north_m, round((max(lon) - min(lon)) * 111320 * cos(radians(avg(lat))), 6) AS east_m FROM g GROUP BY pack_id""")
 def pack_profile(spark, d):
-    m = a.samples(spark, d).groupBy("pack_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("hp").alias("lo"), F.max("hp").alias("hi"), F.avg("hp").alias("mean"), F.stddev_pop("hp").alias("sd"), F.avg((F.col("speed") >= v.GATE_MS).cast("double")).alias("moving"),
-        ((F.max("lat") - F.min("lat")) * v.LAT_M).alias("north_m"), ((F.max("lon") - F.min("lon")) * v.LON_M * F.cos(F.radians(F.avg("lat")))).alias("east_m"))
-    return m.select("pack_id", "n", *[rnd(F.col(c)).alias(c) for c in m.columns[2:]])
+    s = a.samples(spark, d).withColumn("dt", F.col("t_ms") - F.lag("t_ms").over(ts.in_time(["event_id"])))
+    by = [rnd(f(c)).alias(f"{c}_{name}") for c in CHANNELS for name, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_pop))]
+    return s.groupBy("pack_id").agg(
+        F.count(F.lit(1)).alias("n"), *by, rnd(F.median("dt")).alias("dt_median"), F.max("dt").alias("dt_max"), F.coalesce(F.bool_and(F.col("dt") > 0), F.lit(True)).alias("monotonic"), rnd(F.avg((F.col("speed") >= v.GATE_MS).cast("double"))).alias("moving"),
+        rnd((F.max("lat") - F.min("lat")) * v.LAT_M).alias("north_m"), rnd((F.max("lon") - F.min("lon")) * v.LON_M * F.cos(F.radians(F.avg("lat")))).alias("east_m"))
 
 
 @query(S + """, v AS (SELECT unnest([2.0::DOUBLE, 3.0::DOUBLE, 4.0::DOUBLE, 5.0::DOUBLE, 6.0::DOUBLE]) AS k), n AS (SELECT *, sqrt(avg(hp * hp) OVER (PARTITION BY pack_id ORDER BY t_ms RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW)) AS rms FROM samples),

@@ -19,6 +19,7 @@ SPECIFIC = tuple(x for x in TRUTHS if x not in (BLOCKED, FLAT, MARKING))
 # fixed values: severity of a finding and base priority
 SEVERITY = {POTHOLE: 3.0, BUMP: 1.2, MANHOLE: 1.5, ROUGH: 2.0, OTHER: 0.8, FLAT: 0.0}
 UNKNOWN_SEVERITY = 0.8
+SCORE = {POTHOLE: 35, BUMP: 70, MANHOLE: 65, ROUGH: 55, OTHER: 75, FLAT: 100}
 PRIORITY = {POTHOLE: "高", ROUGH: "中", MANHOLE: "中", BUMP: "低", OTHER: "低"}
 
 # fixed values: detector
