@@ -9,16 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BACKENDS: dict[str, Callable] = {}
-
-
-def register_backend(name: str, backend: Callable) -> None:
-    """Plug in a detector: a pandas UDF from image bytes to struct<label, conf>."""
-    _BACKENDS[name] = backend
-
-
-def backend(name: str) -> Callable:
-    return _BACKENDS[name]
+def detected(frames: DataFrame, backend: Column, keys: list[str], rank: Callable[[Column], Column]) -> DataFrame:
+    """Frames judged by a plugged-in detector: `backend` is a pandas UDF over a frame's pixels that gives array<struct<code,conf>>."""
+    return best_detection(frames.select(*keys, F.explode_outer(backend).alias("d")).select(*keys, "d.code", "d.conf"), keys, rank)
 
 
 def raster_stats(pixels: Column) -> Column:
@@ -41,44 +34,180 @@ def laplacian_variance(pixels: Column, width: int, height: int) -> Column:
     return total(lambda x: x * x) / n - mean * mean
 
 
-def crop_road(image: np.ndarray, top: float = 0.35, sides: float = 0.08) -> np.ndarray:
+# fixed values: geometry and limits of the road features
+ROI_TOP, ROI_SIDE, SIZE, LIGHT_SIGMA, DARK_DROP, LEAST_BLOB, BLACK_HAT, EDGES = 0.35, 0.08, (320, 240), 15.0, 0.15, 60, 28, (20, 60)
+
+
+def gray_of(bgr: np.ndarray) -> np.ndarray:
+    return np.floor(bgr[..., 0] * 0.114 + bgr[..., 1] * 0.587 + bgr[..., 2] * 0.299 + 0.5)
+
+
+def overlaps(n: int, m: int) -> np.ndarray:
+    """m x n weights: the share of each of n old cells in each of m new ones of the same line."""
+    edges = np.arange(m + 1) * n / m
+    cells = np.arange(n)
+    share = np.minimum(edges[1:, None], cells + 1) - np.maximum(edges[:-1, None], cells)
+    return np.clip(share, 0, None) * m / n
+
+
+def area_resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Every new pixel is the mean of the area it covers."""
+    y, x = overlaps(image.shape[0], height), overlaps(image.shape[1], width)
+    return np.einsum("ij,jk...,lk->il...", y, image, x, optimize=True)
+
+
+def crop_road(image: np.ndarray, top: float = ROI_TOP, sides: float = ROI_SIDE) -> np.ndarray:
+    """The lower middle of a frame, where the road is."""
+    h, w = image.shape[:2]
+    x = int(w * sides)
+    return image[int(h * top) :, x : w - x] if h and w - 2 * x > 0 else image
+
+
+def lower_middle(image: np.ndarray, share: float) -> np.ndarray:
+    """`share` of the height and width, at the bottom and in the middle."""
     h, w = image.shape[:2]
-    return image[int(h * top) :, int(w * sides) : w - int(w * sides)]
+    c = min(max(share, 0.1), 1.0)
+    ch, cw = int(h * c), int(w * c)
+    return image[h - ch :, (w - cw) // 2 : (w - cw) // 2 + cw]
+
+
+def mirrored(i: np.ndarray, n: int) -> np.ndarray:
+    """Places beyond the ends turned back at the outermost pixel."""
+    if n == 1:
+        return np.zeros_like(i)
+    i = np.abs(i) % (2 * n - 2)
+    return np.where(i >= n, 2 * n - 2 - i, i)
+
+
+def smoothing(kernel: np.ndarray, n: int) -> np.ndarray:
+    """n x n matrix of a symmetric kernel with mirrored ends."""
+    r = len(kernel) // 2
+    out = np.zeros((n, n))
+    for k, weight in zip(range(-r, r + 1), kernel):
+        np.add.at(out, (np.arange(n), mirrored(np.arange(n) + k, n)), weight)
+    return out
 
 
 def blur(image: np.ndarray, sigma: float) -> np.ndarray:
-    r = max(1, int(3 * sigma + 0.5))
+    r = max(1, int(4 * sigma + 0.5))
     k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
     k /= k.sum()
-    rows = np.apply_along_axis(lambda v: np.convolve(np.pad(v, r, mode="reflect"), k, "valid"), 1, image)
-    return np.apply_along_axis(lambda v: np.convolve(np.pad(v, r, mode="reflect"), k, "valid"), 0, rows)
-
-
-def even_light(image: np.ndarray, sigma: float = 8.0) -> np.ndarray:
-    """Divide by the blurred background and spread to 0..255 around 128."""
-    return np.clip(image / np.maximum(blur(image, sigma), 1.0) * 128.0, 0, 255)
-
-
-def largest_blob(mask: np.ndarray) -> tuple[int, float]:
-    """Area and elongation of the largest 8-connected component."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        p = np.pad(label, 1)
-        most = label
-        for dy in (0, 1, 2):
-            for dx in (0, 1, 2):
-                most = np.maximum(most, p[dy : dy + mask.shape[0], dx : dx + mask.shape[1]])
-        new = np.where(mask, most, 0)
-        if (new == label).all():
-            break
-        label = new
-    if not label.any():
-        return 0, 1.0
-    ids, counts = np.unique(label[label > 0], return_counts=True)
-    y, x = np.nonzero(label == ids[counts.argmax()])
-    cov = np.cov(np.stack([y, x]).astype(float)) if len(y) > 2 else np.eye(2)
-    low, high = np.linalg.eigvalsh(cov + 1e-6 * np.eye(2))
-    return int(counts.max()), float(np.sqrt(high / low))
+    return smoothing(k, image.shape[0]) @ image @ smoothing(k, image.shape[1]).T
+
+
+def soften(image: np.ndarray) -> np.ndarray:
+    """The 3 x 3 kernel 1 2 1."""
+    k = np.array([0.25, 0.5, 0.25])
+    return smoothing(k, image.shape[0]) @ image @ smoothing(k, image.shape[1]).T
+
+
+def even_light(image: np.ndarray, sigma: float = LIGHT_SIGMA) -> np.ndarray:
+    """Brightness over that of the surroundings: about 1 where nothing stands out."""
+    return image / np.maximum(blur(image, sigma), 1.0)
+
+
+def bordered(image: np.ndarray, mode: str = "mirror") -> np.ndarray:
+    y, x = (np.arange(-1, n + 1) for n in image.shape)
+    if mode == "mirror":
+        y, x = mirrored(y, image.shape[0]), mirrored(x, image.shape[1])
+    else:
+        y, x = np.clip(y, 0, image.shape[0] - 1), np.clip(x, 0, image.shape[1] - 1)
+    return image[np.ix_(y, x)]
+
+
+def laplacian(image: np.ndarray) -> np.ndarray:
+    p = bordered(image.astype(float))
+    return p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]
+
+
+def slopes(image: np.ndarray, mode: str = "mirror") -> tuple[np.ndarray, np.ndarray]:
+    """Sobel derivatives along x and y."""
+    p = bordered(image.astype(float), mode)
+    dx, dy = p[:, 2:] - p[:, :-2], p[2:] - p[:-2]
+    return dx[:-2] + 2 * dx[1:-1] + dx[2:], dy[:, :-2] + 2 * dy[:, 1:-1] + dy[:, 2:]
+
+
+def edges(image: np.ndarray, low: float = EDGES[0], high: float = EDGES[1]) -> np.ndarray:
+    """Canny: ridges of the slope, weak ones only where they hang together with a strong one."""
+    gx, gy = slopes(image, "clip")
+    m = np.abs(gx) + np.abs(gy)
+    p = np.pad(m, 1)
+    at = lambda dy, dx: p[1 + dy : 1 + dy + m.shape[0], 1 + dx : 1 + dx + m.shape[1]]
+    flat, steep = np.abs(gy) < np.abs(gx) * np.tan(np.pi / 8), np.abs(gy) > np.abs(gx) * np.tan(3 * np.pi / 8)
+    along = (m > at(0, -1)) & (m >= at(0, 1))
+    across = (m > at(-1, 0)) & (m >= at(1, 0))
+    same = gx * gy >= 0
+    slanted = np.where(same, (m > at(-1, -1)) & (m > at(1, 1)), (m > at(-1, 1)) & (m > at(1, -1)))
+    ridge = (m > low) & np.where(flat, along, np.where(steep, across, slanted))
+    label, n = blobs(ridge)
+    strong = np.zeros(n + 1, bool)
+    strong[label[ridge & (m > high)]] = True
+    strong[0] = False
+    return strong[label]
+
+
+def blobs(mask: np.ndarray) -> tuple[np.ndarray, int]:
+    """Numbers of the 8-connected components (0 outside), and how many. Runs of a row are joined with those of the row above."""
+    root: list[int] = [0]
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    label, above = np.zeros(mask.shape, np.int64), []
+    for y, row in enumerate(mask):
+        turns = np.flatnonzero(np.diff(np.concatenate([[0], row.astype(np.int8), [0]])))
+        here, j = [], 0
+        for a, z in zip(turns[::2].tolist(), turns[1::2].tolist()):
+            i = len(root)
+            root.append(i)
+            while j < len(above) and above[j][1] < a:
+                j += 1
+            k = j
+            while k < len(above) and above[k][0] <= z:
+                x, w = find(above[k][2]), find(i)
+                root[max(x, w)] = min(x, w)
+                k += 1
+            here.append((a, z, i))
+            label[y, a:z] = i
+        above = here
+    names, numbers = np.unique([find(i) for i in range(len(root))], return_inverse=True)
+    return numbers[label], len(names) - 1
+
+
+def largest_blob(mask: np.ndarray, least: int = LEAST_BLOB) -> tuple[int, float]:
+    """Area of the largest component of at least `least` pixels, and how much longer its box is than wide; zeros if there is none."""
+    label, n = blobs(mask)
+    if not n:
+        return 0, 0.0
+    area = np.bincount(label.ravel(), minlength=n + 1)
+    area[0] = 0
+    k = int(area.argmax())
+    if area[k] < least:
+        return 0, 0.0
+    y, x = np.nonzero(label == k)
+    sides = sorted((int(np.ptp(y)) + 1, int(np.ptp(x)) + 1))
+    return int(area[k]), sides[1] / sides[0]
+
+
+def windows(image: np.ndarray, k: int, fill: float) -> np.ndarray:
+    """The k x k surroundings of each pixel; beyond the image lies `fill`."""
+    before, after = k // 2, k - 1 - k // 2
+    return np.lib.stride_tricks.sliding_window_view(np.pad(image.astype(float), (before, after), constant_values=fill), (k, k))
+
+
+def opened(mask: np.ndarray, k: int) -> np.ndarray:
+    """What k x k squares inside the mask cover."""
+    core = windows(mask, k, 1.0).min(axis=(2, 3))
+    return windows(core, k, 0.0).max(axis=(2, 3)) > 0
+
+
+def black_hat(image: np.ndarray, k: int = 9) -> np.ndarray:
+    """How much darker a pixel is than what a k x k closing makes of it: thin dark lines."""
+    grown = windows(image, k, -np.inf).max(axis=(2, 3))
+    return windows(grown, k, np.inf).min(axis=(2, 3)) - image
 
 
 def entropy(image: np.ndarray, bins: int = 32) -> float:
@@ -88,33 +217,140 @@ def entropy(image: np.ndarray, bins: int = 32) -> float:
 
 def direction(image: np.ndarray) -> tuple[float, float]:
     """Coherence and orientation in degrees from the structure tensor."""
-    gy, gx = np.gradient(image.astype(float))
-    a, b, c = (gx * gx).mean(), (gx * gy).mean(), (gy * gy).mean()
-    spread = np.sqrt((a - c) ** 2 + 4 * b * b)
-    return float(spread / (a + c + 1e-9)), float(np.degrees(0.5 * np.arctan2(2 * b, a - c)) % 180)
+    gx, gy = slopes(image)
+    a, b, c = (gx * gx).sum(), (gx * gy).sum(), (gy * gy).sum()
+    if a + c <= 1e-9:
+        return 0.0, 0.0
+    return float(np.sqrt((a - c) ** 2 + 4 * b * b) / (a + c)), float(np.degrees(0.5 * np.arctan2(2 * b, a - c)))
 
 
-def features(image: np.ndarray) -> dict[str, float]:
-    """Texture and blob features of a gray road image, after evening out the light."""
-    g = even_light(image)
-    smooth = blur(g, 1.0)
-    area, long_ = largest_blob(smooth < smooth.mean() - 1.5 * smooth.std()) if smooth.std() > 1e-6 else (0, 1.0)
-    coherence, orient = direction(smooth)
-    lap = smooth[1:-1, :-2] + smooth[1:-1, 2:] + smooth[:-2, 1:-1] + smooth[2:, 1:-1] - 4 * smooth[1:-1, 1:-1]
-    return {"std": float(g.std()), "lap_var": float(lap.var()), "entropy": entropy(g), "blob_px": area, "blob_ratio": area / g.size, "elongation": long_, "coherence": coherence, "orient": orient}
+def features(image: np.ndarray, size: tuple[int, int] = SIZE) -> dict[str, float]:
+    """Texture, dark blobs, thin dark lines and direction of the road in a gray frame, light evened out first."""
+    g = soften(np.floor(area_resize(crop_road(image.astype(float)), *size) + 0.5))
+    norm = even_light(g)
+    even = np.floor(np.clip(norm * 128.0, 0, 255))
+    dark = opened(norm < 1.0 - DARK_DROP, 3)
+    blob, blob_long = largest_blob(dark)
+    lines = opened(black_hat(even) > BLACK_HAT, 2)
+    crack, crack_long = largest_blob(lines)
+    coherence, orient = direction(even)
+    return {
+        "std": float(even.std()), "lap_var": float(laplacian(even).var()), "edge_density": float(edges(even).mean()), "entropy": entropy(even), "dark_ratio": float(dark.mean()), "blob_px": blob, "blob_ratio": blob / even.size, "elongation": blob_long,
+        "crack_px": crack, "crack_ratio": float(lines.mean()), "crack_blob_ratio": crack / even.size, "crack_elong": crack_long, "coherence": coherence, "orient": orient,
+    }
 
 
-FEATURES = "std double, lap_var double, entropy double, blob_px double, blob_ratio double, elongation double, coherence double, orient double"
+FEATURES = ", ".join(f"{k} double" for k in ("std", "lap_var", "edge_density", "entropy", "dark_ratio", "blob_px", "blob_ratio", "elongation", "crack_px", "crack_ratio", "crack_blob_ratio", "crack_elong", "coherence", "orient"))
 
 
-def raster_features(df: DataFrame, key: str, pixels: str, width: int) -> DataFrame:
-    """Features of each raster, in Arrow batches."""
+def raster_features(df: DataFrame, key: str, pixels: str, width: int, size: tuple[int, int] = SIZE) -> DataFrame:
+    """Features of each gray raster, in Arrow batches."""
 
     def run(batches):
         for pdf in batches:
-            rows = [features(np.asarray(p, dtype=float).reshape(-1, width)) for p in pdf[pixels]]
+            rows = [features(np.asarray(p, dtype=float).reshape(-1, width), size) for p in pdf[pixels]]
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in FEATURES.split(", ")]).astype(float)
             out.insert(0, key, pdf[key].to_numpy())
             yield out
 
     return df.select(key, pixels).mapInPandas(run, f"{key} long, {FEATURES}")
+
+
+def frame_check(bgr: np.ndarray, width: int = 60, height: int = 45) -> dict[str, float]:
+    """Colours, spread, colour cast and brightness of a frame averaged down to a few cells."""
+    small = np.floor(area_resize(bgr.astype(float), width, height) + 0.5).reshape(-1, 3)
+    gray = small @ np.array([0.114, 0.587, 0.299])
+    b, g, r = small.mean(axis=0)
+    return {"uniq": float(len(np.unique(small, axis=0))), "std": float(gray.std()), "cast": float(max(abs(r - g), abs(g - b), abs(r - b))), "brightness": float(gray.mean())}
+
+
+CHECK = "uniq double, std double, cast double, brightness double, lap_var double, gray_mean double"
+
+
+def frame_checks(frames: DataFrame, keys: list[str], size: tuple[int, int] = (60, 45)) -> DataFrame:
+    """keys and the check of each frame, sharpness and brightness of its gray picture beside it; null where a frame has no pixels.
+
+    frames: keys, height, width, data (blue, green, red bytes in row order, as Spark's image source decodes them).
+    """
+    kinds = [f for f in frames.schema.fields if f.name in keys]
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for h, w, data in pdf[["height", "width", "data"]].itertuples(index=False):
+                if data is None or not h or not w or len(data) != 3 * h * w:
+                    rows.append(dict.fromkeys(x.split()[0] for x in CHECK.split(", ")))
+                    continue
+                bgr = np.frombuffer(bytes(data), np.uint8).reshape(int(h), int(w), 3)
+                gray = gray_of(bgr.astype(float))
+                rows.append(frame_check(bgr, *size) | {"lap_var": float(laplacian(gray).var()), "gray_mean": float(gray.mean())})
+            yield pd.concat([pdf[keys].reset_index(drop=True), pd.DataFrame(rows, columns=[x.split()[0] for x in CHECK.split(", ")])], axis=1)
+
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds)
+    return frames.select(*[f.name for f in kinds], "height", "width", "data").mapInPandas(run, f"{shape}, {CHECK}")
+
+
+def read_frames(spark, path: str) -> DataFrame:
+    """Frames of a folder, decoded by Spark's image source: file, event_id (null for sweeps), t_ms, height, width, data."""
+    i = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*").withColumn("file", F.element_at(F.split("origin", "/"), -1))
+    number = lambda pattern: F.nullif(F.regexp_extract("file", pattern, 1), F.lit("")).cast("bigint")
+    good = F.col("nChannels") == 3
+    return i.select("file", number(r"^ev(\d+)_t").alias("event_id"), number(r"_t(\d+)\.").alias("t_ms"), F.when(good, F.col("height")).alias("height"), F.when(good, F.col("width")).alias("width"), F.when(good, F.col("data")).alias("data"))
+
+
+def usable(blocked: Column, brightness: Column, lap_var: Column) -> Column:
+    """Whether a key frame may serve as evidence: not blocked, not dark, not blurred. An unknown brightness counts as fair."""
+    return ~blocked & (F.coalesce(brightness, F.lit(128.0)) >= 25.0) & (F.coalesce(lap_var, F.lit(0.0)) >= 50.0)
+
+
+# fixed values: classes of the public road-damage data set and what they are here
+DAMAGE = {"D00": ("裂缝", "纵向裂缝"), "D10": ("裂缝", "横向裂缝"), "D20": ("裂缝", "龟裂"), "D40": ("坑洼", "坑洼")}
+
+
+def best_detection(boxes: DataFrame, keys: list[str], rank: Callable[[Column], Column]) -> DataFrame:
+    """keys, label, conf, why: the gravest, then surest detection of each frame, and the names of all. boxes: keys, code, conf (null code: none)."""
+    code = F.upper(F.substring_index("code", "_", 1))
+    named = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, names in DAMAGE.items() for x in (k, names[i])]), code)
+    known = boxes.withColumn("label", named(0)).withColumn("detail", named(1)).withColumn("conf", F.round("conf", 3))
+    best = F.max(F.when(F.col("label").isNotNull(), F.struct(rank(F.col("label")).alias("rank"), "conf", "label")))
+    agg = known.groupBy(*keys).agg(best.alias("b"), F.array_join(F.sort_array(F.collect_set("detail")), "、").alias("names"))
+    none = F.col("b").isNull()
+    return agg.select(*keys, F.when(none, "平路").otherwise(F.col("b.label")).alias("label"), F.when(none, 0.6).otherwise(F.col("b.conf")).alias("conf"), F.when(none, "检测器未发现病害").otherwise(F.concat(F.lit("检测到 "), "names")).alias("why"))
+
+
+def cubic(n: int, m: int, a: float = -0.75) -> np.ndarray:
+    """m x n weights of cubic interpolation, the outermost pixel repeated beyond the ends."""
+    at = (np.arange(m) + 0.5) * n / m - 0.5
+    first = np.floor(at).astype(int)
+    out = np.zeros((m, n))
+    for k in (-1, 0, 1, 2):
+        d = np.abs(at - first - k)
+        weight = np.where(d <= 1, (a + 2) * d**3 - (a + 3) * d**2 + 1, a * d**3 - 5 * a * d**2 + 8 * a * d - 4 * a)
+        np.add.at(out, (np.arange(m), np.clip(first + k, 0, n - 1)), weight)
+    return out
+
+
+def zoomed(image: np.ndarray, factor: float) -> np.ndarray:
+    h, w = image.shape[:2]
+    return np.clip(cubic(h, int(round(h * factor))) @ image @ cubic(w, int(round(w * factor))).T, 0, 255)
+
+
+def local_contrast(gray: np.ndarray, limit: float = 2.0, tiles: int = 8) -> np.ndarray:
+    """Histogram equalisation by tiles, slopes limited, blended between the tiles' centres."""
+    h, w = gray.shape
+    ys, xs = np.linspace(0, h, tiles + 1).astype(int), np.linspace(0, w, tiles + 1).astype(int)
+    maps = np.empty((tiles, tiles, 256))
+    values = np.clip(gray, 0, 255).astype(int)
+    for i in range(tiles):
+        for j in range(tiles):
+            part = values[ys[i] : max(ys[i + 1], ys[i] + 1), xs[j] : max(xs[j + 1], xs[j] + 1)]
+            hist = np.bincount(part.ravel(), minlength=256).astype(float)
+            most = max(1.0, limit * part.size / 256)
+            over = np.maximum(hist - most, 0).sum()
+            maps[i, j] = np.cumsum(np.minimum(hist, most) + over / 256) * 255 / part.size
+    near = lambda n: np.clip((np.arange(n) + 0.5) * tiles / n - 0.5, 0, tiles - 1)
+    y, x = near(h)[:, None], near(w)[None, :]
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    y1, x1 = np.minimum(y0 + 1, tiles - 1), np.minimum(x0 + 1, tiles - 1)
+    fy, fx = y - y0, x - x0
+    return (1 - fy) * ((1 - fx) * maps[y0, x0, values] + fx * maps[y0, x1, values]) + fy * ((1 - fx) * maps[y1, x0, values] + fx * maps[y1, x1, values])

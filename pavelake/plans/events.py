@@ -229,7 +229,33 @@ def classical_cv_rule(spark, d):
 
 @query()
 def image_features(spark, d):
-    return image.raster_features(_pixels(spark, d), "vec_id", "px", 8)
+    return image.raster_features(_pixels(spark, d), "vec_id", "px", 8, (32, 24))
+
+
+def _bgr(spark, d):
+    """4 x 4 pixels of three colours from the first 48 values of a vector."""
+    px = F.transform(F.slice("embedding", 1, 48), lambda x: F.greatest(F.least(F.round(x.cast("double") * 200 + 128), F.lit(255.0)), F.lit(0.0)).cast("int"))
+    data = F.unhex(F.array_join(F.transform(px, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    return a.table(spark, d, "embeddings").select("vec_id", F.lit(4).alias("height"), F.lit(4).alias("width"), data.alias("data"))
+
+
+@query("""WITH p AS (SELECT vec_id, list_transform(embedding[1:48], lambda x: greatest(least(round(CAST(x AS DOUBLE) * 200 + 128), 255), 0)) AS px FROM embeddings),
+c AS (SELECT vec_id, cy, cx, ch, floor((px[(2 * cy * 4 + 2 * cx) * 3 + ch] + px[(2 * cy * 4 + 2 * cx + 1) * 3 + ch] + px[((2 * cy + 1) * 4 + 2 * cx) * 3 + ch] + px[((2 * cy + 1) * 4 + 2 * cx + 1) * 3 + ch]) / 4 + 0.5) AS v FROM p, (SELECT unnest([0, 1]) AS cy), (SELECT unnest([0, 1]) AS cx), (SELECT unnest([1, 2, 3]) AS ch)),
+g AS (SELECT vec_id, cy, cx, max(v) FILTER (WHERE ch = 1) AS b, max(v) FILTER (WHERE ch = 2) AS g, max(v) FILTER (WHERE ch = 3) AS r FROM c GROUP BY ALL)
+SELECT vec_id, CAST(count(DISTINCT (r, g, b)) AS DOUBLE) AS uniq, round(stddev_pop(0.299 * r + 0.587 * g + 0.114 * b), 6) AS std, round(greatest(abs(avg(r) - avg(g)), abs(avg(g) - avg(b)), abs(avg(r) - avg(b))), 6) AS cast, round(avg(0.299 * r + 0.587 * g + 0.114 * b), 6) AS brightness FROM g GROUP BY vec_id""")
+def frame_selfcheck(spark, d):
+    c = image.frame_checks(_bgr(spark, d), ["vec_id"], (2, 2))
+    return c.select("vec_id", "uniq", *[rnd(F.col(x)).alias(x) for x in ("std", "cast", "brightness")])
+
+
+@query(IV + """, b AS (SELECT id, (['D00_x','d10','D20','D40','D43',NULL])[CAST((id + k) % 6 + 1 AS INT)] AS code, round(vision_conf / (k + 1), 3) AS conf FROM vision, (SELECT unnest([0, 1, 2]) AS k) WHERE id % 7 > k),
+m AS (SELECT id, conf, CASE upper(split_part(code, '_', 1)) WHEN 'D00' THEN '纵向裂缝' WHEN 'D10' THEN '横向裂缝' WHEN 'D20' THEN '龟裂' WHEN 'D40' THEN '坑洼' END AS detail FROM b), o AS (SELECT *, CASE WHEN detail = '坑洼' THEN '坑洼' WHEN detail IS NOT NULL THEN '裂缝' END AS label FROM m)
+SELECT id, coalesce(arg_max(label, {'r': CASE WHEN label = '坑洼' THEN 1 ELSE 0 END, 'c': conf}) FILTER (WHERE label IS NOT NULL), '平路') AS label, coalesce(max(conf) FILTER (WHERE label = (CASE WHEN has THEN '坑洼' ELSE '裂缝' END)), 0.6) AS conf,
+CASE WHEN any_label THEN concat('检测到 ', names) ELSE '检测器未发现病害' END AS why FROM (SELECT *, bool_or(coalesce(label = '坑洼', false)) OVER (PARTITION BY id) AS has, bool_or(label IS NOT NULL) OVER (PARTITION BY id) AS any_label, array_to_string(list_sort(list_distinct(list(detail) OVER (PARTITION BY id))), '、') AS names FROM o) GROUP BY id, any_label, names""")
+def detector_best(spark, d):
+    w = a.vision(spark, d).select("id", F.col("vision_conf").alias("c"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")).filter("id % 7 > k")
+    boxes = w.select("id", a.pick(F.col("id") + F.col("k"), ("D00_x", "d10", "D20", "D40", "D43", None)).alias("code"), (F.col("c") / (F.col("k") + 1)).alias("conf"))
+    return image.best_detection(boxes, ["id"], judge.severity_rank)
 
 
 LABELLED = I + """, l AS (SELECT id AS event_id, final_type AS truth_label, CASE WHEN label = '' THEN '未定' ELSE label END AS imu_label, (['high','mid','low','??'])[CAST(id % 4 + 1 AS INT)] AS confidence, CAST(id % 7 % 3 AS INT) AS is_false_positive, concat('f', id % 3) AS source_file FROM imu)"""

@@ -258,10 +258,86 @@ def test_image_features():
     hole = flat.copy()
     hole[10:18, 10:18] = 20
     assert image.features(hole)["std"] > image.features(flat)["std"]
-    assert image.largest_blob(hole < 60)[0] == 64
     assert image.crop_road(np.zeros((100, 100))).shape == (65, 84)
 
 
+def test_blobs_against_a_flood():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        mask = rng.random((23, 31)) < rng.choice([0.2, 0.45, 0.7])
+        label, n = image.blobs(mask)
+        seen = np.zeros(mask.shape, int)
+        k = 0
+        for y, x in zip(*np.nonzero(mask)):
+            if not seen[y, x]:
+                k += 1
+                stack = [(y, x)]
+                while stack:
+                    i, j = stack.pop()
+                    if 0 <= i < 23 and 0 <= j < 31 and mask[i, j] and not seen[i, j]:
+                        seen[i, j] = k
+                        stack += [(i + p, j + q) for p in (-1, 0, 1) for q in (-1, 0, 1)]
+        assert n == k and len(set(zip(label[mask].tolist(), seen[mask].tolist()))) == k and not label[~mask].any()
+    square = np.zeros((30, 30), bool)
+    square[5:15, 5:25] = True
+    square[0, 0] = True
+    assert image.largest_blob(square) == (200, 2.0) and image.largest_blob(square, 300) == (0, 0.0)
+    assert image.opened(square, 3).sum() == 200
+
+
+def test_picture_operators():
+    rng = np.random.default_rng(2)
+    x = rng.random((12, 10)) * 255
+    assert np.allclose(image.area_resize(x, 5, 4), x.reshape(4, 3, 5, 2).mean(axis=(1, 3)))
+    assert np.allclose(image.area_resize(x, 7, 5).mean(), x.mean()) and np.allclose(image.area_resize(np.full((9, 7), 3.0), 4, 5), 3.0)
+    assert np.allclose(image.blur(np.full((20, 30), 7.0), 15.0), 7.0) and np.allclose(image.zoomed(np.full((6, 5), 9.0), 2.5), 9.0)
+    p = np.pad(x, 1, mode="reflect")
+    assert np.allclose(image.laplacian(x), p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * x)
+    line = np.full((40, 40), 200.0)
+    line[:, 20:22] = 40
+    hat = image.black_hat(line)
+    assert (hat[:, 20:22] == 160).all() and not hat[:, :20].any()
+    step = np.where(np.arange(40)[None, :] < 20, 20.0, 200.0) * np.ones((40, 1))
+    found = image.edges(step)
+    assert found.any(axis=1).all() and found.sum(axis=1).max() == 1 and set(np.nonzero(found)[1]) <= {19, 20}
+    assert not image.edges(np.full((20, 20), 90.0)).any()
+    even = image.local_contrast(np.clip(rng.normal(100, 5, (64, 64)), 0, 255))
+    assert even.std() > 10 and 0 <= even.min() and even.max() <= 255
+
+
+def test_road_pictures():
+    """The four kinds of road in pictures, by their features and the rule."""
+    rng = np.random.default_rng(3)
+    base = 120 + rng.normal(0, 1.0, (240, 320))
+    pothole, crack, rough = base.copy(), base.copy(), 120 + rng.normal(0, 25, (240, 320))
+    y, x = np.mgrid[:240, :320]
+    pothole[(y - 170) ** 2 + (x - 160) ** 2 < 900] -= 60
+    crack[100:230, 158:162] -= 70
+    f = {k: image.features(v) for k, v in {"pothole": pothole, "crack": crack, "rough": rough, "flat": base}.items()}
+    assert f["pothole"]["blob_px"] > 500 and f["pothole"]["elongation"] < 2 and f["crack"]["crack_px"] > 100 and f["crack"]["crack_elong"] >= 3
+    assert f["rough"]["std"] > 4 * f["flat"]["std"] and f["rough"]["edge_density"] > f["flat"]["edge_density"]
+    assert f["flat"]["blob_px"] == 0 and f["flat"]["crack_px"] == 0
+
+
+def test_frames_from_files(spark, tmp_path):
+    """Pictures written by the JVM come back through the image source, with event, time and check; a broken one is null."""
+    j = spark.sparkContext._jvm
+    for name, value in (("ev3_t120.png", 0x204060), ("sweep_t50.png", 0xFF0000)):
+        picture = j.java.awt.image.BufferedImage(8, 6, 5)
+        for yy in range(6):
+            for xx in range(8):
+                picture.setRGB(xx, yy, value)
+        j.javax.imageio.ImageIO.write(picture, "png", j.java.io.File(str(tmp_path / name)))
+    (tmp_path / "ev4_t9.png").write_bytes(b"broken")
+    frames = image.read_frames(spark, str(tmp_path))
+    got = {r.file: r for r in image.frame_checks(frames, ["file", "event_id", "t_ms"]).collect()}
+    assert got["ev3_t120.png"].event_id == 3 and got["sweep_t50.png"].t_ms == 50 and got["sweep_t50.png"].event_id is None
+    assert got["sweep_t50.png"].cast == 255.0 and got["ev3_t120.png"].uniq == 1 and got["ev4_t9.png"].brightness is None
+    assert abs(got["ev3_t120.png"].brightness - (0.299 * 32 + 0.587 * 64 + 0.114 * 96)) < 1e-6
+    ok = frames.limit(1).select(image.usable(F.lit(False), F.lit(None).cast("double"), F.lit(60.0)).alias("a"), image.usable(F.lit(False), F.lit(10.0), F.lit(60.0)).alias("b")).first()
+    assert ok.a and not ok.b
+
+
 def test_surrogates_are_quiet(spark):
     d = spark.createDataFrame(ride([5, 15, 25, 35, 45]), SAMPLE)
     noise = quality.surrogates(d, 3)
