@@ -35,6 +35,7 @@ MISS = 1.5e-4
 BLOCK = 30_000
 ROW_WEIGHT = 100
 PIVOTS = 8
+PAIRED = 4096
 _OTHER = np.uint64(0xA5A5A5A55A5A5A5A)
 
 
@@ -103,30 +104,32 @@ def sketch(tables: int):
 
 
 def pair_keys(tables: int):
-    """mapInArrow over classes: a row per table and class, but of classes that meet within the batch
-    only the first (the others get a link to it here), so a hot bucket sends one row per batch."""
+    """mapInArrow over classes: a row per table and class, but of classes that meet within PAIRED of them
+    only the first (the others get a link to it here), so a hot bucket sends one row for so many classes."""
+    place = tokens.mix(np.arange(1, tables * tables + 1, dtype=np.uint64))
 
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            ids = batch.column(0).to_numpy()
-            both = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(n, 2, tables)
-            place = tokens.mix(np.arange(1, tables * tables + 1, dtype=np.uint64))
-            keys = tokens.mix(both[:, 0, :, None] * np.uint64(0xD1342543DE82EF95) + both[:, 1, None, :]).reshape(n, -1) ^ place[None, :]
-            flat, owner = keys.ravel(), np.repeat(np.arange(n), tables * tables)
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            head = np.ones(len(flat), bool)
-            head[1:] = flat[1:] != flat[:-1]
-            first = owner[np.maximum.accumulate(np.where(head, np.arange(len(flat)), 0))]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[head].view(np.int64)), pa.array(ids[owner[head]]), pa.nulls(int(head.sum()), pa.int64())], ["key", "a", "b"])
-            links = np.unique(np.stack([owner[~head], first[~head]]), axis=1)
-            if links.shape[1]:
-                a, b = ids[links[0]], ids[links[1]]
-                own = tokens.mix(a.view(np.uint64) * np.uint64(3) + b.view(np.uint64))  # spreads them over the tasks
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(a), pa.array(b)], ["key", "a", "b"])
+            for at in range(0, batch.num_rows, PAIRED):
+                yield from pairs_of(batch.slice(at, PAIRED))
+
+    def pairs_of(batch):
+        n = batch.num_rows
+        ids = batch.column(0).to_numpy()
+        both = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(n, 2, tables)
+        keys = tokens.mix(both[:, 0, :, None] * np.uint64(0xD1342543DE82EF95) + both[:, 1, None, :]).reshape(n, -1) ^ place[None, :]
+        flat, owner = keys.ravel(), np.repeat(np.arange(n), tables * tables)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        head = np.ones(len(flat), bool)
+        head[1:] = flat[1:] != flat[:-1]
+        first = owner[np.maximum.accumulate(np.where(head, np.arange(len(flat)), 0))]
+        yield pa.RecordBatch.from_arrays([pa.array(flat[head].view(np.int64)), pa.array(ids[owner[head]]), pa.nulls(int(head.sum()), pa.int64())], ["key", "a", "b"])
+        links = np.unique(np.stack([owner[~head], first[~head]]), axis=1)
+        if links.shape[1]:
+            a, b = ids[links[0]], ids[links[1]]
+            own = tokens.mix(a.view(np.uint64) * np.uint64(3) + b.view(np.uint64))  # spreads them over the tasks
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(a), pa.array(b)], ["key", "a", "b"])
 
     return run
 

@@ -34,7 +34,7 @@ MOST_ROWS = 4000
 MOST_BYTES = 4 << 20
 FOLDS = 4
 THRESHOLD = 0.3
-RUN = 64
+RUN = 16
 BEGINNINGS = (4, 5, 6, 7)
 EPOCHS = 30
 SPAN_AT = 0.5
