@@ -60,9 +60,9 @@ def centered_quantile_floor(samples: DataFrame, width: int, q: float = v.NOISE_Q
     return out.withColumn("floor", F.greatest(F.coalesce("raw", back, ahead), F.lit(floor))).drop("raw")
 
 
-def centered_std_floor(samples: DataFrame, width: int, floor: float = 0.2) -> DataFrame:
+def centered_std_floor(samples: DataFrame, width: int, floor: float = 0.2, x: str = "hp") -> DataFrame:
     frame = in_time().rowsBetween(-(width // 2), width - width // 2 - 1)
-    return samples.withColumn("floor", F.greatest(F.coalesce(F.stddev_samp("hp").over(frame), F.lit(floor)), F.lit(floor)))
+    return samples.withColumn("floor", F.greatest(F.coalesce(F.stddev_samp(x).over(frame), F.lit(floor)), F.lit(floor)))
 
 
 def islands(samples: DataFrame, flag: Column, gap_ms: int = 500) -> DataFrame:

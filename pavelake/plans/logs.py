@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as v
 from ..functions.scalar import gsd_mm, rnd
-from ..operators import joins, logs
+from ..operators import joins, logs, screening, spectral
 from ..operators import timeseries as ts
 from ..sources import adapters as a
 from ..sources import files
@@ -100,12 +100,41 @@ def class_means(spark, d):
     return g.agg(F.count(F.lit(1)).alias("n"), *[rnd(F.avg(c)).alias(c) for c in ("peak", "duration", "speed")])
 
 
-@query(I + f""", x AS (SELECT pack_id, t_ms, event_id, hp, label_raw = 'error' AS truth, lead(hp) OVER w AS nx, lag(hp) OVER w AS pv FROM samples WINDOW w AS (PARTITION BY pack_id ORDER BY t_ms, event_id))
-SELECT pack_id, truth, round(avg(abs(nx - hp)), 6) AS rise, round(avg(CASE WHEN sign(hp) <> sign(pv) THEN 1.0 ELSE 0 END), 6) AS zc_rate, round(max(hp) - min(hp), 6) AS p2p, round({v.MIN_THRESHOLD}, 6) AS least FROM x GROUP BY pack_id, truth""")
+AXES_SQL = I + """, ax AS (SELECT *, vz / 20 AS ax, vz / -30 AS ay, 9.81 + hp / 20 AS az, hp / 7 AS gx, vz / 9 AS gy, speed / 3 AS gz FROM samples), ev AS (SELECT id, pack_id, t_ms AS t0, t_ms + CAST(round(duration * 1000) AS BIGINT) AS t1 FROM imu)"""
+
+
+def _axes(spark, d):
+    s = a.samples(spark, d)
+    c = F.col
+    axes = s.withColumns({"ax": c("vz") / 20, "ay": c("vz") / -30, "az": 9.81 + c("hp") / 20, "gx": c("hp") / 7, "gy": c("vz") / 9, "gz": c("speed") / 3})
+    e = a.imu_events(spark, d).select("id", "pack_id", c("t_ms").alias("t0_ms"), F.round(c("duration") * 1000).cast("bigint").alias("duration_ms"), "speed", "final_type")
+    return axes, e
+
+
+@query(AXES_SQL + """, nr AS (SELECT e.id, e.pack_id, s.*, s.t_ms BETWEEN t0 - 150 AND t1 + 400 AS own, s.t_ms BETWEEN t0 - 5000 AND t1 + 5000 AND NOT s.t_ms BETWEEN t0 - 150 AND t1 + 400 AS bg FROM ev e JOIN (SELECT * RENAME (pack_id AS pid) FROM ax) s ON s.pid = e.pack_id AND s.t_ms BETWEEN t0 - 15000 AND t1 + 15000),
+g AS (SELECT id, pack_id, count(*) FILTER (WHERE own) AS n, sqrt(avg(hp * hp) FILTER (WHERE own)) AS own, coalesce(sqrt(avg(hp * hp) FILTER (WHERE bg)), 0) AS c5, coalesce(sqrt(avg(hp * hp) FILTER (WHERE NOT own)), 0) AS c15, """
+  + ", ".join(f"(max({x}) FILTER (WHERE own) - min({x}) FILTER (WHERE own)) / greatest(coalesce(max({x}) FILTER (WHERE bg) - min({x}) FILTER (WHERE bg), 0), 1e-9) AS p_{x}" for x in screening.AXES)
+  + """ FROM nr GROUP BY id, pack_id) SELECT id, round(c5, 6) AS ctx_rms_5s, round(c15, 6) AS ctx_rms_15s, round(own / greatest(c5, 1e-9), 6) AS contrast_5s, round(own / greatest(c15, 1e-9), 6) AS contrast_15s, round(p_az, 6) AS p2p_az, round(greatest(p_ax, p_ay), 6) AS p2p_horiz_max, round(greatest(p_gx, p_gy, p_gz), 6) AS p2p_gyro_max FROM g WHERE n >= 8""")
+def screening_surroundings(spark, d):
+    f = screening.surroundings(*_axes(spark, d))
+    return f.select("id", *[rnd(F.col(c)).alias(c) for c in ("ctx_rms_5s", "ctx_rms_15s", "contrast_5s", "contrast_15s", "p2p_az", "p2p_horiz_max", "p2p_gyro_max")])
+
+
+@query()
 def screening_features(spark, d):
-    w = ts.in_time()
-    x = a.samples(spark, d).select("pack_id", "hp", (F.col("label_raw") == "error").alias("truth"), F.lead("hp").over(w).alias("nx"), F.lag("hp").over(w).alias("pv"))
-    return x.groupBy("pack_id", "truth").agg(rnd(F.avg(F.abs(F.col("nx") - F.col("hp")))).alias("rise"), rnd(F.avg(F.coalesce((F.signum("hp") != F.signum("pv")).cast("double"), F.lit(0.0)))).alias("zc_rate"), rnd(F.max("hp") - F.min("hp")).alias("p2p"), F.lit(v.MIN_THRESHOLD).alias("least"))
+    """Every candidate feature, and how well it parts one kind of event from the rest."""
+    s, e = _axes(spark, d)
+    f = screening.shapes(s, e).join(screening.surroundings(s, e), ["pack_id", "id"]).join(screening.drifts(s, e), ["pack_id", "id"]).join(e.select("pack_id", "id", "final_type"), ["pack_id", "id"])
+    names = [c for c in f.columns if c not in ("pack_id", "id", "final_type")]
+    return screening.ranked(f, F.col("final_type") == v.POTHOLE, names)
+
+
+@query()
+def tuning_grid(spark, d):
+    """Floors and factors against the shaken samples, best settings last of all sorted out by recall and false alarms."""
+    raw = a.raw_samples(spark, d)
+    truths = raw.filter("event_id % 30 = 0 and abs(az - 9.81) > 6").select("pack_id", "t_ms")
+    return screening.grid(spectral.prepare(ts.resample(raw, 10, ["ax", "ay", "az"])), truths)
 
 
 @query(I + ", r AS (SELECT *, row_number() OVER (PARTITION BY pack_id ORDER BY peak DESC, id) AS place FROM imu) SELECT pack_id, id, place FROM r WHERE place <= 3")
@@ -114,8 +143,10 @@ def top_events(spark, d):
     return a.imu_events(spark, d).withColumn("place", F.row_number().over(w)).filter("place <= 3").select("pack_id", "id", "place")
 
 
-@query(I + ", w AS (SELECT pack_id, hp, lead(t_ms, 3) OVER o - t_ms AS ahead, CASE WHEN abs(hp) < 1 AND abs(lead(hp, 3) OVER o) < 1 THEN t_ms END AS calm FROM samples WINDOW o AS (PARTITION BY pack_id ORDER BY t_ms, event_id)) SELECT pack_id, min(calm) AS first_calm, round(avg(ahead), 6) AS ahead FROM w GROUP BY pack_id")
+@query(AXES_SQL + """, nr AS (SELECT e.id, e.pack_id, s.event_id AS n, s.t_ms AS ts, abs(s.hp) AS a FROM ev e JOIN (SELECT * RENAME (pack_id AS pid) FROM ax) s ON s.pid = e.pack_id AND s.t_ms BETWEEN t0 - 150 AND t1 + 900),
+o AS (SELECT *, row_number() OVER (PARTITION BY pack_id, id ORDER BY ts, n) AS i FROM nr), p AS (SELECT pack_id, id, arg_max(i, {'a': a, 'i': -i}) AS i, max(a) AS peak FROM o GROUP BY ALL),
+af AS (SELECT o.*, a < 0.3 * peak AS below, ts - min(ts) OVER (PARTITION BY o.pack_id, o.id) AS ms FROM o JOIN p ON p.pack_id = o.pack_id AND p.id = o.id AND o.i >= p.i),
+ld AS (SELECT *, coalesce(lead(below, 3) OVER (PARTITION BY pack_id, id ORDER BY i), last_value(below) OVER (PARTITION BY pack_id, id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS later FROM af)
+SELECT id, min(ms) FILTER (WHERE below AND later) AS decay_ms FROM ld GROUP BY id""")
 def decay_time(spark, d):
-    o = ts.in_time()
-    w = a.samples(spark, d).select("pack_id", (F.lead("t_ms", 3).over(o) - F.col("t_ms")).alias("ahead"), F.when((F.abs("hp") < 1) & (F.abs(F.lead("hp", 3).over(o)) < 1), F.col("t_ms")).alias("calm"))
-    return w.groupBy("pack_id").agg(F.min("calm").alias("first_calm"), rnd(F.avg("ahead")).alias("ahead"))
+    return screening.decay_ms(*_axes(spark, d)).select("id", "decay_ms")
