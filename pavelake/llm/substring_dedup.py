@@ -2,17 +2,19 @@
 
 The graph's edges are the windows of `window` consecutive words. Windows are cut into super-windows:
 maximal runs that share their minimizer (the leftmost smallest hash among their 12-word grams), so equal
-windows always meet at equal minimizers and about one word in thirteen sends a row. A minimizer all of
-whose occurrences carry the same super-window is a nonbranching path: it compacts to one span and each
-of its windows is repeated, with no need to look at them one by one. Only where super-windows
-differ (the graph branches: a repeat begins or ends) single windows are compared, in joins on
-their hashes. Source coordinates (document, word) carry the spans back to the texts.
+windows always meet at equal minimizers and about one word in thirteen sends a row. Where all occurrences of a
+minimizer, or several of them, carry the same super-window, that one is repeated as a whole. Repeated super-windows of which one always
+follows the other are a nonbranching path: followers are found by a join on source coordinates (document, word), and the components
+of those pairs compact to paths. Every occurrence of a path is looked up at its source coordinates and counts only if the very
+words there, by their SHA-256, occur again. Where super-windows differ (the graph branches: a repeat begins or ends) single
+windows are compared, by 128 bits of two independent hashes of their words.
 
 Hot passages are summed map-side and split in the joins that lead back to the texts; each document's spans
-are a set of its own words at most. Windows are compared as 64-bit hashes of all their words.
+are a set of its own words at most.
 
 Defined results: null, blank and short texts lose nothing; every occurrence of a repeated window goes,
-the first one too; rows equal in doc_id and text repeat each other; an empty table gives an empty result.
+the first one too; rows equal in doc_id and text repeat each other; a very long text is windowed in whole; an empty table gives an empty
+result; columns other than doc_id and text are left alone.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, join_counted, table
+from ..operators.graph import components
+from .common import cut, join_counted, row_mark, table
 
 WINDOW = 35
 GRAM = 12
+_OTHER = np.uint64(0xA5A5A5A55A5A5A5A)
 
 
 def leftmost_minima(x: np.ndarray, width: int) -> np.ndarray:
@@ -61,11 +65,10 @@ def leftmost_minima(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def super_windows(window: int, gram: int):
-    """mapInArrow: node (minimizer), span (hash of the super-window), uid, at (first word), n (windows)."""
+    """mapInArrow: node (minimizer), span and other (128 bits of the super-window), uid, at (first word), n (windows)."""
 
     def run(batches):
         for batch in batches:
-            uid = batch.column(0).to_numpy(zero_copy_only=False)
             for s in tokens.slices(batch.column(1)):
                 words = s.word_hashes()
                 if len(words) < window:
@@ -83,92 +86,155 @@ def super_windows(window: int, gram: int):
                 n = np.diff(np.append(first, len(valid)))
                 a = valid[first]
                 z = a + n - 1 + window
-                sums = np.zeros(len(words) + 1, np.uint64)
-                np.cumsum(words * tokens.powers(tokens._Q, len(words)), out=sums[1:])
-                span = tokens.mix((sums[z] - sums[a]) * tokens.powers(tokens._Q_INV, len(words) + 1)[a] + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                both = [ranges(x, a, z) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for x in (words, tokens.mix(words ^ _OTHER))]
+                span, other = (pa.array(tokens.mix(x).view(np.int64)) for x in both)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[m[first]].view(np.int64)), pa.array(span.view(np.int64)), pa.array(uid[s.first + r[first]]), pa.array((a - s.ptr[r[first]]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                    ["node", "span", "uid", "at", "n"],
+                    [pa.array(grams[m[first]].view(np.int64)), span, other, batch.column(0).take(pa.array(s.first + r[first])), pa.array((a - s.ptr[r[first]]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                    ["node", "span", "other", "uid", "at", "n"],
                 )
 
     return run
 
 
-def probe_windows(window: int):
-    """mapInArrow: the single windows of super-windows at branches."""
+def ranges(x: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """A polynomial of x[a:z], the same wherever it lies."""
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x * tokens.powers(tokens._Q, len(x)), out=sums[1:])
+    return (sums[z] - sums[a]) * tokens.powers(tokens._Q_INV, len(x) + 1)[a]
+
+
+def occurrences(spans: list[dict], window: int) -> list[tuple[int, int, int]]:
+    """path, first word and words of each path's occurrences in a document: neighbouring super-windows of a path are one,
+    until one of them comes again (the path begins anew)."""
+    out: list[list[int]] = []
+    seen: set[int] = set()
+    for x in sorted((x for x in spans if x["path"] is not None), key=lambda x: x["at"]):
+        if out and out[-1][0] == x["path"] and out[-1][1] + out[-1][2] == x["at"] and x["span"] not in seen:
+            out[-1][2] += x["n"]
+        else:
+            out.append([x["path"], x["at"], x["n"]])
+            seen = set()
+        seen.add(x["span"])
+    return [(path, at, n - 1 + window) for path, at, n in out]
+
+
+FOUND = "whole boolean, h1 long, h2 long, span long, uid struct<a:long,b:long>, word int, n int, sure boolean"
+
+
+def at_source(window: int):
+    """mapInArrow: a row for each occurrence of a path, with a digest of the very words there, and one for each single
+    window of super-windows at branches."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                uid, spans = part.column(0).to_pylist(), part.column(3).to_pylist()
-                for s in tokens.slices(part.column(2)):
-                    grams = tokens.gram_hashes(s.word_hashes(), window)
-                    found = [(uid[s.first + r], s.ptr[r], x) for r in range(s.rows) for x in spans[s.first + r] if x["probe"]]
-                    if not found:
+                spans = part.column(2).to_pylist()
+                out, owner = [], []
+                for i, (text, own) in enumerate(zip(part.column(1), spans)):
+                    runs = occurrences(own, window)
+                    if runs:
+                        words = text.as_buffer().to_pybytes().split()
+                        for path, a, n in runs:
+                            d = hashlib.sha256(b" ".join(words[a : a + n])).digest()
+                            out.append((True, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:16], "big", signed=True), path, a, n, True))
+                            owner.append(i)
+                if out:
+                    yield found_rows([*map(list, zip(*out))], part.column(0).take(pa.array(owner)))
+                for s in tokens.slices(part.column(1)):
+                    probes = [(s.first + r, s.ptr[r], x) for r in range(s.rows) for x in spans[s.first + r] if x["probe"]]
+                    if not probes:
                         continue
-                    n = np.array([x["n"] for _, _, x in found])
-                    word = np.repeat([x["at"] for _, _, x in found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    begin = np.repeat([p for _, p, _ in found], n)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(grams[begin + word].view(np.int64)), pa.array(np.repeat([x["span"] for _, _, x in found], n)), pa.array(np.repeat([u for u, _, _ in found], n)), pa.array(word.astype(np.int32)), pa.array(np.repeat([x["sure"] for _, _, x in found], n))],
-                        ["w", "span", "uid", "word", "sure"],
-                    )
+                    h1, h2 = (tokens.gram_hashes(s.word_hashes(other=other), window) for other in (False, True))
+                    n = np.array([x["n"] for _, _, x in probes])
+                    word = np.repeat([x["at"] for _, _, x in probes], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    i = np.repeat([p for _, p, _ in probes], n) + word
+                    sure = np.repeat([x["sure"] for _, _, x in probes], n)
+                    columns = [np.zeros(len(i), bool), h1[i].view(np.int64), h2[i].view(np.int64), np.repeat([x["span"] for _, _, x in probes], n), word, np.full(len(i), window), sure]
+                    yield found_rows(columns, part.column(0).take(pa.array(np.repeat([r for r, _, _ in probes], n))))
 
     return run
 
 
-def keep_words(window: int):
-    """mapInArrow: counts, digest and the text without the repeated words."""
+def found_rows(columns: list, uid: pa.Array) -> pa.RecordBatch:
+    whole, h1, h2, span, word, n, sure = (pa.array(c, k) for c, k in zip(columns, (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())))
+    return pa.RecordBatch.from_arrays([whole, h1, h2, span, uid, word, n, sure], [c.split(" ")[0] for c in FOUND.replace("struct<a:long,b:long>", "struct").split(", ")])
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                rows = zip(part.column(2), part.column(3).to_pylist(), part.column(4).to_pylist())
-                words_n, gone_n, digest, kept_text = [], [], [], []
-                for text, spans, more in rows:
-                    words = text.as_buffer().to_pybytes().split() if text.is_valid else []
-                    words_n.append(len(words))
-                    kept = words
-                    if spans or more:
-                        change = np.zeros(len(words) + 1, np.int64)
-                        for x in spans or ():
-                            if x["sure"]:
-                                change[x["at"]] += 1
-                                change[x["at"] + x["n"] - 1 + window] -= 1
-                        for p in more or ():
-                            change[p] += 1
-                            change[p + window] -= 1
-                        kept = list(compress(words, (np.cumsum(change[:-1]) == 0).tolist()))
-                    gone_n.append(len(words) - len(kept))
-                    joined = b" ".join(kept)
-                    digest.append(hashlib.sha256(joined).hexdigest())
-                    kept_text.append(joined.decode())
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(words_n, pa.int64()), pa.array(gone_n, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return run
+def keep_words(batches):
+    """mapInArrow over doc_id, text, spans (first word, words): counts, digest and the text without the repeated words."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            words_n, gone_n, digest, kept_text = [], [], [], []
+            for text, spans in zip(part.column(1), part.column(2).to_pylist()):
+                words = text.as_buffer().to_pybytes().split() if text.is_valid else []
+                words_n.append(len(words))
+                kept = words
+                if spans:
+                    change = np.zeros(len(words) + 1, np.int64)
+                    first, n = np.array([[x["word"], x["n"]] for x in spans]).T
+                    np.add.at(change, first, 1)
+                    np.add.at(change, first + n, -1)
+                    kept = list(compress(words, (np.cumsum(change[:-1]) == 0).tolist()))
+                gone_n.append(len(words) - len(kept))
+                joined = b" ".join(kept)
+                digest.append(hashlib.sha256(joined).hexdigest())
+                kept_text.append(joined.decode())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words_n, pa.int64()), pa.array(gone_n, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+
+
+def compacted(sure: DataFrame) -> DataFrame:
+    """span, path, c: each repeated super-window with the nonbranching path it lies on, and its number of occurrences.
+
+    sure: uid, at, n, span. Two super-windows are one path where the one is always followed by the other, and the other always
+    preceded by the one. Followers are found by a join on source coordinates, paths as components of those pairs.
+    """
+    own = sure.select("uid", "at", "span", (F.col("at") + F.col("n")).alias("end"))
+    after = sure.select("uid", F.col("at").alias("end"), F.col("span").alias("next"))
+    pairs = cut(own.join(after, ["uid", "end"], "left").groupBy("span", "next").agg(F.count(F.lit(1)).alias("c")))
+    total = pairs.groupBy("span").agg(F.sum("c").alias("c"), F.count_if(F.col("next").isNotNull()).alias("kinds"), F.count_if(F.col("next").isNull()).alias("ends"), F.max("next").alias("next"))
+    total = cut(total)
+    ahead = total.filter("kinds = 1 and ends = 0").select("span", "next", "c")
+    before = pairs.filter("next is not null").groupBy("next").agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("c_next")).filter("kinds = 1")
+    both = ahead.join(before, "next").join(total.select(F.col("span").alias("next"), F.col("c").alias("all_next")), "next").filter("c = c_next and c_next = all_next and span <> next")
+    links = cut(both.select(F.col("span").alias("a"), F.col("next").alias("b")))
+    paths = cut(components(links).select(F.col("node").alias("span"), F.col("root").alias("path")))
+    # as many links as super-windows make a ring (a text that repeats itself), which has no beginning to compare: it is left in pieces
+    sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("nodes"), F.count(F.lit(1)).alias("c"))
+    rings = links.join(paths, F.col("a") == F.col("span")).groupBy("path").agg(F.count(F.lit(1)).alias("links"))
+    whole = cut(sizes.join(rings, "path").filter("links < nodes").select("path", "c"))
+    paths = join_counted(paths, whole, ["path"], "c", F.xxhash64("span"))
+    return cut(total.select("span", "c").join(paths, "span", "left").select("span", F.coalesce("path", "span").alias("path"), "c"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text for every row."""
-    source = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text")
-    found = source.select("uid", "text").mapInArrow(super_windows(window, gram), "node long, span long, uid long, at int, n int")
-    nodes = cut(found.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("span").alias("s0"), F.max("span").alias("s1")).filter("c > 1").select("node", "c", (F.col("s0") != F.col("s1")).alias("branching")))
-    repeated = cut(join_counted(found, nodes, ["node"], "c", F.xxhash64("uid", "at")))
-    paths = repeated.filter("not branching").select("uid", "at", "n", "span", F.lit(True).alias("sure"), F.lit(False).alias("probe"))
+    source = docs.select(row_mark().alias("uid"), "doc_id", "text")
+    spread = F.xxhash64("uid", "at")
+    found = source.select("uid", "text").mapInArrow(super_windows(window, gram), "node long, span long, other long, uid struct<a:long,b:long>, at int, n int")
+    agg = found.groupBy("node").agg(F.count(F.lit(1)).alias("c"), *[f(x).alias(f"{x}_{k}") for x in ("span", "other") for k, f in (("min", F.min), ("max", F.max))]).filter("c > 1")
+    nodes = cut(agg.select("node", "c", ((F.col("span_min") != F.col("span_max")) | (F.col("other_min") != F.col("other_max"))).alias("branching")))
+    repeated = cut(join_counted(found, nodes, ["node"], "c", spread))
     open_ = repeated.filter("branching")
-    kinds = cut(open_.groupBy("node", "span").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("one")).withColumn("sure", F.col("c") > 1))
-    ends = join_counted(open_, kinds, ["node", "span"], "c", F.xxhash64("uid", "at")).select("uid", "at", "n", "span", "sure", (~F.col("sure") | (F.col("uid") == F.col("one"))).alias("probe"))
-    spans = paths.unionByName(ends).groupBy("uid").agg(F.collect_set(F.struct("at", "n", "span", "sure", "probe")).alias("spans"))
+    kinds = cut(open_.groupBy("node", "span", "other").agg(F.count(F.lit(1)).alias("c"), F.min("uid.a").alias("one")).withColumn("sure", F.col("c") > 1))
+    ends = join_counted(open_, kinds, ["node", "span", "other"], "c", spread).select("uid", "at", "n", "span", "sure", (~F.col("sure") | (F.col("uid.a") == F.col("one"))).alias("probe"))
+    known = cut(repeated.filter("not branching").select("uid", "at", "n", "span", F.lit(True).alias("sure"), F.lit(False).alias("probe")).unionByName(ends))
+    sure = known.filter("sure")
+    placed = join_counted(sure, compacted(sure), ["span"], "c", spread).unionByName(known.filter("not sure").withColumn("path", F.lit(None).cast("long")))
+    spans = placed.groupBy("uid").agg(F.collect_set(F.struct("at", "n", "span", "path", "sure", "probe")).alias("spans"))
     # texts are shuffled once: both joins name the same columns, so the plan reuses their exchange; the spans
     # are the side that is hashed, so texts are not sorted
-    probed = source.join(spans.filter(F.exists("spans", lambda x: x["probe"])).hint("shuffle_hash"), "uid").select("uid", "doc_id", "text", "spans")
-    windows = probed.mapInArrow(probe_windows(window), "w long, span long, uid long, word int, sure boolean")
-    twice = windows.groupBy("w").agg(F.min("span").alias("s0"), F.max("span").alias("s1")).filter("s0 <> s1").select("w")
-    verified = windows.filter("not sure").join(twice, "w").groupBy("uid").agg(F.collect_set("word").alias("words"))
-    marked = source.join(spans.hint("shuffle_hash"), "uid", "left").join(verified.hint("shuffle_hash"), "uid", "left").select("uid", "doc_id", "text", "spans", "words")
-    return marked.mapInArrow(keep_words(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    looked = cut(source.join(spans.hint("shuffle_hash"), "uid").select("uid", "text", "spans").mapInArrow(at_source(window), FOUND))
+    paths, single = looked.filter("whole"), looked.filter("not whole")
+    same = cut(paths.groupBy("span", "h1", "h2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    verified = join_counted(paths, same, ["span", "h1", "h2"], "c", F.xxhash64("uid", "word")).select("uid", "word", "n")
+    unsure = single.filter("not sure").withColumn("c", F.lit(1))
+    twice = single.groupBy("h1", "h2").agg(F.min("span").alias("s0"), F.max("span").alias("s1"), F.count_if(~F.col("sure")).alias("c")).filter("s0 <> s1 and c > 0").select("h1", "h2", "c")
+    windows = join_counted(unsure.drop("c"), cut(twice), ["h1", "h2"], "c", F.xxhash64("uid", "word")).select("uid", "word", "n")
+    marks = verified.unionByName(windows).groupBy("uid").agg(F.collect_set(F.struct("word", "n")).alias("spans"))
+    marked = source.join(marks.hint("shuffle_hash"), "uid", "left").select("doc_id", "text", "spans")
+    return marked.mapInArrow(keep_words, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * _R)
+_TABLE_OTHER = mix(np.arange(1001, 1257, dtype=np.uint64) * _Q)
 _TABLE_LOWER = _TABLE.copy()
 _TABLE_LOWER[65:91] = _TABLE[97:123]
 _SPACE = np.zeros(256, dtype=bool)
@@ -64,10 +65,11 @@ class Slice:
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), np.diff(self.ptr))
 
-    def word_hashes(self, lower: bool = False) -> np.ndarray:
+    def word_hashes(self, lower: bool = False, other: bool = False) -> np.ndarray:
+        """A hash of each word; with `other` a second one, independent of the first."""
         n = len(self.data)
         sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((_TABLE_LOWER if lower else _TABLE)[self.data] * powers(_R, n), out=sums[1:])
+        np.cumsum((_TABLE_OTHER if other else _TABLE_LOWER if lower else _TABLE)[self.data] * powers(_R, n), out=sums[1:])
         return mix((sums[self.ends] - sums[self.starts]) * powers(_R_INV, n + 1)[self.starts])
 
     def row_bytes(self, word_from: int, word_to: int) -> bytes:

@@ -176,6 +176,20 @@ def test_substrings(docs, rows):
     assert all(hashlib.sha256(g.kept_text.encode()).hexdigest() == g.kept_sha256 for g in got)
 
 
+@pytest.mark.parametrize("window,gram", [(9, 4), (35, 12)])
+def test_substrings_of_texts_that_repeat_themselves(spark, window, gram):
+    """Rings that begin anywhere, paths that follow themselves, passages that part and meet."""
+    rng = random.Random(11)
+    ring, path = [f"r{i}" for i in range(17)], [f"p{i}" for i in range(60)]
+    texts = [ring[k:] + ring * rng.randrange(2, 9) + ring[: rng.randrange(17)] for k in (0, 3, 9)] + [ring[5:] + ring * 2, ring * 3]
+    texts += [path, path * 2, path[:40], path[20:], ["x"] + path + ["y"] + path[10:50], path + [f"q{i}" for i in range(50)], [f"q{i}" for i in range(50)] + path]
+    texts += [["a"] * n for n in (5, 34, 35, 36, 90)] + [["a", "b"] * 40, ["a", "b"] * 30 + ["c"] * 40]
+    texts += [[f"v{rng.randrange(3)}" for _ in range(rng.randrange(20, 150))] for _ in range(15)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), window, gram).collect()
+    assert Counter((g.doc_id, g.n_words, g.n_removed, g.kept_sha256) for g in got) == substring_truth(rows, window)
+
+
 def test_substrings_other_window(docs, rows):
     got = substring_dedup.remove_repeats(docs, window=9, gram=4).collect()
     assert Counter((g.doc_id, g.n_words, g.n_removed, g.kept_sha256) for g in got) == substring_truth(rows, 9)
