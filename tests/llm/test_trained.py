@@ -145,3 +145,69 @@ def test_pipeline(spark, folder):
     plain = bpe.encode(docs, bpe.default_tokenizer(), whole=False)
     key = lambda d: sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in d.collect())
     assert key(last) == key(plain)
+
+
+def test_scores_do_not_hang_on_neighbours(spark, folder):
+    """Each text by itself scores what it scores among others, and by the plain sum over its distinct buckets."""
+    import pyarrow as pa
+
+    docs = table(spark, folder, "documents").limit(60)
+    model = quality.fit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    together = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for r in docs.collect():
+        (_, _, buckets), *rest = quality.indicators(pa.array([r.text])) if r.text else ((None, None, np.zeros(0, int)),)
+        assert not rest
+        x = {int(b) for b in buckets}
+        ratio = {b: float(model["ratio"][b]) for b in x}
+        norm = sum(v * v for v in ratio.values()) ** 0.5 or 1.0
+        margin = sum(float(model["weights"][b]) * ratio[b] for b in x) / norm + model["bias"]
+        score = 1 / (1 + np.exp(-(model["line"][0] + model["line"][1] * margin)))
+        assert abs(together[r.doc_id] - score) < 1e-5
+
+
+def test_dual_meets_the_primal():
+    """The fitted model's objective is that of a long descent on the primal."""
+    rng = np.random.default_rng(4)
+    docs = [rng.choice(30, 6, replace=False) for _ in range(80)]
+    y = np.array([1 if (d < 12).sum() + rng.normal() > 2.4 else -1 for d in docs])
+    values = [np.ones(6) / np.sqrt(6)] * 80
+    w = quality.dual_coordinate_descent(docs, values, y, np.ones(80), 400)
+    x = np.zeros((80, 31))
+    for i, (d, v) in enumerate(zip(docs, values)):
+        x[i, d], x[i, 30] = v, 1
+    cost = lambda u: 0.5 * u @ u + np.maximum(0, 1 - y * (x @ u)).sum()
+    u, best = np.zeros(31), np.inf
+    for k in range(1, 20_001):
+        u = u - (u - (y * (y * (x @ u) < 1)) @ x) / k
+        best = min(best, cost(u))
+    mine = cost(np.append(w[:30], w[-1]))
+    assert mine <= best * 1.01
+
+
+def test_token_features():
+    """Marks at the ends and the case of A-Z don't count; words with one beginning share its feature; others differ."""
+    import pyarrow as pa
+
+    from pavelake.llm import tokens
+
+    f = lambda text: toxicity.token_features(next(tokens.slices(pa.array([text]))))
+    a = f("Idiot idiot, (IDIOT!) idiots idle réeuxpa réeuxan *** ***")
+    assert (a[0] == a[1]).all() and (a[0] == a[2]).all() and a[0, 0] != a[3, 0]
+    assert (a[0, 1:3] == a[3, 1:3]).all() and a[0, 1] != a[4, 1]
+    assert (a[5, 1:4] == a[6, 1:4]).all() and a[5, 0] != a[6, 0] and (a[7] == a[8]).all()
+
+
+def test_toxic_features_by_hand():
+    """Only what parts the classes beyond chance is marked: a word of toxic documents, and a stem that rare words share."""
+    rng = np.random.default_rng(5)
+    docs, y = [], []
+    for i in range(300):
+        toxic = i % 8 == 0
+        words = rng.integers(10, 60, 30)
+        rows = [[w, w % 7 + 1000, w % 11 + 2000, w % 13 + 3000, w % 17 + 4000] for w in words]
+        if toxic:
+            rows += [[5, 5001, 5002, 5003, 5004]] if i % 16 else [[6000 + int(rng.integers(400)), 7001, 7002, 7003, 7004] for _ in range(3)]
+        docs.append(np.array(rows, np.int32))
+        y.append(int(toxic))
+    marked = set(np.flatnonzero(toxicity.toxic_features(toxicity.Sample(docs), np.arange(300), np.array(y))).tolist())
+    assert {5, 5001, 7001, 7004} <= marked and not {m for m in marked if m < 5 or 10 <= m < 5000}
