@@ -51,6 +51,13 @@ def partitions_for(df: DataFrame, least: int = 8) -> int:
 
 
 HEAVY = 2000
+FEW = 200_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """The rows with a broadcast hint if there are at most FEW of them (narrow rows, some 20 MB); counted first, so rows should be
+    cheap to read again. Results are the same either way."""
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
 
 
 def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], count: str, spread: Column, how: str = "inner") -> DataFrame:

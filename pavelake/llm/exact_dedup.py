@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, packed, table
+from .common import cut, lower_ascii, packed, small, table
 
 COUNTERS = 1024
 
@@ -96,7 +96,7 @@ def drop_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     hot, cold = stays(rows.join(F.broadcast(heavy), "digest")), stays(rows.join(F.broadcast(heavy), "digest", "left_anti"))
     lives = F.col("keep").isNull() | F.col("d.doc_id").eqNullSafe(F.col("keep.id"))
     d = d.join(F.broadcast(hot), "digest", "left").filter(lives).withColumnRenamed("keep", "first")
-    d = d.join(cold, "digest", "left").filter(lives).select("d", "digest", F.coalesce("first.c", "keep.c", F.lit(1)).alias("c"))
+    d = d.join(small(cold), "digest", "left").filter(lives).select("d", "digest", F.coalesce("first.c", "keep.c", F.lit(1)).alias("c"))
     if hot.unionByName(cold).filter("keep.c > 1").isEmpty():
         return d.select("d.*")
     one = F.row_number().over(Window.partitionBy("digest").orderBy(F.lit(1)))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, join_counted, packed, partitions_for, row_mark, table
+from .common import cut, join_counted, packed, partitions_for, row_mark, small, table
 from ..operators.graph import components
 
 SHINGLE = 5
@@ -320,7 +320,7 @@ def near_groups(docs: DataFrame, threshold: int = 80, tables: int | None = None,
 
 def keep_one(docs: DataFrame, threshold: int = 80) -> DataFrame:
     """The documents that stay, with all their columns: one of each group of near copies. Rows equal in doc_id and text stay or go together."""
-    gone = near_groups(docs, threshold).filter("not kept").select("uid").distinct()
+    gone = small(cut(near_groups(docs, threshold).filter("not kept").select("uid").distinct()))
     marked = packed(docs).withColumn("uid", row_mark("d."))
     return marked.join(gone, "uid", "left_anti").select("d.*")
 
