@@ -141,11 +141,14 @@ def interval_slice(spark, d):
     return f.select("id", rnd(F.col("noise_floor")).alias("noise_floor"), rnd(F.col("crest")).alias("crest"), rnd(F.col("vz_pp")).alias("vz_pp"), "bump", rnd(F.col("post_ratio"), 8).alias("post_ratio"), evidence_tier(F.col("crest")).alias("tier"))
 
 
-@query(SLICE + """, o AS (SELECT *, CASE WHEN peak > 1e-9 THEN post / peak END AS ratio, peak / noise_floor AS crest, speed * 3.6 + 1e-7 AS kmh FROM f)
+BLOCK_SQL = SLICE + """, o AS (SELECT *, CASE WHEN peak > 1e-9 THEN post / peak END AS ratio, peak / noise_floor AS crest, speed * 3.6 + 1e-7 AS kmh FROM f)
 SELECT id, concat('IMU 证据（由确定性代码预计算，模型不得重新解读数值）：', chr(10), '- 证据强度：', CASE WHEN crest >= 8 THEN '强' WHEN crest >= 4 THEN '中' ELSE '弱' END, chr(10), '- 持续时长：', duration_ms, ' ms', chr(10),
   CASE WHEN vz_max IS NOT NULL THEN concat('- 垂直分量：', CASE WHEN abs(vz_max) > abs(vz_min) THEN '凸起' ELSE '凹陷' END, '（上下极值差 ', printf('%.1f', vz_max - vz_min + 1e-7), '）', chr(10)) ELSE '' END,
   CASE WHEN ratio IS NULL THEN '- 事件后持续位移：无有效数据' ELSE concat('- 事件后持续位移：比值 ', printf('%.3f', ratio), CASE WHEN ratio > 0.089 THEN '（>0.089，含持续位移成分）' ELSE '' END) END, chr(10),
-  '- 记录时车速：', printf('%.1f', kmh), ' km/h；低速标记：', CASE WHEN kmh < 8 THEN '是' ELSE '否' END, chr(10), '- 算法自动标签：无（供对照，不供采信）') AS block FROM o""")
+  '- 记录时车速：', printf('%.1f', kmh), ' km/h；低速标记：', CASE WHEN kmh < 8 THEN '是' ELSE '否' END, chr(10), '- 算法自动标签：无（供对照，不供采信）') AS block FROM o"""
+
+
+@query(BLOCK_SQL)
 def feature_block(spark, d):
     """The text as it is; values that would lie halfway between two printed ones are moved by 1e-7 beforehand."""
     e, f = _features(spark, d)
@@ -154,6 +157,11 @@ def feature_block(spark, d):
     return j.select("id", feature_text(fields).alias("block"))
 
 
+@query(BLOCK_SQL.replace(" AS block FROM o", " AS block FROM o) SELECT id, md5(block) AS digest FROM b").replace("SELECT id, concat(", ", b AS (SELECT id, concat("))
+def feature_block_digest(spark, d):
+    return feature_block(spark, d).select("id", F.md5("block").alias("digest"))
+
+
 @query(I + f""", s AS (SELECT e.id, {'{0}'} AS x FROM imu e) SELECT i.id, round(sqrt(avg(s.hp * s.hp)), 6) AS ctx_rms, count(*) AS n FROM imu i JOIN samples s ON s.pack_id = i.pack_id AND s.t_ms BETWEEN i.t_ms - 2500 AND i.t_ms + 2500 AND NOT s.t_ms BETWEEN i.t_ms - 320 AND i.t_ms + 320 GROUP BY i.id""".replace(", s AS (SELECT e.id, {0} AS x FROM imu e)", ""))
 def context_mask(spark, d):
     e = a.imu_events(spark, d).select("id", "pack_id", F.col("t_ms").alias("t0"))
