@@ -43,18 +43,22 @@ def components(edges: DataFrame, most_rounds: int = 60, hot: int = 2000) -> Data
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())
         seen = (n, mark)
         limit = max(2 * n // hot, 1000)
+        ends = e.select(F.explode(F.array("u", "v")).alias("x")).groupBy("x").count() if n > limit else None
+        split = ends is not None and ends.agg(F.max("count")).first()[0] > limit
         # large star: every larger neighbour of u goes to the smallest of u and its neighbours
-        large = _with_least(e.union(e.select("v", "u")).toDF("u", "v"), limit)
+        large = _with_least(e.union(e.select("v", "u")).toDF("u", "v"), limit, split)
         large = large.filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u <> v").distinct()
-        # small star: u and its smaller neighbours go to the smallest of them
-        small = _with_least(large, limit)
+        # small star: u and its smaller neighbours go to the smallest of them; there are no more of these than of neighbours before
+        small = _with_least(large, limit, split)
         e = cut(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def _with_least(pairs: DataFrame, limit: int) -> DataFrame:
-    """u, v, m: each pair with the least v of its u."""
+def _with_least(pairs: DataFrame, limit: int, split: bool) -> DataFrame:
+    """u, v, m: each pair with the least v of its u; centres above the limit are split where there are any."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+    if not split:
+        return pairs.join(least.select("u", "m"), "u")
     hot = least.filter(F.col("c") > limit).select("u", F.col("m").alias("__hot"))
     tagged = pairs.join(F.broadcast(hot), "u", "left")
     cold = tagged.filter("__hot is null").select("u", "v").join(least.filter(F.col("c") <= limit).select("u", "m"), "u")

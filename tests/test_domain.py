@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pavelake import vocab as v
 from pavelake.functions import scalar
-from pavelake.operators import analysis, detector, evaluate, folds, fusion, image, joins, judge, labels, ml, quality, screening, spatial, spectral
+from pavelake.operators import analysis, detector, evaluate, folds, fusion, graph, image, joins, judge, labels, ml, quality, screening, spatial, spectral
 from pavelake.operators import timeseries as ts
 from pavelake.sources import files, sinks
 
@@ -544,3 +544,23 @@ def test_grid_of_settings(spark):
     assert settings["std 1 s", 6.0].recall < 0.7
     top = screening.best(got).collect()
     assert 0 < len(top) <= 10 and all(r.recall >= 0.95 and r.false_alarms <= 0.2 for r in top)
+
+
+def test_components_with_a_hot_centre(spark):
+    """A star with more leaves than one task may gather, chains and rings; against a union of sets."""
+    rng = np.random.default_rng(3)
+    edges = [(0, i) for i in range(1, 4000)] + [(5000 + i, 5001 + i) for i in range(300)] + [(6000 + i, 6000 + (i + 1) % 50) for i in range(50)] + [(int(a), int(b)) for a, b in rng.integers(7000, 7400, (200, 2))]
+    root = {}
+
+    def find(i):
+        root.setdefault(i, i)
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {i: find(i) for i in root if i not in alone}
