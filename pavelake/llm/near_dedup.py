@@ -259,6 +259,9 @@ def links_of(sets: DataFrame, threshold: int, block: int, parts: int) -> DataFra
     own = F.xxhash64("class")
     small = sets.filter(F.col("total") <= block).select(F.xxhash64("cluster").alias("task"), "class", F.lit(False).alias("settled"), "grams")
     large = sets.filter(F.col("total") > block)
+    searched = lambda rows: rows.repartition(parts, "task").sortWithinPartitions("task", "class").mapInArrow(confirm(threshold), "a long, b long")
+    if large.isEmpty():
+        return searched(small)
     # the least of a cluster's classes in PIVOTS orders: a class number with some bits turned orders anew and can be turned back
     turns = tokens.signed(tokens.mix(np.arange(1, PIVOTS + 1, dtype=np.uint64)) >> np.uint64(2)).tolist()
     firsts = large.groupBy("cluster").agg(*[F.min(F.col("class").bitwiseXOR(F.lit(t))).alias(f"p{k}") for k, t in enumerate(turns)])
@@ -282,8 +285,7 @@ def links_of(sets: DataFrame, threshold: int, block: int, parts: int) -> DataFra
     as_member = state.select("cluster", block_of.alias("block"), F.explode(upto("rounds")).alias("round"), "class", "settled", "grams")
     as_guest = state.filter("not settled").select("cluster", F.explode(upto("blocks")).alias("block"), round_of.alias("round"), "class", "settled", "grams")
     split = as_member.unionByName(as_guest).select(F.xxhash64("cluster", "block", "round").alias("task"), "class", "settled", "grams")
-    tasks = small.unionByName(split).repartition(parts, "task").sortWithinPartitions("task", "class")
-    return tasks.mapInArrow(confirm(threshold), "a long, b long").unionByName(to_pivots)
+    return searched(small.unionByName(split)).unionByName(to_pivots)
 
 
 def near_groups(docs: DataFrame, threshold: int = 80, tables: int | None = None, block: int = BLOCK) -> DataFrame:

@@ -31,7 +31,7 @@ from .learn import held_out, labelled, logistic, sigmoid
 
 BUCKETS = 1 << 20
 MOST_ROWS = 4000
-MOST_BYTES = 4 << 20
+MOST_BYTES = 3 << 20
 FOLDS = 4
 THRESHOLD = 0.3
 RUN = 16
@@ -147,13 +147,17 @@ class Sample:
     def __init__(self, docs: list[np.ndarray]):
         self.size = np.array([len(d) for d in docs])
         f = np.concatenate(docs)
-        mark = tokens.mix(f.astype(np.uint64) * tokens.mix(np.arange(1, KINDS + 1, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+        mark = np.zeros(len(f), np.uint64)
+        for k, turn in enumerate(tokens.mix(np.arange(1, KINDS + 1, dtype=np.uint64))):
+            mark += tokens.mix(f[:, k].astype(np.uint64) * turn)
         _, one, self.kind = np.unique(mark, return_index=True, return_inverse=True)
         self.kinds = f[one]
         doc = np.repeat(np.arange(len(docs)), self.size)
         words = np.unique(doc * len(one) + self.kind)
         pairs, self.many = np.unique(np.repeat(words // len(one), KINDS) * BUCKETS + self.kinds[words % len(one)].ravel(), return_counts=True)
-        self.doc, self.feature = pairs // BUCKETS, pairs % BUCKETS
+        self.doc = (pairs // BUCKETS).astype(np.int32)
+        # buckets that occur, and for each pair which of them
+        self.buckets, self.feature = np.unique(pairs % BUCKETS, return_inverse=True)
         self.ptr = np.concatenate([[0], np.cumsum(self.size)])
 
     def tokens_of(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,20 +166,21 @@ class Sample:
 
 
 def toxic_features(sample: Sample, use: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Buckets that mark toxic ones among these documents beyond chance, strong ones first, then those that explain the rest.
+    """Buckets (as flags) that mark toxic ones among these documents beyond chance, strong ones first, then those that explain the rest.
 
     What is counted are the different words of a document that have a feature, so a stem that several words of a few
     toxic documents share is found where each of these words is too rare by itself.
     """
     kind = np.full(len(y), -1)
     kind[use] = y[use]
-    marked = np.zeros(BUCKETS, bool)
+    n = len(sample.buckets)
+    marked = np.zeros(n, bool)
     left = kind == 1
 
     def counted(which):
         on = which[sample.doc]
         at, many = sample.feature[on], sample.many[on]
-        return np.bincount(at, minlength=BUCKETS), np.bincount(at, weights=many, minlength=BUCKETS)
+        return np.bincount(at, minlength=n), np.bincount(at, weights=many, minlength=n)
 
     clean_df, clean = counted(kind == 0)
     for _ in range(2):
@@ -192,7 +197,9 @@ def toxic_features(sample: Sample, use: np.ndarray, y: np.ndarray) -> np.ndarray
         enough = ranked > np.log(max((total >= 3).sum(), 2) / (np.arange(len(ranked)) + 1.0)) + EVIDENCE
         marked |= ok & (nats >= (ranked[np.flatnonzero(enough)[-1]] if enough.any() else np.inf))
         left = left & (np.bincount(sample.doc, weights=marked[sample.feature], minlength=len(y)) == 0)
-    return marked
+    out = np.zeros(BUCKETS, bool)
+    out[sample.buckets[marked]] = True
+    return out
 
 
 def without_near_copies(found: list[np.ndarray]) -> np.ndarray:
