@@ -341,9 +341,10 @@ def clean_documents(docs: DataFrame, model: dict, threshold: float = THRESHOLD)
         m = spread.value
         for batch in batches:
             at = batch.schema.names.index("text")
-            scores = [sigmoid(doc_signals(token_marginals(token_features(s), s.ptr, m), s.row_of_word(), s.rows) @ m["line"]) for s in tokens.slices(batch.column(at))]
-            if scores:
-                yield batch.filter(pa.array(np.concatenate(scores) < threshold))
+            for s in tokens.slices(batch.column(at)):
+                scores = sigmoid(doc_signals(token_marginals(token_features(s), s.ptr, m), s.row_of_word(), s.rows) @ m["line"])
+                yield batch.slice(s.first, s.rows).filter(pa.array(scores < threshold))
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)
 
