@@ -33,6 +33,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * _R)
 _TABLE_LOWER = _TABLE.copy()
 _TABLE_LOWER[65:91] = _TABLE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: dict[int, np.ndarray] = {}
@@ -70,6 +72,16 @@ class Slice:
         np.cumsum((_TABLE_LOWER if lower else _TABLE)[self.data] * powers(_R, n), out=sums[1:])
         return mix((sums[self.ends] - sums[self.starts]) * powers(_R_INV, n + 1)[self.starts])
 
+    def words(self, lower: bool = False) -> pa.Array:
+        """The words as a string column."""
+        offsets = np.zeros(len(self.starts) + 1, dtype=np.int32)
+        np.cumsum(self.ends - self.starts, out=offsets[1:])
+        edges = np.zeros(len(self.data) + 1, dtype=np.int8)
+        edges[self.starts] += 1
+        edges[self.ends] -= 1  # the end of a word may be the start of the next row's first
+        inside = self.data[np.cumsum(edges[:-1], dtype=np.int8).view(bool)]
+        return pa.StringArray.from_buffers(len(self.starts), pa.py_buffer(offsets), pa.py_buffer(_LOWER[inside] if lower else inside))
+
     def row_bytes(self, word_from: int, word_to: int) -> bytes:
         return self.data[self.starts[word_from] : self.ends[word_to - 1]].tobytes()
 
@@ -88,8 +100,8 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def slices(texts: pa.Array) -> Iterator[Slice]:
-    """The rows of a string column; null counts as empty."""
+def slices(texts: pa.Array, separators: np.ndarray = _SPACE, slice_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
+    """The rows of a string column, cut into words at bytes that `separators` marks; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
@@ -100,11 +112,11 @@ def slices(texts: pa.Array) -> Iterator[Slice]:
     everything = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     r, n = 0, len(texts)
     while r < n:
-        stop = max(r + 1, int(np.searchsorted(offsets, offsets[r] + SLICE_BYTES, side="right")) - 1)
+        stop = max(r + 1, int(np.searchsorted(offsets, offsets[r] + slice_bytes, side="right")) - 1)
         data = everything[offsets[r] : offsets[stop]]
         bounds = offsets[r : stop + 1] - offsets[r]
         blank = np.ones(len(data) + 1, dtype=bool)
-        blank[:-1] = _SPACE[data]
+        blank[:-1] = separators[data]
         opens = ~blank[:-1]
         fresh = np.ones(len(data), dtype=bool)
         fresh[1:] = blank[:-2] if len(data) > 1 else fresh[1:]
