@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, divergence, exact_dedup, fingerprint, html, mixing, near_dedup, pii, prefix_trie, quality, substring_dedup, toxicity
+from . import bpe, divergence, exact_dedup, fingerprint, html, mixing, near_dedup, pii, prefix_trie, quality, substring_dedup, token_files, toxicity
 from .common import ship_package
 
 _OPERATORS = [
@@ -18,6 +18,7 @@ _OPERATORS = [
     (pii.op10_pii_surrogates, None),
     (prefix_trie.op11_prefix_trie, prefix_trie.OP11_SQL),
     (divergence.op12_source_divergence, divergence.OP12_SQL),
+    (token_files.op13_token_files, None),
 ]
 
 
