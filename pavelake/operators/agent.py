@@ -6,6 +6,7 @@ concurrency is the number of tasks at work. Nothing here opens a connection.
 
 from __future__ import annotations
 
+import itertools
 import json
 import time
 from collections.abc import Callable
@@ -28,29 +29,40 @@ class Permanent(Exception):
 
 
 def call(model: Callable[[dict], str], request: dict, wait: Callable[[float], None] = time.sleep) -> tuple[dict | None, str, int, str]:
-    """answer, status (ok, net_failed, parse_failed), tries, error: failures are retried after rising waits, answers that are no JSON object
-    with a visual_label once."""
-    failed = bad = 0
-    while True:
+    """answer, status (ok, net_failed, parse_failed), tries, error of one request.
+
+    A schedule of waits is used up by calls that fail, whatever was answered between them; an answer that is no JSON object with a
+    visual_label is asked for once more; a Permanent failure ends it.
+    """
+    waits, unread, problem = iter(WAITS), 0, ""
+    for tries in itertools.count(1):
         try:
-            text = model(request)
+            answer = read_answer(model(request))
         except Permanent as e:
-            return None, "net_failed", failed + 1, f"{type(e).__name__}: {e}"
-        except Exception as e:  # noqa: BLE001
-            failed += 1
-            if failed > len(WAITS):
-                return None, "net_failed", failed, f"{type(e).__name__}: {e}"
-            wait(WAITS[failed - 1])
-            continue
-        try:
-            answer = json.loads(text or "")
-            if not isinstance(answer, dict) or "visual_label" not in answer:
-                raise ValueError("no visual_label")
-            return answer, "ok", failed + bad + 1, ""
+            return None, "net_failed", tries, told(e)
         except ValueError as e:
-            bad += 1
-            if bad >= PARSE_TRIES:
-                return None, "parse_failed", bad, f"{type(e).__name__}: {e}"
+            unread, problem = unread + 1, told(e)
+            if unread == PARSE_TRIES:
+                return None, "parse_failed", tries, problem
+        except Exception as e:  # noqa: BLE001
+            pause = next(waits, None)
+            if pause is None:
+                return None, "net_failed", tries, told(e)
+            wait(pause)
+        else:
+            return answer, "ok", tries, ""
+    raise AssertionError
+
+
+def told(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
+
+
+def read_answer(text: str | None) -> dict:
+    answer = json.loads(text or "")
+    if not isinstance(answer, dict) or "visual_label" not in answer:
+        raise ValueError("no visual_label")
+    return answer
 
 
 def accepted(answer: dict) -> dict:
@@ -114,7 +126,7 @@ def judge_event(record: dict, model: Callable[[dict], str], wait: Callable[[floa
             continue
         review = new
         out["trace"].append({"round": out["rounds"], "status": "ok", "label": review["visual_label"], "error": ""})
-        fires = fired(record, review, usable + extra, done)
+        fires = fired(record, review, usable, done)  # frames gathered later don't mend the lack of key frames
         if not fires:
             out["final"] = "converged"
         elif out["rounds"] >= MOST_ROUNDS or out["calls"] >= MOST_CALLS:

@@ -16,18 +16,37 @@ OUTPUT_FOLDERS = r"^(out|vis|fused|out_selftest|out_fused_selftest)/"
 LONGEST_LINE = 500
 
 
-def issues(labels: DataFrame) -> DataFrame:
-    """event_id, issue: one row per violation. Columns event_id, truth_label, confidence, is_false_positive."""
-    copies = F.count(F.lit(1)).over(Window.partitionBy("event_id"))
-    truth = F.nullif(F.trim("truth_label"), F.lit(""))
-    found = F.array(
-        F.when(F.col("copies") > 1, "duplicate_id"),
-        F.when(truth.isNull(), "empty_truth"),
-        F.when(truth.isNotNull() & ~truth.isin(*v.TRUTHS), "truth_out_of_domain"),
-        F.when(~F.coalesce(F.col("confidence").isin(*CONFIDENCES), F.lit(False)), "bad_confidence"),
-        F.when(~F.coalesce(F.col("is_false_positive").isin(0, 1), F.lit(False)), "bad_flag"),
-    )
-    return labels.withColumn("copies", copies).select("event_id", F.explode(F.array_compact(found)).alias("issue"))
+# fixed values: columns of annotation files, and what severities there are
+EVENT_FIELDS = ("event_id", "t_start_ms", "t_end_ms", "peak", "imu_label", "truth_label", "is_false_positive", "confidence", "note", "labeled_by", "labeled_at")
+FRAME_FIELDS = ("frame_id", "t_ms", "source", "vision_label", "truth_label", "severity", "occlusion", "confidence", "note", "labeled_by", "labeled_at")
+SEVERITIES = ("light", "medium", "severe")
+
+
+def missing_fields(columns: list[str]) -> list[str]:
+    """Columns that an annotation file of its kind lacks."""
+    return [c for c in (EVENT_FIELDS if kind_by_header(columns) == "event" else FRAME_FIELDS) if c not in columns]
+
+
+def issues(labels: DataFrame, key: str = "event_id") -> DataFrame:
+    """key, issue: one row per violation; key is event_id or frame_id, columns as the file has them (a missing column counts as empty).
+
+    An id that occurs again is reported once for each further row. Confidence, severity and occlusion may be empty; a truth label, and for
+    events the flag of false positives, may not.
+    """
+    text = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) if c in labels.columns else F.lit(None).cast("string")
+    strange = lambda c, domain: text(c).isNotNull() & ~text(c).isin(*domain)
+    no_id = F.coalesce(F.col(key).cast("string"), F.lit("")) == ""
+    found = [
+        F.when(no_id, "empty_id"), F.when(~no_id & (F.col("__place") > 1), "duplicate_id"),
+        F.when(text("truth_label").isNull(), "empty_truth"), F.when(strange("truth_label", v.TRUTHS), "truth_out_of_domain"),
+        F.when(strange("confidence", CONFIDENCES), "bad_confidence"),
+    ]
+    if key == "event_id":
+        found.append(F.when(~F.coalesce(text("is_false_positive").isin("0", "1"), F.lit(False)), "bad_flag"))
+    else:
+        found += [F.when(strange("severity", SEVERITIES), "bad_severity"), F.when(strange("occlusion", ("0", "1")), "bad_occlusion")]
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))
+    return labels.withColumn("__place", place).select(key, F.explode(F.array_compact(F.array(*found))).alias("issue"))
 
 
 def conflicts(labels: DataFrame, key: str = "event_id", truth: str = "truth_label", source: str = "source_file") -> DataFrame:
@@ -86,14 +105,14 @@ def forbidden_path(path: Column) -> Column:
 
 def kind_by_header(columns: list[str]) -> str:
     """What an annotation file is of; a header of both kinds is one of events."""
-    if {"event_id", "imu_label"} & set(columns):
-        return "event"
-    return "frame" if {"frame_id", "vision_label"} & set(columns) else "unknown"
+    # fixed values: columns that only one kind has
+    marks = {"event": {"event_id", "imu_label"}, "frame": {"frame_id", "vision_label"}}
+    return next((kind for kind, own in marks.items() if own & set(columns)), "unknown")
 
 
-def annotators(a: DataFrame, b: DataFrame, key: str = "event_id", truth: str = "truth_label") -> DataFrame:
-    """key, side (both, only_a, only_b), a, b: two annotators' labels beside each other; of a repeated key the last row by label counts."""
-    one = lambda df, name: df.filter(F.nullif(F.col(key).cast("string"), F.lit("")).isNotNull()).groupBy(key).agg(F.max(F.coalesce(F.trim(truth), F.lit(""))).alias(name))
+def annotators(a: DataFrame, b: DataFrame, key: str = "event_id", truth: str = "truth_label", order: str = "line") -> DataFrame:
+    """key, side (both, only_a, only_b), a, b: two annotators' labels beside each other; of a repeated key the last row by `order` counts."""
+    one = lambda df, name: df.filter(F.nullif(F.col(key).cast("string"), F.lit("")).isNotNull()).groupBy(key).agg(F.max_by(F.coalesce(F.trim(truth), F.lit("")), order).alias(name))
     both = one(a, "a").join(one(b, "b"), key, "full")
     return both.select(key, F.when(F.col("b").isNull(), "only_a").when(F.col("a").isNull(), "only_b").otherwise("both").alias("side"), "a", "b")
 

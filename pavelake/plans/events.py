@@ -274,9 +274,37 @@ def _labels(spark, d):
     return i.select(F.col("id").alias("event_id"), F.col("final_type").alias("truth_label"), F.when(F.col("label") == "", v.UNDECIDED).otherwise(F.col("label")).alias("imu_label"), a.pick(F.col("id"), ("high", "mid", "low", "??")).alias("confidence"), (F.col("id") % 7 % 3).cast("int").alias("is_false_positive"), F.concat(F.lit("f"), (F.col("id") % 3).cast("string")).alias("source_file"))
 
 
-@query(LABELLED + ", x AS (SELECT event_id // 2 AS event_id, truth_label, confidence, is_false_positive FROM l) , c AS (SELECT *, count(*) OVER (PARTITION BY event_id) AS n FROM x) SELECT event_id, unnest(list_filter([CASE WHEN n > 1 THEN 'duplicate_id' END, CASE WHEN confidence NOT IN ('high', 'mid', 'low') THEN 'bad_confidence' END, CASE WHEN is_false_positive NOT IN (0, 1) THEN 'bad_flag' END], lambda y: y IS NOT NULL)) AS issue FROM c")
+# annotation files as people leave them: ids that repeat or are missing, labels, confidences and flags that are empty or unknown
+FILES_SQL = LABELLED + """, x AS (SELECT event_id, CASE WHEN event_id % 11 > 0 THEN event_id // 2 END AS key, CASE WHEN event_id % 13 = 0 THEN ' ' WHEN event_id % 13 = 1 THEN '水坑' WHEN event_id % 13 > 2 THEN truth_label END AS truth_label,
+CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN '' ELSE confidence END AS confidence, CASE WHEN event_id % 9 > 0 THEN CAST(is_false_positive AS VARCHAR) END AS flag,
+(['light','medium','severe','',NULL,'huge'])[CAST(event_id % 6 + 1 AS INT)] AS severity, (['0','1','2',NULL])[CAST(event_id % 4 + 1 AS INT)] AS occlusion FROM l),
+c AS (SELECT *, key IS NOT NULL AND row_number() OVER (PARTITION BY key ORDER BY event_id) > 1 AS again FROM x) SELECT key AS {0}, unnest(list_filter([CASE WHEN key IS NULL THEN 'empty_id' END, CASE WHEN again THEN 'duplicate_id' END,
+CASE WHEN coalesce(trim(truth_label), '') = '' THEN 'empty_truth' END, CASE WHEN truth_label = '水坑' THEN 'truth_out_of_domain' END, CASE WHEN confidence = '??' THEN 'bad_confidence' END, {1}], lambda y: y IS NOT NULL)) AS issue FROM c"""
+
+
+def _files(spark, d, key):
+    i = F.col("event_id")
+    kept = lambda c: F.col(c).cast("string")
+    return _labels(spark, d).select(
+        F.when(i % 11 > 0, F.floor(i / 2)).alias(key), F.when(i % 13 == 0, " ").when(i % 13 == 1, "水坑").when(i % 13 > 2, kept("truth_label")).alias("truth_label"),
+        F.when(i % 5 == 1, "").when(i % 5 > 1, kept("confidence")).alias("confidence"), F.when(i % 9 > 0, kept("is_false_positive")).alias("is_false_positive"),
+        a.pick(i, ("light", "medium", "severe", "", None, "huge")).alias("severity"), a.pick(i, ("0", "1", "2", None)).alias("occlusion"),
+    )
+
+
+def issue_counts(found, key):
+    """Which of the rows of one id comes first is not told, so issues are counted for each id."""
+    return found.groupBy(key, "issue").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, issue, count(*) AS n FROM (" + FILES_SQL.format("event_id", "CASE WHEN coalesce(flag, '') NOT IN ('0', '1') THEN 'bad_flag' END") + ") GROUP BY ALL")
 def validate_domain(spark, d):
-    return labels.issues(_labels(spark, d).withColumn("event_id", F.floor(F.col("event_id") / 2)))
+    return issue_counts(labels.issues(_files(spark, d, "event_id")), "event_id")
+
+
+@query("SELECT frame_id, issue, count(*) AS n FROM (" + FILES_SQL.format("frame_id", "CASE WHEN severity = 'huge' THEN 'bad_severity' END, CASE WHEN occlusion = '2' THEN 'bad_occlusion' END") + ") GROUP BY ALL")
+def validate_frames(spark, d):
+    return issue_counts(labels.issues(_files(spark, d, "frame_id"), "frame_id"), "frame_id")
 
 
 @query(LABELLED + " SELECT event_id // 4 AS event_id, list_sort(list_distinct(list(truth_label))) AS truths, list_sort(list_distinct(list(source_file))) AS files FROM l GROUP BY event_id // 4 HAVING count(DISTINCT truth_label) > 1")
@@ -330,11 +358,11 @@ def publish_guard(spark, d):
     return p.select("path", F.array_join(labels.forbidden_path(F.col("path")), ",").alias("reasons"), labels.scanned(F.col("path")).alias("scanned"))
 
 
-@query(LABELLED + """, x AS (SELECT event_id, truth_label AS a FROM l WHERE event_id % 5 > 0), y AS (SELECT event_id, imu_label AS b FROM l WHERE event_id % 3 > 0)
+@query(LABELLED + """, x AS (SELECT event_id // 3 AS event_id, arg_max(truth_label, event_id) AS a FROM l WHERE event_id % 5 > 0 GROUP BY 1), y AS (SELECT event_id // 3 AS event_id, arg_max(imu_label, -event_id) AS b FROM l WHERE event_id % 4 > 1 GROUP BY 1)
 SELECT coalesce(x.event_id, y.event_id) AS event_id, CASE WHEN y.event_id IS NULL THEN 'only_a' WHEN x.event_id IS NULL THEN 'only_b' ELSE 'both' END AS side, a, b FROM x FULL JOIN y ON x.event_id = y.event_id""")
 def annotator_overlap(spark, d):
-    l = _labels(spark, d)
-    return labels.annotators(l.filter("event_id % 5 > 0"), l.filter("event_id % 3 > 0").select("event_id", F.col("imu_label").alias("truth_label")))
+    l = _labels(spark, d).withColumn("line", F.col("event_id")).withColumn("event_id", F.floor(F.col("line") / 3))
+    return labels.annotators(l.filter("line % 5 > 0"), l.filter("line % 4 > 1").select("event_id", F.col("imu_label").alias("truth_label"), (-F.col("line")).alias("line")))
 
 
 @query(I + """, p AS (SELECT id AS "order", pack_id * 10 + id % 7 AS pack_id FROM imu), m AS (SELECT DISTINCT pack_id * 10 AS pack_id FROM imu WHERE pack_id % 2 = 0)

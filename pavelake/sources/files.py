@@ -70,16 +70,15 @@ def read_strict_csv(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 
 
 def load_events(raw: DataFrame) -> DataFrame:
-    """Event rows with the first filled label, ids from row order where there are none."""
+    """Event rows with the first filled label; a row without a usable id gets its number in file order, from 0."""
     from ..functions.scalar import first_filled
 
     lower = {c.lower(): c for c in raw.columns}
     has = lambda *names: [F.col(f"`{lower[n]}`") for n in names if n in lower]
-    if not has("id"):
-        raw = numbered(raw, "__row")
+    raw = numbered(raw, "__row")
     one = lambda *names: F.coalesce(*(has(*names) or [F.lit(None)])).try_cast("double")
     label = first_filled(*has("final_label", "manual", "auto_label", "auto", "type", "final_type")) if has("final_label", "manual", "auto_label", "auto", "type", "final_type") else F.lit(None).cast("string")
-    return raw.select((one("id").cast("bigint") if has("id") else F.col("__row")).alias("id"), label.alias("label"), one("duration_ms", "duration").alias("duration_ms"), one("speed_kmh", "spd").alias("speed_kmh"), one("t_ms", "t").alias("t_ms"), one("peak").alias("peak"), one("lat").alias("lat"), one("lon").alias("lon"))
+    return raw.select(F.coalesce(one("id").cast("bigint"), F.col("__row")).alias("id"), label.alias("label"), one("duration_ms", "duration").alias("duration_ms"), one("speed_kmh", "spd").alias("speed_kmh"), one("t_ms", "t").alias("t_ms"), one("peak").alias("peak"), one("lat").alias("lat"), one("lon").alias("lon"))
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

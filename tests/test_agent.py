@@ -32,6 +32,7 @@ RECORD = {"event_id": 1, "blocked": False, "text": "t", "keyframes": ["a", "b",
 @pytest.mark.parametrize("answers,status,tries,waits", [
     ([says(v.POTHOLE)], "ok", 1, []), ([OSError("x"), OSError("x"), says(v.FLAT)], "ok", 3, [2, 4]), ([OSError("x")], "net_failed", 4, [2, 4, 8]),
     ([agent.Permanent("no")], "net_failed", 1, []), (["no json", says(v.FLAT)], "ok", 2, []), (["no json"], "parse_failed", 2, []), (["[1]", "{}"], "parse_failed", 2, []),
+    ([OSError("x"), "no json", OSError("x"), says(v.FLAT)], "ok", 4, [2, 4]),
 ])
 def test_calls(answers, status, tries, waits):
     waited = []
@@ -44,7 +45,9 @@ def test_calls(answers, status, tries, waits):
     ({"blocked": True}, [says(v.POTHOLE)], "blocked", v.BLOCKED, "high", 0, []),
     ({"crest": 1.5}, [says(v.LONGITUDINAL)], "converged", v.LONGITUDINAL, "mid", 2, ["r3_two_frames"]),
     ({"crest": 1.5, "spare": []}, [says(v.LONGITUDINAL)], "no_new_evidence", v.LONGITUDINAL, "low", 1, ["r3_two_frames"]),
-    ({"usable": 0}, [says(v.FLAT)], "converged", v.FLAT, "high", 2, ["r2_more_frames"]),
+    ({"usable": 0}, [says(v.FLAT)], "escalated", v.FLAT, "low", 2, ["r2_more_frames"]),
+    ({"usable": 1}, [says(v.FLAT)], "escalated", v.FLAT, "low", 2, ["r2_more_frames"]),
+    ({"usable": 2}, [says(v.FLAT)], "converged", v.FLAT, "high", 1, []),
     ({"usable": 0, "spare": ["d"]}, [says(v.FLAT)], "escalated", v.FLAT, "low", 2, ["r2_more_frames"]),
     ({}, [says(v.POTHOLE, "low")], "escalated", v.POTHOLE, "low", 1, []),
     ({}, [agent.Permanent("no")], "net_failed", None, None, 8, []),

@@ -204,9 +204,22 @@ def test_kappa(spark):
 
 
 def test_label_issues(spark):
-    rows = [(1, v.POTHOLE, "high", 0), (1, v.POTHOLE, "high", 0), (2, "", "high", 0), (3, "??", "sure", 2), (4, v.FLAT, "low", 1)]
-    got = sorted((r.event_id, r.issue) for r in labels.issues(spark.createDataFrame(rows, "event_id long, truth_label string, confidence string, is_false_positive int")).collect())
-    assert got == [(1, "duplicate_id")] * 2 + [(2, "empty_truth"), (3, "bad_confidence"), (3, "bad_flag"), (3, "truth_out_of_domain")]
+    rows = [(1, v.POTHOLE, "high", 0), (1, v.POTHOLE, "high", 0), (2, "", "high", 0), (3, "??", "sure", 2), (4, v.FLAT, None, 1), (5, v.FLAT, " ", None), (None, v.FLAT, "mid", 0), (None, v.FLAT, "mid", 0)]
+    got = sorted((r.event_id or 0, r.issue) for r in labels.issues(spark.createDataFrame(rows, "event_id long, truth_label string, confidence string, is_false_positive int")).collect())
+    assert got == [(0, "empty_id")] * 2 + [(1, "duplicate_id"), (2, "empty_truth"), (3, "bad_confidence"), (3, "bad_flag"), (3, "truth_out_of_domain"), (5, "bad_flag")]
+    frames = spark.createDataFrame([("a", v.FLAT, "", "1"), ("b", v.FLAT, "huge", None), ("b", v.FLAT, "light", "2"), ("", v.FLAT, None, "0")], "frame_id string, truth_label string, severity string, occlusion string")
+    assert sorted((r.frame_id, r.issue) for r in labels.issues(frames, "frame_id").collect()) == [("", "empty_id"), ("b", "bad_occlusion"), ("b", "bad_severity"), ("b", "duplicate_id")]
+    assert labels.missing_fields(frames.columns) == ["t_ms", "source", "vision_label", "confidence", "note", "labeled_by", "labeled_at"]
+    assert "imu_label" in labels.missing_fields(["event_id"])
+
+
+def test_the_last_of_an_annotators_rows_counts(spark):
+    a = spark.createDataFrame([(1, v.ALLIGATOR, 0), (1, v.POTHOLE, 1), (2, v.FLAT, 2), (None, v.FLAT, 3)], "event_id long, truth_label string, line long")
+    b = spark.createDataFrame([(1, "", 5), (3, v.FLAT, 6)], "event_id long, truth_label string, line long")
+    assert sorted(map(tuple, labels.annotators(a, b).collect())) == [(1, "both", v.POTHOLE, ""), (2, "only_a", v.FLAT, None), (3, "only_b", None, v.FLAT)]
+
+
+def test_conflicts(spark):
     d = spark.createDataFrame([(7, v.POTHOLE, "x"), (7, v.FLAT, "y"), (8, v.FLAT, "x")], "event_id long, truth_label string, source_file string")
     assert [r.event_id for r in labels.conflicts(d).collect()] == [7]
 
