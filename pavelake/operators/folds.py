@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import vocab as v
 
@@ -23,8 +24,8 @@ ORDER = ["t_ms", "event_id"]
 class Ema:
     """Exponential smoothing with the time that has passed; a missing value leaves the state as it is."""
 
-    def __init__(self):
-        self.s, self.last = 0.0, None
+    def __init__(self, s: float = 0.0, last: float | None = None):
+        self.s, self.last = s, last
 
     def push(self, t: float, x: float | None) -> list:
         dt = v.EMA_FIRST_S if self.last is None else (t - self.last) / 1000.0
@@ -105,18 +106,20 @@ class CenteredQuantile:
         return [self._next() for _ in range(self.seen - self.given)]
 
 
-def in_packs(samples: DataFrame) -> DataFrame:
-    """Packs dealt to tasks, in time order."""
-    return samples.repartition("pack_id").sortWithinPartitions("pack_id", *ORDER)
+def in_packs(samples: DataFrame, keys: tuple[str, ...] = ("pack_id",), partitions: int | None = None, dealt: bool = False) -> DataFrame:
+    """Packs, or what else the keys part, dealt to tasks (unless they are so already), in time order."""
+    if not dealt:
+        samples = samples.repartition(partitions, *keys) if partitions else samples.repartition(*keys)
+    return samples.sortWithinPartitions(*keys, *ORDER)
 
 
-def appended(samples: DataFrame, name: str, x: str, make: Callable) -> DataFrame:
-    """samples with a double column more: what a fold over each pack's (t_ms, x) gives for each row.
+def appended(samples: DataFrame, name: str, x: str, make: Callable, keys: tuple[str, ...] = ("pack_id",), start: tuple[str, ...] = (), dealt: bool = False) -> DataFrame:
+    """samples with a double column more: what a fold over each key's (t_ms, x) gives for each row.
 
-    A row may get its value some rows later; batches wait until all of theirs are there.
+    A row may get its value some rows later; batches wait until all of theirs are there. make gets the columns of `start` from a key's first row.
     """
     schema = T.StructType([*samples.schema.fields, T.StructField(name, T.DoubleType())])
-    t_at, x_at, pack_at = (samples.columns.index(c) for c in ("t_ms", x, "pack_id"))
+    t_at, x_at, *rest = (samples.columns.index(c) for c in ("t_ms", x, *keys, *start))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: deque = deque()
@@ -134,13 +137,37 @@ def appended(samples: DataFrame, name: str, x: str, make: Callable) -> DataFrame
             if not batch.num_rows:
                 continue
             pending.append(batch)
-            for p, t, value in zip(batch.column(pack_at).to_pylist(), batch.column(t_at).to_pylist(), batch.column(x_at).to_pylist()):
-                if p != pack:
+            for t, value, *p in zip(*(batch.column(i).to_pylist() for i in (t_at, x_at, *rest))):
+                if p[: len(keys)] != pack:
                     values += fold.end() if fold else []
-                    pack, fold = p, make()
+                    pack, fold = p[: len(keys)], make(*p[len(keys) :])
                 values += fold.push(t, value)
             yield from ready()
         values += fold.end() if fold else []
         yield from ready()
 
-    return in_packs(samples).mapInArrow(run, schema)
+    return in_packs(samples, keys, dealt=dealt).mapInArrow(run, schema)
+
+
+def reduced(samples: DataFrame, columns: tuple[str, ...], make: Callable, result: str, keys: tuple[str, ...] = ("pack_id",), dealt: bool = False) -> DataFrame:
+    """keys and result (DDL): the rows that a fold over each key's rows gives, some at each push of a row's columns, some at the end."""
+    schema = T.StructType([*(samples.schema[k] for k in keys), *T.StructType.fromDDL(result).fields])
+    names, kinds = schema.names, [to_arrow_type(f.dataType) for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fold, out = None, None, []
+        table = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+                if fold is None or row[: len(keys)] != key:
+                    out += [(*key, *x) for x in fold.end()] if fold else []
+                    key, fold = row[: len(keys)], make()
+                out += [(*key, *x) for x in fold.push(*row[len(keys) :])]
+            if len(out) > 10_000:
+                yield table()
+                out = []
+        out += [(*key, *x) for x in fold.end()] if fold else []
+        if out:
+            yield table()
+
+    return in_packs(samples, keys, dealt=dealt).select(*keys, *columns).mapInArrow(run, schema)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as v
 from ..functions.scalar import refractory_ms, rnd, rule_class
-from ..operators import analysis, detector, ml, quality, spatial, spectral
+from ..operators import analysis, blocks, detector, ml, quality, spatial, spectral
 from ..operators import timeseries as ts
 from ..sources import adapters as a
 from .registry import query
@@ -307,3 +307,34 @@ def rf_report(spark, d):
 @query(S + f" SELECT pack_id, round(avg(CASE WHEN abs(hp) > thr THEN 1.0 ELSE 0 END), 6) AS over_ratio FROM (SELECT *, {THR} AS thr FROM samples) GROUP BY pack_id")
 def over_threshold_ratio(spark, d):
     return quality.over_threshold(ts.noise_threshold(a.samples(spark, d), 0.8)).withColumn("over_ratio", rnd(F.col("over_ratio")))
+
+
+# one recording of all samples, its blocks dealt over tasks
+ONE = S.replace("user_id // 10 AS pack_id", "CAST(0 AS BIGINT) AS pack_id").replace("/ 155000)", "/ 1600)").replace("epoch_ms(ts)", "epoch_us(ts) // 1000")
+
+
+@query(ONE + f", q AS (SELECT *, greatest(1.2, 4 * greatest(quantile_cont(abs(hp), 0.2) OVER ({RING.format(3000)}), 0.02)) AS old, {THR} AS thr FROM samples) SELECT event_id, round(thr, 6) AS thr, round(old, 6) AS old_thr FROM q")
+def recording_thresholds(spark, d):
+    """Both thresholds of one long recording, in blocks."""
+    s = a.recording(spark, d)
+    both = blocks.noise_threshold(s, 0.8).join(blocks.noise_threshold(s, 0.7).select("event_id", F.col("thr").alias("old")), "event_id")
+    return both.select("event_id", rnd(F.col("thr")).alias("thr"), rnd(F.col("old")).alias("old_thr"))
+
+
+@query("WITH RECURSIVE " + ONE.removeprefix("WITH ") + """, o AS (SELECT event_id, t_ms, hp, row_number() OVER (ORDER BY t_ms, event_id) AS i FROM samples),
+g AS (SELECT *, exp(-least(coalesce((t_ms - lag(t_ms) OVER (ORDER BY i)) / 1000.0::DOUBLE, 1.0::DOUBLE / 60), 0.2) / 0.010::DOUBLE) AS a FROM o),
+l AS (SELECT list(a ORDER BY i) AS a, list(hp ORDER BY i) AS x FROM g),
+e AS (SELECT CAST(1 AS BIGINT) AS i, (1 - a[1]) * x[1] AS s FROM l UNION ALL SELECT e.i + 1, l.a[e.i + 1] * e.s + (1 - l.a[e.i + 1]) * l.x[e.i + 1] FROM e, l WHERE e.i < len(l.a))
+SELECT o.event_id, round(s, 6) AS ema FROM e JOIN o USING (i)""")
+def recording_ema(spark, d):
+    """Smoothing of one long recording, in blocks."""
+    return blocks.ema(a.recording(spark, d)).select("event_id", rnd(F.col("ema")).alias("ema"))
+
+
+ONE_REPLAYED = detector_sql(f"greatest(1.2, 4 * greatest(quantile_cont(abs(hp), 0.2) OVER ({RING.format(3000)}), 0.02))", "CASE WHEN speed > 0.5 THEN least(greatest(1.2 / speed * 1000, 250), 1500) ELSE 800 END").replace(a.SAMPLES_SQL, ONE.removeprefix("WITH "))
+
+
+@query(ONE_REPLAYED + EVENTS + " SELECT t0_ms, duration_ms, round(peak, 6) AS peak FROM e")
+def recording_replay(spark, d):
+    """The detector over one long recording, in blocks, by the formulas of version 0.7."""
+    return detector.events(blocks.replay(a.recording(spark, d), 0.7)).select("t0_ms", "duration_ms", rnd(F.col("peak")).alias("peak"))
