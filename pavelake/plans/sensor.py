@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as v
 from ..functions.scalar import refractory_ms, rnd, rule_class
-from ..operators import analysis, blocks, detector, ml, quality, spatial, spectral
+from ..operators import analysis, block_filters, blocks, detector, ml, quality, spatial, spectral
 from ..operators import timeseries as ts
 from ..sources import adapters as a
 from .registry import query
@@ -338,3 +338,39 @@ ONE_REPLAYED = detector_sql(f"greatest(1.2, 4 * greatest(quantile_cont(abs(hp),
 def recording_replay(spark, d):
     """The detector over one long recording, in blocks, by the formulas of version 0.7."""
     return detector.events(blocks.replay(a.recording(spark, d), 0.7)).select("t0_ms", "duration_ms", rnd(F.col("peak")).alias("peak"))
+
+
+def filter_sql(name: str, source: str, sections) -> str:
+    """A recursive table of k (from 1) and y: the list `source`.v filtered by second-order sections, from the steady state of its first value."""
+    n = len(sections)
+    unit = block_filters.steady(sections, 1.0)
+    number = lambda x: f"({float(x)!r}::DOUBLE)"
+    first = ", ".join(f"{number(u)} * v[1] AS s{j}" for j, u in enumerate(unit))
+    step = f"SELECT k, v[k + 1] AS x0, {', '.join(f's{j}' for j in range(2 * n))} FROM {name}, {source} WHERE k < len(v)"
+    for j, (b, _) in enumerate(sections):
+        step = f"SELECT *, {number(b[0])} * x{j} + s{2 * j} AS x{j + 1} FROM ({step})"
+    states = ", ".join(f"{number(b[1])} * x{j} - {number(c[1])} * x{j + 1} + s{2 * j + 1}, {number(b[2])} * x{j} - {number(c[2])} * x{j + 1}" for j, (b, c) in enumerate(sections))
+    return f"{name} AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS y, {first} FROM {source} UNION ALL SELECT k + 1, x{n}, {states} FROM ({step}))"
+
+
+BAND = spectral.butterworth_band(4, 1.0, 20.0, 100.0)
+
+
+@query("WITH RECURSIVE " + ONE.removeprefix("WITH ") + """, l AS (SELECT list(hp ORDER BY t_ms, event_id) AS x, list(event_id ORDER BY t_ms, event_id) AS ids, count(*) AS n FROM samples),
+e AS (SELECT list_concat([2 * x[1] - x[29 - k] FOR k IN range(1, 28)], x, [2 * x[n] - x[n - k] FOR k IN range(1, 28)]) AS v FROM l), """ + filter_sql("f", "e", BAND)
++ ", r AS (SELECT list(y ORDER BY k DESC) FILTER (WHERE k > 0) AS v FROM f), " + filter_sql("g", "r", BAND) + """
+SELECT ids[n + 28 - k] AS event_id, round(y, 6) AS bp FROM g, l WHERE k BETWEEN 28 AND n + 27""")
+def recording_band_pass(spark, d):
+    """Band-pass of one long recording without a shift of phase, in blocks; its rows stand for a grid of 100 a second."""
+    rows = block_filters.numbered(a.recording(spark, d)).select("pack_id", "i", "event_id", "hp")
+    found = block_filters.zero_phase(rows.select("pack_id", "i", "hp"), BAND, ["hp"], 1024)
+    return rows.select("pack_id", "i", "event_id").join(found, ["pack_id", "i"]).select("event_id", rnd(F.col("hp")).alias("bp"))
+
+
+@query()
+def recording_peaks(spark, d):
+    """Peaks in the motion of one long recording of raw accelerations, filters and peaks in blocks."""
+    s = a.raw_samples(spark, d).withColumn("pack_id", F.lit(0).cast("bigint"))
+    grid = block_filters.numbered(s).select("pack_id", (F.col("i") * 10).alias("t_ms"), "ax", "ay", "az")
+    ready = block_filters.prepare(grid, block_rows=1024).withColumn("floor", F.lit(v.NOISE_FLOOR))
+    return block_filters.peaks(ready, block_rows=1024).select("t_ms", rnd(F.col("bp_mag")).alias("height"))
