@@ -25,12 +25,12 @@ def samples(spark: SparkSession, sf_dir: str, divisor: int = 155000) -> DataFram
     return samples_of(table(spark, sf_dir, "events"), divisor)
 
 
-def samples_of(e: DataFrame, divisor: int = 155000) -> DataFrame:
+def samples_of(e: DataFrame, divisor: int = 155000, extra: list[str] | tuple = ()) -> DataFrame:
     ms = F.unix_millis(F.col("ts").cast("timestamp")) - EPOCH_MS
     return e.select(
         F.floor(F.col("user_id") / USERS_PER_PACK).alias("pack_id"), "event_id", F.floor(ms / divisor).cast("bigint").alias("t_ms"),
         (F.col("value") / 20 * F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1)).alias("hp"), (F.col("value") / 30 - 1).alias("vz"), (F.col("value") / 100).alias("speed"),
-        (31.23 + (F.col("event_id") % 97) * 1e-4).alias("lat"), (121.47 + (F.col("event_id") % 89) * 1e-4).alias("lon"), F.col("event_type").alias("label_raw"),
+        (31.23 + (F.col("event_id") % 97) * 1e-4).alias("lat"), (121.47 + (F.col("event_id") % 89) * 1e-4).alias("lon"), F.col("event_type").alias("label_raw"), *extra,
     )
 
 

@@ -1,50 +1,101 @@
-"""Streams: the detector as a stateful operator, sessions and windowed counts with watermarks."""
+"""Streams: the detector as a stateful operator with timers, sessions and windowed counts with watermarks."""
 
 from __future__ import annotations
 
+import math
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import vocab as v
+from ..operators.detector import Detector
+from ..operators.folds import at_quantile
 
-STATE = "end double, opened double, peak double, recent string, last double"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+EVENT = "t0 long, peak double, closed_at long, last long, timer long"
+RECENT = "t_ms long, size double"
 OUT = "pack_id long, t0_ms long, duration_ms long, peak double"
+QUIET_MS = 600_000
 
 
-def _step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def dead_time(speed: float | None, version: float) -> float:
+    """Milliseconds after an event in which none opens."""
     least, most, still = v.REFRACTORY_MS
-    end, opened, peak, recent, last = state.get if state.exists else (0.0, None, 0.0, "", None)
-    ring = [tuple(map(float, x.split(":"))) for x in recent.split(",")] if recent else []
-    out = []
-    rows = pd.concat(list(batches)).sort_values(["t_ms", "event_id"])
-    for t, hp, speed in rows[["t_ms", "hp", "speed"]].itertuples(index=False):
-        if last is not None and t < last:
-            continue  # late beyond its batch
-        last = float(t)
-        ring = [(a, b) for a, b in ring if a >= t - v.RMS_MS] + [(float(t), float(hp) * float(hp))]
-        rms = (sum(b for _, b in ring) / len(ring)) ** 0.5
-        limit, a = max(v.MIN_THRESHOLD, v.NOISE_FACTOR * max(rms, v.NOISE_FLOOR)), abs(hp)
-        if opened is not None:
-            peak = max(peak, a) if a > limit else peak
-            if (a < limit * v.RELEASE and t - opened > v.SHORTEST_MS) or t - opened > v.LONGEST_MS:
-                out.append((key[0], int(opened), int(t - opened), peak))
-                end, opened = float(t), None
-        elif a > limit and t - end > (min(max(v.BLIND_ZONE_M / speed * 1000, least), most) if speed > 0.5 else still):
-            opened, peak = float(t), float(a)
-    state.update((end, opened, peak, ",".join(f"{a!r}:{b!r}" for a, b in ring), last))
-    yield pd.DataFrame(out, columns=["pack_id", "t0_ms", "duration_ms", "peak"])
-
-
-def detect(stream: DataFrame) -> DataFrame:
-    """Closed events of each pack; state is one pack's last second and its open event.
-
-    stream: pack_id, event_id, t_ms, hp, speed. Rows are put in time order inside a batch.
+    if version < 0.7:
+        return most
+    return min(max(v.BLIND_ZONE_M / speed * 1000, least), most) if speed is not None and speed > 0.5 else still
+
+
+class OnlineDetector(StatefulProcessor):
+    """Events of one recording as its samples come in.
+
+    State: the open event and the end of the last (a value), the samples of the noise window (a list). A timer `quiet_ms` of event time after
+    the last sample takes the recording as ended: an event that is open then is given out and the state goes.
+    """
+
+    def __init__(self, version: float, mode: str, quiet_ms: int):
+        self.version, self.quiet_ms = version, quiet_ms
+        self.gated = version < 0.7 and "test" not in mode
+        self.window_ms = v.RMS_MS if version >= 0.8 else v.QUANTILE_MS
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.event = handle.getValueState("event", EVENT)
+        self.recent = handle.getListState("recent", RECENT)
+
+    def limit(self, ring: deque) -> float:
+        if self.version >= 0.8:
+            noise = math.sqrt(sum(a * a for _, a in ring) / len(ring))
+        else:
+            noise = at_quantile(sorted(a for _, a in ring), v.NOISE_QUANTILE)
+        return max(v.MIN_THRESHOLD, v.NOISE_FACTOR * max(noise, v.NOISE_FLOOR))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        t0, peak, closed_at, last, timer = self.event.get() if self.event.exists() else (None, 0.0, 0, None, None)
+        d, ring, out = Detector(self.gated, t0, peak, closed_at), deque(tuple(x) for x in self.recent.get()), []
+        batch = pd.concat(list(rows)).sort_values(["t_ms", "event_id"])
+        fresh = batch[batch["t_ms"] >= last] if last is not None else batch  # late beyond its batch
+        for t, hp, speed in zip(fresh["t_ms"].tolist(), fresh["hp"].tolist(), fresh["speed"].tolist()):
+            if hp is None or math.isnan(hp):
+                continue
+            while ring and ring[0][0] < t - self.window_ms:
+                ring.popleft()
+            ring.append((t, abs(hp)))
+            speed = None if speed is None or math.isnan(speed) else speed
+            out += [(key[0], x[1], x[2], x[3]) for x in d.push(t, abs(hp), self.limit(ring), dead_time(speed, self.version), speed) if x[0] == "event"]
+            last = t
+        ends = int(batch["ts"].max().timestamp() * 1000) + self.quiet_ms
+        if timer is None or ends > timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(ends)
+            timer = ends
+        self.event.update((d.t0, d.peak, d.closed_at, last, timer))
+        self.recent.put(list(ring))
+        yield pd.DataFrame(out, columns=["pack_id", "t0_ms", "duration_ms", "peak"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        t0, peak, _, last, _ = self.event.get()
+        self.event.clear()
+        self.recent.clear()
+        yield pd.DataFrame([(key[0], t0, last - t0, peak)] if t0 is not None else [], columns=["pack_id", "t0_ms", "duration_ms", "peak"])
+
+    def close(self) -> None:
+        pass
+
+
+def detect(stream: DataFrame, version: float = 0.8, mode: str = "ride", late: str = "10 minutes", quiet_ms: int = QUIET_MS) -> DataFrame:
+    """Events of each pack, closed ones and those open when a recording falls silent.
+
+    stream: pack_id, event_id, t_ms, hp, speed, ts (timestamp). Rows are put in time order inside a batch. The session needs
+    spark.sql.streaming.stateStore.providerClass to be ROCKSDB.
     """
-    return stream.groupBy("pack_id").applyInPandasWithState(_step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    keyed = stream.withWatermark("ts", late).groupBy("pack_id")
+    return keyed.transformWithStateInPandas(OnlineDetector(version, mode, quiet_ms), OUT, "append", "EventTime")
 
 
 def windowed(stream: DataFrame, length: str = "5 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:

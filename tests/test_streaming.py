@@ -1,5 +1,6 @@
 """Streams give what batches give."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from pavelake.operators import detector
@@ -8,17 +9,60 @@ from pavelake.streaming import online
 from .test_domain import SAMPLE, ride
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = ride([5, 15, 25, 35, 45])
-    batch = spark.createDataFrame(rows, SAMPLE)
-    for i in range(3):
-        batch.filter(F.col("event_id") % 3600 >= i * 1200).filter(F.col("event_id") < (i + 1) * 1200).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(SAMPLE).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = online.detect(stream).writeStream.format("memory").queryName("found").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
-    key = lambda d: sorted((r.t0_ms, r.duration_ms, round(r.peak, 6)) for r in d.collect())
-    assert key(spark.table("found")) == key(detector.events(detector.replay(batch)))
+@pytest.fixture(autouse=True)
+def rocksdb(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, online.ROCKSDB)
+    yield
+    spark.conf.set(key, before)
+
+
+def files_of(spark, batch, folder, parts):
+    """The samples of every pack in files by time, with a clock that runs with t_ms."""
+    timed = batch.withColumn("ts", F.timestamp_millis(F.lit(1704067200000) + F.col("t_ms")))
+    step = batch.agg(F.max("t_ms")).first()[0] // parts + 1
+    for i in range(parts):
+        timed.filter(F.floor(F.col("t_ms") / step) == i).coalesce(1).write.mode("append").parquet(folder)
+    return timed.schema
+
+
+def run(spark, schema, source, sink, state, **options):
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    q = online.detect(stream, **options).writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(online.OUT).parquet(sink)
+
+
+def told(d):
+    return sorted((r.pack_id, r.t0_ms, r.duration_ms, round(r.peak, 6)) for r in d.collect())
+
+
+@pytest.mark.parametrize("version", [0.8, 0.6])
+def test_stream_equals_batch(spark, tmp_path, version):
+    batch = spark.createDataFrame(ride([5, 15, 25, 35, 45]), SAMPLE)
+    schema = files_of(spark, batch, str(tmp_path / "in"), 3)
+    got = run(spark, schema, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), version=version)
+    want = told(detector.events(detector.replay(batch, version)))
+    assert told(got) == want and want
+
+
+def test_restart_and_the_flush_at_a_recordings_end(spark, tmp_path):
+    """Stopped inside an event and started again from the checkpoint; the event open when the recording falls silent is told by the timer."""
+    loud = {*range(2000, 2101, 20), *range(4980, 5001, 20)}
+    rows = [(1, i, t, 9.0 if t in loud else 0.01, 1.0) for i, t in enumerate(range(0, 5001, 20))]
+    other = [(2, 10_000 + i, t, 0.01, 1.0) for i, t in enumerate(range(0, 3_000_000, 60_000))]
+    one, rest = (spark.createDataFrame([r for r in rows if (r[2] < 2050) == early], SAMPLE) for early in (True, False))
+    source, sink, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    schema = files_of(spark, one, source, 1)
+    assert run(spark, schema, source, sink, state).count() == 0
+    files_of(spark, rest, source, 1)
+    run(spark, schema, source, sink, state)
+    files_of(spark, spark.createDataFrame(other, SAMPLE), source, 1)
+    got = run(spark, schema, source, sink, state)
+    want = told(detector.events(detector.replay(spark.createDataFrame(rows, SAMPLE))))
+    assert told(got) == want and [x[1] for x in want] == [2000, 4980] and want[1][1] + want[1][2] == 5000
+    assert run(spark, schema, source, sink, state).count() == 2  # nothing is told twice
 
 
 def test_windows_and_sessions(spark, tmp_path):
