@@ -10,7 +10,7 @@ the sections: document ids (signed 64 bits), nulls among them (a byte each), ids
 chunks, bitmap, directory (unsigned 32 bits). `_index` lists the files in order and is written last, on commit, so files of
 failed or repeated tasks are never read. Paths may be of any kind that pyarrow.fs opens (file, hdfs, s3, gs).
 
-Writing takes doc_id and either ids (array<int>) or text with the option `tokenizer`; reading gives doc_id, start (ids of all documents
+Writing takes doc_id and either ids (array<int>) or text with the option `tokenizer` (and `by_runs`, see Encoder); reading gives doc_id, start (ids of all documents
 before), n_tokens, ids, ids_crc32, or those of them that .schema() names. `write_documents` deals documents to tasks by ranges of doc_id.
 
 Defined results: null text counts as empty, and such a document has only the end id; null doc_ids come first; rows that share a doc_id are ordered by a hash of their
@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import io
 import json
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -165,74 +167,129 @@ class TokenFile:
 
 # ---- encoding texts
 
+#: Bytes of words that the splitter cuts by kind alone: Latin letters, digits one by one, other signs but ' < |, which may begin something longer.
+LETTER, DIGIT, SIGN, OTHER = 1, 2, 3, 4
+_KINDS = np.full(256, OTHER, dtype=np.uint8)
+_KINDS[[*range(0x21, 0x7F)]] = SIGN
+_KINDS[[ord(c) for c in "'<|"]] = OTHER
+_KINDS[[*range(0x30, 0x3A)]] = DIGIT
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{}~]+")
+
+
+def byte_signs() -> dict[int, int]:
+    """The signs by which byte-level vocabularies write bytes: printable ones stand for themselves, the others follow from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in printable]
+    return dict(zip(printable, printable)) | {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_SIGNS = byte_signs()
+
+
+def runs_of(s: tokens.Slice) -> tuple[pa.Array, np.ndarray]:
+    """The words of a slice cut to runs of one kind, in lower case, where they hold nothing else; and the first run of each row, and their number."""
+    data, kinds = s.data, _KINDS[s.data]
+    low = tokens.lowered(data)
+    lead = np.flatnonzero(data == 0xC3)
+    second = data[lead + 1]
+    letter = (second != 0x97) & (second != 0xB7)
+    kinds[lead[letter]] = kinds[lead[letter] + 1] = LETTER
+    low[lead[letter & (second < 0x9F)] + 1] += 0x20
+    upto = np.concatenate([[0], np.cumsum(kinds == OTHER)])
+    odd = upto[s.ends] > upto[s.starts]
+    inside, inside_odd = tokens.covered(len(data), s.starts, s.ends), tokens.covered(len(data), s.starts[odd], s.ends[odd])
+    low[inside_odd] = data[inside_odd]
+    begins = np.zeros(len(data), dtype=bool)
+    begins[1:] = ((kinds[1:] != kinds[:-1]) | (kinds[1:] == DIGIT)) & inside[1:] & ~inside_odd[1:]
+    begins[s.starts] = True
+    starts = np.flatnonzero(begins)
+    word = np.searchsorted(s.starts, starts, side="right") - 1
+    ends = np.minimum(np.append(starts[1:], len(data)), s.ends[word])
+    return tokens.strings(ends - starts, low[inside]), np.searchsorted(word, s.ptr)
+
 
 class Encoder:
     """Ids of texts by a tokenizer that treats words parted by white space alike wherever they stand.
 
-    Distinct words of a slice are encoded once and kept, up to MOST_WORDS; then the cache starts anew. Results never depend on it.
+    by_runs: that its splitter, as that of word_bpe_49k, also lowers letters and cuts words to runs of letters, single digits and other signs, so that a
+    run stands for itself; words with signs of other kinds stay whole. Distinct pieces of a slice are encoded once and kept, up to
+    MOST_WORDS; then the cache starts anew. Results never depend on it.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID):
+    def __init__(self, path: str, end_id: int = END_ID, by_runs: bool = True):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run beside each other already
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.end_id = end_id
+        self.model = self.tokenizer.model
+        self.end_id, self.by_runs = end_id, by_runs
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.used = np.array([self.end_id], dtype=np.int32), 1  # entry 0 is the end id
-        self.starts, self.sizes = [0], [1]
-
-    def learn(self, words: list[str]) -> list[int]:
-        """Entries of distinct words."""
-        if len(self.known) > MOST_WORDS:
+        self.flat, self.used = np.array([self.end_id], dtype=np.int32), 1
+        self.upto, self.entries = np.array([0, 1], dtype=np.int64), 1  # entry 0 is the end id
+
+    def ids_of(self, pieces: list[str]) -> list[list[int]]:
+        if not self.by_runs:
+            return [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        plain = [p if p.isascii() else p.encode().decode("latin-1").translate(_SIGNS) for p in pieces if PLAIN.fullmatch(p)]
+        tokenize = self.model.tokenize
+        runs = iter([[x.id for x in tokenize(p)] for p in plain])
+        others = iter(self.tokenizer.encode_batch_fast([p for p in pieces if not PLAIN.fullmatch(p)], add_special_tokens=False) if len(plain) < len(pieces) else [])
+        return [next(runs) if PLAIN.fullmatch(p) else next(others).ids for p in pieces]
+
+    def learn(self, pieces: list[str]) -> np.ndarray:
+        """Entries of distinct pieces."""
+        if len(self.known) > MOST_WORDS or self.entries > 2 * MOST_WORDS:  # long pieces are not kept
             self.forget()
-        entries = [self.known.get(w, -1) for w in words]
-        new = [i for i, e in enumerate(entries) if e < 0]
-        for at in range(0, len(new), 8192):
-            some = new[at : at + 8192]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False)]
-            ids = np.fromiter((x for f in found for x in f), dtype=np.int32)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + len(ids), np.int32)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            for i, f in zip(some, found):
-                entries[i] = len(self.starts)
-                self.starts.append(self.used)
-                self.sizes.append(len(f))
-                self.used += len(f)
-                if len(words[i]) <= LONG_WORD:
-                    self.known[words[i]] = entries[i]
-        return entries
+        out = np.array([self.known.get(p, -1) for p in pieces], dtype=np.int64)
+        missing = np.flatnonzero(out < 0)
+        new = [pieces[i] for i in missing.tolist()]
+        found = self.ids_of(new)
+        ids, sizes = np.array([x for f in found for x in f], dtype=np.int32), np.array([len(f) for f in found], dtype=np.int64)
+        self.flat, self.upto = grown(self.flat, self.used, ids), grown(self.upto, self.entries + 1, self.used + np.cumsum(sizes))
+        out[missing] = self.entries + np.arange(len(new))
+        self.known.update((p, e) for p, e in zip(new, out[missing].tolist()) if len(p) <= LONG_WORD)
+        self.used, self.entries = self.used + len(ids), self.entries + len(new)
+        return out
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For slices of rows: the first row, ids of each row with the end id (counts), all ids."""
         for s in tokens.slices(texts, slice_bytes=SLICE_BYTES):
-            coded = s.words().dictionary_encode()
-            entries = np.array(self.learn(coded.dictionary.to_pylist()), dtype=np.int64)
-            starts, sizes = np.array(self.starts, dtype=np.int64), np.array(self.sizes, dtype=np.int64)
-            n, row = len(s.starts), s.row_of_word()
-            items = np.zeros(n + s.rows, dtype=np.int64)
-            if n:
-                items[np.arange(n) + row] = entries[coded.indices.to_numpy()]
-            upto = np.cumsum(sizes[items])
-            within = np.arange(upto[-1]) - np.repeat(upto - sizes[items], sizes[items])
-            ends = upto[s.ptr[1:] + np.arange(s.rows)]
-            yield s.first, np.diff(ends, prepend=0), self.flat[np.repeat(starts[items], sizes[items]) + within].astype(np.uint32)
-            if len(self.starts) > 2 * MOST_WORDS:  # many long words, which are not kept
-                self.forget()
+            pieces, ptr = runs_of(s) if self.by_runs else (s.words(), s.ptr)
+            coded = pieces.dictionary_encode()
+            entries = self.learn(coded.dictionary.to_pylist())
+            items = np.zeros(len(pieces) + s.rows, dtype=np.int64)
+            rows = np.arange(s.rows)
+            if len(pieces):
+                items[np.arange(len(pieces)) + np.repeat(rows, np.diff(ptr))] = entries[coded.indices.to_numpy()]
+            starts = self.upto[items]
+            sizes = self.upto[items + 1] - starts
+            upto = np.cumsum(sizes)
+            at = np.repeat(starts - upto + sizes, sizes)
+            at += np.arange(len(at))
+            yield s.first, np.diff(upto[ptr[1:] + rows], prepend=0), self.flat[at].view(np.uint32)
+
+
+def grown(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """held with more behind its first `used` values, with room to spare when it is copied."""
+    if used + len(more) > len(held):
+        held = np.concatenate([held[:used], np.zeros(used + len(more), held.dtype)])
+    held[used : used + len(more)] = more
+    return held
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, end_id: int) -> Encoder:
-    if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = Encoder(path, end_id)
-    return _encoders[path, end_id]
+def encoder(*made_of) -> Encoder:
+    if made_of not in _encoders:
+        _encoders[made_of] = Encoder(*made_of)
+    return _encoders[made_of]
 
 
 # ---- the data source
@@ -257,11 +314,12 @@ class TokenWriter(DataSourceArrowWriter):
     def __init__(self, path: str, options: dict):
         self.path, self.tokenizer = path, options.get("tokenizer")
         self.end_id, self.most = int(options.get("end_id", END_ID)), int(options.get("file_ids", FILE_IDS))
+        self.by_runs = str(options.get("by_runs", "true")).lower() == "true"
 
     def rows(self, batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
         names = batch.column("doc_id").to_pylist()
         if "text" in batch.schema.names:
-            for first, counts, ids in encoder(self.tokenizer, self.end_id).encode(batch.column("text")):
+            for first, counts, ids in encoder(self.tokenizer, self.end_id, self.by_runs).encode(batch.column("text")):
                 yield names[first : first + len(counts)], counts, ids
         else:
             lists = batch.column("ids")

@@ -74,18 +74,32 @@ class Slice:
 
     def words(self, lower: bool = False) -> pa.Array:
         """The words as a string column."""
-        offsets = np.zeros(len(self.starts) + 1, dtype=np.int32)
-        np.cumsum(self.ends - self.starts, out=offsets[1:])
-        edges = np.zeros(len(self.data) + 1, dtype=np.int8)
-        edges[self.starts] += 1
-        edges[self.ends] -= 1  # the end of a word may be the start of the next row's first
-        inside = self.data[np.cumsum(edges[:-1], dtype=np.int8).view(bool)]
-        return pa.StringArray.from_buffers(len(self.starts), pa.py_buffer(offsets), pa.py_buffer(_LOWER[inside] if lower else inside))
+        inside = self.data[covered(len(self.data), self.starts, self.ends)]
+        return strings(self.ends - self.starts, lowered(inside) if lower else inside)
 
     def row_bytes(self, word_from: int, word_to: int) -> bytes:
         return self.data[self.starts[word_from] : self.ends[word_to - 1]].tobytes()
 
 
+def covered(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of `size` bytes lie in spans that don't overlap."""
+    edges = np.zeros(size + 1, dtype=np.int8)
+    edges[starts] += 1
+    edges[ends] -= 1  # the end of a word may be the start of the next row's first
+    return np.cumsum(edges[:-1], dtype=np.int8).view(bool)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
+def strings(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
+    """A string column from the lengths of its values and all their bytes."""
+    offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of every k consecutive word hashes; rows are not told apart here."""
     n = len(words)

@@ -61,17 +61,17 @@ def library(texts):
     return [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
 
 
-SIGNS = ["a", "B", "é", "é", "́", "\x0b", "\x0c", "\r\n", " ", "  ", "\t", "\x1c", "\x85", "\xa0", "'s", "'", "12", "<|endoftext|>", "<|startoftext|>", "Σ", "ς", "İ", "語", "　", "‍", "!?", "\0"]
+SIGNS = ["a", "B", "é", "é", "́", "\x0b", "\x0c", "\r\n", " ", "  ", "\t", "\x1c", "\x85", "\xa0", "'s", "'", "12", "<|endoftext|>", "<|startoftext|>", "Σ", "ς", "İ", "語", "　", "‍", "!?", "\0", "À", "ÿ", "×", "÷", "ß", "<", "|", "q", "Z9", ".,", "_", "~"]
 
 
 def test_encoder_is_the_library(monkeypatch):
     rng = random.Random(1)
     texts = ["".join(rng.choices(SIGNS, k=rng.randrange(14))) for _ in range(3000)] + [None, "", "x" * 5000, "y" * 200 + " y"]
     want = library(texts)
-    for size, most in ((64, 10), (4 << 20, 10**6)):
+    for size, most, by_runs in ((64, 10, True), (4 << 20, 10**6, True), (500, 30, False)):
         monkeypatch.setattr(tf, "SLICE_BYTES", size)
         monkeypatch.setattr(tf, "MOST_WORDS", most)
-        got, made = [], tf.Encoder(tf.default_tokenizer())
+        got, made = [], tf.Encoder(tf.default_tokenizer(), by_runs=by_runs)
         for first, counts, ids in made.encode(pa.array(texts, pa.string())):
             assert first == len(got)
             got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
