@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import vocab as v
 from ..functions.scalar import refractory_ms, rnd, rule_class
 from ..operators import analysis, block_filters, blocks, detector, ml, quality, spatial, spectral
 from ..operators import timeseries as ts
+from ..operators.graph import shared_folder
 from ..sources import adapters as a
+from ..sources import packs
 from .registry import query
 
 S = "WITH " + a.SAMPLES_SQL
@@ -374,3 +378,13 @@ def recording_peaks(spark, d):
     grid = block_filters.numbered(s).select("pack_id", (F.col("i") * 10).alias("t_ms"), "ax", "ay", "az")
     ready = block_filters.prepare(grid, block_rows=1024).withColumn("floor", F.lit(v.NOISE_FLOOR))
     return block_filters.peaks(ready, block_rows=1024).select("t_ms", rnd(F.col("bp_mag")).alias("height"))
+
+
+@query(S + """ SELECT CAST(pack_id AS VARCHAR) AS pack_id, t_ms, round(hp, 6) AS hp, speed, label_raw FROM samples""")
+def pack_samples(spark, d):
+    """Samples written as ZIP packs, one for each recording, and read back from their samples.csv."""
+    s = a.samples(spark, d).select("pack_id", "t_ms", "hp", "speed", "lat", "lon", "label_raw")
+    path = f"{shared_folder(spark).rstrip('/')}/packs-{uuid.uuid4().hex}"
+    packs.write_packs(s, s.filter("label_raw = 'error'").select("pack_id", "t_ms", F.col("label_raw").alias("final_label")), path).write.format("noop").mode("overwrite").save()
+    back = packs.read_member(spark, path, "samples.csv", "pack_id string, t_ms long, hp double, speed double, label_raw string")
+    return back.withColumn("hp", rnd(F.col("hp")))
