@@ -4,7 +4,7 @@ Markup is stripped into lines, one for each block of the page. The lengths of li
 window; where a window's sum rises to the level of running text is a surge point, where it falls below a dive point, and what lies
 between is a run of text. The level is `RISE` of the page's densest window, LINE characters at most, so menus, captions and
 other short lines far from running text lie outside all runs. The longest run is kept, those with `share` of its text, those
-in its container, and those between kept ones; within them all lines stay, however short.
+in its container, those with running text in a container beside that one, and those between kept ones; within them all lines stay, however short.
 
 Tags and classes only weigh the lines before that: lines of navigation, notices, adverts, forms and readers' comments weigh nothing, as do
 lines that are mostly links, and so part runs; but a container that holds most of the page's text keeps its weight whatever it is
@@ -48,6 +48,8 @@ _SIDE = set(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner banners sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer masthead topbar cookie cookies "
     "consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login related recommended recommendations share sharing social widget widgets toolbar pagination pager legal copyright disclaimer skip search toc".split()
 )
+#: of these, the ones that say so as the first part of a name inside an article too; others ("share-price", "promo-code") only where the element is mostly links
+_SIDE_FIRST = set("ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored nav navbar navigation sidebar sidebars breadcrumb breadcrumbs cookie cookies consent gdpr newsletter pagination".split())
 _SIDE_WHOLE = {"side", "header", "site-header", "page-header"}
 _READERS = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "responses"}
 #: a name that begins so tells what a page has or lacks, not what the element is
@@ -63,6 +65,7 @@ class Line:
     article: int  # the outermost article, or -1
     main: bool
     home: int  # the innermost container
+    yard: int  # the container around that
     heading: bool
 
     def of_links(self) -> bool:
@@ -71,14 +74,14 @@ class Line:
 
 class Page:
     """Lines of a page, and the elements named as beside the text: parent, whether readers wrote it,
-    whether <main> lies in it, whether it is a form."""
+    whether <main> lies in it, whether it is a form, whether the name alone does not settle it."""
 
     def __init__(self, page: str):
         self.lines: list[Line] = []
         self.sides: list[list] = []
         self._text: list[str] = []
         self._linked = self._link = self._main = self._elements = 0
-        self._side, self._article, self._home = -1, -1, 0
+        self._side, self._article, self._home, self._yard = -1, -1, 0, 0
         self._stack: list[tuple] = []  # tag and what was so before it opened
         self._open_at: dict[str, list[int]] = {}  # depths of open elements, by tag
         self._blocks: list[int] = []  # depths of open blocks other than p
@@ -88,7 +91,7 @@ class Page:
     def _flush(self) -> None:
         text = " ".join(unescape("".join(self._text)).split())
         if text:
-            self.lines.append(Line(text, self._linked, self._side, self._article, self._main > 0, self._home, self._heading))
+            self.lines.append(Line(text, self._linked, self._side, self._article, self._main > 0, self._home, self._yard, self._heading))
         self._text, self._linked = [], 0
 
     def _say(self, text: str) -> None:
@@ -97,8 +100,9 @@ class Page:
             if self._link:
                 self._linked += len(text.strip())
 
-    def _named(self, tag: str, attributes: str) -> tuple[bool, bool, bool]:
-        """Whether an element is beside the text, written by readers, the main one."""
+    def _named(self, tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
+        """Whether an element is beside the text, written by readers, the main one; and whether it is so by the first part of an ambiguous name."""
+        maybe, inside = False, self._article >= 0 or self._main > 0
         side, readers, main = tag in _SIDE_TAGS or (tag == "header" and not self._main and self._article < 0), False, tag == "main"
         if attributes and tag not in _PLAIN:
             for name, value in _ATTRIBUTE.findall(attributes):
@@ -110,23 +114,25 @@ class Page:
                     for word in value.split():
                         parts = re.split(r"[-_]+", word)
                         ends = set() if parts[0] in _TELLS else {parts[0], parts[-1]}
-                        side |= word in _SIDE_WHOLE or bool(ends & _SIDE)
+                        sure = {e for e in ends if not inside or e == parts[-1] or e in _SIDE_FIRST}
+                        side |= word in _SIDE_WHOLE or bool(sure & _SIDE)
+                        maybe |= bool(ends & _SIDE)
                         readers |= bool(ends & _READERS)
                 elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
                     side = True
-        return side or readers, readers, main
+        return side or readers or maybe, readers, main, maybe and not side and not readers
 
     def _open(self, tag: str, attributes: str) -> None:
-        side, readers, main = self._named(tag, attributes)
+        side, readers, main, maybe = self._named(tag, attributes)
         if side or main or tag == "article":
             self._flush()
-        self._stack.append((tag, self._side, self._article, self._home, main, self._heading))
+        self._stack.append((tag, self._side, self._article, self._home, self._yard, main, self._heading))
         self._open_at.setdefault(tag, []).append(len(self._stack) - 1)
         if tag in _BLOCKS and tag != "p":
             self._blocks.append(len(self._stack) - 1)
         self._elements += 1
         if side:
-            self.sides.append([self._side, readers, False, tag == "form"])
+            self.sides.append([self._side, readers, False, tag == "form", maybe])
             self._side = len(self.sides) - 1
         if main:
             self._main += 1
@@ -135,18 +141,18 @@ class Page:
         if tag == "article" and self._article < 0:
             self._article = self._elements
         if tag in _CONTAINERS:
-            self._home = self._elements
+            self._home, self._yard = self._elements, self._home
         self._heading |= tag in ("h1", "h2", "h3")
         self._link += tag == "a"
 
     def _pop(self) -> None:
-        tag, side, article, home, main, heading = self._stack.pop()
+        tag, side, article, home, yard, main, heading = self._stack.pop()
         if side != self._side or article != self._article or main:
             self._flush()
         self._open_at[tag].pop()
         if self._blocks and self._blocks[-1] == len(self._stack):
             self._blocks.pop()
-        self._side, self._article, self._home, self._heading = side, article, home, heading
+        self._side, self._article, self._home, self._yard, self._heading = side, article, home, yard, heading
         self._main -= main
         self._link -= tag == "a"
 
@@ -201,10 +207,10 @@ class Page:
 def beside(read: Page) -> list[bool]:
     """For each element named as beside the text, whether its lines weigh nothing.
 
-    An element that holds <main> is not beside the text, nor is one that holds most of the page's text where no article lies
+    An element that an ambiguous name inside an article marks is beside the text if it is mostly links. One that holds <main> is not, nor is one that holds most of the page's text where no article lies
     outside (a form around the page may have a teaser outside); what readers wrote always is.
     """
-    held = [0] * len(read.sides)
+    held, linked = [0] * len(read.sides), [0] * len(read.sides)
     total = 0
     other = any(x.side < 0 and (x.article >= 0 or x.main) for x in read.lines)
     for x in read.lines:
@@ -212,13 +218,15 @@ def beside(read: Page) -> list[bool]:
         total += n
         if x.side >= 0:
             held[x.side] += n
+            linked[x.side] += x.linked
     out = [False] * len(held)
     for i in range(len(held) - 1, -1, -1):  # parents come before what they hold
-        parent, readers, main, form = read.sides[i]
+        parent, readers, main, form, maybe = read.sides[i]
         if parent >= 0:
             held[parent] += held[i]
+            linked[parent] += linked[i]
             read.sides[parent][2] |= main
-        out[i] = readers or (not main and (held[i] <= MOST_OF * total or (other and not form)))
+        out[i] = readers or (not main and (linked[i] > held[i] if maybe else held[i] <= MOST_OF * total or (other and not form)))
     for i, (parent, *_) in enumerate(read.sides):
         out[i] = out[i] or (parent >= 0 and out[parent])
     return out
@@ -290,7 +298,9 @@ def main_text(page: str | None, window: int = WINDOW, share: float = SHARE, rise
     for i in longest:
         held[read.lines[i].home] = held.get(read.lines[i].home, 0.0) + weights[i]
     home = max(held, key=held.get)
-    good = [size >= share * most or any(read.lines[i].home == home for i in run) for run, size in found]
+    yard = next(read.lines[i].yard for i in longest if read.lines[i].home == home)
+    near = lambda x: x.home == home or (home and x.yard == yard and len(x.text) - x.linked >= LINE)  # noqa: E731  or running text in a container beside it
+    good = [size >= share * most or any(near(read.lines[i]) for i in run) for run, size in found]
     first, last = good.index(True), len(good) - 1 - good[::-1].index(True)
     out = []
     for run, _ in found[first : last + 1]:

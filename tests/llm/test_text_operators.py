@@ -24,6 +24,19 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    # a closing note in a container of its own, behind an advert
+    (f"<body><div><p>{'A long text that is the body of this page, with enough words to be one. ' * 9}</p></div><div class='ad'>Buy now</div><div><p>This closing note belongs to the text, short as it is.</p></div><div class=footer>imprint</div></body>",
+     ('A long text that is the body of this page, with enough words to be one. ' * 9).strip() + "\n\nThis closing note belongs to the text, short as it is."),
+    # names that only begin like something beside the text
+    ("<article><p>One line of the text that is read.</p><p class='promo-code'>The code is SPRING for all readers.</p><div class='share-price'>The share price rose to 12.</div></article>",
+     "One line of the text that is read.\n\nThe code is SPRING for all readers.\n\nThe share price rose to 12."),
+    ("<article><p>One line of the text that is read.</p><div class='share-buttons'><a href=x>Post</a> <a href=y>Mail</a></div><div class='ad-slot'>Buy cheap watches</div><ul class='site-nav'><li>Home</ul></article>", "One line of the text that is read."),
+])
+def test_nothing_else_is_dropped(page, text):
+    assert html.main_text(page) == text
+
+
 def test_long_page():
     body = "\n\n".join(f"block {i} of it" for i in range(5000))
     assert html.main_text("<article>" + "".join(f"<p>{b}</p>" for b in body.split("\n\n")) + "</article>") == body
