@@ -3,8 +3,8 @@
 A document is the set of its n-grams: words, word pairs, word endings, and the shapes of one, two and
 three words (case, digits, marks, length, repetition), hashed into 2**18 buckets. Each
 indicator is scaled by the log-count ratio of its bucket between the classes; a linear model with hinge loss is
-fitted on these by dual coordinate descent, and its margin is turned into a probability on labelled
-rows kept aside from the fit.
+fitted on these by dual coordinate descent, and its margin is turned into a probability by a line that is
+fitted to margins of documents by models that have not seen them.
 
 Fitted on at most `most_rows` labelled rows of at most `most_bytes` bytes of text (documented bounds of the sample, which alone
 passes through the driver); every text is scored in whole. Labels, language, source and id are never inputs of a score.
@@ -32,6 +32,7 @@ MOST_BYTES = 16 << 20
 THRESHOLD = 0.7
 COST = 1.0
 EPOCHS = 12
+FOLDS = 3
 
 
 def _count(mask: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -121,32 +122,45 @@ def scaled(x: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     return v / norm if norm else v
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> dict:
-    """The model: bucket weights and the calibration of margins."""
+def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES, folds: int = FOLDS) -> dict:
+    """The model: bucket weights and the calibration of margins.
+
+    Margins are calibrated on documents by models that have not seen them (`folds` parts, at every size); the model itself learns from all rows.
+    """
     rows = labelled(docs, labels, column, most_rows, most_bytes)[0].mapInArrow(features, "label int, key long, buckets binary").collect()
     rows.sort(key=lambda r: (r["key"], bytes(r["buckets"])))
     y = np.array([r["label"] for r in rows], dtype=np.int64)
-    share = float(y.mean()) if len(y) else 0.5
-    if len(set(y.tolist())) < 2 or min(np.bincount(y)) < 3:
-        share = min(max(share, 1e-3), 1 - 1e-3)
-        return {"weights": np.zeros(BUCKETS, np.float32), "ratio": np.zeros(BUCKETS, np.float32), "bias": 0.0, "line": (float(np.log(share / (1 - share))), 0.0)}
     x = [np.frombuffer(bytes(r["buckets"]), dtype=np.int32) for r in rows]
-    # every fourth row of either class is kept for the calibration
-    turn = np.zeros(len(y), np.int64)
+    if len(set(y.tolist())) < 2:
+        share = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
+        return {"weights": np.zeros(BUCKETS, np.float32), "ratio": np.zeros(BUCKETS, np.float32), "bias": 0.0, "line": (float(np.log(share / (1 - share))), 0.0)}
+    part = np.zeros(len(y), np.int64)
     for label in (0, 1):
-        turn[y == label] = np.arange((y == label).sum())
-    aside = turn % 4 == 3 if min(np.bincount(y)) >= 8 else np.zeros(len(y), bool)
-    train = np.flatnonzero(~aside)
-    ratio = log_count_ratio([x[i] for i in train], y[train])
-    values = [scaled(d, ratio) for d in x]
-    weight = len(train) / (2.0 * np.bincount(y[train]))
-    w = dual_coordinate_descent([x[i] for i in train], [values[i] for i in train], 2 * y[train] - 1, COST * weight[y[train]], EPOCHS)
-    margins = np.array([w[d] @ v + w[-1] for d, v in zip(x, values)])
-    on = np.flatnonzero(aside) if aside.any() else train
-    line = logistic(np.stack([np.ones(len(on)), margins[on]], axis=1), y[on])
+        own = np.flatnonzero(y == label)
+        part[own] = np.arange(len(own)) % folds
+    margins = np.zeros(len(y))
+    for k in range(folds):
+        seen, new = np.flatnonzero(part != k), np.flatnonzero(part == k)
+        margins[new] = margins_of([x[i] for i in new], *train([x[i] for i in seen], y[seen]))
+    line = logistic(np.stack([np.ones(len(y)), margins], axis=1), y)
+    w, ratio = train(x, y)
     return {"weights": w[:-1].astype(np.float32), "ratio": ratio.astype(np.float32), "bias": float(w[-1]), "line": (float(line[0]), float(line[1]))}
 
 
+def train(x: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (the bias last) and log-count ratios of a model of these rows; all zero where one class is missing."""
+    count = np.bincount(y, minlength=2)
+    if not count.all():
+        return np.zeros(BUCKETS + 1), np.zeros(BUCKETS)
+    ratio = log_count_ratio(x, y)
+    weight = len(y) / (2.0 * count)
+    return dual_coordinate_descent(x, [scaled(d, ratio) for d in x], 2 * y - 1, COST * weight[y], EPOCHS), ratio
+
+
+def margins_of(x: list[np.ndarray], w: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    return np.array([w[d] @ scaled(d, ratio) + w[-1] for d in x])
+
+
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     spread = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB, whatever the input

@@ -1,9 +1,11 @@
 """The trained operators: held-out accuracy, gradients, edge cases; and the pipeline."""
 
 import itertools
+import random
 import zlib
 
 import numpy as np
+import pytest
 
 from pavelake.llm import quality, toxicity
 from pavelake.llm.common import table
@@ -211,3 +213,21 @@ def test_toxic_features_by_hand():
         y.append(int(toxic))
     marked = set(np.flatnonzero(toxicity.toxic_features(toxicity.Sample(docs), np.arange(300), np.array(y))).tolist())
     assert {5, 5001, 7001, 7004} <= marked and not {m for m in marked if m < 5 or 10 <= m < 5000}
+
+
+@pytest.mark.parametrize("n", [2, 3, 7, 8, 40])
+def test_quality_by_one_rule_at_every_size(spark, n):
+    """From two rows of a class on: the model of all rows, calibrated on rows that a model has not seen."""
+    rng = random.Random(n)
+    ids = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 4 != 2][: 2 * n]
+    texts = {i: " ".join(rng.choices(["the river runs by the old mill", "stone bridges last for ages", "she wrote a letter home"] if k % 2 else ["BUY!!! now $$$", "free %%% click", "win 000 cash"], k=8)) for k, i in enumerate(ids)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int"))
+    x = [np.frombuffer(bytes(r.buckets), dtype=np.int32) for r in quality.labelled(docs, spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int"), "quality", 100, 10**6)[0].mapInArrow(quality.features, "label int, key long, buckets binary").orderBy("key", "buckets").collect()]
+    y = np.array([r.label for r in quality.labelled(docs, spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int"), "quality", 100, 10**6)[0].mapInArrow(quality.features, "label int, key long, buckets binary").orderBy("key", "buckets").collect()])
+    w, ratio = quality.train(x, y)
+    assert np.allclose(model["weights"], w[:-1], atol=1e-6) and np.allclose(model["ratio"], ratio, atol=1e-5)
+    scores = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    if n >= 7:
+        assert all((scores[i] > 0.5) == bool(k % 2) for k, i in enumerate(ids))
+    assert all(0 <= s <= 1 for s in scores.values())
