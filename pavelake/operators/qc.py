@@ -12,24 +12,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab as v
-from ..functions.scalar import gsd_mm
+from ..functions.scalar import gsd_mm, refractory_ms, threshold
 from . import detector, quality
 from . import timeseries as ts
+from .graph import cut
 from .joins import interval_join
 from .logs import collection_window
 
 # fixed values: limits of the checks
 LEAST_RATE, MOST_SUSPECT, LEAST_CREST, TAIL_CREST, LEAST_CV, DARK, BLURRED, GAP_MS = 50.0, 0.5, 2.0, 4.0, 0.25, 50.0, 50.0, 800
 MOST_OVER, MOST_BLURRED_SHARE, MOST_DARK_SHARE, LEAST_R, START_MS, FRAME_CAP = 0.02, 0.3, 0.2, -0.3, 3, 300
-VERSIONS = ((8, 99_999, 0.8), (7, 8, 0.7), (-1, 7, 0.6))
+FEW = 200_000
 
 
-def replay_by_version(samples: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Samples with thr, and what the replay finds, each pack by the formulas of its version (pack_id, version as major * 100 + minor)."""
-    known = samples.join(F.broadcast(versions), "pack_id")
-    parts = [known.filter((F.col("version") >= low) & (F.col("version") < high)).drop("version") for low, high, _ in VERSIONS]
-    union = lambda dfs: reduce(DataFrame.unionByName, dfs)
-    return union([ts.noise_threshold(p, x[2]) for p, x in zip(parts, VERSIONS)]), union([detector.replay(p, x[2]) for p, x in zip(parts, VERSIONS)])
+def replay_by_version(samples: DataFrame, versions: DataFrame, mode: str = "ride") -> tuple[DataFrame, DataFrame]:
+    """Samples with version, rms and thr, and what the replay finds, each pack by the formulas of its version (pack_id, version: 8, 7 or less).
+
+    Both are cut: the samples are read once, the state machine runs once, and all facts come from these two.
+    """
+    few = versions.limit(FEW + 1).count() <= FEW
+    known = samples.join(F.broadcast(versions) if few else versions, "pack_id").withColumn("rms", ts.rolling_rms())
+    old = F.coalesce(F.col("version") < 8, F.lit(False))
+    noisy = known.filter(~old).withColumn("noise", F.col("rms")).unionByName(ts.rolling_quantile(known.filter(old), "noise"))
+    dead = F.coalesce(*(F.when(F.col("version") >= low, refractory_ms(F.col("speed"), F.lit(x))) for low, x in ((8, 0.8), (7, 0.7), (-1, 0.6)))).cast("double")
+    ready = noisy.withColumn("thr", threshold(F.col("noise"))).drop("noise")
+    ready = cut(ready)
+    gated = F.col("version") < 7 if "test" not in mode else F.lit(False)
+    return ready, cut(detector.found_in(ready.withColumns({"dead": dead, "gated": gated})))
 
 
 def reproduced(recorded: DataFrame, replayed: DataFrame, thresholds: DataFrame, tolerance_ms: int = START_MS) -> DataFrame:
@@ -72,11 +81,10 @@ def frame_facts(frames: DataFrame, cap: int = FRAME_CAP) -> DataFrame:
     return good
 
 
-def facts(samples: DataFrame, meta: DataFrame, recorded: DataFrame, frames: DataFrame, null_test: DataFrame | None = None) -> DataFrame:
-    """One row per pack of `meta`. samples: pack_id, event_id (recorded order), t_ms, hp, speed; null_test: pack_id, informative."""
-    ready, found = replay_by_version(samples, meta.select("pack_id", "version"))
+def facts(ready: DataFrame, found: DataFrame, meta: DataFrame, recorded: DataFrame, frames: DataFrame, null_test: DataFrame | None = None) -> DataFrame:
+    """One row per pack of `meta`. ready, found: as replay_by_version gives them of samples pack_id, event_id (recorded order), t_ms, hp, speed; null_test: pack_id, informative."""
     events = detector.events(found)
-    steps = samples.withColumn("dt", F.col("t_ms") - F.lag("t_ms").over(Window.partitionBy("pack_id").orderBy("event_id")))
+    steps = ready.withColumn("dt", F.col("t_ms") - F.lag("t_ms").over(Window.partitionBy("pack_id").orderBy("event_id")))
     timing = steps.groupBy("pack_id").agg(
         F.count(F.lit(1)).alias("n_rows"), ((F.max("t_ms") - F.min("t_ms")) / 1000).alias("dur_real"),
         F.count_if(F.col("dt") == 0).alias("repeated"), F.count_if(F.col("dt") < 0).alias("backward"), F.count_if(F.col("dt") > GAP_MS).alias("gaps"),
@@ -85,7 +93,7 @@ def facts(samples: DataFrame, meta: DataFrame, recorded: DataFrame, frames: Data
     rhythm = events.withColumn("iv", iv).groupBy("pack_id").agg(F.count(F.lit(1)).alias("n_rep"), F.min("iv").alias("min_iv"), F.when(F.avg("iv") > 0, F.stddev_pop("iv") / F.avg("iv")).alias("cv"), F.avg(F.when(F.col("iv").isNotNull(), F.col("iv").between(1400, 2100).cast("double"))).alias("share_1400_2100"))
     lost = found.groupBy("pack_id").pivot("what", ["speed_gate", "refractory", "in_event"]).agg(F.count(F.lit(1)))
     parts = [
-        timing, rhythm, lost, quality.over_threshold(ready), quality.crest(events, samples.withColumn("rms", ts.rolling_rms())), frame_facts(frames),
+        timing, rhythm, lost, quality.over_threshold(ready), quality.crest(events, ready), frame_facts(frames),
         reproduced(recorded, events, ready),
     ] + ([null_test.select("pack_id", "informative")] if null_test is not None else [])
     out = reduce(lambda a, b: a.join(b, "pack_id", "left"), parts, meta)
