@@ -153,12 +153,17 @@ def judge_event(record: dict, model: Callable[[dict], str], wait: Callable[[floa
 REVIEW = "event_id long, visual_label string, confidence string, why string, source string, final string, rounds int, calls int, actions array<string>, trace array<struct<round:int,status:string,label:string,error:string>>"
 
 
+def plain(record: dict) -> dict:
+    """A row of a pandas frame with lists for arrays and None for what is missing."""
+    return {k: x.tolist() if hasattr(x, "tolist") else None if isinstance(x, float) and x != x else x for k, x in record.items()}
+
+
 def run(records: DataFrame, model: Callable[[dict], str], wait: Callable[[float], None] = time.sleep) -> DataFrame:
     """Reviews of all records; a failed task judges its events anew, so results should be written through pending() of judge.py."""
 
     def each(batches):
         for pdf in batches:
-            rows = [judge_event(r, model, wait) for r in pdf.to_dict("records")]
+            rows = [judge_event(plain(r), model, wait) for r in pdf.to_dict("records")]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in REVIEW.split(", ")])
 
     return records.mapInPandas(each, REVIEW)

@@ -23,22 +23,27 @@ def latest(records: DataFrame, key: str = "event_id", order: str = "line") -> Da
     return records.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("__n = 1").drop("__n")
 
 
-def judged(gold: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Gold rows with their review's state and label. gold: event_id, truth_label, imu_label; reviews: event_id, source, visual_label."""
-    r = reviews.select("event_id", "source", "visual_label", F.lit(True).alias("reviewed"))
+def judged(gold: DataFrame, reviews: DataFrame, keys: list[str] | tuple = ()) -> DataFrame:
+    """Gold rows with their review's state and label; with keys (model), once for each that reviewed anything.
+
+    gold: event_id, truth_label, imu_label; reviews: keys, event_id, source, visual_label.
+    """
+    if keys:
+        gold = gold.crossJoin(F.broadcast(reviews.select(*keys).distinct()))  # a row for each model
+    r = reviews.select(*keys, "event_id", "source", "visual_label", F.lit(True).alias("reviewed"))
     state = F.when(F.col("reviewed").isNull(), "missing").when(F.col("source").isin("parse_failed", "net_failed"), F.col("source")).when(F.col("source") == "l0_blocked", "blocked").when(F.col("visual_label").isNull(), "parse_failed").otherwise("judged")
-    return gold.join(r, "event_id", "left").withColumn("state", state).withColumn("label", F.when(F.col("state") == "blocked", v.BLOCKED).when(F.col("state") == "judged", F.col("visual_label")))
+    return gold.join(r, [*keys, "event_id"], "left").withColumn("state", state).withColumn("label", F.when(F.col("state") == "blocked", v.BLOCKED).when(F.col("state") == "judged", F.col("visual_label")))
 
 
-def metrics(gold: DataFrame, reviews: DataFrame) -> DataFrame:
-    """All rates in one aggregation."""
-    d = judged(gold, reviews)
+def metrics(gold: DataFrame, reviews: DataFrame, keys: list[str] | tuple = ()) -> DataFrame:
+    """All rates in one aggregation, of all reviews or of each key's (model)."""
+    d = judged(gold, reviews, keys)
     has, truth, label = F.col("label").isNotNull(), F.col("truth_label"), F.col("label")
     quiet = truth.isin(v.FLAT, v.BLOCKED)
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     t, p = is_defect(truth), is_defect(label)
     base = candidates(F.col("imu_label"))
-    agg = d.agg(
+    agg = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_gold"), count(has).alias("n_judged"), count(F.col("state") == "parse_failed").alias("parse_failed"), count(F.col("state") == "net_failed").alias("net_failed"), count(F.col("state") == "blocked").alias("l0_blocked"),
         count(has & (truth != v.BLOCKED)).alias("an"), count(has & (truth != v.BLOCKED) & (label == truth)).alias("ah"), count(has & quiet).alias("hn"), count(has & quiet & label.isin(*v.SPECIFIC)).alias("hh"),
         count(label == v.BLOCKED).alias("un"), count(has & (t == p)).alias("bh"), count(has & t & ~p).alias("missed_defect"), count(has & ~t & p).alias("false_defect"), count(has & t & p).alias("tp"),
@@ -47,7 +52,7 @@ def metrics(gold: DataFrame, reviews: DataFrame) -> DataFrame:
     )
     c = F.col
     return agg.select(
-        "n_gold", "n_judged", "parse_failed", "net_failed", "l0_blocked", percent(c("n_gold") - c("parse_failed") - c("net_failed"), c("n_gold")).alias("json_compliance"), percent(c("ah"), c("an")).alias("agreement"), percent(c("hh"), c("hn")).alias("hallucination"),
+        *keys, "n_gold", "n_judged", "parse_failed", "net_failed", "l0_blocked", percent(c("n_gold") - c("parse_failed") - c("net_failed"), c("n_gold")).alias("json_compliance"), percent(c("ah"), c("an")).alias("agreement"), percent(c("hh"), c("hn")).alias("hallucination"),
         percent(c("un"), c("n_judged")).alias("unable_rate"), percent(c("bh"), c("n_judged")).alias("binary_agreement"), "missed_defect", "false_defect", percent(c("tp"), c("tp") + c("missed_defect")).alias("defect_recall"), percent(c("tp"), c("tp") + c("false_defect")).alias("defect_precision"),
         percent(c("bah"), c("bn")).alias("baseline_agreement"), percent(c("bhh"), c("bhn")).alias("baseline_hallucination"),
     )
@@ -86,3 +91,61 @@ def change_chains(traces: DataFrame) -> DataFrame:
     """The labels of all good rounds, for events judged more than once."""
     good = F.transform(F.filter("rounds", lambda r: r["status"] == "ok"), lambda r: r["label"])
     return traces.select("event_id", good.alias("chain")).filter(F.size("chain") >= 2)
+
+
+# fixed values: gates of the evaluation, and what an agent must not cost more than
+GATES = (("一致率≥75%", "agreement", 75.0, True), ("幻觉率≤10%", "hallucination", 10.0, False), ("JSON合规≥95%", "json_compliance", 95.0, True))
+MOST_COST = 3.4
+
+
+def passed() -> list[Column]:
+    """struct(gate, passed) of every gate; a rate that can't be told does not pass."""
+    return [F.struct(F.lit(name).alias("gate"), F.coalesce(F.col(c) >= bound if least else F.col(c) <= bound, F.lit(False)).alias("passed")) for name, c, bound, least in GATES]
+
+
+def cell(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit("—"))
+
+
+def report(gold: DataFrame, reviews: DataFrame) -> DataFrame:
+    """model, line (its row of the comparison), matrix (its confusion as a Markdown table), gates, text (the section of the report).
+
+    reviews: model, event_id, source, visual_label. One text for each model by aggregation; a matrix has a row and a column for each label that occurs.
+    """
+    keys = ["model"]
+    rates = metrics(gold, reviews, keys)
+    columns = ("json_compliance", "agreement", "hallucination", "unable_rate", "binary_agreement", "defect_recall", "defect_precision", "missed_defect", "false_defect", "parse_failed", "net_failed")
+    line = F.concat(F.lit("| "), F.col("model"), F.lit(" | "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |"))
+    cells = confusion_by(judged(gold, reviews, keys), keys)
+    labels = cells.groupBy(*keys).agg(F.array_sort(F.collect_set("truth_label")).alias("t"), F.array_sort(F.collect_set("label")).alias("p")).select(*keys, F.array_sort(F.array_union("t", "p")).alias("labels"))
+    counts = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "truth_label", "label"), F.col("n").cast("string")))).alias("counts"))
+    row = lambda t: F.concat(F.lit("| **"), t, F.lit("** | "), F.array_join(F.transform("labels", lambda q: F.coalesce(F.element_at("counts", F.concat_ws("|", t, q)), F.lit("0"))), " | "), F.lit(" |"))
+    head = F.concat(F.lit("| | "), F.array_join("labels", " | "), F.lit(" |\n|"), F.repeat(F.lit("---|"), F.size("labels") + 1))
+    matrix = F.concat(head, F.lit("\n"), F.array_join(F.transform("labels", row), "\n"))
+    told = F.array_join(F.transform(F.array(*passed()), lambda g: F.concat(g["gate"], F.when(g["passed"], " ✅").otherwise(" ❌"))), "；")
+    made = rates.join(labels.join(counts, keys).select(*keys, matrix.alias("matrix")), keys, "left").withColumn("line", line).withColumn("gates", told)
+    base = F.concat(F.lit("基线：一致率 "), cell("baseline_agreement"), F.lit("%、幻觉率 "), cell("baseline_hallucination"), F.lit("%"))
+    text = F.concat_ws("\n\n", F.concat(F.lit("### "), F.col("model")), F.col("line"), base, F.coalesce("matrix", F.lit("")), F.concat(F.lit("门槛判定："), F.col("gates")))
+    return made.select("model", "line", "matrix", "gates", text.alias("text"))
+
+
+def confusion_by(d: DataFrame, keys: list[str]) -> DataFrame:
+    return d.filter(F.col("label").isNotNull()).groupBy(*keys, "truth_label", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def gain(gold: DataFrame, reviews: DataFrame, base: str, agent: str, most_cost: float = MOST_COST) -> DataFrame:
+    """base_recall, base_cost, agent_recall, agent_cost, verdict of an agent against a single call.
+
+    effective: recall rises and a captured defect costs at most `most_cost` flagged events; frontier: recall rises but cost too; none: recall does not
+    rise; incomplete: one of the two has no review.
+    """
+    both = reviews.filter(F.col("model").isin(base, agent))
+    d = judged(gold, both, ["model"])
+    t, p = is_defect(F.col("truth_label")), is_defect(F.col("label"))
+    by = d.groupBy("model").agg(F.count_if(p).alias("flagged"), F.count_if(p & t).alias("captured"), F.count_if(F.col("label").isNotNull() & t).alias("defects"))
+    by = by.select("model", percent(F.col("captured"), F.col("defects")).alias("recall"), F.round(F.try_divide(F.col("flagged").cast("double"), F.col("captured")), 2).alias("cost"))
+    of = lambda m, c: F.max(F.when(F.col("model") == m, F.col(c)))
+    one = by.agg(of(base, "recall").alias("base_recall"), of(base, "cost").alias("base_cost"), of(agent, "recall").alias("agent_recall"), of(agent, "cost").alias("agent_cost"))
+    rises = F.col("agent_recall") > F.col("base_recall")
+    verdict = F.when(rises.isNull(), "incomplete").when(rises & (F.col("agent_cost") <= most_cost), "effective").when(rises, "frontier").otherwise("none")
+    return one.withColumn("verdict", verdict)

@@ -30,30 +30,60 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], t: str,
 
 
 def align_greedy(imu: DataFrame, vision: DataFrame, tolerance_ms: int) -> DataFrame:
-    """pack_id, vision_id, imu_id: vision events in id order each take the nearest free IMU event.
+    """pack_id, vision_id, imu_id: vision events in id order each take the nearest free IMU event, the one of the smaller id of equals.
 
-    Sequential by definition within a pack, hence one pack per task; columns pack_id, id, t_ms.
+    Where neither list has an event for more than the tolerance no match reaches across, so a pack falls into islands that are
+    aligned each by itself: those with one event of either kind by an expression, the others one group at a time. Columns pack_id, id, t_ms.
     """
-    schema = "pack_id long, vision_id long, imu_id long"
-
-    def match(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        free = a.dropna(subset=["t_ms"]).sort_values("id")
-        ids, times = free["id"].tolist(), free["t_ms"].tolist()
-        # free events in order of time; those of one time in order of id
-        line = sorted(zip(times, range(len(ids))))
-        out = []
-        for vid, t in b.dropna(subset=["t_ms"]).sort_values("id")[["id", "t_ms"]].itertuples(index=False):
-            at = bisect_left(line, (t, -1))
-            near = [line[at]] if at < len(line) else []
-            if at:
-                near.append(line[bisect_left(line, (line[at - 1][0], -1))])
-            best = min(((abs(x - t), i, x) for x, i in near), default=None)
-            if best and best[0] <= tolerance_ms:
-                del line[bisect_left(line, (best[2], best[1]))]
-                out.append((key[0], vid, ids[best[1]]))
+    side = lambda df, kind: df.filter("t_ms is not null").select(F.col("pack_id").cast("long").alias("pack_id"), F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), "t_ms")
+    both = side(imu, "imu").unionByName(side(vision, "vision"))
+    order = Window.partitionBy("pack_id").orderBy("t_ms", "kind", "id")
+    new = F.coalesce(F.col("t_ms") - F.lag("t_ms").over(order) > tolerance_ms, F.lit(True)).cast("long")
+    placed = both.withColumn("island", F.sum(new).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    island = Window.partitionBy("pack_id", "island")
+    counted = placed.withColumns({k: F.count_if(F.col("kind") == k).over(island) for k in ("imu", "vision")}).filter("imu > 0 and vision > 0")
+    one = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("id", "t_ms")))
+    pairs = counted.filter("imu = 1 and vision = 1").groupBy("pack_id", "island").agg(one("vision").alias("v"), one("imu").alias("i"))
+    pairs = pairs.filter(F.abs(F.col("v.t_ms") - F.col("i.t_ms")) <= tolerance_ms).select("pack_id", F.col("v.id").alias("vision_id"), F.col("i.id").alias("imu_id"))
+
+    def match(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        seen, free = pdf[pdf["kind"] == "vision"].sort_values("id"), FreeTimes(*pdf.loc[pdf["kind"] == "imu", ["t_ms", "id"]].to_numpy().T.tolist())
+        out = [(key[0], vid, got) for vid, t in zip(seen["id"].tolist(), seen["t_ms"].tolist()) if (got := free.take(t, tolerance_ms)) is not None]
         return pd.DataFrame(out, columns=["pack_id", "vision_id", "imu_id"])
 
-    return imu.select("pack_id", "id", "t_ms").groupBy("pack_id").cogroup(vision.select("pack_id", "id", "t_ms").groupBy("pack_id")).applyInPandas(match, schema)
+    many = counted.filter("imu > 1 or vision > 1").select("pack_id", "island", "kind", "id", "t_ms")
+    return pairs.unionByName(many.groupBy("pack_id", "island").applyInPandas(match, "pack_id long, vision_id long, imu_id long"))
+
+
+class FreeTimes:
+    """Events in order of time of which the nearest free one is taken; those taken are skipped by pointers that are shortened as they are followed."""
+
+    def __init__(self, times: list, ids: list):
+        rows = sorted(zip(times, ids))
+        self.times, self.ids = [t for t, _ in rows], [i for _, i in rows]
+        self.up = list(range(len(rows) + 1))  # the first free place at or after each
+        self.down = list(range(len(rows) + 1))  # one more than the last free place before each
+
+    @staticmethod
+    def follow(pointers: list[int], at: int) -> int:
+        end = at
+        while pointers[end] != end:
+            end = pointers[end]
+        while pointers[at] != end:
+            pointers[at], at = end, pointers[at]
+        return end
+
+    def take(self, t: float, most: float) -> int | None:
+        at = bisect_left(self.times, t)
+        right, left = self.follow(self.up, at), self.follow(self.down, at) - 1
+        near = [right] if right < len(self.ids) else []
+        if left >= 0:  # of one time the smallest id
+            near.append(self.follow(self.up, bisect_left(self.times, self.times[left])))
+        best = min(near, key=lambda k: (abs(self.times[k] - t), self.ids[k]), default=None)
+        if best is None or abs(self.times[best] - t) > most:
+            return None
+        self.up[best], self.down[best + 1] = best + 1, best
+        return self.ids[best]
 
 
 def mutual_nearest(left: DataFrame, right: DataFrame, tolerance_ms: int) -> DataFrame:

@@ -40,17 +40,18 @@ def problems(records: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def vision_records(joined: DataFrame) -> DataFrame:
-    """Reviews to hand on: decided ones; failed and blocked ones are skipped."""
-    return joined.filter(F.col("source").isNotNull() & ~F.col("source").isin(*FAILED, "l0_blocked"))
+    """Reviews to hand on: decided ones; failed and blocked ones are skipped, one of an unknown source is an error."""
+    known = F.when(F.col("source") == "llm", True).when(F.col("source").isin(*FAILED, "l0_blocked"), False)
+    return joined.filter(F.col("source").isNotNull()).filter(F.coalesce(known, F.raise_error(F.concat(F.lit("event "), F.col("event_id").cast("string"), F.lit(": unknown source "), F.col("source"))).cast("boolean")))
 
 
 def summarize(events: DataFrame, reviews: DataFrame, keys: list[str]) -> DataFrame:
     """Counts per key: events, reviews, what needs a look, low speed known or not.
 
-    events: keys, event_id, low_speed string; reviews: event_id, attention, agree.
+    events: keys, event_id, low_speed string; reviews: keys (event_id alone tells no packs apart), event_id, attention, agree.
     """
-    r = reviews.select("event_id", "attention", "agree", F.lit(True).alias("reviewed"))
-    j = events.join(r, "event_id", "left")
+    r = reviews.select(*keys, "event_id", "attention", "agree", F.lit(True).alias("reviewed"))
+    j = events.join(r, [*keys, "event_id"], "left")
     return j.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("events"), F.count_if(F.col("reviewed").isNull()).alias("unreviewed"), F.count_if("attention").alias("attention"), F.count_if(~F.col("agree")).alias("disagree"),
         F.count_if(F.col("low_speed") == "1").alias("low_speed"), F.count_if(~F.coalesce(F.col("low_speed").isin("0", "1"), F.lit(False))).alias("low_speed_unknown"),
@@ -70,11 +71,18 @@ def collection_window(exported_at: Column, duration_s: Column, offset_hours: int
     return F.struct(F.date_format(start, "yyyy-MM-dd HH:mm").alias("start"), F.date_format(end, "yyyy-MM-dd HH:mm").alias("end"), (F.hour(start) + F.minute(start) / 60 >= 16.5).alias("evening"))
 
 
-def schema_problems(reports: DataFrame) -> DataFrame:
-    """event_id, problem of review rows: bad origin, blank text, ids that repeat or are negative."""
+def schema_problems(reports: DataFrame, schema_id: str | None = None, known: DataFrame | None = None) -> DataFrame:
+    """event_id, problem of review rows: bad origin, blank text, ids that repeat or are negative; with schema_id another schema
+    (column schema), with known (pack_id, event_id) ids that the pack does not have."""
     copies = F.count(F.lit(1)).over(Window.partitionBy("event_id"))
-    found = F.array(
+    rows = reports.withColumn("copies", copies)
+    found = [
         F.when(~F.coalesce(F.col("generated").isin("llm", "human_example"), F.lit(False)), "bad_origin"), F.when(F.coalesce(F.trim("why"), F.lit("")) == "", "blank_text"),
         F.when(F.col("event_id") < 0, "negative_id"), F.when(F.col("copies") > 1, "repeated_id"),
-    )
-    return reports.withColumn("copies", copies).select("event_id", F.explode(F.array_compact(found)).alias("problem"))
+    ]
+    if schema_id is not None:
+        found.append(F.when(~F.coalesce(F.col("schema") == schema_id, F.lit(False)), "other_schema"))
+    if known is not None:
+        rows = rows.join(known.select("pack_id", "event_id").distinct().withColumn("__known", F.lit(True)), ["pack_id", "event_id"], "left")
+        found.append(F.when(F.col("__known").isNull(), "unknown_event"))
+    return rows.select("event_id", F.explode(F.array_compact(F.array(*found))).alias("problem"))

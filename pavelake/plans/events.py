@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as v
 from ..functions.scalar import classical_image_rule, crack_kind, evidence_tier, feature_text, haversine_m, priority, rnd
-from ..operators import evaluate, fusion, image, joins, judge, labels, spatial
+from ..operators import evaluate, fusion, image, joins, judge, labels, rollup, spatial
 from ..sources import adapters as a
 from ..sources import files
 from .registry import query
@@ -113,7 +113,12 @@ def mutual_nearest(spark, d):
     return joins.mutual_nearest(a.vision(spark, d), a.imu_events(spark, d), 20)
 
 
-@query()
+@query(IV.replace("WITH ", "WITH RECURSIVE ", 1) + """, vo AS (SELECT pack_id, id, t_ms, row_number() OVER (PARTITION BY pack_id ORDER BY id) AS n FROM vision),
+f AS (SELECT pack_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS vision_id, CAST(NULL AS BIGINT) AS imu_id FROM (SELECT DISTINCT pack_id FROM vo)
+UNION ALL SELECT pack_id, n, CASE WHEN gap <= 1200 THEN list_append(used, best) ELSE used END, vision_id, CASE WHEN gap <= 1200 THEN best END FROM (
+  SELECT f.pack_id, f.n + 1 AS n, any_value(f.used) AS used, any_value(vo.id) AS vision_id, arg_min(imu.id, (abs(imu.t_ms - vo.t_ms), imu.id)) AS best, min(abs(imu.t_ms - vo.t_ms)) AS gap
+  FROM f JOIN vo ON vo.pack_id = f.pack_id AND vo.n = f.n + 1 LEFT JOIN imu ON imu.pack_id = f.pack_id AND NOT list_contains(f.used, imu.id) GROUP BY f.pack_id, f.n))
+SELECT pack_id, vision_id, imu_id FROM f WHERE imu_id IS NOT NULL""")
 def nearest_align(spark, d):
     return joins.align_greedy(a.imu_events(spark, d), a.vision(spark, d), v.ALIGN_MS)
 
@@ -393,17 +398,55 @@ def _judged(spark, d):
     return gold, reviews
 
 
-@query(JUDGED + f""", c AS (SELECT *, {DEFECT.format('truth')} AS t, {DEFECT.format('label')} AS p, truth IN ('平路', '遮挡/无法判定') AS quiet, label IN ('坑洼','减速带','井盖','设计接缝','粗糙路面','纵向裂缝','横向裂缝','龟裂') AS spec FROM k),
-n AS (SELECT count(*) AS n_gold, count(label) AS n_judged, count(*) FILTER (WHERE state = 'parse_failed') AS parse_failed, count(*) FILTER (WHERE state = 'net_failed') AS net_failed, count(*) FILTER (WHERE state = 'blocked') AS l0_blocked,
+COUNTED = f""", c AS (SELECT *, {DEFECT.format('truth')} AS t, {DEFECT.format('label')} AS p, truth IN ('平路', '遮挡/无法判定') AS quiet, label IN ('坑洼','减速带','井盖','设计接缝','粗糙路面','纵向裂缝','横向裂缝','龟裂') AS spec FROM k)"""
+SUMS = """count(*) AS n_gold, count(label) AS n_judged, count(*) FILTER (WHERE state = 'parse_failed') AS parse_failed, count(*) FILTER (WHERE state = 'net_failed') AS net_failed, count(*) FILTER (WHERE state = 'blocked') AS l0_blocked,
  count(label) FILTER (WHERE truth <> '遮挡/无法判定') AS an, count(*) FILTER (WHERE truth <> '遮挡/无法判定' AND label = truth) AS ah, count(label) FILTER (WHERE quiet) AS hn, count(label) FILTER (WHERE quiet AND spec) AS hh, count(*) FILTER (WHERE label = '遮挡/无法判定') AS un,
  count(label) FILTER (WHERE t = p) AS bh, count(label) FILTER (WHERE t AND NOT p) AS missed_defect, count(label) FILTER (WHERE NOT t AND p) AS false_defect, count(label) FILTER (WHERE t AND p) AS tp, count(*) FILTER (WHERE truth <> '遮挡/无法判定') AS bn,
- count(*) FILTER (WHERE truth <> '遮挡/无法判定' AND list_contains(cand, truth)) AS bah, count(*) FILTER (WHERE quiet) AS bhn, count(*) FILTER (WHERE quiet AND len(list_intersect(cand, ['坑洼','减速带','井盖','设计接缝','粗糙路面','纵向裂缝','横向裂缝','龟裂'])) > 0 AND NOT list_contains(cand, '平路')) AS bhh FROM c)
-SELECT n_gold, n_judged, parse_failed, net_failed, l0_blocked, round(100.0 * (n_gold - parse_failed - net_failed) / n_gold, 1) AS json_compliance, round(100.0 * ah / an, 1) AS agreement, round(100.0 * hh / hn, 1) AS hallucination, round(100.0 * un / n_judged, 1) AS unable_rate, round(100.0 * bh / n_judged, 1) AS binary_agreement,
-missed_defect, false_defect, round(100.0 * tp / (tp + missed_defect), 1) AS defect_recall, round(100.0 * tp / (tp + false_defect), 1) AS defect_precision, round(100.0 * bah / bn, 1) AS baseline_agreement, round(100.0 * bhh / bhn, 1) AS baseline_hallucination FROM n""")
+ count(*) FILTER (WHERE truth <> '遮挡/无法判定' AND list_contains(cand, truth)) AS bah, count(*) FILTER (WHERE quiet) AS bhn, count(*) FILTER (WHERE quiet AND len(list_intersect(cand, ['坑洼','减速带','井盖','设计接缝','粗糙路面','纵向裂缝','横向裂缝','龟裂'])) > 0 AND NOT list_contains(cand, '平路')) AS bhh"""
+RATES = """n_gold, n_judged, parse_failed, net_failed, l0_blocked, round(100.0 * (n_gold - parse_failed - net_failed) / n_gold, 1) AS json_compliance, round(100.0 * ah / an, 1) AS agreement, round(100.0 * hh / hn, 1) AS hallucination, round(100.0 * un / n_judged, 1) AS unable_rate, round(100.0 * bh / n_judged, 1) AS binary_agreement,
+missed_defect, false_defect, round(100.0 * tp / (tp + missed_defect), 1) AS defect_recall, round(100.0 * tp / (tp + false_defect), 1) AS defect_precision, round(100.0 * bah / bn, 1) AS baseline_agreement, round(100.0 * bhh / bhn, 1) AS baseline_hallucination"""
+
+
+@query(JUDGED + COUNTED + f", n AS (SELECT {SUMS} FROM c) SELECT {RATES} FROM n")
 def eval_metrics(spark, d):
     return evaluate.metrics(*_judged(spark, d))
 
 
+# three models' reviews of the same events; the third has seen half of them
+MODELS = LABELLED + JUDGED[len(LABELLED):].split(", v AS (")[0] + """, v AS (SELECT (['base','agent','third'])[k + 1] AS model, event_id, (['llm','llm','l0_blocked','net_failed','parse_failed','llm','llm','llm'])[CAST((event_id + k) % 8 + 1 AS INT)] AS source,
+(['平路','坑洼','纵向裂缝','粗糙路面','井盖','标线','减速带'])[CAST((event_id + k * (event_id % 3)) % 7 + 1 AS INT)] AS visual_label FROM l, (SELECT unnest([0, 1, 2]) AS k) WHERE event_id % 9 > 0 AND (k < 2 OR event_id % 2 = 0)),
+g AS (""" + JUDGED.split("g AS (")[1].split("FROM l),")[0] + """FROM l),
+j AS (SELECT m.model, g.*, CASE WHEN v.event_id IS NULL THEN 'missing' WHEN source IN ('parse_failed', 'net_failed') THEN source WHEN source = 'l0_blocked' THEN 'blocked' ELSE 'judged' END AS state, visual_label FROM g CROSS JOIN (SELECT DISTINCT model FROM v) m LEFT JOIN v ON v.event_id = g.event_id AND v.model = m.model),
+k AS (""" + JUDGED.split("k AS (")[1]
+
+
+def _models(spark, d):
+    i, k = F.col("event_id"), F.col("k")
+    gold, _ = _judged(spark, d)
+    seen = gold.select("event_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")).filter("event_id % 9 > 0 and (k < 2 or event_id % 2 = 0)")
+    return gold, seen.select(a.pick(k, ("base", "agent", "third")).alias("model"), "event_id", a.pick(i + k, ("llm", "llm", "l0_blocked", "net_failed", "parse_failed", "llm", "llm", "llm")).alias("source"), a.pick(i + k * (i % 3), (v.FLAT, v.POTHOLE, v.LONGITUDINAL, v.ROUGH, v.MANHOLE, v.MARKING, v.BUMP)).alias("visual_label"))
+
+
+RATED = MODELS + COUNTED + f", n AS (SELECT model, {SUMS} FROM c GROUP BY model), r AS (SELECT model, {RATES} FROM n)"
+
+
+@query(RATED + """, e AS (SELECT model, truth AS t, label AS p, count(*) AS n FROM k WHERE label IS NOT NULL GROUP BY ALL), ls AS (SELECT model, unnest(x) AS x FROM (SELECT model, list_distinct(list_concat(list(t), list(p))) AS x FROM e GROUP BY model)),
+w AS (SELECT a.model, a.x AS t, concat('| **', a.x, '** | ', string_agg(CAST(coalesce(e.n, 0) AS VARCHAR), ' | ' ORDER BY b.x), ' |') AS w FROM ls a JOIN ls b ON a.model = b.model LEFT JOIN e ON e.model = a.model AND e.t = a.x AND e.p = b.x GROUP BY a.model, a.x),
+m AS (SELECT model, concat('| | ', string_agg(t, ' | ' ORDER BY t), ' |', chr(10), '|', repeat('---|', CAST(count(*) + 1 AS INT)), chr(10), string_agg(w, chr(10) ORDER BY t)) AS matrix FROM w GROUP BY model),
+o AS (SELECT model, concat('| ', model, ' | ', array_to_string([coalesce(CAST(x AS VARCHAR), '—') FOR x IN [json_compliance, agreement, hallucination, unable_rate, binary_agreement, defect_recall, defect_precision]], ' | '), ' | ', array_to_string([missed_defect, false_defect, parse_failed, net_failed], ' | '), ' |') AS line,
+concat('一致率≥75%', CASE WHEN agreement >= 75 THEN ' ✅' ELSE ' ❌' END, '；幻觉率≤10%', CASE WHEN hallucination <= 10 THEN ' ✅' ELSE ' ❌' END, '；JSON合规≥95%', CASE WHEN json_compliance >= 95 THEN ' ✅' ELSE ' ❌' END) AS gates, concat('基线：一致率 ', coalesce(CAST(baseline_agreement AS VARCHAR), '—'), '%、幻觉率 ', coalesce(CAST(baseline_hallucination AS VARCHAR), '—'), '%') AS base FROM r)
+SELECT model, line, matrix, gates, concat('### ', model, chr(10), chr(10), line, chr(10), chr(10), base, chr(10), chr(10), matrix, chr(10), chr(10), '门槛判定：', gates) AS text FROM o JOIN m USING (model)""")
+def evaluation_report(spark, d):
+    return evaluate.report(*_models(spark, d))
+
+
+@query(RATED + f""", q AS (SELECT model, count(*) FILTER (WHERE {DEFECT.format('label')}) AS flagged, count(*) FILTER (WHERE {DEFECT.format('label')} AND {DEFECT.format('truth')}) AS captured FROM k GROUP BY model),
+z AS (SELECT max(defect_recall) FILTER (WHERE model = 'base') AS base_recall, max(round(flagged / captured, 2)) FILTER (WHERE model = 'base') AS base_cost, max(defect_recall) FILTER (WHERE model = 'agent') AS agent_recall, max(round(flagged / captured, 2)) FILTER (WHERE model = 'agent') AS agent_cost FROM r JOIN q USING (model))
+SELECT *, CASE WHEN agent_recall > base_recall THEN CASE WHEN agent_cost <= 3.4 THEN 'effective' ELSE 'frontier' END WHEN agent_recall <= base_recall THEN 'none' ELSE 'incomplete' END AS verdict FROM z""")
+def agent_gain(spark, d):
+    return evaluate.gain(*_models(spark, d), "base", "agent")
+
+
 @query(JUDGED + " SELECT truth AS truth_label, label, count(*) AS n FROM k WHERE label IS NOT NULL GROUP BY ALL")
 def confusion(spark, d):
     return evaluate.confusion(evaluate.judged(*_judged(spark, d)))
@@ -589,3 +632,18 @@ def vision_json(spark, d):
     docs = w.groupBy("pack_id").agg(F.to_json(F.struct(F.collect_list(e).alias("events"))).alias("body"))
     r = files.load_vision(docs)
     return r.select("pack_id", "id", "label", rnd(F.col("conf")).alias("conf"), "why", F.col("frames").cast("bigint").alias("frames"), "source", rnd(F.col("lat")).alias("lat"), "t_ms")
+
+
+@query(I + " SELECT pack_id, final_type, CAST(grouping(pack_id) + grouping(final_type) AS INTEGER) AS level, count(*) AS events, round(max(peak), 6) AS max_peak, round(avg(duration), 6) AS mean_duration FROM imu GROUP BY ROLLUP (pack_id, final_type)")
+def event_rollup(spark, d):
+    """Totals of each pack and type, each pack, and all."""
+    r = rollup.rolled_up(a.imu_events(spark, d), ["pack_id", "final_type"])
+    return r.select("pack_id", "final_type", "level", "events", rnd(F.col("max_peak")).alias("max_peak"), rnd(F.col("mean_duration")).alias("mean_duration"))
+
+
+@query(I + """ SELECT label, final_type, array_to_string(list_filter([CASE WHEN grouping(label) = 1 THEN 'label' END, CASE WHEN grouping(final_type) = 1 THEN 'final_type' END], lambda x: x IS NOT NULL), ',') AS over, count(*) AS events, round(max(peak), 6) AS max_peak, round(avg(duration), 6) AS mean_duration
+FROM imu GROUP BY CUBE (label, final_type)""")
+def event_cube(spark, d):
+    """Totals of every combination of label and type."""
+    c = rollup.cubed(a.imu_events(spark, d), ["label", "final_type"])
+    return c.select("label", "final_type", F.array_join("over", ",").alias("over"), "events", rnd(F.col("max_peak")).alias("max_peak"), rnd(F.col("mean_duration")).alias("mean_duration"))

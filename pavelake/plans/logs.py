@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import vocab as v
 from ..functions.scalar import gsd_mm, rnd
-from ..operators import joins, logs, screening, spectral
+from ..operators import joins, judging, logs, screening, spectral
 from ..operators import timeseries as ts
+from ..operators.graph import shared_folder
 from ..sources import adapters as a
 from ..sources import files
 from .events import I, ROUNDS, _rounds
@@ -48,12 +51,13 @@ def log_problems(spark, d):
     return logs.problems(r, i.select("pack_id", F.col("id").alias("event_id")))
 
 
-@query(I + """, e AS (SELECT pack_id, id, (['0','1',''])[CAST(id % 3 + 1 AS INT)] AS low FROM imu), r AS (SELECT id, id % 4 = 0 AS attention, id % 5 > 0 AS agree FROM imu WHERE id % 6 > 0)
-SELECT pack_id, count(*) AS events, count(*) FILTER (WHERE r.id IS NULL) AS unreviewed, count(*) FILTER (WHERE attention) AS attention, count(*) FILTER (WHERE NOT agree) AS disagree, count(*) FILTER (WHERE low = '1') AS low_speed, count(*) FILTER (WHERE low NOT IN ('0', '1')) AS low_speed_unknown FROM e LEFT JOIN r USING (id) GROUP BY pack_id""")
+@query(I + """, e AS (SELECT pack_id, id, (['0','1',''])[CAST(id % 3 + 1 AS INT)] AS low FROM imu), r AS (SELECT pack_id + CASE WHEN id % 6 = 1 THEN 1 ELSE 0 END AS pack_id, id, id % 4 = 0 AS attention, id % 5 > 0 AS agree FROM imu WHERE id % 6 > 0)
+SELECT pack_id, count(*) AS events, count(*) FILTER (WHERE r.id IS NULL) AS unreviewed, count(*) FILTER (WHERE attention) AS attention, count(*) FILTER (WHERE NOT agree) AS disagree, count(*) FILTER (WHERE low = '1') AS low_speed, count(*) FILTER (WHERE low NOT IN ('0', '1')) AS low_speed_unknown FROM e LEFT JOIN r USING (pack_id, id) GROUP BY pack_id""")
 def pack_summary(spark, d):
     i = a.imu_events(spark, d).withColumnRenamed("id", "event_id")
     e = i.select("pack_id", "event_id", a.pick(F.col("event_id"), ("0", "1", "")).alias("low_speed"))
-    r = i.filter("event_id % 6 > 0").select("event_id", (F.col("event_id") % 4 == 0).alias("attention"), (F.col("event_id") % 5 > 0).alias("agree"))
+    other = (F.col("event_id") % 6 == 1).cast("int")  # reviews of another pack's event of that id
+    r = i.filter("event_id % 6 > 0").select((F.col("pack_id") + other).alias("pack_id"), "event_id", (F.col("event_id") % 4 == 0).alias("attention"), (F.col("event_id") % 5 > 0).alias("agree"))
     return logs.summarize(e, r, ["pack_id"])
 
 
@@ -75,11 +79,13 @@ def ground_sampling(spark, d):
     return a.table(spark, d, "embeddings").select("vec_id", rnd(gsd_mm(500.0 + F.col("label") * 250)).alias("gsd"))
 
 
-@query("WITH r AS (SELECT item_id // 2 AS event_id, CASE WHEN item_id % 5 = 0 THEN 'other' ELSE 'llm' END AS generated, CASE WHEN item_id % 7 = 0 THEN ' ' ELSE text END AS why FROM benchmark), c AS (SELECT *, count(*) OVER (PARTITION BY event_id) AS n FROM r) SELECT event_id, unnest(list_filter([CASE WHEN generated NOT IN ('llm', 'human_example') THEN 'bad_origin' END, CASE WHEN trim(coalesce(why, '')) = '' THEN 'blank_text' END, CASE WHEN n > 1 THEN 'repeated_id' END], lambda q: q IS NOT NULL)) AS problem FROM c")
+@query("""WITH r AS (SELECT item_id // 2 AS event_id, CASE WHEN item_id % 5 = 0 THEN 'other' ELSE 'llm' END AS generated, CASE WHEN item_id % 7 = 0 THEN ' ' ELSE text END AS why, CASE WHEN item_id % 11 > 0 THEN 'review.v0' END AS schema, item_id % 3 AS pack_id FROM benchmark), k AS (SELECT DISTINCT item_id % 3 AS pack_id, item_id // 2 AS event_id FROM benchmark WHERE item_id % 4 > 0),
+c AS (SELECT r.*, count(*) OVER (PARTITION BY r.event_id) AS n, k.event_id IS NULL AS lost FROM r LEFT JOIN k ON k.pack_id = r.pack_id AND k.event_id = r.event_id) SELECT event_id, unnest(list_filter([CASE WHEN generated NOT IN ('llm', 'human_example') THEN 'bad_origin' END, CASE WHEN trim(coalesce(why, '')) = '' THEN 'blank_text' END, CASE WHEN n > 1 THEN 'repeated_id' END, CASE WHEN schema IS NULL THEN 'other_schema' END, CASE WHEN lost THEN 'unknown_event' END], lambda q: q IS NOT NULL)) AS problem FROM c""")
 def schema_validation(spark, d):
     i = F.col("item_id")
-    r = a.table(spark, d, "benchmark").select(F.floor(i / 2).alias("event_id"), F.when(i % 5 == 0, "other").otherwise("llm").alias("generated"), F.when(i % 7 == 0, " ").otherwise(F.col("text")).alias("why"))
-    return logs.schema_problems(r)
+    r = a.table(spark, d, "benchmark").select(F.floor(i / 2).alias("event_id"), F.when(i % 5 == 0, "other").otherwise("llm").alias("generated"), F.when(i % 7 == 0, " ").otherwise(F.col("text")).alias("why"), F.when(i % 11 > 0, "review.v0").alias("schema"), (i % 3).alias("pack_id"))
+    known = a.table(spark, d, "benchmark").filter("item_id % 4 > 0").select((i % 3).alias("pack_id"), F.floor(i / 2).alias("event_id"))
+    return logs.schema_problems(r, "review.v0", known)
 
 
 @query("SELECT doc_id, substr(sha256(coalesce(text, '')), 1, 16) AS digest FROM documents")
@@ -158,3 +164,39 @@ ld AS (SELECT *, coalesce(lead(below, 3) OVER (PARTITION BY pack_id, id ORDER BY
 SELECT id, min(ms) FILTER (WHERE below AND later) AS decay_ms FROM ld GROUP BY id""")
 def decay_time(spark, d):
     return screening.decay_ms(*_axes(spark, d)).select("id", "decay_ms")
+
+
+# the loop over recorded answers, told case by case: a first answer, evidence if the rules ask for it and there is any, a second answer
+ANSWERS = """WITH c AS (SELECT conv_id, length(max(text) FILTER (WHERE turn = 0)) AS n1, length(max(text) FILTER (WHERE turn = 1)) AS n2 FROM conversations GROUP BY conv_id),
+r AS (SELECT conv_id AS event_id, conv_id % 10 = 0 AS blocked, conv_id % 4 AS usable, conv_id % 5 % 3 AS spare, CASE conv_id % 3 WHEN 0 THEN 1.5 WHEN 1 THEN 9.0 END AS crest,
+(['坑洼','平路','纵向裂缝','粗糙路面','井盖'])[CAST(coalesce(n1, 0) % 5 + 1 AS INT)] AS l1, (['high','mid','low','high'])[CAST(coalesce(n1, 0) % 4 + 1 AS INT)] AS c1,
+(['坑洼','平路','纵向裂缝','粗糙路面','井盖'])[CAST(coalesce(n2, 0) % 5 + 1 AS INT)] AS l2, (['high','mid','low','high'])[CAST(coalesce(n2, 0) % 4 + 1 AS INT)] AS c2 FROM c),
+d AS (SELECT *, usable <= 1 AS r2, l1 IN ('坑洼','纵向裂缝','粗糙路面') AND coalesce(crest, 0) < 4 AS r3 FROM r),
+e AS (SELECT *, least(spare, CASE WHEN r2 THEN 3 ELSE 0 END + CASE WHEN r3 THEN 2 ELSE 0 END) AS got FROM d),
+f AS (SELECT *, CASE WHEN blocked THEN 'blocked' WHEN c1 = 'low' THEN 'escalated' WHEN NOT r2 AND NOT r3 THEN 'converged' WHEN got = 0 THEN 'no_new_evidence' WHEN r2 OR c2 = 'low' THEN 'escalated' ELSE 'converged' END AS final,
+CASE WHEN blocked THEN 0 WHEN c1 = 'low' OR NOT (r2 OR r3) OR got = 0 THEN 1 ELSE 2 END AS calls FROM e),
+g AS (SELECT *, CASE WHEN blocked THEN '遮挡/无法判定' WHEN calls = 2 THEN l2 ELSE l1 END AS label, usable + CASE WHEN calls = 2 THEN got ELSE 0 END AS seen FROM f)
+SELECT event_id, label AS visual_label, CASE WHEN blocked THEN 'high' WHEN final = 'escalated' THEN 'low' WHEN label NOT IN ('坑洼','纵向裂缝','粗糙路面') THEN CASE WHEN seen >= 2 THEN 'high' WHEN seen = 1 THEN 'mid' ELSE 'low' END
+WHEN crest >= 4 AND seen >= 2 THEN 'high' WHEN seen >= 2 AND NOT (final = 'no_new_evidence' AND r3) THEN 'mid' ELSE 'low' END AS confidence, CASE WHEN blocked THEN 'l0_blocked' ELSE 'llm' END AS source, final, calls FROM g"""
+
+
+def recorded(record):
+    """A model that gives a record's answers in turn."""
+    left = list(record["answers"])
+    return lambda request: left.pop(0) if len(left) > 1 else left[0]
+
+
+@query(ANSWERS)
+def judged_events(spark, d):
+    """The judging loop over recorded answers, written so that it can be resumed, and read back."""
+    text = lambda turn: F.length(F.max(F.when(F.col("turn") == turn, F.col("text"))))
+    c = a.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("event_id")).agg(text(0).alias("n1"), text(1).alias("n2"))
+    i = F.col("event_id")
+    answer = lambda n: F.to_json(F.struct(a.pick(F.coalesce(n, F.lit(0)), (v.POTHOLE, v.FLAT, v.LONGITUDINAL, v.ROUGH, v.MANHOLE)).alias("visual_label"), a.pick(F.coalesce(n, F.lit(0)), ("high", "mid", "low", "high")).alias("confidence"), F.lit("").alias("why")))
+    records = c.select(
+        "event_id", (i % 10 == 0).alias("blocked"), F.concat(F.lit("event "), i.cast("string")).alias("text"), F.array(F.lit("k")).alias("keyframes"), (i % 4).cast("int").alias("usable"),
+        F.slice(F.array(F.lit("x"), F.lit("y")), F.lit(1), (i % 5 % 3).cast("int")).alias("spare"), F.when(i % 3 == 0, 1.5).when(i % 3 == 1, 9.0).alias("crest"), F.array(answer(F.col("n1")), answer(F.col("n2"))).alias("answers"),
+    )
+    path = f"{shared_folder(spark).rstrip('/')}/reviews-{uuid.uuid4().hex}"
+    judging.judge_into(records, recorded, path, buckets=16).write.format("noop").mode("overwrite").save()
+    return judging.reviews(spark, path).select("event_id", "visual_label", "confidence", "source", "final", "calls")
