@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import table
+from .common import released, table
 
 CHUNK_WORDS = 128
 MOST_PIECES = 150_000
@@ -149,7 +149,13 @@ class Coder:
         return [self.pieces[p] if p in self.pieces else known[p] for p in pieces]
 
     def repair(self, rows: list[list[str]]) -> list[list[str]]:
-        """Merge chunks whose joins don't agree with encoding the pieces on both sides together."""
+        """Merge chunks whose joins don't agree with encoding the pieces on both sides together, until all do."""
+        while (merged := self.repaired(rows)) is not rows:
+            rows = merged
+        return rows
+
+    def repaired(self, rows: list[list[str]]) -> list[list[str]]:
+        """Rows with every chunk that disagrees with its neighbour merged with it; the rows themselves where none does."""
         held, side = self.chunks, {}
         for row in rows:
             for a, b in zip(row, row[1:]):
@@ -223,10 +229,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode(docs: DataFrame, tokenizer_path: str, chunk_words: int = CHUNK_WORDS, whole: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if whole, ids and decoded."""
+def encode(docs: DataFrame, tokenizer_path: str, chunk_words: int = CHUNK_WORDS, whole: bool = True, keep: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if whole, ids and decoded. Unless keep, a task's caches go with it, as other stages may use the worker."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * whole
-    return docs.select("doc_id", "text").mapInArrow(code(tokenizer_path, chunk_words, whole), schema)
+    return docs.select("doc_id", "text").mapInArrow(released(code(tokenizer_path, chunk_words, whole), None if keep else lambda: coder(tokenizer_path).forget()), schema)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +36,21 @@ def ship_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+def released(run: Callable, after: Callable | None = None) -> Callable:
+    """A task function that gives freed memory back to the system when it is done; workers live on, for other stages."""
+
+    def task(batches):
+        yield from run(batches)
+        if after:
+            after()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return task
+
+
 def row_mark(prefix: str = "") -> Column:
     """128 bits of doc_id and text, by which a row is found again."""
     i, t = F.col(f"{prefix}doc_id"), F.col(f"{prefix}text")

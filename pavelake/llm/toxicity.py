@@ -255,11 +255,12 @@ def signals_of(sample: Sample, use: np.ndarray, model: dict) -> np.ndarray:
     return doc_signals(p, np.repeat(np.arange(len(use)), np.diff(ptr)), len(use))
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES, folds: int = FOLDS) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES, folds: int = FOLDS, near_copies: bool = False) -> dict:
     """The field and the line that turns its signals into scores.
 
     The line is fitted to signals of documents by fields that have not seen them (`folds` parts, at every size), with
-    rows weighed by how many labelled rows they stand for.
+    rows weighed by how many labelled rows they stand for. Of labelled rows that share a minimum hash of three words one is learnt from,
+    unless `near_copies`; near copies of a toxic document make all its words look typical of toxic ones.
     """
     chosen, stands_for = labelled(docs, labels, column, most_rows, most_bytes, rare_first=True)
     rows = chosen.mapInArrow(features, "label int, key long, buckets binary").collect()
@@ -270,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", most_rows: in
     counts = {k: n * stands_for[k] for k, n in enumerate(np.bincount(y, minlength=2)) if n}
     share = counts.get(1, 0.0) / sum(counts.values()) if counts else 0.05
     none = {"weights": np.zeros(BUCKETS, np.float32), "bias": -8.0, "moves": np.zeros((2, 2)), "line": np.array([np.log(max(share, 1e-3) / max(1 - share, 1e-3)), 0.0, 0.0, 0.0])}
-    use = without_near_copies(found)
+    use = np.arange(len(found)) if near_copies else without_near_copies(found)
     found, y = [found[i] for i in use], y[use]
     if len(set(y.tolist())) < 2 or not sum(map(len, found)):
         return none
