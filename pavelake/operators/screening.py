@@ -126,6 +126,10 @@ def ranked(features: DataFrame, truth: Column, names: list[str]) -> DataFrame:
     return rank_auc(long, ["feature"], "score", "pos")
 
 
+#: fixed value: a peak within so many milliseconds of a true hit (not as many) has found it
+NEAR_MS = 600
+
+
 def grid(prepared: DataFrame, truths: DataFrame, fs: float = 100.0, ks: tuple[float, ...] = (3.0, 4.0, 5.0, 6.0)) -> DataFrame:
     """variant, k, recall, false_alarms: means over rides of peaks against true hits (within 0.6 s), for each way to find the floor.
 
@@ -148,10 +152,10 @@ def grid(prepared: DataFrame, truths: DataFrame, fs: float = 100.0, ks: tuple[fl
         return pd.DataFrame(out, columns=["pack_id", "variant", "k", "t_ms"])
 
     peaks = prepared.select("pack_id", "t_ms", "event_id", "bp_mag").groupBy("pack_id").applyInPandas(run, "pack_id long, variant string, k double, t_ms long")
-    near = (F.abs(F.col("t_ms") - F.col("true_ms")) < 600)
     pairs = truths.select("pack_id", F.col("t_ms").alias("true_ms"))
     settings = peaks.sparkSession.createDataFrame([(name, k) for name, *_ in floors for k in ks], "variant string, k double")
-    hits = peaks.join(pairs, "pack_id").filter(near).select("variant", "k", "pack_id", "true_ms").distinct().groupBy("variant", "k", "pack_id").agg(F.count(F.lit(1)).alias("hit"))
+    near = interval_join(pairs, peaks, ["pack_id"], "true_ms", F.col("t_ms") - NEAR_MS + 1, F.col("t_ms") + NEAR_MS - 1, 2 * NEAR_MS)
+    hits = near.select("variant", "k", "pack_id", "true_ms").distinct().groupBy("variant", "k", "pack_id").agg(F.count(F.lit(1)).alias("hit"))
     n = peaks.groupBy("variant", "k", "pack_id").agg(F.count(F.lit(1)).alias("n"))
     rides = settings.join(truths.groupBy("pack_id").agg(F.count(F.lit(1)).alias("true")), how="cross")  # 48 settings a ride
     all_ = rides.join(hits, ["variant", "k", "pack_id"], "left").join(n, ["variant", "k", "pack_id"], "left").fillna(0, ["hit", "n"])

@@ -29,9 +29,14 @@ def gaps(samples: DataFrame, gap_ms: int = 800) -> DataFrame:
 def source_rate(samples: DataFrame, fallback: float = 100.0) -> DataFrame:
     """Sampling rate from the median positive step, and from its upper-middle element."""
     stepped = samples.withColumn("dt", F.col("t_ms") - F.lag("t_ms").over(in_time()))
-    agg = stepped.groupBy(*PACK).agg(F.median(F.when(F.col("dt") > 0, F.col("dt"))).alias("dt"), F.sort_array(F.collect_list(F.when(F.col("dt") > 0, F.col("dt")))).alias("steps"))
-    upper = F.get("steps", F.floor(F.size("steps") / 2).cast("int"))
-    return agg.select(*PACK, F.coalesce(1000.0 / F.col("dt"), F.lit(fallback)).alias("fs"), F.coalesce(1000.0 / upper, F.lit(fallback)).alias("fs_upper"))
+    # a row for each length of step, however many steps there are
+    counts = stepped.filter("dt > 0").groupBy(*PACK, "dt").agg(F.count(F.lit(1)).alias("c"))
+    by = Window.partitionBy(*PACK)
+    ranked = counts.withColumns({"upto": F.sum("c").over(by.orderBy("dt").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "n": F.sum("c").over(by)})
+    at = lambda k: F.min(F.when(F.col("upto") > F.floor(k), F.col("dt")))
+    found = ranked.groupBy(*PACK).agg(at((F.col("n") - 1) / 2).alias("lower"), at(F.col("n") / 2).alias("upper"))
+    rates = samples.select(*PACK).distinct().join(found, PACK, "left")
+    return rates.select(*PACK, F.coalesce(2000.0 / (F.col("lower") + F.col("upper")), F.lit(fallback)).alias("fs"), F.coalesce(1000.0 / F.col("upper"), F.lit(fallback)).alias("fs_upper"))
 
 
 def rolling_rms(x: str = "hp", ms: int = v.RMS_MS) -> Column:

@@ -246,14 +246,15 @@ def image_features(spark, d):
 
 
 def _bgr(spark, d):
-    """4 x 4 pixels of three colours from the first 48 values of a vector."""
-    px = F.transform(F.slice("embedding", 1, 48), lambda x: F.greatest(F.least(F.round(x.cast("double") * 200 + 128), F.lit(255.0)), F.lit(0.0)).cast("int"))
+    """8 x 8 pixels of three colours from all values of a vector, each colour beginning at another one."""
+    at = lambda i: F.element_at("embedding", ((F.floor(i / 3) + i % 3 * 21) % 64 + 1).cast("int"))
+    px = F.transform(F.sequence(F.lit(0), F.lit(191)), lambda i: F.greatest(F.least(F.round(at(i).cast("double") * 200 + 128), F.lit(255.0)), F.lit(0.0)).cast("int"))
     data = F.unhex(F.array_join(F.transform(px, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
-    return a.table(spark, d, "embeddings").select("vec_id", F.lit(4).alias("height"), F.lit(4).alias("width"), data.alias("data"))
+    return a.table(spark, d, "embeddings").select("vec_id", F.lit(8).alias("height"), F.lit(8).alias("width"), data.alias("data"))
 
 
-@query("""WITH p AS (SELECT vec_id, list_transform(embedding[1:48], lambda x: greatest(least(round(CAST(x AS DOUBLE) * 200 + 128), 255), 0)) AS px FROM embeddings),
-c AS (SELECT vec_id, cy, cx, ch, floor((px[(2 * cy * 4 + 2 * cx) * 3 + ch] + px[(2 * cy * 4 + 2 * cx + 1) * 3 + ch] + px[((2 * cy + 1) * 4 + 2 * cx) * 3 + ch] + px[((2 * cy + 1) * 4 + 2 * cx + 1) * 3 + ch]) / 4 + 0.5) AS v FROM p, (SELECT unnest([0, 1]) AS cy), (SELECT unnest([0, 1]) AS cx), (SELECT unnest([1, 2, 3]) AS ch)),
+@query("""WITH p AS (SELECT vec_id, [greatest(least(round(CAST(embedding[(i // 3 + i % 3 * 21) % 64 + 1] AS DOUBLE) * 200 + 128), 255), 0) FOR i IN range(192)] AS px FROM embeddings),
+c AS (SELECT vec_id, cy, cx, ch, floor(list_sum([px[((cy * 4 + k // 4) * 8 + cx * 4 + k % 4) * 3 + ch] FOR k IN range(16)]) / 16 + 0.5) AS v FROM p, (SELECT unnest([0, 1]) AS cy), (SELECT unnest([0, 1]) AS cx), (SELECT unnest([1, 2, 3]) AS ch)),
 g AS (SELECT vec_id, cy, cx, max(v) FILTER (WHERE ch = 1) AS b, max(v) FILTER (WHERE ch = 2) AS g, max(v) FILTER (WHERE ch = 3) AS r FROM c GROUP BY ALL)
 SELECT vec_id, CAST(count(DISTINCT (r, g, b)) AS DOUBLE) AS uniq, round(stddev_pop(0.299 * r + 0.587 * g + 0.114 * b), 6) AS std, round(greatest(abs(avg(r) - avg(g)), abs(avg(g) - avg(b)), abs(avg(r) - avg(b))), 6) AS cast, round(avg(0.299 * r + 0.587 * g + 0.114 * b), 6) AS brightness FROM g GROUP BY vec_id""")
 def frame_selfcheck(spark, d):
@@ -604,11 +605,11 @@ def cluster_geojson(spark, d):
 
 
 @query(IV + """, f AS (SELECT id, pack_id, t_ms, concat('sweep_t', t_ms, '_', id) AS file, vision_label AS label, vision_conf AS conf, CASE vision_label WHEN '坑洼' THEN 5 WHEN '裂缝' THEN 4 WHEN '粗糙路面' THEN 3 WHEN '井盖' THEN 2 WHEN '标线' THEN 1 ELSE 0 END AS rank FROM vision),
-s AS (SELECT pack_id, t_ms, event_id AS row, lat, lon, speed * 3.6 AS speed_kmh FROM samples WHERE event_id % 2 = 0), m AS (SELECT pack_id, t_ms, arg_max(lat, row) AS lat, arg_max(lon, row) AS lon, arg_max(speed_kmh, row) AS speed_kmh FROM s GROUP BY ALL)
+s AS (SELECT pack_id, t_ms + event_id % 2 AS t_ms, event_id AS row, lat, lon, speed * 3.6 AS speed_kmh FROM samples), m AS (SELECT pack_id, t_ms, arg_max(lat, row) AS lat, arg_max(lon, row) AS lon, arg_max(speed_kmh, row) AS speed_kmh FROM s GROUP BY ALL)
 SELECT f.pack_id, -row_number() OVER (PARTITION BY f.pack_id ORDER BY file) AS id, f.t_ms, round(lat, 6) AS lat, round(lon, 6) AS lon, round(speed_kmh, 6) AS speed_kmh, label AS vision_label, round(conf, 3) AS vision_conf, file AS vision_driver_frame FROM f LEFT JOIN m ON m.pack_id = f.pack_id AND m.t_ms = f.t_ms WHERE rank >= 2""")
 def sweep_findings(spark, d):
     f = a.vision(spark, d).select("pack_id", "t_ms", F.concat(F.lit("sweep_t"), F.col("t_ms").cast("string"), F.lit("_"), F.col("id").cast("string")).alias("file"), F.col("vision_label").alias("label"), F.col("vision_conf").alias("conf"), F.col("vision_why").alias("why"))
-    s = a.samples(spark, d).filter("event_id % 2 = 0").select("pack_id", "t_ms", F.col("event_id").alias("row"), "lat", "lon", (F.col("speed") * 3.6).alias("speed_kmh"))
+    s = a.samples(spark, d).select("pack_id", (F.col("t_ms") + F.col("event_id") % 2).alias("t_ms"), F.col("event_id").alias("row"), "lat", "lon", (F.col("speed") * 3.6).alias("speed_kmh"))
     found = joins.sweep_findings(f, s, judge.severity_rank(F.col("label")))
     return found.select("pack_id", F.col("id").cast("bigint").alias("id"), "t_ms", rnd(F.col("lat")).alias("lat"), rnd(F.col("lon")).alias("lon"), rnd(F.col("speed_kmh")).alias("speed_kmh"), "vision_label", "vision_conf", "vision_driver_frame")
 

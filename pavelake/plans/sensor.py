@@ -193,13 +193,13 @@ def trapezoid_distance(spark, d):
     return spatial.distance_m(a.samples(spark, d)).select("pack_id", rnd(F.col("metres")).alias("metres"))
 
 
-@query(S + """, g AS (SELECT pack_id, t_ms - lag(t_ms) OVER w AS dt, (speed + lag(speed) OVER w) / 2 AS v FROM samples WHERE pack_id % 3 > 0 WINDOW w AS (PARTITION BY pack_id ORDER BY t_ms, event_id)), m AS (SELECT DISTINCT pack_id, pack_id * 10.0 AS d FROM samples WHERE pack_id % 4 > 0)
+@query(S + """, n AS (SELECT * REPLACE (CASE WHEN pack_id % 3 > 0 THEN speed END AS speed) FROM samples), g AS (SELECT pack_id, t_ms - lag(t_ms) OVER w AS dt, (speed + lag(speed) OVER w) / 2 AS v FROM n WINDOW w AS (PARTITION BY pack_id ORDER BY t_ms, event_id)), m AS (SELECT DISTINCT pack_id, pack_id * 10.0 AS d FROM samples WHERE pack_id % 4 > 0)
 SELECT g.pack_id, round(coalesce(sum(CASE WHEN dt > 0 AND dt <= 20 THEN v * dt / 1000 END), any_value(m.d), 0), 6) AS metres FROM g LEFT JOIN m ON m.pack_id = g.pack_id GROUP BY g.pack_id""")
 def distance_fallback(spark, d):
-    """Steps above 20 ms count nothing here, so that some recordings fall back to their metadata."""
+    """Steps above 20 ms count nothing here, and a third of the recordings has no speed, so that some fall back to their metadata."""
     s = a.samples(spark, d)
-    meta = s.filter("pack_id % 4 > 0").select("pack_id").distinct().withColumn("distance_m", F.col("pack_id") * 10.0)
-    return spatial.distance_m(s.filter("pack_id % 3 > 0"), 20, meta).select("pack_id", rnd(F.col("metres")).alias("metres"))
+    meta = s.select("pack_id").distinct().filter("pack_id % 4 > 0").withColumn("distance_m", F.col("pack_id") * 10.0)
+    return spatial.distance_m(s.withColumn("speed", F.when(F.col("pack_id") % 3 > 0, F.col("speed"))), 20, meta).select("pack_id", rnd(F.col("metres")).alias("metres"))
 
 
 @query(S + """, g AS (SELECT pack_id, t_ms, label_raw, t_ms - lag(t_ms) OVER (PARTITION BY pack_id ORDER BY t_ms, event_id) AS dt FROM samples), l AS (SELECT pack_id, list_sort(list(dt) FILTER (WHERE dt > 0)) AS steps FROM g GROUP BY pack_id)
