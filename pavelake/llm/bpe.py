@@ -17,6 +17,7 @@ token in a text becomes its id, as in the library; an empty table gives an empty
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 
 import numpy as np
@@ -89,6 +90,7 @@ class Coder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run beside each other already; its threads would each keep memory
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()

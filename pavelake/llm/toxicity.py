@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import table
+from .common import released, table
 from .learn import held_out, labelled, logistic, sigmoid
 
 BUCKETS = 1 << 20
@@ -63,6 +63,10 @@ def token_features(s: tokens.Slice) -> np.ndarray:
     return out
 
 
+#: Text whose tokens are worked on together; a token takes some 300 bytes in between.
+SLICE_BYTES = 256 << 10
+
+
 def features(batches):
     """mapInArrow over label, text, key: the token buckets of each row as bytes."""
     for batch in batches:
@@ -314,7 +318,7 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
         m = spread.value
         for batch in batches:
             scores, spans = [], []
-            for s in tokens.slices(batch.column(2)):
+            for s in tokens.slices(batch.column(2), slice_bytes=SLICE_BYTES):
                 p = token_marginals(token_features(s), s.ptr, m)
                 scores.append(sigmoid(doc_signals(p, s.row_of_word(), s.rows) @ m["line"]))
                 own = [[] for _ in range(s.rows)]
@@ -342,12 +346,11 @@ def clean_documents(docs: DataFrame, model: dict, threshold: float = THRESHOLD)
         m = spread.value
         for batch in batches:
             at = batch.schema.names.index("text")
-            for s in tokens.slices(batch.column(at)):
+            for s in tokens.slices(batch.column(at), slice_bytes=SLICE_BYTES):
                 scores = sigmoid(doc_signals(token_marginals(token_features(s), s.ptr, m), s.row_of_word(), s.rows) @ m["line"])
                 yield batch.slice(s.first, s.rows).filter(pa.array(scores < threshold))
-        pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def row_begins(texts, s: tokens.Slice) -> list[int]:
