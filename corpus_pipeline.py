@@ -21,43 +21,34 @@ from pavelake.operators.graph import shared_folder
 NEAR = 80
 
 
-#: Documents are long, so Python stages get fewer rows at a time than Spark's default of 10 000.
-ROWS_AT_ONCE = "1000"
-
-
-def prepare(spark: SparkSession) -> None:
-    ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go. Labels are learnt from this stage's own documents."""
-    prepare(spark)
+    ship_package(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.clean_documents(docs, model)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    prepare(spark)
+    ship_package(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (similarity 0.8 or more) stays."""
-    prepare(spark)
+    ship_package(spark)
     return near_dedup.keep_one(docs, NEAR)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them."""
-    prepare(spark)
+    ship_package(spark)
     return mixing.mixed_documents(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts, a row for each document of the mixture."""
-    prepare(spark)
+    ship_package(spark)
     return bpe.encode(docs, bpe.default_tokenizer(), whole=False, keep=False)
 
 
