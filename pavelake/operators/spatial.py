@@ -106,8 +106,13 @@ def cluster_features(clustered: DataFrame, digits: tuple[int, int, int] = (7, 2,
 
 
 def first_within(points: DataFrame, targets: DataFrame, metres: float) -> DataFrame:
-    """id, target: the first target (by id) within `metres`; great-circle distance, cell join."""
-    t = cells(targets.select(F.col("id").alias("target"), "lat", "lon"), metres).select("target", F.col("lat").alias("tlat"), F.col("lon").alias("tlon"), "cx", "cy")
-    p = around(cells(points.select("id", "lat", "lon"), metres))
+    """id, target: the first target (by id) within `metres`; great-circle distance, cell join.
+
+    Both sides are merged by exact position first, so repeated passes over a spot don't multiply pairs.
+    """
+    first = targets.groupBy("lat", "lon").agg(F.min("id").alias("target"))
+    t = cells(first, metres).select("target", F.col("lat").alias("tlat"), F.col("lon").alias("tlon"), "cx", "cy")
+    spots = points.filter("lat is not null and lon is not null").select("lat", "lon").distinct()
     near = haversine_m(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon")) <= metres
-    return p.join(t, ["cx", "cy"]).filter(near).groupBy("id").agg(F.min("target").alias("target"))
+    found = around(cells(spots, metres)).join(t, ["cx", "cy"]).filter(near).groupBy("lat", "lon").agg(F.min("target").alias("target"))
+    return points.select("id", "lat", "lon").join(found, ["lat", "lon"]).groupBy("id").agg(F.min("target").alias("target"))
