@@ -50,7 +50,8 @@ def event_features(samples: DataFrame, events: DataFrame) -> DataFrame:
     after = (F.col("ts") >= t1 + 300) & (F.col("ts") <= t1 + 900)
     agg = near.groupBy("pack_id", "id", "t0_ms", "duration_ms", "peak").agg(
         F.min(F.when(inside, F.col("vz"))).alias("vz_min"), F.max(F.when(inside, F.col("vz"))).alias("vz_max"),
-        F.percentile(F.abs("hp"), F.lit(v.NOISE_QUANTILE)).alias("q"), F.avg(F.when(after, F.col("hp"))).alias("post"),
+        # without the last digits, which depend on the order of the sum and would decide on tiers and roundings
+        F.round(F.percentile(F.abs("hp"), F.lit(v.NOISE_QUANTILE)), 12).alias("q"), F.round(F.avg(F.when(after, F.col("hp"))), 12).alias("post"),
     )
     floor = F.greatest(F.col("q"), F.lit(v.NOISE_FLOOR))
     ratio = F.when(F.col("peak") > 1e-9, F.col("post") / F.col("peak"))

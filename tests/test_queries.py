@@ -47,6 +47,22 @@ def test_geojson_gathers_nothing(spark):
     assert "collect_list" not in QUERIES["geojson_features"](spark, SF)._jdf.queryExecution().toString()
 
 
+def beside(spark, folder, name, events):
+    """A query and its SQL over a few events: (event_id, t_ms, user_id, event_type, value)."""
+    rows = ", ".join(f"({i}, TIMESTAMP '2024-01-01' + to_milliseconds({t * 155000}), {u}, '{kind}', {x}::DOUBLE)" for i, t, u, kind, x in events)
+    c = duckdb.connect()
+    c.sql(f"copy (select i::BIGINT as event_id, t as ts, u::BIGINT as user_id, kind as event_type, x as value, '' as props from (values {rows}) v(i, t, u, kind, x)) to '{folder}/events.parquet' (format parquet)")
+    c.sql(f"create view events as select * from read_parquet('{folder}/events.parquet')")
+    return QUERIES[name](spark, str(folder)).toPandas(), c.sql(ORACLES[name]).df()
+
+
+@pytest.mark.parametrize("name", ["feature_block", "feature_block_digest"])
+def test_ratio_halfway_between_printed_ones(spark, tmp_path, name):
+    got, want = beside(spark, tmp_path, name, [(90, 0, 1, "error", 40.0), (92, 500, 1, "view", 2.5)])  # 0.125 / 2
+    assert rows(got) == rows(want)
+    assert name != "feature_block" or "比值 0.063" in got["block"][0]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
