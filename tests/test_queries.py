@@ -63,6 +63,13 @@ def test_ratio_halfway_between_printed_ones(spark, tmp_path, name):
     assert name != "feature_block" or "比值 0.063" in got["block"][0]
 
 
+@pytest.mark.parametrize("name, column", [("ema_fold", "ema"), ("linear_resample", "hp"), ("pack_samples", "hp"), ("asof_hold", "hp"), ("recording_ema", "ema")])
+def test_zero_has_no_sign(spark, tmp_path, name, column):
+    got, want = beside(spark, tmp_path, name, [(1, 0, 1, "view", 0.0), (3, 500, 1, "view", 0.0), (4, 900, 1, "view", 2.0)])
+    assert rows(got) == rows(want)
+    assert not np.signbit(want[column].to_numpy(float)).any() and not np.signbit(got[column].to_numpy(float)).any()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
