@@ -70,6 +70,10 @@ def test_zero_has_no_sign(spark, tmp_path, name, column):
     assert not np.signbit(want[column].to_numpy(float)).any() and not np.signbit(got[column].to_numpy(float)).any()
 
 
+def test_control_of_one_recording_sums_by_time(spark):
+    assert "__squares" in QUERIES["qc_recording"](spark, SF)._jdf.queryExecution().toString()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
