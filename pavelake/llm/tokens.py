@@ -114,8 +114,9 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def slices(texts: pa.Array, separators: np.ndarray = _SPACE, slice_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
+def slices(texts: pa.Array, separators: np.ndarray = _SPACE, slice_bytes: int | None = None) -> Iterator[Slice]:
     """The rows of a string column, cut into words at bytes that `separators` marks; null counts as empty."""
+    slice_bytes = slice_bytes or SLICE_BYTES
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:

@@ -58,3 +58,18 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rounds_of_components_have_as_many_tasks_as_edges_fill(spark):
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        found = components(spark.range(200).selectExpr("id a", "id + 1 b"))
+        # the edges themselves and the distinct roots, which alone are dealt anew
+        assert found.rdd.getNumPartitions() <= 1 + 64
+        assert {r.root for r in found.collect()} == {0} and found.count() == 201
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
