@@ -17,9 +17,7 @@ DIGITS = {"energy_low": 4, "energy_high": 4}
 
 def on_grid(samples: DataFrame, fs: float = FS) -> DataFrame:
     """Axes interpolated, position and speed held, on each pack's uniform grid. samples: pack_id, event_id, t_ms, ax, ay, az, lat, lon, speed."""
-    grid = ts.resample(samples, int(1000 / fs), ["ax", "ay", "az"])
-    held = samples.groupBy("pack_id", "t_ms").agg(F.max_by(F.struct("lat", "lon", "speed"), "event_id").alias("p")).select("pack_id", "t_ms", "p.*")
-    return ts.step_hold(grid, held, ["lat", "lon", "speed"])
+    return ts.resample(samples, int(1000 / fs), ["ax", "ay", "az"], ("lat", "lon", "speed"))
 
 
 def described(rows: DataFrame, keys: list[str], x: str, fs: float) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as v
 from .joins import interval_join
-from .spectral import find_peaks
+from .spectral import bases, find_peaks
 
 AXES = ("ax", "ay", "az", "gx", "gy", "gz")
 SHAPE = ("rise_ms", "decay_ms", "ringdown", "zc_rate", "hf_ratio", "centroid", "kurtosis", "spatial_m", "vz_impulse", "second_peak_ms")
@@ -139,6 +139,7 @@ def grid(prepared: DataFrame, truths: DataFrame, fs: float = 100.0, ks: tuple[fl
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x, t, out = pdf.sort_values(["t_ms", "event_id"])["bp_mag"].to_numpy(float), np.sort(pdf["t_ms"].to_numpy()), []
+        base = bases(x)
         for name, w, q in floors:
             n = max(8, int(w * fs))
             if q is None:
@@ -146,7 +147,7 @@ def grid(prepared: DataFrame, truths: DataFrame, fs: float = 100.0, ks: tuple[fl
             else:
                 floor = np.maximum(pd.Series(np.abs(x)).rolling(n, center=True, min_periods=max(4, n // 4)).quantile(q).bfill().ffill().fillna(0.0), v.NOISE_FLOOR).to_numpy()
             for k in ks:
-                p = find_peaks(x, np.maximum(v.MIN_THRESHOLD, k * floor), np.maximum(v.MIN_THRESHOLD / 2, k / 2 * floor), max(1, int(0.04 * fs)))
+                p = find_peaks(x, np.maximum(v.MIN_THRESHOLD, k * floor), np.maximum(v.MIN_THRESHOLD / 2, k / 2 * floor), max(1, int(0.04 * fs)), base)
                 kept = p[np.diff(p, prepend=-(10**9)) >= 0.3 * fs]
                 out += [(key[0], name, k, int(at)) for at in t[kept]]
         return pd.DataFrame(out, columns=["pack_id", "variant", "k", "t_ms"])

@@ -39,23 +39,49 @@ def butterworth_band(order: int, low: float, high: float, fs: float) -> list[tup
     return [(b / abs((b @ powers) / (a @ powers)), a) for b, a in out]
 
 
+STRETCH = 32
+
+
 def run_sections(sections, x: np.ndarray) -> np.ndarray:
-    """Filter from the steady state of the first value."""
-    values = x.tolist()
+    """Filter from the steady state of the first value; x: samples, or samples x signals.
+
+    Stretches of the signal are filtered side by side from rest. Then each gets what it owes to the state before it, which is
+    linear in its two numbers: STRETCH steps over arrays and one step a stretch, not a dozen for every sample.
+    """
+    n, y, length = len(x), x.reshape(len(x), -1).astype(float), STRETCH
+    many = -(-n // length)
     for b, a in sections:
         b0, b1, b2 = b.tolist()
         _, a1, a2 = a.tolist()
         gain = (b0 + b1 + b2) / (1.0 + a1 + a2)
-        z2 = (b2 - a2 * gain) * values[0]
-        z1 = (b1 - a1 * gain) * values[0] + z2
-        out = []
-        for value in values:
-            y = b0 * value + z1
-            z1 = b1 * value - a1 * y + z2
-            z2 = b2 * value - a2 * y
-            out.append(y)
-        values = out
-    return np.array(values)
+        # what a state of one in either number gives in a stretch, and what is left of it at the stretch's end
+        echo, left = np.empty((length, 2)), np.eye(2)
+        for i in range(length):
+            echo[i] = left[0]
+            left = np.stack([left[1] - a1 * left[0], -a2 * left[0]])
+        parts = np.zeros((many * length, y.shape[1]))
+        parts[:n] = y
+        parts = parts.reshape(many, length, -1).transpose(1, 0, 2).copy()
+        z1, z2 = np.zeros(parts.shape[1:]), np.zeros(parts.shape[1:])
+        for i in range(length):
+            value = parts[i]
+            out = b0 * value + z1
+            z1 = b1 * value - a1 * out + z2
+            z2 = b2 * value - a2 * out
+            parts[i] = out
+        second = (b2 - a2 * gain) * y[0]
+        (l00, l01), (l10, l11) = left.tolist()
+        before = np.empty((2, *parts.shape[1:]))
+        for c, (p, q) in enumerate(zip(((b1 - a1 * gain) * y[0] + second).tolist(), second.tolist())):
+            firsts, seconds = [], []
+            for own, other in zip(z1[:, c].tolist(), z2[:, c].tolist()):
+                firsts.append(p)
+                seconds.append(q)
+                p, q = l00 * p + l01 * q + own, l10 * p + l11 * q + other
+            before[0, :, c], before[1, :, c] = firsts, seconds
+        parts += echo[:, 0, None, None] * before[0] + echo[:, 1, None, None] * before[1]
+        y = parts.transpose(1, 0, 2).reshape(many * length, -1)[:n]
+    return y.reshape(x.shape)
 
 
 def zero_phase(sections, x: np.ndarray) -> np.ndarray:
@@ -74,7 +100,7 @@ def band_pass(x: np.ndarray, fs: float, low: float = 1.0, high: float = 20.0, or
 def motion(acc: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
     """Magnitude of the acceleration without gravity (its slow part), and its component along gravity. acc: samples x 3."""
     slow = butterworth(4, 0.5, fs, "low")
-    g = np.stack([zero_phase(slow, acc[:, k]) for k in range(3)], axis=1)
+    g = zero_phase(slow, acc)
     free = acc - g
     along = (free * g).sum(axis=1) / np.maximum(np.linalg.norm(g, axis=1), 1e-6)
     return np.linalg.norm(free, axis=1), along
@@ -89,7 +115,8 @@ def prepare(resampled: DataFrame, fs: float = 100.0) -> DataFrame:
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t_ms")
         mag, vz = motion(pdf[["ax", "ay", "az"]].fillna(0.0).to_numpy(float), fs)
-        return pd.DataFrame({"pack_id": key[0], "t_ms": pdf["t_ms"], "event_id": np.arange(len(pdf)), "lin_mag": mag, "vz": vz, "bp_mag": band_pass(mag, fs), "bp_vz": band_pass(vz, fs)})
+        banded = band_pass(np.stack([mag, vz], axis=1), fs)
+        return pd.DataFrame({"pack_id": key[0], "t_ms": pdf["t_ms"], "event_id": np.arange(len(pdf)), "lin_mag": mag, "vz": vz, "bp_mag": banded[:, 0], "bp_vz": banded[:, 1]})
 
     return resampled.select("pack_id", "t_ms", "ax", "ay", "az").groupBy("pack_id").applyInPandas(run, "pack_id long, t_ms long, event_id long, lin_mag double, vz double, bp_mag double, bp_vz double")
 
@@ -125,10 +152,14 @@ def lowest_since_higher(x: list[float]) -> list[float]:
     return out
 
 
-def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
-    """Height over the higher of the two lowest points on the way to higher ground."""
-    left, right = lowest_since_higher(x.tolist()), lowest_since_higher(x[::-1].tolist())[::-1]
-    return x[peaks] - np.maximum(np.array(left)[peaks], np.array(right)[peaks])
+def bases(x: np.ndarray) -> np.ndarray:
+    """For each value the higher of the two lowest points on the way to higher ground."""
+    return np.maximum(lowest_since_higher(x.tolist()), lowest_since_higher(x[::-1].tolist())[::-1])
+
+
+def prominences(x: np.ndarray, peaks: np.ndarray, base: np.ndarray | None = None) -> np.ndarray:
+    """Height over the base; `base` as from bases() where it is asked for more than once."""
+    return x[peaks] - (bases(x) if base is None else base)[peaks]
 
 
 def local_maxima(x: np.ndarray) -> np.ndarray:
@@ -141,8 +172,8 @@ def local_maxima(x: np.ndarray) -> np.ndarray:
     return (starts[top] + ends[top]) // 2
 
 
-def find_peaks(x: np.ndarray, height: np.ndarray, prominence: np.ndarray, distance: int) -> np.ndarray:
-    """Local maxima by height, then distance (higher ones first), then prominence."""
+def find_peaks(x: np.ndarray, height: np.ndarray, prominence: np.ndarray, distance: int, base: np.ndarray | None = None) -> np.ndarray:
+    """Local maxima by height, then distance (higher ones first), then prominence; `base` as from bases(x), for many settings of one signal."""
     p = local_maxima(x)
     p = p[x[p] >= height[p]]
     keep = np.ones(len(p), bool)
@@ -154,7 +185,7 @@ def find_peaks(x: np.ndarray, height: np.ndarray, prominence: np.ndarray, distan
                     keep[j] = False
                     j += step
     p = p[keep]
-    return p[prominences(x, p) >= prominence[p]]
+    return p[prominences(x, p, base) >= prominence[p]] if len(p) else p
 
 
 def peaks(ready: DataFrame, fs: float = 100.0, k: float = v.NOISE_FACTOR, least: float = v.MIN_THRESHOLD, x: str = "bp_mag") -> DataFrame:
