@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +42,112 @@ def shape_of(t: np.ndarray, hp: np.ndarray, vz: np.ndarray, speed: float, durati
     }
 
 
+#: events are dealt by blocks of so many ms of their start; longer ones than MOST_MS take the join
+BLOCK_MS, MOST_MS = 30_000, 10_000
+SURROUNDINGS = ("ctx_rms_5s", "ctx_rms_15s", *(f"p2p_{x}" for x in AXES), "contrast_5s", "contrast_15s", "p2p_horiz_max", "p2p_gyro_max")
+
+
+def over_ranges(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, op: np.ufunc, none: float) -> np.ndarray:
+    """op over x[lo:hi] of each pair, in steps of 1, 2, 4, ... places, so that no pair is walked through; `none` where that is empty."""
+    out, at, left = np.full(len(lo), none), lo.copy(), np.maximum(hi - lo, 0)
+    size, level = 1, x
+    while (left >= size).any():
+        on = np.flatnonzero(left & size)
+        out[on] = op(out[on], level[at[on]])
+        at[on] += size
+        level = op(level[:-size], level[size:])
+        size *= 2
+    return out
+
+
+def surroundings_of(t: np.ndarray, columns: dict[str, tuple[np.ndarray, np.ndarray]], t0: np.ndarray, t1: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Samples of each hit itself, and SURROUNDINGS of hits t0..t1 among samples in order of time; columns: values, and which are missing."""
+    first = lambda x: np.searchsorted(t, x, "left")
+    after = lambda x: np.searchsorted(t, x, "right")
+    a, z = first(t0 - 150), after(t1 + 400)
+    spans = {"own": [(a, z)], "5s": [(first(t0 - 5000), a), (z, after(t1 + 5000))], "15s": [(first(t0 - 15_000), a), (z, after(t1 + 15_000))]}
+
+    def fold(x, which, op, none):
+        parts = [over_ranges(x, lo, hi, op, none) for lo, hi in spans[which]]
+        return parts[0] if len(parts) == 1 else op(*parts)
+
+    def rms(which):
+        x, missing = columns["hp"]
+        n = fold((~missing).astype(float), which, np.add, 0.0)
+        return np.sqrt(fold(np.where(missing, 0.0, x * x), which, np.add, 0.0) / np.maximum(n, 1))
+
+    def swing(axis, which):
+        x, missing = columns[axis]
+        top, low = fold(np.where(missing, -np.inf, x), which, np.maximum, -np.inf), fold(np.where(missing, np.inf, x), which, np.minimum, np.inf)
+        return np.subtract(top, low, out=np.zeros(len(top)), where=~(top < low))
+
+    with np.errstate(invalid="ignore"):
+        own, out = rms("own"), {f"ctx_rms_{k}": rms(k) for k in ("5s", "15s")}
+        out |= {f"p2p_{x}": swing(x, "own") / np.maximum(swing(x, "5s"), 1e-9) for x in AXES}
+        out |= {f"contrast_{k}": own / np.maximum(out[f"ctx_rms_{k}"], 1e-9) for k in ("5s", "15s")}
+    return z - a, out | {"p2p_horiz_max": np.maximum(out["p2p_ax"], out["p2p_ay"]), "p2p_gyro_max": np.maximum(np.maximum(out["p2p_gx"], out["p2p_gy"]), out["p2p_gz"])}
+
+
+def stray_of(az: np.ndarray) -> float:
+    """How far the sliding mean strays from the median; 0 for up to 20 samples."""
+    k = max(len(az) // 20, 1)
+    return float(np.abs(np.convolve(az, np.ones(k) / k, mode="valid") - np.median(az)).max()) if len(az) > 20 else 0.0
+
+
+def by_blocks(samples: DataFrame, events: DataFrame, back_ms: int, ahead_ms: int, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """run(samples, events) on blocks of a pack's time: events that start in it, samples from back_ms before it to ahead_ms after their latest end.
+
+    samples: pack_id, ts and others; events: pack_id, t0_ms, duration_ms (0 to MOST_MS) and others. A sample goes to the blocks that have events.
+    """
+    dealt = events.withColumn("block", F.floor(F.col("t0_ms") / BLOCK_MS))
+    near = F.sequence(F.floor((F.col("ts") - MOST_MS - ahead_ms) / BLOCK_MS), F.floor((F.col("ts") + back_ms) / BLOCK_MS))
+    placed = samples.withColumn("block", F.explode(near)).join(dealt.select("pack_id", "block").distinct(), ["pack_id", "block"], "left_semi")
+    return placed.groupBy("pack_id", "block").cogroup(dealt.groupBy("pack_id", "block")).applyInArrow(run, schema)
+
+
+def column(of: pa.Table, name: str, order: np.ndarray | None = None) -> np.ndarray:
+    x = of.column(name).to_numpy()
+    return x if order is None else x[order]
+
+
+def apart(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events that blocks can do, and the few that they can't: long ones, and those that share an id, which are one event there."""
+    named = events.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("pack_id", "id")))
+    short = F.coalesce((F.col("__n") == 1) & F.col("t0_ms").isNotNull() & F.col("duration_ms").between(0, MOST_MS), F.lit(False))
+    return named.filter(short).drop("__n"), named.filter(~short).drop("__n")
+
+
+def candidates(samples: DataFrame, events: DataFrame) -> DataFrame:
+    """pack_id, id, SHAPE, SURROUNDINGS and az_drift of events with 8 samples or more: shapes, surroundings and drifts in one pass over the samples.
+
+    samples: pack_id, event_id, t_ms, hp, vz and AXES; events: pack_id, id, t0_ms, duration_ms, speed.
+    """
+    s = samples.select("pack_id", F.col("event_id").alias("n"), F.col("t_ms").alias("ts"), "hp", "vz", *AXES).filter("ts is not null")
+    few, others = apart(events.select("pack_id", "id", "t0_ms", "duration_ms", "speed"))
+    names = ["pack_id", "id", *SHAPE, *SURROUNDINGS, "az_drift"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = np.lexsort([column(left, c) for c in ("vz", "hp", "n", "ts")])
+        t, hp, vz = (column(left, c, order) for c in ("ts", "hp", "vz"))
+        t0, duration = column(right, "t0_ms"), column(right, "duration_ms")
+        n, found = surroundings_of(t, {c: (column(left, c, order), left.column(c).is_null().to_numpy()[order]) for c in ("hp", *AXES)}, t0, t0 + duration)
+        kept = np.flatnonzero(n >= 8)
+        az = column(left, "az", np.lexsort([column(left, c) for c in ("az", "ts")]))
+        time, spans = t.astype(float), [(t0 - 150, t0 + duration + 900), (t0 - 1000, t0 + duration + 1200)]
+        (a, z), (b, e) = ((np.searchsorted(t, x, "left"), np.searchsorted(t, y, "right")) for x, y in spans)
+        speed = column(right, "speed")
+        made = [shape_of(time[a[i] : z[i]], hp[a[i] : z[i]], vz[a[i] : z[i]], float(speed[i]), float(duration[i])) or dict.fromkeys(SHAPE) for i in kept]
+        own = {k: pa.array([m[k] for m in made], pa.float64(), from_pandas=True) for k in SHAPE}
+        around = {k: pa.array(found[k][kept], pa.float64()) for k in SURROUNDINGS}
+        ids = {k: right.column(k).cast(pa.int64()).combine_chunks().take(pa.array(kept)) for k in ("pack_id", "id")}
+        drift = pa.array([stray_of(az[b[i] : e[i]]) for i in kept], pa.float64(), from_pandas=True)
+        return pa.table(ids | own | around | {"az_drift": drift})
+
+    schema = "pack_id long, id long, " + ", ".join(f"{k} double" for k in names[2:])
+    rest = shapes(samples, others).join(surroundings(samples, others), ["pack_id", "id"]).join(drifts(samples, others), ["pack_id", "id"])
+    return by_blocks(s, few, 15_000, 15_000, run, schema).unionByName(rest.select(*names))
+
+
 def shapes(samples: DataFrame, events: DataFrame) -> DataFrame:
     """pack_id, id and the ten shape features of each event; null where there are too few samples.
 
@@ -90,12 +199,7 @@ def drifts(samples: DataFrame, events: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def stray(windows: pd.Series) -> pd.Series:
-        def one(x):
-            x = np.asarray(x, float)
-            k = max(len(x) // 20, 1)
-            return float(np.abs(np.convolve(x, np.ones(k) / k, mode="valid") - np.median(x)).max()) if len(x) > 20 else 0.0
-
-        return windows.map(one)
+        return windows.map(lambda x: stray_of(np.asarray(x, float)))
 
     return rows.select("pack_id", "id", stray("az").alias("az_drift"))
 

@@ -138,7 +138,7 @@ def screening_surroundings(spark, d):
 def screening_ranking(spark, d):
     """Every candidate feature, and how well it parts one kind of event from the rest."""
     s, e = _axes(spark, d)
-    f = screening.shapes(s, e).join(screening.surroundings(s, e), ["pack_id", "id"]).join(screening.drifts(s, e), ["pack_id", "id"]).join(e.select("pack_id", "id", "final_type"), ["pack_id", "id"])
+    f = screening.candidates(s, e).join(e.select("pack_id", "id", "final_type"), ["pack_id", "id"])
     names = [c for c in f.columns if c not in ("pack_id", "id", "final_type")]
     return screening.ranked(f, F.col("final_type") == v.POTHOLE, names)
 
