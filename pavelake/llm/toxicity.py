@@ -3,7 +3,7 @@
 Tokens are words without marks at their ends, lower-cased in A-Z; a token's features are the word and its
 beginnings of four to seven bytes. Labels are given for documents, so the labelled tokens the field
 is trained on are derived from them: a feature counts as toxic if it occurs in toxic documents far more
-often than chance explains, and a token of a toxic document is labelled toxic if it has such a feature; all
+often than chance explains and 0.4 of the labelled rows it occurs in are toxic, as their number is estimated from the sample, and a token of a toxic document is labelled toxic if it has such a feature; all
 tokens of other documents are clean. The two-state field is fitted by gradient ascent on the likelihood of
 those sequences. Forward-backward marginals of all tokens of a text give its toxic spans
 and, through their sum and their maximum, its score. A sequence is a whole document.
@@ -169,11 +169,14 @@ class Sample:
         return np.concatenate([self.kind[self.ptr[i] : self.ptr[i + 1]] for i in use]), np.concatenate([[0], np.cumsum(self.size[use])])
 
 
-def toxic_features(sample: Sample, use: np.ndarray, y: np.ndarray) -> np.ndarray:
+def toxic_features(sample: Sample, use: np.ndarray, y: np.ndarray, clean_per_toxic: float = 1.0) -> np.ndarray:
     """Buckets (as flags) that mark toxic ones among these documents beyond chance, strong ones first, then those that explain the rest.
 
     What is counted are the different words of a document that have a feature, so a stem that several words of a few
-    toxic documents share is found where each of these words is too rare by itself.
+    toxic documents share is found where each of these words is too rare by itself. Chance is judged by the documents at hand,
+    but 0.4 of a feature's words and documents must be toxic among all labelled rows: a clean document stands for
+    `clean_per_toxic` times as many of these as a toxic one. In a sample that takes label 1 first half of the documents are toxic, and a
+    language or a genre that is a little commoner in that half would otherwise pass.
     """
     kind = np.full(len(y), -1)
     kind[use] = y[use]
@@ -196,7 +199,7 @@ def toxic_features(sample: Sample, use: np.ndarray, y: np.ndarray) -> np.ndarray
         rate = np.clip(toxic / total, 1e-9, 1 - 1e-9)
         # evidence of a binomial tail, in nats. Of features looked at, so many are taken that few of those taken are chance
         nats = total * (rate * np.log(rate / base) + (1 - rate) * np.log((1 - rate) / (1 - base)))
-        ok = (df >= 0.4 * (df + clean_df)) & (df >= 3) & (rate >= 0.4)
+        ok = (df >= 0.4 * (df + clean_per_toxic * clean_df)) & (df >= 3) & (toxic >= 0.4 * (toxic + clean_per_toxic * clean)) & (rate > base)
         ranked = np.sort(nats[ok])[::-1]
         enough = ranked > np.log(max((total >= 3).sum(), 2) / (np.arange(len(ranked)) + 1.0)) + EVIDENCE
         marked |= ok & (nats >= (ranked[np.flatnonzero(enough)[-1]] if enough.any() else np.inf))
@@ -221,9 +224,9 @@ def without_near_copies(found: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(single)
 
 
-def train(sample: Sample, use: np.ndarray, y: np.ndarray) -> dict:
+def train(sample: Sample, use: np.ndarray, y: np.ndarray, clean_per_toxic: float = 1.0) -> dict:
     """The field fitted to these documents: weights of features, bias and moves, by gradient ascent."""
-    marked = toxic_features(sample, use, y)
+    marked = toxic_features(sample, use, y, clean_per_toxic)
     kind, ptr = sample.tokens_of(use)
     chains = Chains(ptr)
     there, kind = np.unique(kind, return_inverse=True)
@@ -283,13 +286,13 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", most_rows: in
     for label in (0, 1):
         own = np.flatnonzero(y == label)
         part[own] = np.arange(len(own)) % folds
-    sample, signals = Sample(found), np.zeros((len(y), 4))
+    sample, signals, odds = Sample(found), np.zeros((len(y), 4)), stands_for[0] / stands_for[1]
     for k in range(folds):
         seen, new = np.flatnonzero(part != k), np.flatnonzero(part == k)
         if len(new):
-            signals[new] = signals_of(sample, new, train(sample, seen, y) if sample.size[seen].sum() else none)
+            signals[new] = signals_of(sample, new, train(sample, seen, y, odds) if sample.size[seen].sum() else none)
     line = logistic(signals, y, ridge=0.05, weight=np.array([stands_for[int(t)] for t in y]))
-    return train(sample, np.arange(len(y)), y) | {"line": line}
+    return train(sample, np.arange(len(y)), y, odds) | {"line": line}
 
 
 def doc_signals(p: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:

@@ -215,6 +215,30 @@ def test_toxic_features_by_hand():
     assert {5, 5001, 7001, 7004} <= marked and not {m for m in marked if m < 5 or 10 <= m < 5000}
 
 
+def test_commoner_language_is_no_evidence(spark):
+    """Half of the sample is toxic, so in it most documents of a language that is commoner among toxic ones are toxic. Among all labelled
+    rows most are clean, and stay."""
+    rng = random.Random(8)
+    texts, toxic = [], []
+    for i in range(3000):
+        bad = i % 12 == 0
+        stem = "nordwort" if rng.random() < (0.5 if bad else 0.15) else "sudvocab"
+        words = [f"{stem}{rng.randrange(10**6)}" for _ in range(40)]
+        for _ in range(3 * bad):
+            words.insert(rng.randrange(len(words)), f"nasty{rng.randrange(300)}")
+        texts.append((i, " ".join(words)))
+        toxic.append(int(bad))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(4)
+    model = toxicity.fit(docs, spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int").coalesce(1), most_rows=400)
+    kept = {r.doc_id for r in toxicity.clean_documents(docs, model).collect()}
+    left_alone = np.mean([i in kept for i, y in enumerate(toxic) if not y])
+    caught = np.mean([i not in kept for i, y in enumerate(toxic) if y])
+    assert caught > 0.97 and left_alone > 0.98
+    whole = dict(texts)
+    spans = [whole[r.doc_id][s.begin : s.end] for r in toxicity.score(docs, model).collect() for s in r.spans]
+    assert spans and all("nasty" in s for s in spans)
+
+
 @pytest.mark.parametrize("n", [2, 3, 7, 8, 40])
 def test_quality_by_one_rule_at_every_size(spark, n):
     """From two rows of a class on: the model of all rows, calibrated on rows that a model has not seen."""
