@@ -78,3 +78,12 @@ def test_windows_and_sessions(spark, tmp_path):
     assert spark.table("w").agg(F.sum("n")).first()[0] == 100
     assert spark.table("s").count() == 2 and spark.table("s").agg(F.sum("n")).first()[0] == 100
     assert spark.table("u").count() == 101
+
+
+def test_samples_of_one_time_are_judged_by_the_same_noise(spark, tmp_path):
+    """Every sample is there twice: both are in the noise before the first is judged, as in the replay of a table."""
+    batch = spark.createDataFrame(ride([5, 15, 25, 35, 45]), SAMPLE)
+    batch = batch.unionByName(batch.withColumns({"event_id": F.col("event_id") + 1_000_000, "hp": F.col("hp") * 0.9}))
+    schema = files_of(spark, batch, str(tmp_path / "in"), 1)
+    got = told(run(spark, schema, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")))
+    assert got == told(detector.events(detector.replay(batch, 0.8))) and got
