@@ -36,19 +36,20 @@ def frame_flags(mean: Column, std: Column, uniq: Column, cast: Column) -> Column
     return F.struct(flat.alias("flat"), tinted.alias("tinted"), dark.alias("dark"), (flat | tinted).alias("suspect"), (flat | tinted | dark).alias("blocked"))
 
 
-def event_features(samples: DataFrame, events: DataFrame) -> DataFrame:
+def event_features(samples: DataFrame, events: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
     """Vertical extremes, crest over the local floor and the displacement after each event.
 
-    samples: pack_id, t_ms, hp, vz; events: pack_id, id, t0_ms, duration_ms, peak. One interval join
-    over the widest of the three windows, then conditional aggregates.
+    samples: pack_id, t_ms, hp, vz; events: pack_id, id, t0_ms, duration_ms, peak, and columns of theirs to be kept,
+    so that nobody joins them again by an id that may come back. One interval join over the widest of the three windows, then conditional aggregates.
     """
     s = samples.select("pack_id", F.col("t_ms").alias("ts"), "hp", "vz")
     t1 = F.col("t0_ms") + F.col("duration_ms")
-    e = events.select("pack_id", "id", "t0_ms", "duration_ms", "peak")
+    of_event = list(dict.fromkeys(["pack_id", "id", "t0_ms", "duration_ms", "peak", *kept]))
+    e = events.select(of_event)
     near = interval_join(s, e, ["pack_id"], "ts", F.col("t0_ms") - 3000, t1 + 3000, 4000, how="left")
     inside = (F.col("ts") >= F.col("t0_ms")) & (F.col("ts") <= t1)
     after = (F.col("ts") >= t1 + 300) & (F.col("ts") <= t1 + 900)
-    agg = near.groupBy("pack_id", "id", "t0_ms", "duration_ms", "peak").agg(
+    agg = near.groupBy(of_event).agg(
         F.min(F.when(inside, F.col("vz"))).alias("vz_min"), F.max(F.when(inside, F.col("vz"))).alias("vz_max"),
         # without the last digits, which depend on the order of the sum and would decide on tiers and roundings
         F.round(F.percentile(F.abs("hp"), F.lit(v.NOISE_QUANTILE)), 12).alias("q"), F.round(F.avg(F.when(after, F.col("hp"))), 12).alias("post"),
@@ -57,7 +58,7 @@ def event_features(samples: DataFrame, events: DataFrame) -> DataFrame:
     ratio = F.when(F.col("peak") > 1e-9, F.col("post") / F.col("peak"))
     return agg.select(
         "pack_id", "id", F.when(F.col("q").isNotNull(), floor).alias("noise_floor"), F.when(F.col("q").isNotNull(), F.col("peak") / floor).alias("crest"), "vz_min", "vz_max",
-        F.when(F.col("vz_min").isNotNull(), F.when(F.abs("vz_max") > F.abs("vz_min"), "凸起").otherwise("凹陷")).alias("bump"), (F.col("vz_max") - F.col("vz_min")).alias("vz_pp"), ratio.alias("post_ratio"),
+        F.when(F.col("vz_min").isNotNull(), F.when(F.abs("vz_max") > F.abs("vz_min"), "凸起").otherwise("凹陷")).alias("bump"), (F.col("vz_max") - F.col("vz_min")).alias("vz_pp"), ratio.alias("post_ratio"), *kept,
     )
 
 

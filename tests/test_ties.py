@@ -55,3 +55,13 @@ def test_halves_are_moved(spark, tmp_path):
     got = QUERIES["context_mask"](spark, str(tmp_path)).select("id", "n", "ctx_rms").collect()
     assert len(want) == 100 and sorted(map(tuple, got)) == sorted(want) and {n for _, n, _ in want} == {64}
     assert dict((i, x) for i, _, x in want)[0] == pytest.approx(0.000063, abs=1e-9)
+
+
+@pytest.mark.parametrize("name", ["feature_block", "feature_block_digest"])
+def test_texts_of_shared_ids(spark, shared, name):
+    """An id that comes back is an event at each of its times, not every pair of them."""
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{shared}/events.parquet'")
+    got = QUERIES[name](spark, shared)
+    want = con.sql(f"select {', '.join(got.columns)} from ({ORACLES[name]})").fetchall()
+    assert len(want) > 50 and sorted(map(tuple, got.collect())) == sorted(want)
