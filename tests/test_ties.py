@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pavelake.functions.scalar import threshold
+from pavelake.functions.scalar import rnd_scaled, threshold
 from pavelake.operators import detector, joins
 from pavelake.plans import ORACLES, QUERIES
 
@@ -65,3 +65,20 @@ def test_texts_of_shared_ids(spark, shared, name):
     got = QUERIES[name](spark, shared)
     want = con.sql(f"select {', '.join(got.columns)} from ({ORACLES[name]})").fetchall()
     assert len(want) > 50 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize(("digits", "values"), [(8, (-0.485578125, -1.946328125, -3.640640625)), (6, (-0.0508415, 0.0021875, 2.5e-7))])
+def test_halfway_values_are_rounded_as_in_sql(spark, digits, values):
+    """Products of decimals lie a last digit off the half or on it; both engines decide by the scaled number."""
+    near = [x * (1 + k * 2.0**-52) for x in values for k in (-1, 0, 1)]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in near], "x double").select(rnd_scaled(F.col("x"), digits)).collect()]
+    assert got == [duckdb.execute(f"select round(?::double, {digits}) + 0.0", [x]).fetchall()[0][0] for x in near]
+
+
+def test_linear_resample_at_size(spark):
+    """Three points of sf0.1 lie halfway between two printed values."""
+    sf = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{sf}/events.parquet'")
+    want = con.sql(f"select pack_id, t_ms, hp from ({ORACLES['linear_resample']})").fetchall()
+    assert sorted(map(tuple, QUERIES["linear_resample"](spark, sf).select("pack_id", "t_ms", "hp").collect())) == sorted(want)
