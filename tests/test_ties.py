@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from pavelake.functions.scalar import rnd_scaled, threshold
 from pavelake.operators import detector, joins
+from pavelake.operators import timeseries as ts
+from pavelake.operators.folds import TrailingQuantile
 from pavelake.plans import ORACLES, QUERIES
 
 
@@ -82,3 +84,24 @@ def test_linear_resample_at_size(spark):
     con.sql(f"create view events as select * from '{sf}/events.parquet'")
     want = con.sql(f"select pack_id, t_ms, hp from ({ORACLES['linear_resample']})").fetchall()
     assert sorted(map(tuple, QUERIES["linear_resample"](spark, sf).select("pack_id", "t_ms", "hp").collect())) == sorted(want)
+
+
+def test_recorded_order(spark):
+    """Of one event_id the earlier sample first, what has no event_id last: 10, 30, 20, 40 and not 40, 10, ..."""
+    rows = [(0, None, 40), (0, 2, 20), (0, 1, 30), (0, 1, 10)]
+    assert tuple(ts.gaps(spark.createDataFrame(rows, "pack_id long, event_id long, t_ms long"), 15).first()) == (0, 0, 1, 2)
+
+
+def test_rows_without_a_time_end_no_quantile():
+    fold = TrailingQuantile(100, 0.5)
+    got = [q for row in ((None, 9.0), (None, 7.0), (0, 1.0), (50, -3.0)) for q in fold.push(*row)] + fold.end()
+    assert got == [8.0, 8.0, 1.0, 2.0]
+
+
+@pytest.mark.parametrize("name", ["qc_checks", "sampling_gaps", "even_sampling", "missed_segments"])
+def test_shared_ids_in_checks(spark, shared, name):
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{shared}/events.parquet'")
+    got = QUERIES[name](spark, shared)
+    want = con.sql(f"select {', '.join(got.columns)} from ({ORACLES[name]})").fetchall()
+    assert want and sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
